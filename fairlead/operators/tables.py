@@ -31,7 +31,7 @@ class MergeRule:
     def reduced(self, rows: DataFrame, generation: int = 0) -> DataFrame:
         """One row per key of a batch, with the places of its first and last write."""
         place = F.struct(F.lit(generation).cast("bigint").alias("generation"), F.unix_micros(self.ts).alias("us"),
-                         F.col(self.seq).cast("bigint").alias("seq"))
+                         F.col(self.seq).alias("seq"))
         return self._fold(rows.withColumns({"_first": place, "_last": place}))
 
     def merged(self, states: Sequence[DataFrame]) -> DataFrame:

@@ -144,5 +144,9 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(40.0) + quantity).alias("humidity"),
         (F.col("l_orderkey") % 10).cast("int").alias("sea_state"),
         F.timestamp_micros(F.unix_micros(F.col("l_shipdate").cast("timestamp")) + hour).alias("ts"),
-        (F.col("l_orderkey") * 8 + line).alias("seq"),
+        # Order keys repeat line numbers, so the sequence takes all four keys.
+        F.expr(
+            "cast(l_orderkey * 8 + l_linenumber as decimal(19, 0)) * 1000000000000000000BD"
+            " + cast(l_partkey * 100000000 + l_suppkey as decimal(19, 0))"
+        ).alias("seq"),
     )

@@ -22,7 +22,10 @@ PREVIOUS = {"latitude": "double", "longitude": "double", "speed": "double", "cou
 
 def in_time_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """The rows of one key in one micro-batch; their number is bounded by the trigger's intake."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(["ts_us", "seq"], ignore_index=True)
+    parts = list(batches)
+    pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    order = np.lexsort((pdf["seq"].to_numpy(), pdf["ts_us"].to_numpy()))
+    return pdf.take(order).reset_index(drop=True)
 
 
 class Previous(StatefulProcessor):
@@ -40,27 +43,26 @@ class Previous(StatefulProcessor):
         self.last = handle.getValueState("last", f"{held}, ts_us bigint, seq bigint", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf, _ = self.with_previous(in_time_order(rows))
-        yield pdf
+        pdf = in_time_order(rows)
+        yield pdf.assign(**self.previous_columns(pdf))
 
-    def with_previous(self, pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-        """The rows with their previous values, and a mask of the rows that came in time."""
+    def previous_columns(self, pdf: pd.DataFrame) -> dict[str, pd.Series]:
+        """The previous values of the ordered rows of one micro-batch; the state moves on to the last row."""
         names = [*self.carried, "ts_us", "seq"]
         known = self.last.get() if self.last.exists() else None
-        at = (known[-2], known[-1]) if known is not None else None
-        place = list(zip(pdf["ts_us"], pdf["seq"]))
-        fresh = np.array([at is None or p > at for p in place], dtype=bool)
-        new = pdf[fresh]
-        before = new[names].astype(object).shift(1)
-        if known is not None and len(new):
-            before.iloc[0] = pd.Series(list(known), index=names, dtype=object)
-        for c in names[:-1]:
-            pdf[f"prev_{c}"] = pd.Series([None] * len(pdf), dtype=object)
-            pdf.loc[fresh, f"prev_{c}"] = before[c]
-        if len(new):
-            newest = new.iloc[-1]
-            self.last.update(tuple(_plain(newest[c]) for c in names))
-        return pdf, fresh
+        ts, seq = pdf["ts_us"].to_numpy(), pdf["seq"].to_numpy()
+        late = 0
+        if known is not None:
+            late = int(np.count_nonzero((ts < known[-2]) | ((ts == known[-2]) & (seq <= known[-1]))))
+        columns = {}
+        values = {c: pdf[c].tolist() for c in names}
+        for at, c in enumerate(names[:-1]):
+            first = [] if late == len(pdf) else [known[at] if known is not None else None]
+            before = [None] * late + first + values[c][late:-1]
+            columns[f"prev_{c}"] = pd.Series(before, dtype=object)
+        if late < len(pdf):
+            self.last.update(tuple(_plain(values[c][-1]) for c in names))
+        return columns
 
     def close(self) -> None:
         pass
@@ -78,9 +80,12 @@ class PreviousAndThrottle(Previous):
         self.clock = handle.getValueState("clock", "alerted_ms bigint", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf, _ = self.with_previous(in_time_order(rows))
-        speed, before = (pd.to_numeric(pdf[c]).to_numpy(dtype=float) for c in ("speed", "prev_speed"))
-        elapsed = pd.to_numeric(pdf["ts_us"] // 1000 - pd.to_numeric(pdf["prev_ts_us"]) // 1000).to_numpy(dtype=float)
+        pdf = in_time_order(rows)
+        columns = self.previous_columns(pdf)
+        speed = pdf["speed"].to_numpy(dtype=float)
+        before = columns["prev_speed"].to_numpy(dtype=float)
+        ms = pdf["ts_us"].to_numpy() // 1000
+        elapsed = ms - columns["prev_ts_us"].to_numpy(dtype=float) // 1000
         with np.errstate(divide="ignore", invalid="ignore"):
             acceleration = np.where(elapsed != 0, np.abs(speed - before) / (elapsed / 1000.0), np.nan)
             met = [
@@ -94,14 +99,12 @@ class PreviousAndThrottle(Previous):
         candidates = np.flatnonzero(kind != None)  # noqa: E711 - elementwise
         alerts = np.full(len(pdf), None, dtype=object)
         if len(candidates):
-            ms = pdf["ts_us"].to_numpy()[candidates] // 1000
             release = self.clock.get()[0] + self.interval_ms if self.clock.exists() else throttle.NEVER
-            passed = candidates[throttle.survivors(ms, release, self.interval_ms)]
+            passed = candidates[throttle.survivors(ms[candidates], release, self.interval_ms)]
             alerts[passed] = kind[passed]
             if len(passed):
-                self.clock.update((int(pdf["ts_us"].iloc[passed[-1]] // 1000),))
-        pdf["alert_type"] = alerts
-        yield pdf
+                self.clock.update((int(ms[passed[-1]]),))
+        yield pdf.assign(**columns, alert_type=alerts)
 
 
 class Silence(StatefulProcessor):
