@@ -14,15 +14,23 @@ from fairlead.functions import times
 
 @dataclass(frozen=True)
 class Rollup:
-    """Group keys and the measures held per group. ``averages`` maps an output name to its source column."""
+    """Group keys, a time window and the measures held per group.
 
-    keys: dict[str, Column]
+    ``averages``, ``minima`` and ``maxima`` map an output name to its source column. The window is a real event
+    time window, so that on a stream the state of a group can be dropped once the watermark has passed it.
+    """
+
+    keys: tuple[str, ...]
+    window: tuple[str, str]
     averages: dict[str, str] = field(default_factory=dict)
     minima: dict[str, str] = field(default_factory=dict)
     maxima: dict[str, str] = field(default_factory=dict)
-    conditions: dict[str, Column] = field(default_factory=dict)
     count: str = "n"
 
+    @property
+    def groups(self) -> tuple[str, ...]:
+        return (*self.keys, self.window[0])
+
     def state(self, rows: DataFrame) -> DataFrame:
         """Mergeable state of the rows; works on a streaming table as well."""
         measures = [F.count(F.lit(1)).alias(self.count)]
@@ -30,8 +38,9 @@ class Rollup:
             measures += [F.sum(source).alias(f"{name}__sum"), F.count(source).alias(f"{name}__n")]
         measures += [F.min(source).alias(name) for name, source in self.minima.items()]
         measures += [F.max(source).alias(name) for name, source in self.maxima.items()]
-        measures += [F.count_if(condition).alias(name) for name, condition in self.conditions.items()]
-        return rows.groupBy(*[c.alias(k) for k, c in self.keys.items()]).agg(*measures)
+        name, width = self.window
+        grouped = rows.groupBy(*self.keys, F.window("ts", width).alias("_w")).agg(*measures)
+        return grouped.withColumn(name, F.col("_w.start")).drop("_w")
 
     def merged(self, states: Sequence[DataFrame]) -> DataFrame:
         """State of the union of what the states cover."""
@@ -41,46 +50,37 @@ class Rollup:
             measures += [F.sum(f"{name}__{p}").alias(f"{name}__{p}") for p in ("sum", "n")]
         measures += [F.min(name).alias(name) for name in self.minima]
         measures += [F.max(name).alias(name) for name in self.maxima]
-        measures += [F.sum(name).alias(name) for name in self.conditions]
-        return both.groupBy(*self.keys).agg(*measures)
+        return both.groupBy(*self.groups).agg(*measures)
 
     def finished(self, state: DataFrame) -> DataFrame:
         averages = [F.try_divide(F.col(f"{n}__sum"), F.col(f"{n}__n")).alias(n) for n in self.averages]
-        return state.select(*self.keys, self.count, *averages, *self.minima, *self.maxima, *self.conditions)
-
-
-def movement_hourly() -> Rollup:
-    return Rollup(
-        keys={
-            "mmsi": F.col("mmsi"),
-            "vessel_name": F.col("vessel_name"),
-            "vessel_type": F.col("vessel_type"),
-            "hour": times.hour_start(F.col("ts")),
-        },
-        count="position_count",
-        averages={"avg_speed": "speed", "avg_latitude": "latitude", "avg_longitude": "longitude"},
-        maxima={"max_speed": "speed"},
-        minima={"min_speed": "speed"},
-    )
-
-
-def weather_hourly() -> Rollup:
-    measures = ("temperature", "wind_speed", "wave_height", "visibility", "pressure", "humidity")
-    return Rollup(
-        keys={"grid_id": F.col("grid_id"), "hour": times.hour_start(F.col("ts"))},
-        averages={f"avg_{m}": m for m in measures},
-        count="reading_count",
-    )
-
-
-def positions_per_minute() -> Rollup:
-    return Rollup(
-        keys={"mmsi": F.col("mmsi"), "minute": F.date_trunc("minute", F.col("ts"))},
-        averages={"avg_latitude": "latitude", "avg_longitude": "longitude", "avg_speed": "speed"},
-        minima={"min_speed": "speed"},
-        maxima={"max_speed": "speed"},
-        count="message_count",
-    )
+        return state.select(*self.groups, self.count, *averages, *self.minima, *self.maxima)
+
+
+MOVEMENT_HOURLY = Rollup(
+    keys=("mmsi", "vessel_name", "vessel_type"),
+    window=("hour", "1 hour"),
+    count="position_count",
+    averages={"avg_speed": "speed", "avg_latitude": "latitude", "avg_longitude": "longitude"},
+    maxima={"max_speed": "speed"},
+    minima={"min_speed": "speed"},
+)
+WEATHER_HOURLY = Rollup(
+    keys=("grid_id",),
+    window=("hour", "1 hour"),
+    count="reading_count",
+    averages={
+        f"avg_{m}": m for m in ("temperature", "wind_speed", "wave_height", "visibility", "pressure", "humidity")
+    },
+)
+POSITIONS_PER_MINUTE = Rollup(
+    keys=("mmsi",),
+    window=("minute", "1 minute"),
+    count="message_count",
+    averages={"avg_latitude": "latitude", "avg_longitude": "longitude", "avg_speed": "speed"},
+    maxima={"max_speed": "speed"},
+    minima={"min_speed": "speed"},
+)
 
 
 def alerts_daily(alerts: DataFrame, exact: bool = True) -> DataFrame:

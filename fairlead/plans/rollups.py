@@ -28,7 +28,7 @@ SELECT mmsi, vessel_name, vessel_type, epoch_ms(date_trunc('hour', ts)) AS hour_
   round(avg(latitude), 6) AS avg_latitude, round(avg(longitude), 6) AS avg_longitude
 FROM valid_long GROUP BY mmsi, vessel_name, vessel_type, date_trunc('hour', ts)""", "valid_long"))
 def movement_hourly(spark, sf):
-    rollup = ops.movement_hourly()
+    rollup = ops.MOVEMENT_HOURLY
     done = rollup.finished(rollup.state(common.valid_long(spark, sf)))
     return done.select(
         "mmsi", "vessel_name", "vessel_type", *common.millis("hour"), "position_count", "max_speed", "min_speed",
@@ -42,7 +42,7 @@ SELECT mmsi, epoch_ms(date_trunc('minute', ts)) AS minute_ms, count(*) AS messag
 FROM valid GROUP BY mmsi, date_trunc('minute', ts)""", "valid"))
 def merged_rollup_states(spark, sf):
     """The per-minute rollup again, merged from the states of two halves of the input."""
-    done = daily_halves(ops.positions_per_minute(), common.valid(spark, sf))
+    done = daily_halves(ops.POSITIONS_PER_MINUTE, common.valid(spark, sf))
     return done.select(
         "mmsi", *common.millis("minute"), "message_count", "min_speed", "max_speed",
         *common.rounded("avg_speed", "avg_latitude", "avg_longitude"),
@@ -54,7 +54,7 @@ SELECT mmsi, epoch_ms(date_trunc('minute', ts)) AS minute_ms, count(*) AS messag
   min(speed) AS min_speed, max(speed) AS max_speed, round(avg(latitude), 6) AS avg_latitude, round(avg(longitude), 6) AS avg_longitude
 FROM valid GROUP BY mmsi, date_trunc('minute', ts)""", "valid"))
 def positions_1min(spark, sf):
-    rollup = ops.positions_per_minute()
+    rollup = ops.POSITIONS_PER_MINUTE
     done = rollup.finished(rollup.state(common.valid(spark, sf)))
     return done.select(
         "mmsi", *common.millis("minute"), "message_count", "min_speed", "max_speed",
@@ -92,7 +92,7 @@ MEASURES = ("temperature", "wind_speed", "wave_height", "visibility", "pressure"
 SELECT grid_id, epoch_ms(date_trunc('hour', ts)) AS hour_ms, count(*) AS reading_count, {', '.join(f'round(avg({m}), 6) AS avg_{m}' for m in MEASURES)}
 FROM weather GROUP BY grid_id, date_trunc('hour', ts)""", "weather"))
 def weather_hourly(spark, sf):
-    rollup = ops.weather_hourly()
+    rollup = ops.WEATHER_HOURLY
     done = rollup.finished(rollup.state(lenses.weather(spark, sf)))
     return done.select("grid_id", *common.millis("hour"), "reading_count", *common.rounded(*rollup.averages))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fairlead.operators import detect, tables, validate
+from fairlead.operators import detect, proximity, tables, validate
 from fairlead.operators.rollups import Rollup
 from fairlead.sources import wire
 from fairlead.streaming import state
@@ -25,6 +25,8 @@ def stream_session(spark: SparkSession) -> SparkSession:
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # The number of state partitions is fixed by the first run of a query, and is not adapted at run time.
     session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    # Sessions of a busy vessel are merged before the shuffle.
+    session.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return session
 
 
@@ -112,14 +114,38 @@ class RollupSink:
 
     def read(self, spark: SparkSession) -> DataFrame:
         states = spark.read.parquet(self.path)
-        rest = [c for c in states.columns if c not in self.rollup.keys and c != "batch_id"]
-        newest = states.groupBy(*self.rollup.keys).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_s"))
-        return self.rollup.finished(newest.select(*self.rollup.keys, "_s.*"))
+        rest = [c for c in states.columns if c not in self.rollup.groups and c != "batch_id"]
+        newest = states.groupBy(*self.rollup.groups).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_s"))
+        return self.rollup.finished(newest.select(*self.rollup.groups, "_s.*"))
 
 
 def run_rollup(
     rows: DataFrame, sink: RollupSink, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Maintain a rollup as rows come in. State of an hour is dropped once the watermark has passed it."""
+    """Maintain a rollup as rows come in. State of a window is dropped once the watermark has passed it."""
     state_rows = sink.rollup.state(rows.withWatermark("ts", LATENESS))
     return run_batches(state_rows, sink.write, checkpoint, mode="update", every=every)
+
+
+def session_tracks(positions: DataFrame, gap_minutes: float) -> DataFrame:
+    """Tracks of a position stream as session windows, once they are over.
+
+    A session splits at its gap, a track only beyond it, hence the extra microsecond.
+    """
+    gap = f"{int(gap_minutes * 60_000_000) + 1} microseconds"
+    rows = positions.withWatermark("ts", LATENESS)
+    sessions = rows.groupBy("mmsi", F.session_window("ts", gap).alias("w")).agg(
+        F.count(F.lit(1)).alias("points"),
+        F.max("ts").alias("track_end"),
+        F.avg("speed").alias("avg_speed"),
+        F.max("speed").alias("max_speed"),
+    )
+    return sessions.select("mmsi", F.col("w.start").alias("track_start"), "track_end", "points", "avg_speed", "max_speed")
+
+
+def proximity_stream(positions: DataFrame) -> DataFrame:
+    """Latest fix per vessel and sliding window, handed on when the window is over.
+
+    All fixes of a window leave in one batch, so pairs are found batch by batch with the same join as at rest.
+    """
+    return proximity.window_fixes(positions.withWatermark("ts", LATENESS))
