@@ -1 +1,199 @@
-"""stub"""
+"""Streaming jobs over the driver's tables: each reads a file stream to its end and returns what it wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from fairlead.operators import detect, enrich, proximity, rollups, tables
+from fairlead.plans import common, ingest, lenses
+from fairlead.plans.oracle import sql
+from fairlead.plans.registry import query
+from fairlead.plans.sequences import SILENCE_GAP, TRACK_GAP
+from fairlead.plans.spatial import EVENTS, PAIRS
+from fairlead.session import scratch_path
+from fairlead.sources import files, reference, wire
+from fairlead.streaming import job, state
+
+
+def event_stream(session: SparkSession, sf: str) -> DataFrame:
+    """The events table as a file stream."""
+    schema = session.read.parquet(f"{sf}/events.parquet").schema
+    return session.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def valid_stream(session: SparkSession, sf: str, compression: int = lenses.COMPRESSION) -> DataFrame:
+    rows = lenses.positions_from_events(event_stream(session, sf), compression)
+    return job.valid_positions(rows, F.lit(None).cast("timestamp"), check_age=False)
+
+
+def finish(started: StreamingQuery) -> None:
+    started.awaitTermination()
+    if started.exception():
+        raise started.exception()
+
+
+def collected(rows: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream to its end into a table keyed by batch, and read that."""
+    folder = scratch_path(spark, name)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch_id={batch_id}")
+
+    finish(job.run_batches(rows, write, f"{folder}/checkpoint", mode=mode))
+    return spark.read.parquet(f"{folder}/rows")
+
+
+def run_sinks(spark: SparkSession, sf: str) -> tuple[str, tables.CurrentTable]:
+    """The whole position job: enrichment, detection and the fan-out to topics, history and current state."""
+    session = job.stream_session(spark)
+    folder = scratch_path(spark, "positions-job")
+    shape = job.as_current(common.enriched(spark, sf)).schema
+    current = tables.CurrentTable(session, f"{folder}/current", tables.POSITION_RULE, shape)
+    finish(job.run_positions(valid_stream(session, sf), job.PositionSinks(folder, current), f"{folder}/checkpoint"))
+    return folder, tables.CurrentTable(spark, f"{folder}/current", tables.POSITION_RULE, shape)
+
+
+@query("W-01", "W-03", "W-04", "T-01", "K-08", sql=sql("""
+SELECT seq, mmsi, vessel_type, round(dist, 6) AS distance_nm, dt AS elapsed_ms FROM enriched""", "enriched"))
+def stream_enrich_detect(spark, sf):
+    folder, _ = run_sinks(spark, sf)
+    rows = spark.read.parquet(f"{folder}/positions_history")
+    return rows.select(
+        "seq", "mmsi", "vessel_type", common.near(F.col("distance_from_previous")).alias("distance_nm"),
+        F.col("time_since_last_update").alias("elapsed_ms"),
+    )
+
+
+@query("T-05", "K-02", "W-08", sql=sql("SELECT seq, mmsi, alert_type, severity FROM alerts", "alerts"))
+def stream_alerts(spark, sf):
+    """Alerts of the stateful step, which must be those of the batch throttle."""
+    session = job.stream_session(spark)
+    rows = collected(job.alerts_of(state.enriched_stream(valid_stream(session, sf))).select(
+        "seq", "mmsi", "alert_type", "severity"), spark, "alerts")
+    return rows.drop("batch_id")
+
+
+@query("K-01", "K-02", "K-04", "K-12", "W-08", sql=sql("""
+SELECT 'positions_history' AS sink, count(*) AS n FROM valid UNION ALL SELECT 'vessel-positions', count(*) FROM valid
+UNION ALL SELECT 'alerts_history', count(*) FROM alerts UNION ALL SELECT 'vessel-alerts', count(*) FROM alerts
+UNION ALL SELECT 'current', count(DISTINCT mmsi) FROM valid""", "valid", "alerts"))
+def stream_fan_out(spark, sf):
+    """What every sink of the position job received."""
+    folder, current = run_sinks(spark, sf)
+    sinks = {
+        "positions_history": spark.read.parquet(f"{folder}/positions_history"),
+        "alerts_history": spark.read.parquet(f"{folder}/alerts_history"),
+        "vessel-positions": spark.read.schema("key string, value string").json(f"{folder}/vessel-positions"),
+        "vessel-alerts": spark.read.schema("key string, value string").json(f"{folder}/vessel-alerts"),
+        "current": current.read(),
+    }
+    counts = [t.agg(F.lit(name).alias("sink"), F.count(F.lit(1)).alias("n")) for name, t in sinks.items()]
+    both = counts[0]
+    for c in counts[1:]:
+        both = both.unionByName(c)
+    return both
+
+
+@query("S-01", "S-02", "S-03", "K-14", "W-02", sql=sql(f"""
+SELECT reason, count(*) AS n FROM (SELECT coalesce({ingest.REASON}, CASE WHEN speed > 102.3 THEN 'INVALID_SPEED' ELSE 'GOOD' END) AS reason FROM positions)
+GROUP BY reason""", "positions"))
+def stream_topic_decode(spark, sf):
+    """Envelope texts in a topic folder, decoded, validated and split as a stream; rejects go to their own table."""
+    session = job.stream_session(spark)
+    folder = scratch_path(spark, "topics")
+    ingest.envelope_texts(spark, sf).select("value").write.text(f"{folder}/ais-raw-data")
+    decoded = wire.positions_from_envelopes(files.topic(session, "ais-raw-data", directory=folder))
+    now = F.lit(None).cast("timestamp")
+    failed = job.validate.position_reject_reason(now, check_age=False)
+    tagged = decoded.withColumn("reject_reason", F.coalesce("reject_reason", failed))
+    finish(job.run_rejects(tagged, folder, f"{folder}/rejects-checkpoint"))
+    good = job.event_time(tagged.where(F.col("reject_reason").isNull()).drop("reject_reason"))
+    kept = collected(good.select("mmsi", "ts"), spark, "decoded")
+    rejects = spark.read.parquet(f"{folder}/rejects").select(F.col("reject_reason").alias("reason"))
+    both = rejects.unionByName(kept.select(F.lit("GOOD").alias("reason")))
+    return both.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("W-09", "A-01", sql=sql("""
+SELECT mmsi, vessel_name, vessel_type, epoch_ms(date_trunc('hour', ts)) AS hour_ms, count(*) AS position_count, round(avg(speed), 6) AS avg_speed, max(speed) AS max_speed
+FROM valid_long GROUP BY mmsi, vessel_name, vessel_type, date_trunc('hour', ts)""", "valid_long"))
+def stream_movement_hourly(spark, sf):
+    session = job.stream_session(spark)
+    rows = enrich.with_inferred_type(valid_stream(session, sf, 1))
+    folder = scratch_path(spark, "rollup")
+    sink = job.RollupSink(f"{folder}/states", rollups.MOVEMENT_HOURLY)
+    finish(job.run_rollup(rows, sink, f"{folder}/checkpoint"))
+    return sink.read(spark).select(
+        "mmsi", "vessel_name", "vessel_type", *common.millis("hour"), "position_count", *common.rounded("avg_speed"), "max_speed"
+    )
+
+
+@query("T-06", "J-08", sql=sql("SELECT mmsi, seq, fence_id, event FROM fence_events", "valid", "hits", extra=EVENTS))
+def stream_geofence_events(spark, sf):
+    session = job.stream_session(spark)
+    events = state.fence_events_stream(valid_stream(session, sf), reference.fences(session))
+    return collected(events, spark, "fences").select("mmsi", "seq", "fence_id", "event")
+
+
+@query("T-11", sql=sql(f"""
+SELECT mmsi, epoch_ms(prev_ts) AS lost_ms FROM enriched WHERE dt > {int(SILENCE_GAP * 60_000)}
+UNION ALL SELECT mmsi, epoch_ms(max(ts)) FROM valid GROUP BY mmsi
+HAVING epoch_ms(max(ts)) + {int(SILENCE_GAP * 60_000)} <= (SELECT epoch_ms(max(ts)) - 5000 FROM valid)""", "enriched"))
+def stream_signal_lost(spark, sf):
+    """Timers on event time: a silence is reported once the watermark has passed it."""
+    session = job.stream_session(spark)
+    lost = state.silence_stream(valid_stream(session, sf), SILENCE_GAP)
+    return collected(lost, spark, "silence").select("mmsi", F.unix_millis("lost_at").alias("lost_ms"))
+
+
+@query("W-07", "T-14", sql=sql(f"""
+SELECT mmsi, epoch_ms(min(ts)) AS track_start_ms, epoch_ms(max(ts)) AS track_end_ms, count(*) AS points, round(avg(speed), 6) AS avg_speed, max(speed) AS max_speed
+FROM (SELECT *, sum(CASE WHEN prev_ts IS NULL OR epoch_us(ts) - epoch_us(prev_ts) > {int(TRACK_GAP * 60_000_000)} THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi ORDER BY ts, seq) AS run FROM enriched)
+GROUP BY mmsi, run HAVING epoch_us(max(ts)) + {int(TRACK_GAP * 60_000_000)} < (SELECT epoch_us(max(ts)) // 1000 * 1000 - 5000000 FROM valid)""", "enriched"))
+def stream_session_tracks(spark, sf):
+    session = job.stream_session(spark)
+    done = collected(job.session_tracks(valid_stream(session, sf), TRACK_GAP), spark, "sessions")
+    return done.select("mmsi", *common.millis("track_start", "track_end"), "points", *common.rounded("avg_speed"), "max_speed")
+
+
+@query("W-06", "J-04", sql=sql("""
+SELECT epoch_ms(window_start) AS window_start_ms, mmsi_a, mmsi_b, round(distance_nm, 6) AS distance_nm FROM pairs
+WHERE epoch_us(window_start) + 30000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 5000000 FROM valid)""", "valid", extra=PAIRS))
+def stream_proximity(spark, sf):
+    """Pairs of every sliding window that is over."""
+    session = job.stream_session(spark)
+    folder = scratch_path(spark, "proximity")
+
+    def write(fixes, batch_id):
+        proximity.close_pairs(fixes).write.mode("overwrite").parquet(f"{folder}/pairs/batch_id={batch_id}")
+
+    finish(job.run_batches(job.proximity_stream(valid_stream(session, sf)), write, f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/pairs").select(
+        *common.millis("window_start"), "mmsi_a", "mmsi_b", common.near(F.col("distance_nm")).alias("distance_nm")
+    )
+
+
+@query("W-05", "T-08", sql=sql("""
+SELECT mmsi, epoch_ms(time_bucket(INTERVAL 5 MINUTE, ts)) AS window_ms, count(speed) AS n, round(var_samp(speed), 4) AS speed_variance
+FROM valid GROUP BY mmsi, time_bucket(INTERVAL 5 MINUTE, ts)
+HAVING (max(speed) > 1.5 * CASE max(vessel_type) WHEN 'PASSENGER' THEN 35e0 WHEN 'TANKER' THEN 20e0 ELSE 25e0 END OR var_samp(speed) > 400)
+  AND epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) + 300000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 5000000 FROM valid)""", "valid"))
+def stream_erratic_speed(spark, sf):
+    """Tumbling windows, handed on when they are over."""
+    session = job.stream_session(spark)
+    rows = enrich.with_inferred_type(valid_stream(session, sf)).withWatermark("ts", job.LATENESS)
+    done = collected(detect.erratic_speed(rows), spark, "erratic")
+    return done.select(
+        "mmsi", F.unix_millis("window_start").alias("window_ms"), "n", common.near(F.col("speed_variance"), 4).alias("speed_variance")
+    )
+
+
+@query("J-01", "S-01", sql=sql("""
+SELECT p.seq, p.mmsi, coalesce(v.vessel_type, p.vessel_type) AS vessel_type, coalesce(v.flag_state, 'ID') AS flag FROM valid p LEFT JOIN vessels v ON p.mmsi = v.mmsi""", "valid", "vessels"))
+def stream_master_join(spark, sf):
+    """Stream-static join to the vessel master."""
+    session = job.stream_session(spark)
+    rows = enrich.with_master(valid_stream(session, sf), lenses.vessels(session, sf))
+    return collected(rows.select("seq", "mmsi", "vessel_type", "flag"), spark, "master").drop("batch_id")
