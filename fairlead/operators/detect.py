@@ -217,23 +217,25 @@ def course_deviation(with_movement: DataFrame, degrees: float = 90.0) -> DataFra
     return with_movement.withColumn("turn", turned).where(F.col("turn") > degrees)
 
 
-def signal_lost(with_movement: DataFrame, as_of: Column, gap_minutes: float = 15.0) -> DataFrame:
+def signal_lost(
+    positions: DataFrame, as_of: Column, gap_minutes: float = 15.0, seconds: int = sequence.SLICE_SECONDS
+) -> DataFrame:
     """Silence longer than the gap: between two fixes, or from the last fix up to ``as_of``.
 
     One row per silence with its start (``lost_at``) and its end (``regained_at``, NULL while it lasts).
     """
     limit = int(gap_minutes * 60_000)
-    between = with_movement.where(F.col("time_since_last_update") > limit).select(
-        "mmsi",
-        F.col("prev.ts").alias("lost_at"),
-        F.col("ts").alias("regained_at"),
-        F.col("time_since_last_update").alias("silence_ms"),
+    fixes = positions.select("mmsi", "ts", "seq")
+    silence = F.unix_millis("ts") - F.unix_millis("prev.ts")
+    between = (
+        sequence.with_previous(fixes, ["ts"], seconds=seconds)
+        .where(silence > limit)
+        .select("mmsi", F.col("prev.ts").alias("lost_at"), F.col("ts").alias("regained_at"), silence.alias("silence_ms"))
     )
-    silence = F.unix_millis(as_of) - F.unix_millis("lost_at")
     ongoing = (
-        with_movement.groupBy("mmsi")
+        fixes.groupBy("mmsi")
         .agg(F.max("ts").alias("lost_at"))
-        .withColumn("silence_ms", silence)
+        .withColumn("silence_ms", F.unix_millis(as_of) - F.unix_millis("lost_at"))
         .where(F.col("silence_ms") > limit)
         .select("mmsi", "lost_at", F.lit(None).cast("timestamp").alias("regained_at"), "silence_ms")
     )

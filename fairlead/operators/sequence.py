@@ -31,91 +31,133 @@ def _across(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(SLICE)
 
 
-def _carry(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.join(summary, [*keys, SLICE], "left")
-
-
-def with_previous(
+def with_context(
     df: DataFrame,
-    fields: Sequence[str],
-    out: str = "prev",
     *,
+    previous: dict[str, Sequence[str]] | None = None,
+    following: dict[str, Sequence[str]] | None = None,
+    number: str | None = None,
     keys: Sequence[str] = ("mmsi",),
     ts: str = "ts",
     seq: str = "seq",
     seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
+    """Neighbours and running numbers in one go.
+
+    ``previous`` and ``following`` map an output name to the fields of the neighbouring row that its struct
+    holds (NULL at the ends); ``number`` names a running number from 1. All of them share one summary per slice
+    and one join.
+    """
+    keys, place = list(keys), F.struct(ts, seq)
+    rows = with_slice(df, seconds, ts)
+    inside, across = _inside(keys, ts, seq), _across(keys)
+    windowed, summary, carried, merged = {}, [], [], {}
+    for names, shift, pick in ((previous or {}, F.lag, F.max_by), (following or {}, F.lead, F.min_by)):
+        for out, fields in names.items():
+            windowed[out] = shift(F.struct(*fields)).over(inside)
+            summary.append(pick(F.struct(*fields), place).alias(f"_c_{out}"))
+            carried.append(shift(f"_c_{out}").over(across).alias(f"_c_{out}"))
+            merged[out] = F.coalesce(out, f"_c_{out}")
+    if number:
+        windowed[number] = F.row_number().over(inside).cast("bigint")
+        summary.append(F.count(F.lit(1)).alias(f"_c_{number}"))
+        before = F.sum(f"_c_{number}").over(across.rowsBetween(Window.unboundedPreceding, -1))
+        carried.append(before.alias(f"_c_{number}"))
+        merged[number] = F.col(number) + F.coalesce(f"_c_{number}", F.lit(0))
+    slices = rows.groupBy(*keys, SLICE).agg(*summary).select(*keys, SLICE, *carried)
+    joined = rows.withColumns(windowed).join(slices, [*keys, SLICE], "left")
+    return joined.withColumns(merged).drop(*[f"_c_{out}" for out in merged])
+
+
+def with_previous(df: DataFrame, fields: Sequence[str], out: str = "prev", **options) -> DataFrame:
     """``out`` = struct of ``fields`` of the preceding row of the key, NULL on the first row."""
-    return _neighbour(df, fields, out, keys, ts, seq, seconds, ahead=False)
+    return with_context(df, previous={out: fields}, **options)
 
 
-def with_following(
-    df: DataFrame,
-    fields: Sequence[str],
-    out: str = "next",
-    *,
-    keys: Sequence[str] = ("mmsi",),
-    ts: str = "ts",
-    seq: str = "seq",
-    seconds: int = SLICE_SECONDS,
-) -> DataFrame:
+def with_following(df: DataFrame, fields: Sequence[str], out: str = "next", **options) -> DataFrame:
     """``out`` = struct of ``fields`` of the succeeding row of the key, NULL on the last row."""
-    return _neighbour(df, fields, out, keys, ts, seq, seconds, ahead=True)
+    return with_context(df, following={out: fields}, **options)
 
 
-def _neighbour(df, fields, out, keys, ts, seq, seconds, ahead) -> DataFrame:
-    rows = with_slice(df, seconds, ts)
-    payload, place = F.struct(*fields), F.struct(ts, seq)
-    pick, shift = (F.min_by, F.lead) if ahead else (F.max_by, F.lag)
-    edges = rows.groupBy(*keys, SLICE).agg(pick(payload, place).alias("_edge"))
-    carried = edges.select(*keys, SLICE, shift("_edge").over(_across(keys)).alias("_edge"))
-    inside = rows.withColumn(out, shift(payload).over(_inside(keys, ts, seq)))
-    joined = _carry(inside, carried.where(F.col("_edge").isNotNull()), keys)
-    return joined.withColumn(out, F.coalesce(out, "_edge")).drop("_edge")
+def with_row_number(df: DataFrame, out: str = "row_number", **options) -> DataFrame:
+    """1, 2, 3, ... in time order per key."""
+    return with_context(df, number=out, **options)
 
 
-def with_row_number(
+def with_runs(
     df: DataFrame,
-    out: str = "row_number",
+    fields: Sequence[str],
+    gap_ms: int,
     *,
     keys: Sequence[str] = ("mmsi",),
     ts: str = "ts",
     seq: str = "seq",
     seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
-    """1, 2, 3, ... in time order per key."""
-    rows = with_slice(df, seconds, ts)
-    counts = rows.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
-    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, SLICE, F.sum("_n").over(before).alias("_before"))
-    inside = rows.withColumn(out, F.row_number().over(_inside(keys, ts, seq)).cast("bigint"))
-    joined = _carry(inside, offsets, keys)
-    return joined.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_before")
+    """Runs of rows of a key without a gap longer than ``gap_ms``.
 
+    Adds ``prev`` (struct of ``fields`` and the time, of the preceding row of the key), ``run_start`` (time of
+    the first row of the run), ``row_number`` within the run, and ``run_ends`` on its last row. Each slice
+    reports its first and last row, its size, and where its last own run starts; one window over these gives
+    every slice the run it continues.
+    """
+    keys, place = list(keys), F.struct(ts, seq)
+    inside, across = _inside(keys, ts, seq), _across(keys)
+    upto, before = (
+        inside.rowsBetween(Window.unboundedPreceding, Window.currentRow),
+        across.rowsBetween(Window.unboundedPreceding, -1),
+    )
 
-def with_latest_mark(
-    df: DataFrame,
-    mark: Column,
-    out: str,
-    *,
-    keys: Sequence[str] = ("mmsi",),
-    ts: str = "ts",
-    seq: str = "seq",
-    seconds: int = SLICE_SECONDS,
-) -> DataFrame:
-    """``out`` = the latest non-NULL ``mark`` up to and including the row."""
-    rows = with_slice(df, seconds, ts).withColumn(out, mark)
-    marks = (
-        rows.where(F.col(out).isNotNull())
-        .groupBy(*keys, SLICE)
-        .agg(F.max_by(out, F.struct(ts, seq)).alias("_mark"))
+    def far(later: Column, earlier: Column) -> Column:
+        return F.unix_millis(later) - F.unix_millis(earlier) > gap_ms
+
+    payload = F.struct(*[f for f in fields if f != ts], ts)
+    rows = with_slice(df, seconds, ts).withColumns(
+        {
+            "prev": F.lag(payload).over(inside),
+            "_next": F.lead(ts).over(inside),
+            "_n": F.row_number().over(inside).cast("bigint"),
+        }
+    )
+    own_start = F.when(far(F.col(ts), F.col(f"prev.{ts}")), F.struct(F.col(ts).alias("at"), F.col("_n").alias("n")))
+    rows = rows.withColumn("_own", F.last(own_start, ignorenulls=True).over(upto))
+    slices = (
+        rows.groupBy(*keys, SLICE)
+        .agg(
+            F.min(ts).alias("_first"),
+            F.max_by(payload, place).alias("_last"),
+            F.max_by("_own", place).alias("_end"),
+            F.count(F.lit(1)).alias("_size"),
+        )
+        .withColumns(
+            {
+                "_before": F.lag("_last").over(across),
+                "_after": F.lead("_first").over(across),
+                "_offset": F.coalesce(F.sum("_size").over(before), F.lit(0)),
+            }
+        )
+        .withColumn("_opens", F.col("_before").isNull() | far(F.col("_first"), F.col(f"_before.{ts}")))
     )
-    slices = rows.select(*keys, SLICE).distinct().join(marks, [*keys, SLICE], "left")
-    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-    carried = slices.select(*keys, SLICE, F.last("_mark", ignorenulls=True).over(before).alias("_mark"))
-    upto = _inside(keys, ts, seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = rows.withColumn(out, F.last(out, ignorenulls=True).over(upto))
-    return _carry(inside, carried, keys).withColumn(out, F.coalesce(out, "_mark")).drop("_mark")
+    opened = F.struct(F.col("_first").alias("at"), F.col("_offset").alias("index"))
+    left_open = F.when(
+        F.col("_end").isNotNull(),
+        F.struct(F.col("_end.at").alias("at"), (F.col("_offset") + F.col("_end.n") - 1).alias("index")),
+    ).when(F.col("_opens"), opened)
+    slices = slices.withColumn("_run", F.when(F.col("_opens"), opened).otherwise(
+        F.last(left_open, ignorenulls=True).over(before)
+    )).select(*keys, SLICE, "_before", "_after", "_offset", "_run")
+    joined = rows.join(slices, [*keys, SLICE], "left")
+    own = F.struct(F.col("_own.at").alias("at"), (F.col("_offset") + F.col("_own.n") - 1).alias("index"))
+    joined = joined.withColumn("_run", F.when(F.col("_own").isNotNull(), own).otherwise(F.col("_run")))
+    follower = F.coalesce("_next", "_after")
+    return joined.withColumns(
+        {
+            "prev": F.coalesce("prev", "_before"),
+            "run_start": F.col("_run.at"),
+            "row_number": F.col("_offset") + F.col("_n") - F.col("_run.index"),
+            "run_ends": follower.isNull() | far(follower, F.col(ts)),
+        }
+    ).drop("_next", "_n", "_own", "_before", "_after", "_offset", "_run")
 
 
 def with_trailing(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairlead.functions import geo
 from fairlead.operators import enrich, sequence
 
 GAP_MINUTES = 15.0
@@ -17,16 +18,17 @@ SIMPLIFY_BLOCK = 10_000
 def with_track(
     positions: DataFrame, gap_minutes: float = GAP_MINUTES, seconds: int = sequence.SLICE_SECONDS
 ) -> DataFrame:
-    """Adds ``track_start`` (with the mmsi it names the track) and ``leg_nm``, the distance from the fix before.
+    """Fixes with the track they belong to.
 
-    A gap strictly longer than ``gap_minutes`` starts a new track.
+    Adds ``track_start`` (with the mmsi it names the track), ``row_number`` within the track, ``track_ends`` on
+    its last fix, ``prev``, and ``leg_nm``, the distance from the fix before (0 on the first). A gap strictly
+    longer than ``gap_minutes`` starts a new track.
     """
-    moved = enrich.with_movement(positions, seconds)
-    starts = F.col("prev").isNull() | (F.col("time_since_last_update") > int(gap_minutes * 60_000))
-    rows = moved.withColumn(
-        "leg_nm", F.when(starts, F.lit(0.0)).otherwise(F.col("distance_from_previous"))
+    runs = sequence.with_runs(positions, enrich.PREVIOUS_FIELDS, int(gap_minutes * 60_000), seconds=seconds)
+    leg = geo.distance_nm(F.col("prev.latitude"), F.col("prev.longitude"), F.col("latitude"), F.col("longitude"))
+    return runs.withColumnsRenamed({"run_start": "track_start", "run_ends": "track_ends"}).withColumn(
+        "leg_nm", F.when(F.col("row_number") > 1, leg).otherwise(F.lit(0.0))
     )
-    return sequence.with_latest_mark(rows, F.when(starts, F.col("ts")), "track_start", seconds=seconds)
 
 
 def track_summary(tracked: DataFrame) -> DataFrame:
@@ -40,15 +42,10 @@ def track_summary(tracked: DataFrame) -> DataFrame:
     )
 
 
-def with_track_row(tracked: DataFrame, seconds: int = sequence.SLICE_SECONDS) -> DataFrame:
-    """``row_number`` of the fix within its track."""
-    return sequence.with_row_number(tracked, keys=TRACK_KEYS, seconds=seconds)
-
-
-def smoothed(numbered: DataFrame, each_side: int = 2, block: int = 10_000) -> DataFrame:
+def smoothed(tracked: DataFrame, each_side: int = 2, block: int = 10_000) -> DataFrame:
     """Moving average of latitude and longitude over the neighbouring fixes of the same track."""
     return sequence.with_surrounding(
-        numbered,
+        tracked,
         {"smooth_latitude": F.avg("latitude"), "smooth_longitude": F.avg("longitude")},
         each_side,
         keys=TRACK_KEYS,
@@ -88,11 +85,9 @@ def gap_filled(
     )
 
 
-def decimated(numbered: DataFrame, every: int = 10) -> DataFrame:
+def decimated(tracked: DataFrame, every: int = 10) -> DataFrame:
     """Every tenth fix of a track as trail marks, counted from the first; the newest fix is left out."""
-    last = numbered.groupBy(*TRACK_KEYS).agg(F.max("row_number").alias("_last"))
-    marks = numbered.where((F.col("row_number") - 1) % every == 0)
-    return marks.join(last, list(TRACK_KEYS)).where(F.col("row_number") < F.col("_last")).drop("_last")
+    return tracked.where(((F.col("row_number") - 1) % every == 0) & ~F.col("track_ends"))
 
 
 def keep_within(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
@@ -117,7 +112,13 @@ def keep_within(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
-def simplified(numbered: DataFrame, tolerance_nm: float = 0.1, block: int = SIMPLIFY_BLOCK) -> DataFrame:
+def keep_on_sphere(lat: np.ndarray, lon: np.ndarray, tolerance_nm: float) -> np.ndarray:
+    """The same in nautical miles on a local plane; works across the date line."""
+    east = np.unwrap(lon, period=360.0) * 60.0 * np.cos(np.radians(lat.mean()))
+    return keep_within(east, lat * 60.0, tolerance_nm)
+
+
+def simplified(tracked: DataFrame, tolerance_nm: float = 0.1, block: int = SIMPLIFY_BLOCK) -> DataFrame:
     """Points of each track that a Douglas-Peucker pass with the tolerance keeps.
 
     A track is worked on in runs of ``block`` points that share their end points, so no task ever holds more
@@ -125,22 +126,25 @@ def simplified(numbered: DataFrame, tolerance_nm: float = 0.1, block: int = SIMP
     tracks of up to ``block`` points get the plain result.
     """
     step = block - 1
-    at = F.col("row_number") - 1
     home = F.expr(f"(row_number - 1) div {step}")
-    shared = (at % step == 0) & (at > 0)
-    runs = numbered.select(*TRACK_KEYS, "row_number", "seq", "ts", "latitude", "longitude").withColumn(
+    shared = ((F.col("row_number") - 1) % step == 0) & (F.col("row_number") > 1)
+    fields = ("row_number", "seq", "ts", "latitude", "longitude")
+    runs = tracked.select(*TRACK_KEYS, *fields).withColumn(
         "_run", F.explode(F.when(shared, F.array(home - 1, home)).otherwise(F.array(home)))
     )
 
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_number")
-        lat, lon = pdf["latitude"].to_numpy(), pdf["longitude"].to_numpy()
-        east = np.unwrap(lon, period=360.0) * 60.0 * np.cos(np.radians(lat.mean()))
-        return pdf[keep_within(east, lat * 60.0, tolerance_nm)]
+    @F.pandas_udf("array<int>")
+    def kept(latitudes: pd.Series, longitudes: pd.Series) -> pd.Series:
+        masks = [keep_on_sphere(np.asarray(a), np.asarray(o), tolerance_nm) for a, o in zip(latitudes, longitudes)]
+        return pd.Series([np.flatnonzero(m).astype("int32") for m in masks])
 
-    kept = runs.groupBy(*TRACK_KEYS, "_run").applyInPandas(thin, runs.schema)
+    lists = runs.groupBy(*TRACK_KEYS, "_run").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_points"))
+    picked = F.transform(
+        kept(F.col("_points.latitude"), F.col("_points.longitude")), lambda at: F.get("_points", at)
+    )
+    points = lists.select(*TRACK_KEYS, "_run", F.explode(picked).alias("_p")).select(*TRACK_KEYS, "_run", "_p.*")
     # A shared end point comes out of both its runs; the home run speaks for it.
-    return kept.where(F.col("_run") == home).drop("_run")
+    return points.where(F.col("_run") == home).drop("_run")
 
 
 def track_lines(tracked: DataFrame, seconds: int = sequence.SLICE_SECONDS) -> DataFrame:
@@ -148,14 +152,11 @@ def track_lines(tracked: DataFrame, seconds: int = sequence.SLICE_SECONDS) -> Da
 
     A track is exported piecewise, so that a long one never has to fit into one row.
     """
-    rows = sequence.with_previous(tracked, ["latitude", "longitude"], "_before", keys=TRACK_KEYS, seconds=seconds)
-    inside = Window.partitionBy(*TRACK_KEYS, sequence.SLICE).orderBy("ts", "seq")
-    rows = rows.withColumn("_first", F.row_number().over(inside) == 1)
-    point = F.array("longitude", "latitude")
-    bridge = F.array(F.col("_before.longitude"), F.col("_before.latitude"))
+    rows = sequence.with_slice(tracked, seconds)
+    bridge = F.when(F.col("row_number") > 1, F.array(F.col("prev.longitude"), F.col("prev.latitude")))
     pieces = rows.groupBy(*TRACK_KEYS, sequence.SLICE).agg(
-        F.sort_array(F.collect_list(F.struct("ts", "seq", point.alias("p")))).alias("_points"),
-        F.max(F.when(F.col("_first") & F.col("_before").isNotNull(), bridge)).alias("_bridge"),
+        F.sort_array(F.collect_list(F.struct("row_number", F.array("longitude", "latitude").alias("p")))).alias("_points"),
+        F.min_by(bridge, F.col("row_number")).alias("_bridge"),
     )
     coordinates = F.concat(
         F.when(F.col("_bridge").isNotNull(), F.array("_bridge")).otherwise(F.array().cast("array<array<double>>")),

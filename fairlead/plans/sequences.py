@@ -96,7 +96,7 @@ UNION ALL
 SELECT mmsi, epoch_ms(max(ts)), epoch_ms((SELECT max(ts) FROM positions)) - epoch_ms(max(ts)), false FROM valid GROUP BY mmsi
 HAVING epoch_ms((SELECT max(ts) FROM positions)) - epoch_ms(max(ts)) > 300000""", "enriched"))
 def signal_lost(spark, sf):
-    rows = detect.signal_lost(common.moved(spark, sf), common.as_of(spark, sf), SILENCE_GAP)
+    rows = detect.signal_lost(common.valid(spark, sf), common.as_of(spark, sf), SILENCE_GAP, SLICE)
     return rows.select(
         "mmsi", F.unix_millis("lost_at").alias("lost_ms"), "silence_ms", F.col("regained_at").isNotNull().alias("regained")
     )
@@ -114,10 +114,6 @@ def _tracked(spark, sf):
     return tracks.with_track(common.valid(spark, sf), TRACK_GAP, SLICE)
 
 
-def _numbered(spark, sf):
-    return tracks.with_track_row(_tracked(spark, sf), SLICE)
-
-
 @query("T-14", sql=sql("""
 SELECT mmsi, epoch_ms(track_start) AS track_start_ms, epoch_ms(max(ts)) AS track_end_ms, count(*) AS points, round(sum(leg), 5) AS distance_nm,
   round(avg(speed), 6) AS avg_speed, max(speed) AS max_speed FROM tracked GROUP BY mmsi, track_start""", "enriched", extra=TRACKED))
@@ -133,7 +129,7 @@ def tracks_summary(spark, sf):
 SELECT seq, mmsi, round(avg(latitude) OVER w, 6) AS smooth_latitude, round(avg(longitude) OVER w, 6) AS smooth_longitude FROM numbered
 WINDOW w AS (PARTITION BY mmsi, track_start ORDER BY row_number ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""", "enriched", extra=NUMBERED))
 def track_smoothed(spark, sf):
-    rows = tracks.smoothed(_numbered(spark, sf), 2, block=16)
+    rows = tracks.smoothed(_tracked(spark, sf), 2, block=16)
     return rows.select("seq", "mmsi", *common.rounded("smooth_latitude", "smooth_longitude"))
 
 
@@ -155,7 +151,7 @@ def track_gapfill(spark, sf):
 @query("T-17")
 def track_simplified(spark, sf):
     """Douglas-Peucker is checked against brute force on fixtures."""
-    rows = tracks.simplified(_numbered(spark, sf), 0.5)
+    rows = tracks.simplified(_tracked(spark, sf), 0.5)
     return rows.select("mmsi", *common.millis("track_start"), "row_number", "seq")
 
 
@@ -163,7 +159,7 @@ def track_simplified(spark, sf):
 SELECT seq, mmsi, row_number FROM (SELECT *, max(row_number) OVER (PARTITION BY mmsi, track_start) AS last_row FROM numbered)
 WHERE (row_number - 1) % 10 = 0 AND row_number < last_row""", "enriched", extra=NUMBERED))
 def track_decimated(spark, sf):
-    return tracks.decimated(_numbered(spark, sf)).select("seq", "mmsi", "row_number")
+    return tracks.decimated(_tracked(spark, sf)).select("seq", "mmsi", "row_number")
 
 
 @query("K-13", sql=sql(f"""
@@ -187,8 +183,7 @@ SELECT seq, mmsi, row_number() OVER (PARTITION BY mmsi ORDER BY ts, seq) AS row_
 def fix_sequence(spark, sf):
     """Running number and the time of the following fix over thirty days, in slices of a day."""
     rows = common.valid_long(spark, sf).select("seq", "mmsi", "ts")
-    numbered = sequence.with_row_number(rows, seconds=86_400)
-    ahead = sequence.with_following(numbered, ["ts"], seconds=86_400)
+    ahead = sequence.with_context(rows, following={"next": ["ts"]}, number="row_number", seconds=86_400)
     return ahead.select("seq", "mmsi", "row_number", F.unix_millis("next.ts").alias("next_ms"))
 
 
