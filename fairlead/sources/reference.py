@@ -72,7 +72,7 @@ FENCE_SCHEMA = (
 
 
 def ring(*points: tuple[float, float]) -> list[dict[str, float]]:
-    return [{"lon": x, "lat": y} for x, y in points]
+    return [{"lon": float(x), "lat": float(y)} for x, y in points]
 
 
 def box_ring(b: Box) -> list[dict[str, float]]:
