@@ -173,13 +173,13 @@ def speed_change(
     positions: DataFrame, change_kn: float = 15.0, minutes: int = 5, seconds: int = sequence.SLICE_SECONDS
 ) -> DataFrame:
     """Positions whose trailing window spans more than ``change_kn`` between slowest and fastest."""
-    rows = sequence.with_trailing(
+    return sequence.with_trailing(
         positions,
-        {"window_min": F.min("speed"), "window_max": F.max("speed")},
+        {"window_min": ("min", "speed"), "window_max": ("max", "speed")},
         minutes * 60,
+        keep=F.col("window_max") - F.col("window_min") > change_kn,
         seconds=max(seconds, minutes * 60),
     )
-    return rows.where(F.col("window_max") - F.col("window_min") > change_kn)
 
 
 # Codes at rest or without command: at anchor, not under command, moored, aground.
@@ -218,7 +218,7 @@ def course_deviation(with_movement: DataFrame, degrees: float = 90.0) -> DataFra
 
 
 def signal_lost(
-    positions: DataFrame, as_of: Column, gap_minutes: float = 15.0, seconds: int = sequence.SLICE_SECONDS
+    positions: DataFrame, as_of: Column, gap_minutes: float = 15.0, seconds: float = sequence.SLICE_SECONDS
 ) -> DataFrame:
     """Silence longer than the gap: between two fixes, or from the last fix up to ``as_of``.
 

@@ -17,7 +17,7 @@ DEFAULT_DESTINATION = "Unknown"
 MASTER_COLUMNS = ("imo_number", "callsign", "vessel_type", "flag_state", "length", "width")
 
 
-def with_movement(positions: DataFrame, seconds: int = sequence.SLICE_SECONDS) -> DataFrame:
+def with_movement(positions: DataFrame, seconds: float = sequence.SLICE_SECONDS) -> DataFrame:
     """``prev`` struct, distance in nm and elapsed ms from the previous fix; all NULL on the first fix."""
     rows = sequence.with_previous(positions, PREVIOUS_FIELDS, seconds=seconds)
     return rows.withColumns(
@@ -34,7 +34,7 @@ def with_inferred_type(positions: DataFrame) -> DataFrame:
     return positions.withColumn("vessel_type", vessel.type_from_name(F.col("vessel_name")))
 
 
-def enriched(positions: DataFrame, seconds: int = sequence.SLICE_SECONDS) -> DataFrame:
+def enriched(positions: DataFrame, seconds: float = sequence.SLICE_SECONDS) -> DataFrame:
     """Enriched position rows without master data: type by name, default flag and destination."""
     return with_inferred_type(with_movement(positions, seconds)).withColumns(
         {

@@ -14,13 +14,31 @@ from pyspark.sql import functions as F
 
 SLICE = "_slice"
 SLICE_SECONDS = 3600
+ROWS_PER_SLICE = 500_000
 
 
-def with_slice(df: DataFrame, seconds: int = SLICE_SECONDS, ts: str = "ts") -> DataFrame:
+def slice_seconds(
+    df: DataFrame,
+    *,
+    keys: Sequence[str] = ("mmsi",),
+    ts: str = "ts",
+    rows: int = ROWS_PER_SLICE,
+    longest: float = SLICE_SECONDS,
+) -> float:
+    """Slice length at which the busiest key has at most about ``rows`` rows in a slice.
+
+    One pass over the key and time columns, aggregated before the shuffle; a single number comes back.
+    """
+    per_minute = df.groupBy(*keys, F.date_trunc("minute", ts).alias("_minute")).agg(F.count(F.lit(1)).alias("_n"))
+    busiest = per_minute.agg(F.max("_n")).first()[0] or 1
+    return max(0.001, min(float(longest), rows * 60.0 / busiest))
+
+
+def with_slice(df: DataFrame, seconds: float = SLICE_SECONDS, ts: str = "ts") -> DataFrame:
     """Add the time slice; an existing one is kept so that chained operators share a partitioning."""
     if SLICE in df.columns:
         return df
-    return df.withColumn(SLICE, F.expr(f"unix_millis({ts}) div {int(seconds) * 1000}"))
+    return df.withColumn(SLICE, F.expr(f"unix_millis({ts}) div {max(1, int(seconds * 1000))}"))
 
 
 def _inside(keys: Sequence[str], ts: str, seq: str):
@@ -40,7 +58,7 @@ def with_context(
     keys: Sequence[str] = ("mmsi",),
     ts: str = "ts",
     seq: str = "seq",
-    seconds: int = SLICE_SECONDS,
+    seconds: float = SLICE_SECONDS,
 ) -> DataFrame:
     """Neighbours and running numbers in one go.
 
@@ -92,7 +110,7 @@ def with_runs(
     keys: Sequence[str] = ("mmsi",),
     ts: str = "ts",
     seq: str = "seq",
-    seconds: int = SLICE_SECONDS,
+    seconds: float = SLICE_SECONDS,
 ) -> DataFrame:
     """Runs of rows of a key without a gap longer than ``gap_ms``.
 
@@ -160,38 +178,52 @@ def with_runs(
     ).drop("_next", "_n", "_own", "_before", "_after", "_offset", "_run")
 
 
-def with_trailing(
+# How partial results of the same aggregate are put together.
+MERGE = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.sum}
+PARTIAL = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
+
+
+def trailing(
     df: DataFrame,
-    aggregates: dict[str, Column],
+    aggregates: dict[str, tuple[str, str]],
     lookback_seconds: int,
     *,
     keys: Sequence[str] = ("mmsi",),
     ts: str = "ts",
     seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
-    """Aggregates over the rows of the last ``lookback_seconds`` (whole seconds, both ends included).
+    """Aggregates over the last ``lookback_seconds`` (whole seconds, both ends included), per key and second.
 
-    A slice additionally gets copies of the rows that lie within the lookback before its start, so every
-    frame is complete inside one slice. ``seconds`` must be at least the lookback.
+    ``aggregates`` maps a name to (min | max | sum | count, column). Rows are first combined per second, map-side,
+    so that the window sees at most one row per second of a key. Each slice also gets the seconds that lie within
+    the lookback before its start; ``seconds`` must be at least the lookback.
     """
     if seconds < lookback_seconds:
         raise ValueError("a slice must be at least as long as the lookback")
-    clock = F.unix_seconds(ts)
-    home = F.expr(f"unix_seconds({ts}) div {int(seconds)}")
-    reach = F.expr(f"(unix_seconds({ts}) + {int(lookback_seconds)}) div {int(seconds)}")
-    rows = (
-        df.drop(SLICE)
-        .withColumn("_home", home)
-        .withColumn("_clock", clock)
-        .withColumn(SLICE, F.explode(F.sequence(home, reach)))
+    per_second = df.groupBy(*keys, F.unix_seconds(ts).alias("second")).agg(
+        *[PARTIAL[kind](column).alias(name) for name, (kind, column) in aggregates.items()]
     )
+    home = F.expr(f"second div {int(seconds)}")
+    reach = F.expr(f"(second + {int(lookback_seconds)}) div {int(seconds)}")
+    rows = per_second.withColumn("_home", home).withColumn(SLICE, F.explode(F.sequence(home, reach)))
     frame = (
         Window.partitionBy(*keys, SLICE)
-        .orderBy("_clock")
+        .orderBy("second")
         .rangeBetween(-lookback_seconds, Window.currentRow)
     )
-    ranked = rows.withColumns({name: agg.over(frame) for name, agg in aggregates.items()})
-    return ranked.where(F.col(SLICE) == F.col("_home")).drop("_home", "_clock", SLICE)
+    ranked = rows.withColumns({name: MERGE[kind](name).over(frame) for name, (kind, _) in aggregates.items()})
+    return ranked.where(F.col(SLICE) == F.col("_home")).drop("_home", SLICE)
+
+
+def with_trailing(
+    df: DataFrame, aggregates: dict[str, tuple[str, str]], lookback_seconds: int, *, ts: str = "ts",
+    keys: Sequence[str] = ("mmsi",), keep: Column | None = None, **options,
+) -> DataFrame:
+    """The rows with their trailing aggregates; ``keep`` is a condition on these, applied before the join back."""
+    results = trailing(df, aggregates, lookback_seconds, keys=keys, ts=ts, **options)
+    if keep is not None:
+        results = results.where(keep)
+    return df.withColumn("second", F.unix_seconds(ts)).join(results, [*keys, "second"]).drop("second")
 
 
 def with_surrounding(

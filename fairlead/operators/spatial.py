@@ -9,6 +9,7 @@ from fairlead.functions import alerting, geo
 from fairlead.operators import sequence, skew
 
 CELL_DEG = 0.25
+FENCE_ROWS = 20_000
 KM_PER_DEGREE = 111.0
 
 
@@ -21,8 +22,8 @@ def with_cell(rows: DataFrame, size: float = CELL_DEG) -> DataFrame:
     )
 
 
-def fence_cells(fences: DataFrame, size: float = CELL_DEG) -> DataFrame:
-    """One row per grid cell that an active fence's bounding box touches, with the candidate fences of the cell."""
+def fence_rows(fences: DataFrame, size: float = CELL_DEG) -> DataFrame:
+    """One row per active fence and grid cell that its bounding box touches."""
     outline = F.flatten("rings")
     boxed = fences.where("is_active").select(
         F.struct(
@@ -41,27 +42,39 @@ def fence_cells(fences: DataFrame, size: float = CELL_DEG) -> DataFrame:
         )
 
     spread = boxed.withColumn("_cx", F.explode(cells("west", "east")))
-    spread = spread.withColumn("_cy", F.explode(cells("south", "north")))
-    return spread.groupBy("_cx", "_cy").agg(F.collect_list("fence").alias("_fences"))
+    return spread.withColumn("_cy", F.explode(cells("south", "north")))
 
 
-def with_fences_inside(positions: DataFrame, fences: DataFrame, size: float = CELL_DEG) -> DataFrame:
+def holds(fence: Column) -> Column:
+    """Whether a fence struct holds the position of the row; the bounding box is looked at first."""
+    lat, lon = F.col("latitude"), F.col("longitude")
+    boxed = lat.between(fence["south"], fence["north"]) & lon.between(fence["west"], fence["east"])
+    return F.when(boxed, geo.inside_edges(lat, lon, fence["edges"])).otherwise(F.lit(False))
+
+
+def with_fences_inside(
+    positions: DataFrame, fences: DataFrame, size: float = CELL_DEG, max_rows: int = FENCE_ROWS
+) -> DataFrame:
     """``inside`` = sorted ids of the active fences that hold the position.
 
-    Positions meet only the fences of their grid cell, and stay one row each.
+    Positions meet only the fences of their grid cell. While the (fence, cell) rows are few enough, the fences
+    of a cell travel as one array and positions stay one row each. Beyond that, positions and fences are joined
+    row by row, with busy cells salted, and the ids are put together per position.
     """
-    lat, lon = F.col("latitude"), F.col("longitude")
-    located = skew.join_dimension(
-        with_cell(positions, size), fence_cells(fences, size), ["_cx", "_cy"], spread=[F.col("mmsi"), F.col("seq")]
+    rows, none = fence_rows(fences, size), F.array().cast("array<int>")
+    cell, spread = ["_cx", "_cy"], [F.col("mmsi"), F.col("seq")]
+    placed = with_cell(positions, size)
+    if positions.isStreaming or skew.fits_broadcast(rows, max_rows):
+        lists = rows.groupBy(*cell).agg(F.collect_list("fence").alias("_fences"))
+        located = skew.join_dimension(placed, lists, cell, spread)
+        ids = F.array_sort(F.transform(F.filter("_fences", holds), lambda f: f["id"]))
+        return located.withColumn("inside", F.coalesce(ids, none)).drop(*cell, "_fences")
+    hits = skew.salted_join(placed.select("mmsi", "seq", "latitude", "longitude", *cell), rows, cell, spread, "inner")
+    ids = hits.where(holds(F.col("fence"))).groupBy("mmsi", "seq").agg(
+        F.array_sort(F.collect_set("fence.id")).alias("inside")
     )
-
-    def holds(f: Column) -> Column:
-        boxed = lat.between(f["south"], f["north"]) & lon.between(f["west"], f["east"])
-        return F.when(boxed, geo.inside_edges(lat, lon, f["edges"])).otherwise(F.lit(False))
-
-    hits = F.transform(F.filter("_fences", holds), lambda f: f["id"])
-    return located.withColumn("inside", F.coalesce(F.array_sort(hits), F.array().cast("array<int>"))).drop(
-        "_cx", "_cy", "_fences"
+    return positions.join(ids, ["mmsi", "seq"], "left").withColumn("inside", F.coalesce("inside", none)).select(
+        *positions.columns, "inside"
     )
 
 
@@ -76,7 +89,7 @@ def fence_membership(positions: DataFrame, fences: DataFrame) -> DataFrame:
 
 
 def fence_events(
-    positions: DataFrame, fences: DataFrame, seconds: int = sequence.SLICE_SECONDS
+    positions: DataFrame, fences: DataFrame, seconds: float = sequence.SLICE_SECONDS
 ) -> DataFrame:
     """ENTRY / EXIT whenever the set of fences around a vessel changes; one state per (vessel, fence)."""
     rows = sequence.with_previous(with_fences_inside(positions, fences), ["inside"], seconds=seconds)

@@ -162,7 +162,7 @@ def live_values(rows: DataFrame, keys: Sequence[str], as_of: Column, seconds: in
 
 
 def live_members(
-    rows: DataFrame, key: str, member: str, as_of: Column, seconds: int, slice_seconds: int = sequence.SLICE_SECONDS
+    rows: DataFrame, key: str, member: str, as_of: Column, seconds: int, slice_seconds: float = sequence.SLICE_SECONDS
 ) -> DataFrame:
     """Members of the id set of each key, where every addition renews the life of the whole set.
 

@@ -119,7 +119,7 @@ def throttled(
     interval_ms: int = INTERVAL_MS,
     order: Sequence[str] = ("seq",),
     ts: str = "ts",
-    seconds: int = SLICE_SECONDS,
+    seconds: float = SLICE_SECONDS,
     fan_out: int = FAN_OUT,
     levels: int = LEVELS,
 ) -> DataFrame:

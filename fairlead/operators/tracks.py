@@ -13,10 +13,11 @@ from fairlead.operators import enrich, sequence
 GAP_MINUTES = 15.0
 TRACK_KEYS = ("mmsi", "track_start")
 SIMPLIFY_BLOCK = 10_000
+LINE_BLOCK = 10_000
 
 
 def with_track(
-    positions: DataFrame, gap_minutes: float = GAP_MINUTES, seconds: int = sequence.SLICE_SECONDS
+    positions: DataFrame, gap_minutes: float = GAP_MINUTES, seconds: float = sequence.SLICE_SECONDS
 ) -> DataFrame:
     """Fixes with the track they belong to.
 
@@ -57,7 +58,7 @@ def gap_filled(
     positions: DataFrame,
     step_seconds: int = 60,
     max_gap_minutes: float = 5.0,
-    seconds: int = sequence.SLICE_SECONDS,
+    seconds: float = sequence.SLICE_SECONDS,
 ) -> DataFrame:
     """Fixes plus linearly interpolated points every step inside gaps shorter than ``max_gap_minutes``."""
     step = int(step_seconds) * 1000
@@ -147,16 +148,19 @@ def simplified(tracked: DataFrame, tolerance_nm: float = 0.1, block: int = SIMPL
     return points.where(F.col("_run") == home).drop("_run")
 
 
-def track_lines(tracked: DataFrame, seconds: int = sequence.SLICE_SECONDS) -> DataFrame:
-    """GeoJSON LineString features, one per track and time slice; consecutive slices of a track share a point.
+def track_lines(tracked: DataFrame, block: int = LINE_BLOCK) -> DataFrame:
+    """GeoJSON LineString features, one per track and ``block`` points; consecutive pieces share a point.
 
     A track is exported piecewise, so that a long one never has to fit into one row.
     """
-    rows = sequence.with_slice(tracked, seconds)
     bridge = F.when(F.col("row_number") > 1, F.array(F.col("prev.longitude"), F.col("prev.latitude")))
-    pieces = rows.groupBy(*TRACK_KEYS, sequence.SLICE).agg(
-        F.sort_array(F.collect_list(F.struct("row_number", F.array("longitude", "latitude").alias("p")))).alias("_points"),
-        F.min_by(bridge, F.col("row_number")).alias("_bridge"),
+    pieces = (
+        tracked.withColumn("piece", F.expr(f"(row_number - 1) div {block}"))
+        .groupBy(*TRACK_KEYS, "piece")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("row_number", F.array("longitude", "latitude").alias("p")))).alias("_points"),
+            F.min_by(bridge, F.col("row_number")).alias("_bridge"),
+        )
     )
     coordinates = F.concat(
         F.when(F.col("_bridge").isNotNull(), F.array("_bridge")).otherwise(F.array().cast("array<array<double>>")),
@@ -168,8 +172,7 @@ def track_lines(tracked: DataFrame, seconds: int = sequence.SLICE_SECONDS) -> Da
         F.struct("mmsi", F.unix_millis("track_start").alias("track_start")).alias("properties"),
     )
     return pieces.select(
-        *TRACK_KEYS, F.col(sequence.SLICE).alias("piece"), F.size(coordinates).alias("points"),
-        F.to_json(feature).alias("feature"),
+        *TRACK_KEYS, "piece", F.size(coordinates).alias("points"), F.to_json(feature).alias("feature"),
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from fairlead.operators import detect, enrich, proximity, reads, rules, spatial
 from fairlead.plans import common
-from fairlead.plans.common import SLICE
 from fairlead.plans.oracle import sql, top
 from fairlead.plans.registry import query
 from fairlead.plans.sequences import SILENCE_GAP
@@ -70,13 +69,13 @@ SELECT alert_type, count(*) AS n, count(DISTINCT mmsi) AS vessels FROM (
 GROUP BY alert_type""", "checks", "hits", "fences", extra=PAIRS + ",\n" + EVENTS))
 def all_alerts(spark, sf):
     """Every detector over the same positions, as one table of the common alert schema."""
-    fences = reference.fences(spark)
+    fences, seconds = reference.fences(spark), common.slice_of(spark, sf)
 
     def speed(rows):
-        return detect.speed_alert_rows(detect.speed_candidates(enrich.enriched(rows, SLICE)))
+        return detect.speed_alert_rows(detect.speed_candidates(enrich.enriched(rows, seconds)))
 
     def fence(rows):
-        return spatial.fence_alerts(spatial.fence_events(rows, fences, SLICE), fences)
+        return spatial.fence_alerts(spatial.fence_events(rows, fences, seconds), fences)
 
     def collision(rows):
         return proximity.collision_alerts(
@@ -86,7 +85,7 @@ def all_alerts(spark, sf):
     def silence(rows):
         long_gap = rules.Rule(0, "Signal Lost", "SIGNAL_LOST", "gap_minutes", ">", SILENCE_GAP)
         gap = {"gap_minutes": F.col("time_since_last_update") / 60_000.0}
-        return rules.rule_alerts(rules.rule_hits(enrich.with_movement(rows, SLICE), [long_gap], gap))
+        return rules.rule_alerts(rules.rule_hits(enrich.with_movement(rows, seconds), [long_gap], gap))
 
     both = detect.run_detectors(common.valid(spark, sf), [speed, fence, collision, silence])
     return both.groupBy("alert_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("mmsi").alias("vessels"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.operators import detect, enrich, throttle, validate
+from fairlead.operators import detect, enrich, sequence, throttle, validate
 from fairlead.plans import lenses
 
-# The dense lens is one hour long; short slices make its vessels cross several slice borders.
-SLICE = 600
+# The dense lens is one hour long; slices of at most ten minutes make its vessels cross several slice borders.
+LONGEST_SLICE = 600
 
 
 def newest(rows: DataFrame) -> Column:
@@ -29,6 +31,17 @@ def valid_long(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.with_inferred_type(_valid(lenses.positions_long(spark, sf)))
 
 
+@lru_cache(maxsize=64)
+def _slice_of(app: str, sf: str) -> float:
+    spark = SparkSession.active()
+    return sequence.slice_seconds(lenses.positions(spark, sf).select("mmsi", "ts"), longest=LONGEST_SLICE)
+
+
+def slice_of(spark: SparkSession, sf: str) -> float:
+    """Slice length that fits the busiest vessel of the dense lens; looked up once per data set."""
+    return _slice_of(spark.sparkContext.applicationId, sf)
+
+
 def _valid(rows: DataFrame) -> DataFrame:
     # The age rules have their own entry; here they would only add a pass for "now".
     reason = validate.position_reject_reason(F.lit(None).cast("timestamp"), check_age=False)
@@ -36,16 +49,16 @@ def _valid(rows: DataFrame) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.enriched(valid(spark, sf), SLICE)
+    return enrich.enriched(valid(spark, sf), slice_of(spark, sf))
 
 
 def moved(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.with_movement(valid(spark, sf), SLICE)
+    return enrich.with_movement(valid(spark, sf), slice_of(spark, sf))
 
 
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
     """The throttled speed alerts of the dense lens."""
-    passed = throttle.throttled(detect.first_check(enriched(spark, sf)), seconds=SLICE)
+    passed = throttle.throttled(detect.first_check(enriched(spark, sf)), seconds=slice_of(spark, sf))
     return detect.speed_alert_rows(passed)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from fairlead.operators import detect, sequence, tracks
 from fairlead.plans import common
-from fairlead.plans.common import SLICE
 from fairlead.plans.oracle import angle, bearing, sql
 from fairlead.plans.registry import query
 
@@ -69,7 +68,7 @@ SELECT seq, mmsi, window_min, window_max FROM (
   WINDOW w AS (PARTITION BY mmsi ORDER BY sec RANGE BETWEEN 300 PRECEDING AND CURRENT ROW))
 WHERE window_max - window_min > 15""", "valid"))
 def speed_change_5min(spark, sf):
-    rows = detect.speed_change(common.valid(spark, sf), seconds=SLICE)
+    rows = detect.speed_change(common.valid(spark, sf), seconds=common.LONGEST_SLICE)
     return rows.select("seq", "mmsi", "window_min", "window_max")
 
 
@@ -96,7 +95,7 @@ UNION ALL
 SELECT mmsi, epoch_ms(max(ts)), epoch_ms((SELECT max(ts) FROM positions)) - epoch_ms(max(ts)), false FROM valid GROUP BY mmsi
 HAVING epoch_ms((SELECT max(ts) FROM positions)) - epoch_ms(max(ts)) > 300000""", "enriched"))
 def signal_lost(spark, sf):
-    rows = detect.signal_lost(common.valid(spark, sf), common.as_of(spark, sf), SILENCE_GAP, SLICE)
+    rows = detect.signal_lost(common.valid(spark, sf), common.as_of(spark, sf), SILENCE_GAP, common.slice_of(spark, sf))
     return rows.select(
         "mmsi", F.unix_millis("lost_at").alias("lost_ms"), "silence_ms", F.col("regained_at").isNotNull().alias("regained")
     )
@@ -111,7 +110,7 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY mmsi, track_start ORDER B
 
 
 def _tracked(spark, sf):
-    return tracks.with_track(common.valid(spark, sf), TRACK_GAP, SLICE)
+    return tracks.with_track(common.valid(spark, sf), TRACK_GAP, common.slice_of(spark, sf))
 
 
 @query("T-14", sql=sql("""
@@ -141,7 +140,7 @@ FROM (SELECT *, unnest(CASE WHEN gap > 60000 AND gap < 300000 THEN range(0, (gap
   FROM (SELECT *, epoch_ms(lead(ts) OVER w) - epoch_ms(ts) AS gap, lead(latitude) OVER w AS next_lat, lead(longitude) OVER w AS next_lon
     FROM valid WINDOW w AS (PARTITION BY mmsi ORDER BY ts, seq)))""", "valid"))
 def track_gapfill(spark, sf):
-    rows = tracks.gap_filled(common.valid(spark, sf), seconds=SLICE)
+    rows = tracks.gap_filled(common.valid(spark, sf), seconds=common.slice_of(spark, sf))
     return rows.select(
         "mmsi", "seq", F.col("step").cast("bigint").alias("step"), *common.millis("ts"), "interpolated",
         *common.rounded("latitude", "longitude"),
@@ -162,14 +161,12 @@ def track_decimated(spark, sf):
     return tracks.decimated(_tracked(spark, sf)).select("seq", "mmsi", "row_number")
 
 
-@query("K-13", sql=sql(f"""
-SELECT mmsi, epoch_ms(track_start) AS track_start_ms, epoch_ms(ts) // {SLICE * 1000} AS piece,
-  count(*) + max(CASE WHEN row_number > 1 AND first_in_piece THEN 1 ELSE 0 END) AS points
-FROM (SELECT *, row_number() OVER (PARTITION BY mmsi, track_start, epoch_ms(ts) // {SLICE * 1000} ORDER BY ts, seq) = 1 AS first_in_piece FROM numbered)
-GROUP BY ALL""", "enriched", extra=NUMBERED))
+@query("K-13", sql=sql("""
+SELECT mmsi, epoch_ms(track_start) AS track_start_ms, (row_number - 1) // 16 AS piece, count(*) + CASE WHEN min(row_number) > 1 THEN 1 ELSE 0 END AS points
+FROM numbered GROUP BY mmsi, track_start, (row_number - 1) // 16""", "enriched", extra=NUMBERED))
 def track_features(spark, sf):
-    """GeoJSON lines of all tracks; the point count is read back out of the JSON text."""
-    rows = tracks.track_lines(_tracked(spark, sf), SLICE)
+    """GeoJSON lines of all tracks in pieces of 16 points; the point count is read back out of the JSON text."""
+    rows = tracks.track_lines(_tracked(spark, sf), block=16)
     line = F.from_json("feature", "geometry STRUCT<coordinates: ARRAY<ARRAY<DOUBLE>>>")
     return rows.select(
         "mmsi", *common.millis("track_start"), "piece",
@@ -181,9 +178,10 @@ def track_features(spark, sf):
 SELECT seq, mmsi, row_number() OVER (PARTITION BY mmsi ORDER BY ts, seq) AS row_number,
   epoch_ms(lead(ts) OVER (PARTITION BY mmsi ORDER BY ts, seq)) AS next_ms FROM valid_long""", "valid_long"))
 def fix_sequence(spark, sf):
-    """Running number and the time of the following fix over thirty days, in slices of a day."""
+    """Running number and the time of the following fix over thirty days, in slices of up to a day."""
     rows = common.valid_long(spark, sf).select("seq", "mmsi", "ts")
-    ahead = sequence.with_context(rows, following={"next": ["ts"]}, number="row_number", seconds=86_400)
+    seconds = sequence.slice_seconds(rows, longest=86_400)
+    ahead = sequence.with_context(rows, following={"next": ["ts"]}, number="row_number", seconds=seconds)
     return ahead.select("seq", "mmsi", "row_number", F.unix_millis("next.ts").alias("next_ms"))
 
 

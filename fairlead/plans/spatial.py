@@ -8,7 +8,6 @@ from fairlead.functions import geo
 from fairlead.operators import proximity, sequence, throttle
 from fairlead.operators import spatial as ops
 from fairlead.plans import common, lenses
-from fairlead.plans.common import SLICE
 from fairlead.plans.oracle import hav, hits_of, km, sql
 from fairlead.plans.registry import query
 from fairlead.plans.rollups import LATEST
@@ -38,7 +37,7 @@ fence_events AS (
 
 @query("T-06", "J-08", sql=sql("SELECT mmsi, seq, fence_id, event FROM fence_events", "valid", "hits", extra=EVENTS))
 def geofence_events(spark, sf):
-    rows = ops.fence_events(common.valid(spark, sf), reference.fences(spark), SLICE)
+    rows = ops.fence_events(common.valid(spark, sf), reference.fences(spark), common.slice_of(spark, sf))
     return rows.select("mmsi", "seq", "fence_id", "event")
 
 
@@ -50,7 +49,7 @@ FROM fence_events JOIN fences USING (fence_id) WHERE CASE event WHEN 'ENTRY' THE
     "valid", "hits", "fences", extra=EVENTS))
 def geofence_alerts(spark, sf):
     fences = reference.fences(spark)
-    rows = ops.fence_alerts(ops.fence_events(common.valid(spark, sf), fences, SLICE), fences)
+    rows = ops.fence_alerts(ops.fence_events(common.valid(spark, sf), fences, common.slice_of(spark, sf)), fences)
     return rows.select("mmsi", "seq", F.col("details")["fence_id"].cast("int").alias("fence_id"), "alert_type", "severity")
 
 
@@ -181,7 +180,7 @@ def collision_alerts(spark, sf):
     """At most one collision alert per pair in five minutes."""
     risks = proximity.collision_risk(_pairs(spark, sf), within_seconds=proximity.COLLISION_SECONDS)
     passed = throttle.throttled(
-        risks, ["mmsi_a", "mmsi_b"], ts="window_start", order=["tcpa_seconds"], seconds=SLICE
+        risks, ["mmsi_a", "mmsi_b"], ts="window_start", order=["tcpa_seconds"], seconds=common.LONGEST_SLICE
     )
     rows = proximity.collision_alerts(passed)
     return rows.select(

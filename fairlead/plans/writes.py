@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fairlead.operators import reads, tables, tracks
+from fairlead.operators import reads, sequence, tables, tracks
 from fairlead.plans import common, lenses
-from fairlead.plans.common import SLICE
 from fairlead.plans.oracle import sql
 from fairlead.plans.registry import query
 from fairlead.plans.sequences import TRACK_GAP
@@ -124,8 +123,9 @@ WHERE ts >= born AND epoch_ms(last_ts) + {LIFE_DAYS * 86_400_000} > epoch_ms((SE
 def live_operation_sets(spark, sf):
     """Operation ids per port, kept alive by every new one."""
     rows = lenses.port_operations(spark, sf)
+    seconds = sequence.slice_seconds(rows, keys=["port_id"], longest=90 * 86_400)
     done = tables.live_members(
-        rows, "port_id", "operation_id", common.newest(rows), LIFE_DAYS * 86_400, slice_seconds=90 * 86_400
+        rows, "port_id", "operation_id", common.newest(rows), LIFE_DAYS * 86_400, slice_seconds=seconds
     )
     return done.select("port_id", "operation_id", F.unix_millis("expires_at").alias("expires_ms"))
 
@@ -148,9 +148,9 @@ def export_selection(spark, sf):
 @query("K-13")
 def export_geojson(spark, sf):
     """Feature lines written as text and read back as JSON."""
-    tracked = tracks.with_track(common.valid(spark, sf), TRACK_GAP, SLICE)
+    tracked = tracks.with_track(common.valid(spark, sf), TRACK_GAP, common.slice_of(spark, sf))
     path = scratch_path(spark, "geojson")
-    files.export(tracks.track_lines(tracked, SLICE), path, "geojson")
+    files.export(tracks.track_lines(tracked), path, "geojson")
     feature = "type STRING, geometry STRUCT<type: STRING, coordinates: ARRAY<ARRAY<DOUBLE>>>, properties STRUCT<mmsi: BIGINT>"
     lines = spark.read.schema(feature).json(path)
     return lines.groupBy(F.col("properties.mmsi").alias("mmsi")).agg(

@@ -58,13 +58,13 @@ def test_runs(fixes, seconds, gap_ms):
 
 
 def test_trailing(fixes):
-    got = sequence.with_trailing(fixes, {"low": F.min("speed"), "n": F.count("speed")}, 300, seconds=400).select(
+    got = sequence.with_trailing(fixes, {"low": ("min", "speed"), "n": ("count", "speed")}, 300, seconds=400).select(
         "seq", "low", "n"
     )
     frame = Window.partitionBy("mmsi").orderBy(F.unix_seconds("ts")).rangeBetween(-300, 0)
     assert same(got, fixes.select("seq", F.min("speed").over(frame), F.count("speed").over(frame)))
     with pytest.raises(ValueError):
-        sequence.with_trailing(fixes, {"low": F.min("speed")}, 300, seconds=200)
+        sequence.with_trailing(fixes, {"low": ("min", "speed")}, 300, seconds=200)
 
 
 def test_surrounding(fixes):
@@ -79,3 +79,13 @@ def test_latest_and_newest(fixes):
     ranked = fixes.withColumn("rank", F.row_number().over(back))
     assert same(latest, ranked.where("rank = 1").drop("rank"))
     assert same(sequence.newest_n_per_key(fixes, 5, ["mmsi"]), ranked.where("rank <= 5"))
+
+
+def test_slices_follow_the_busiest_key(fixes):
+    assert sequence.slice_seconds(fixes, rows=10**9) == sequence.SLICE_SECONDS
+    short = sequence.slice_seconds(fixes, rows=2)
+    assert 0.001 <= short < 60
+    most = fixes.groupBy("mmsi", F.date_trunc("minute", "ts")).count().agg(F.max("count")).first()[0]
+    assert short == pytest.approx(120 / most)
+    got = sequence.with_previous(fixes, ["speed"], seconds=short).select("seq", "prev.speed")
+    assert same(got, fixes.select("seq", F.lag("speed").over(in_order())))

@@ -91,8 +91,9 @@ def test_point_in_shapes(spark):
         reference.FENCE_SCHEMA,
     )
     points = [(1.0, 1.0), (3.0, 3.0), (1.0, 3.0), (2.0, 12.0), (0.5, 12.0), (50.0, 50.0)]
-    got = spatial.with_fences_inside(positions(spark, points), fences).orderBy("mmsi").collect()
-    assert [r.inside for r in got] == [[1], [], [1], [], [2], []]
+    for bound in (1000, 0):
+        got = spatial.with_fences_inside(positions(spark, points), fences, max_rows=bound).orderBy("mmsi").collect()
+        assert [r.inside for r in got] == [[1], [], [1], [], [2], []]
 
 
 def test_entry_exit_entry(spark):
