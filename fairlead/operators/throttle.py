@@ -105,9 +105,10 @@ def _udfs(interval: int):
             out.append(walked)
         return pd.Series(out)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<bigint>")
     def passing(ms: pd.Series, release: pd.Series) -> pd.Series:
-        return pd.Series([survivors(np.asarray(m, dtype=np.int64), r, interval) for m, r in zip(ms, release)])
+        times = [np.asarray(m, dtype=np.int64) for m in ms]
+        return pd.Series([m[survivors(m, r, interval)] for m, r in zip(times, release)])
 
     return steps_of, composed, entries, passing
 
@@ -126,25 +127,18 @@ def throttled(
     """The candidates that pass; ``order`` breaks ties inside one millisecond. Same columns as the input.
 
     A slice column left by the sequence operators is reused, so throttling after them needs no further
-    exchange of the candidates. The slices are written once to the shared folder. Rows must be comparable (no map columns).
+    exchange of the candidates. Only the distinct candidate times are gathered and written to the shared folder;
+    the candidates themselves are picked by a join on their slice.
     """
     steps_of, composed, entries, passing = _udfs(interval_ms)
     keys = list(keys)
-    sliced = with_slice(candidates, seconds, ts)
-    columns = [c for c in candidates.columns if c != SLICE and c not in keys]
-    # All rows of one millisecond but the first are out in any case.
-    firsts = (
-        sliced.withColumn("_ms", F.unix_millis(ts))
-        .groupBy(*keys, SLICE, "_ms")
-        .agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_row"))
+    sliced = with_slice(candidates, seconds, ts).withColumn("_ms", F.unix_millis(ts))
+    moments = sliced.select(*keys, SLICE, "_ms").distinct().groupBy(*keys, SLICE).agg(
+        F.sort_array(F.collect_list("_ms")).alias("_times")
     )
-    slices = firsts.groupBy(*keys, SLICE).agg(
-        F.sort_array(F.collect_list(F.struct("_ms", "_row"))).alias("_rows")
-    )
-    times = F.col("_rows._ms")
-    horizon = F.get(times, F.lit(0)) + interval_ms
+    horizon = F.get("_times", F.lit(0)) + interval_ms
     # Read several times below, so it is written once instead of being worked out again for each use.
-    slices = stored_table(slices.withColumn("_steps", steps_of(times, horizon)), "throttle")
+    slices = stored_table(moments.withColumn("_steps", steps_of(F.col("_times"), horizon)), "throttle")
 
     # Up: parents[l] holds, per key and node of level l + 1, the steps of its children in time order.
     parents, level = [], slices.select(*keys, F.col(SLICE).alias("_node"), "_steps")
@@ -176,10 +170,13 @@ def throttled(
             *keys, F.col("_z.node").alias("_parent"), F.col("_z.entry").alias("_release")
         )
 
-    picked = F.transform(passing(times, F.col("_release")), lambda at: F.get("_rows", at)["_row"])
-    chosen = slices.join(release.withColumnRenamed("_parent", SLICE), [*keys, SLICE]).select(
-        *keys, F.explode(picked).alias("_row")
+    passed = slices.join(release.withColumnRenamed("_parent", SLICE), [*keys, SLICE]).select(
+        *keys, SLICE, passing(F.col("_times"), F.col("_release")).alias("_passed")
     )
-    return chosen.select(
+    chosen = sliced.join(passed.where(F.size("_passed") > 0), [*keys, SLICE]).where(F.array_contains("_passed", F.col("_ms")))
+    # Of several candidates in one millisecond only the first passes.
+    columns = [c for c in candidates.columns if c != SLICE and c not in keys]
+    firsts = chosen.groupBy(*keys, SLICE, "_ms").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_row"))
+    return firsts.select(
         *[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in candidates.columns if c != SLICE]
     )
