@@ -2,7 +2,7 @@
 
 The rule is sequential per key, yet no key is folded in one task. Every time slice of a key is turned into a
 step function "release time on entry -> release time on exit"; step functions compose, so they are combined in
-a tree of fixed fan-out, the release time on entry of every slice follows on the way back, and each slice then
+a tree of fixed fan-out and as many levels as the longest key needs, the release time on entry of every slice follows on the way back, and each slice then
 picks its own survivors. Candidates of one millisecond are reduced to the first before anything is collected,
 which bounds a slice by its milliseconds whatever the number of rows.
 """
@@ -21,7 +21,6 @@ from fairlead.session import stored_table
 
 INTERVAL_MS = 300_000
 FAN_OUT = 64
-LEVELS = 2
 NEVER = -(2**62)
 
 STEPS = "struct<bounds: array<bigint>, exits: array<bigint>>"
@@ -113,6 +112,14 @@ def _udfs(interval: int):
     return steps_of, composed, entries, passing
 
 
+def tree_levels(slices_per_key: int, fan_out: int) -> int:
+    """Levels between the slices and the root, so that no node has more than ``fan_out`` children."""
+    levels = 0
+    while fan_out ** (levels + 1) < slices_per_key:
+        levels += 1
+    return levels
+
+
 def throttled(
     candidates: DataFrame,
     keys: Sequence[str] = ("mmsi",),
@@ -122,7 +129,7 @@ def throttled(
     ts: str = "ts",
     seconds: float = SLICE_SECONDS,
     fan_out: int = FAN_OUT,
-    levels: int = LEVELS,
+    levels: int | None = None,
 ) -> DataFrame:
     """The candidates that pass; ``order`` breaks ties inside one millisecond. Same columns as the input.
 
@@ -140,6 +147,9 @@ def throttled(
     # Read several times below, so it is written once instead of being worked out again for each use.
     slices = stored_table(moments.withColumn("_steps", steps_of(F.col("_times"), horizon)), "throttle")
 
+    if levels is None:
+        levels = tree_levels(slices.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1, fan_out)
+
     # Up: parents[l] holds, per key and node of level l + 1, the steps of its children in time order.
     parents, level = [], slices.select(*keys, F.col(SLICE).alias("_node"), "_steps")
     for height in range(levels + 1):

@@ -75,7 +75,7 @@ def test_one_busy_vessel_and_many_quiet_ones(spark):
     busy = [(1, int(m)) for m in rng.integers(0, 40_000_000, 6000)]
     quiet = [(int(k), int(m)) for k, m in zip(rng.integers(2, 60, 12000), rng.integers(0, 40_000_000, 12000))]
     data = busy + quiet
-    for options in ({"seconds": 600, "fan_out": 3, "levels": 2}, {"seconds": 120, "fan_out": 64, "levels": 1}):
+    for options in ({"seconds": 600, "fan_out": 3, "levels": 2}, {"seconds": 120, "fan_out": 8}):
         got = passed_ms(throttle.throttled(rows_of(spark, data), **options))
         want = sorted(
             (k, m) for k in {k for k, _ in data} for m in greedy(sorted({m for kk, m in data if kk == k}))
@@ -86,3 +86,7 @@ def test_one_busy_vessel_and_many_quiet_ones(spark):
 def test_ties_inside_a_millisecond_go_to_the_first(spark):
     df = rows_of(spark, [(1, 5), (1, 5), (1, 5)])
     assert [r.seq for r in throttle.throttled(df).collect()] == [0]
+
+
+def test_tree_grows_with_the_slices():
+    assert [throttle.tree_levels(n, 64) for n in (1, 64, 65, 4096, 4097)] == [0, 0, 1, 1, 2]
