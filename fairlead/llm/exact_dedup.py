@@ -185,7 +185,8 @@ def _lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _byte_checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of (digest, old_id, last_id), the digests whose representatives have the same normalised bytes."""
     wanted = pairs.select("digest", F.explode(F.array("old_id", "last_id")).alias("want"))
-    texts = docs.select("doc_id", "text").join(wanted, same_id(F.col("doc_id"), F.col("want")))
+    # The wanted ids grow with the corpus: the join is the same at every size.
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), same_id(F.col("doc_id"), F.col("want")))
     lowered = texts.select("digest", "text").mapInArrow(_lowered, "digest binary, bytes binary")
     # Representatives of other digests may share an id when rows repeat it: only equal digests are compared.
     own = lowered.where(F.sha2("bytes", 256) == F.lower(F.hex("digest")))
@@ -222,6 +223,6 @@ def without_duplicates(docs: DataFrame, is_known) -> DataFrame:
     from pyspark.sql import Window
 
     kept = deduplicate(docs, is_known).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, same_id(F.col("doc_id").cast("long"), F.col("_kept")), "left_semi")
+    rows = docs.join(kept.hint("merge"), same_id(F.col("doc_id").cast("long"), F.col("_kept")), "left_semi")
     same = Window.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy("doc_id")
     return rows.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
