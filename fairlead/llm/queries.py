@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bpe, exact_dedup, simhash
+from fairlead.llm import ann, bpe, exact_dedup, license_scan, line_dedup, mixing, simhash, suffix_dedup, token_count, toxicity
 from fairlead.llm.common import file_cleanup, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +65,74 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(documents(spark, sf_dir), older_half())
+
+
+@query(
+    sql=rf"""
+    WITH u AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+    p AS (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) - strlen(line) - 1 AS start,
+                 trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS unit FROM u),
+    r AS (SELECT *, unit <> '' AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, start) > 1 AS gone FROM p)
+    SELECT doc_id, count(*) FILTER (unit <> '') AS n_units, count(*) FILTER (gone) AS n_removed,
+           coalesce(string_agg(start::BIGINT || '-' || (start + strlen(line))::BIGINT, ',' ORDER BY n) FILTER (gone), '') AS removed,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+    FROM r GROUP BY doc_id
+    """
+)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(documents(spark, sf_dir))
+    spans = F.coalesce("removed", F.array().cast("array<struct<start:long,end:long>>"))
+    written = F.array_join(F.transform(spans, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_units", F.size(spans).cast("long").alias("n_removed"), written.alias("removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+@query()
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file_cleanup(spark)
+    found = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return found.select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
+
+
+@query()
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.license_scan(documents(spark, sf_dir))
+    written = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    best = F.coalesce(F.array_max("blocks.containment"), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.first").alias("first_word"),
+        F.array_max("places.first").alias("last_word"),
+        written(F.col("places.label")).alias("base_labels"),
+        written(F.concat("places.label", "blocks.label")).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"),
+        F.size("blocks").cast("long").alias("n_blocks"),
+    )
+
+
+@query()
+def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = token_count.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query()
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file_cleanup(spark)
+    return ann.neighbours(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@query()
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_strings(documents(spark, sf_dir), length=50)
+    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -195,5 +195,5 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
 def without_near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """The rows of ``docs`` whose doc_id names its group, all columns; rows with a null doc_id stay."""
     kept = near_duplicates(docs, words, distance).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    named = docs.where("doc_id IS NOT NULL").join(kept.distinct(), F.col("doc_id") == F.col("_kept"), "left_semi")
+    named = docs.where("doc_id IS NOT NULL").join(kept.distinct().hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi")
     return named.unionByName(docs.where("doc_id IS NULL"))
