@@ -10,13 +10,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fairlead.llm import bpe, exact_dedup, simhash
-from fairlead.llm.common import file_cleanup, stored_table
+from fairlead.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from fairlead.llm.common import file_cleanup, stored_table, table
 from fairlead.llm.queries import older_half, rank_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity machine rejects go."""
+    file_cleanup(spark)
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest id stays."""
     file_cleanup(spark)
@@ -29,14 +35,22 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.without_near_duplicates(docs, words=4, distance=4)
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of sources takes it."""
+    file_cleanup(spark)
+    return mixing.mixed(docs)
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, encoded and decoded again, one row per copy."""
     return bpe.round_trip(docs, *rank_file())
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", clean),
     ("exact dedup", exact_copies),
     ("SimHash near-dedup", near_copies),
+    ("mixing", mixed),
     ("byte-level BPE", encoded),
 ]
 

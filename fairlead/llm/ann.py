@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by collision counting over sorted single projections.
 
 The vectors are dealt into blocks, and each block keeps, per random projection, its projected values in sorted order.
-For a query a window around its own projected value opens in every array; virtual rehashing doubles its width round by
+For a query a window around its own projected value opens in every array; virtual rehashing widens it round by
 round, so no array is built twice. A vector that falls into the windows of enough projections is a candidate. When
 enough of a block's vectors are candidates, or the windows hold the whole block, the candidates are verified by their
 exact distance. The projections are random and fixed, so nothing is fitted, and every row is in the index.
@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.common import stored_table
 
-PROJECTIONS = 48
+PROJECTIONS = 64
 #: Share of the projections in whose windows a candidate must lie.
 COLLISIONS = 0.5
 #: Share of a block that is verified at least, beside the neighbours asked for.
-VERIFIED = 0.12
-GROWTH = 1.25
+VERIFIED = 0.25
+#: First half width of the windows in standard deviations of a projection, and its growth by virtual rehashing.
+FIRST_WIDTH = 0.45
+GROWTH = 1.2
 #: Vectors of a block on average, queries of a bundle.
 BLOCK = 4_096
 BUNDLE = 256
@@ -55,9 +57,7 @@ class Block:
         if n <= wanted:
             return np.arange(n)
         least = max(1, int(m * COLLISIONS))
-        # Half width at which about the wanted share of every array lies in its window.
-        spread = self.values[:, -1] - self.values[:, 0]
-        half = max(1e-6, float(np.median(spread)) * wanted / n / 2)
+        half = max(1e-6, FIRST_WIDTH * float(self.values.std(axis=1).mean()))
         while True:
             low = [np.searchsorted(v, p - half, "left") for v, p in zip(self.values, projected, strict=True)]
             high = [np.searchsorted(v, p + half, "right") for v, p in zip(self.values, projected, strict=True)]

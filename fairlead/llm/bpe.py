@@ -41,7 +41,7 @@ def pieces(text: str, size: int = PIECE) -> Iterator[tuple[str, bool]]:
     """The text in order, as (piece, whether it is short enough for the library)."""
     start = 0
     while len(text) - start > size:
-        cut = _SAFE.search(text, start + size - 1)
+        cut = _SAFE.search(text, start + max(size, 2) - 1)
         end = cut.start() if cut else len(text)
         yield text[start:end], end - start <= 4 * size
         start = end
