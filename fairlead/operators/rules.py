@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import operator
+from collections.abc import Iterable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.functions import alerting
+from fairlead.operators import skew
 
-MAX_RULES = 10_000
-
-COMPARE = {
-    ">": operator.gt,
-    ">=": operator.ge,
-    "<": operator.lt,
-    "<=": operator.le,
-    "=": operator.eq,
-}
+# Parts into which the readings of a metric are dealt where the rules are too many to broadcast.
+SALTS = 64
 
 # Severity by rule type.
 RULE_SEVERITY = {"AIS_LOST": "CRITICAL", "SPEED": "WARNING", "GEOFENCE_ENTRY": "INFO"}
@@ -35,40 +29,44 @@ class Rule(NamedTuple):
     is_active: bool = True
 
 
-def rules_from(table: DataFrame) -> list[Rule]:
-    """Active rules of a rule table. The table is configuration and is refused beyond a fixed size."""
-    rows = table.where("is_active").select(*Rule._fields).limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} active rules")
-    return [Rule(*row) for row in rows]
-
-
-def severity_of(rule: Rule) -> str:
-    return RULE_SEVERITY.get(rule.rule_type, DEFAULT_SEVERITY)
-
-
-def rule_hits(rows: DataFrame, rules: list[Rule], metrics: dict[str, Column]) -> DataFrame:
-    """One row per (position, rule that holds). Rules become expressions of one projection, there is no join."""
-    tests = []
-    for rule in rules:
-        if rule.is_active and rule.metric in metrics:
-            holds = COMPARE[rule.op](metrics[rule.metric], F.lit(rule.threshold))
-            tests.append(
-                F.when(
-                    holds,
-                    F.struct(
-                        F.lit(rule.id).alias("rule_id"),
-                        F.lit(rule.rule_name).alias("rule_name"),
-                        F.lit(rule.rule_type).alias("rule_type"),
-                        F.lit(severity_of(rule)).alias("severity"),
-                        metrics[rule.metric].cast("double").alias("metric_value"),
-                    ),
-                )
-            )
-    if not tests:
-        raise ValueError("no active rule on a known metric")
-    held = F.filter(F.array(*tests), lambda t: t.isNotNull())
-    return rows.withColumn("_hit", F.explode(held)).select("*", "_hit.*").drop("_hit")
+def rule_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
+    """A rule table of rules given in the program."""
+    return spark.createDataFrame(
+        [tuple(r) for r in rules],
+        "id int, rule_name string, rule_type string, metric string, op string, threshold double, is_active boolean",
+    )
+
+
+def _holds() -> Column:
+    value, bound = F.col("metric_value"), F.col("threshold")
+    return (
+        F.when(F.col("op") == ">", value > bound)
+        .when(F.col("op") == ">=", value >= bound)
+        .when(F.col("op") == "<", value < bound)
+        .when(F.col("op") == "<=", value <= bound)
+        .when(F.col("op") == "=", value == bound)
+    )
+
+
+def rule_hits(rows: DataFrame, rules: DataFrame, metrics: dict[str, Column]) -> DataFrame:
+    """One row per (position, active rule that holds).
+
+    ``rules`` is a table with the fields of ``Rule``; it is read when the query runs, whatever its size. Every row is
+    unpivoted into its readings (metric, value) and these join the rules of their metric: by broadcast while a look at
+    the table shows that it is small, else with each metric dealt into ``SALTS`` parts.
+    """
+    severity = F.coalesce(*[F.when(F.col("rule_type") == t, F.lit(v)) for t, v in RULE_SEVERITY.items()], F.lit(DEFAULT_SEVERITY))
+    active = rules.where("is_active").where(F.col("metric").isin(*metrics)).select(
+        F.col("metric").alias("_metric"), F.col("id").alias("rule_id"), "rule_name", "rule_type", severity.alias("severity"), "op", "threshold"
+    )
+    readings = F.array(*[F.struct(F.lit(n).alias("_metric"), c.cast("double").alias("metric_value")) for n, c in metrics.items()])
+    read = rows.withColumn("_reading", F.explode(readings)).select("*", "_reading.*").drop("_reading")
+    read = read.where(F.col("metric_value").isNotNull())
+    if skew.fits_broadcast(active):
+        return read.join(F.broadcast(active), (read["_metric"] == active["_metric"]) & _holds()).drop("_metric", "op", "threshold")
+    read = read.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    copies = active.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return read.join(copies, ["_metric", "_salt"]).where(_holds()).drop("_metric", "_salt", "op", "threshold")
 
 
 def rule_alerts(hits: DataFrame) -> DataFrame:

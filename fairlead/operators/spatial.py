@@ -8,71 +8,118 @@ from pyspark.sql import functions as F
 from fairlead.functions import alerting, geo
 from fairlead.operators import sequence, skew
 
-CELL_DEG = 0.25
+# Cell sizes in degrees, each a whole part of the circle; a fence uses the finest that covers it in few cells.
+CELL_SIZES = (0.25, 1.0, 5.0, 20.0, 90.0)
+CELLS_ACROSS = 16
 FENCE_ROWS = 20_000
+FENCE_EDGES = 500_000
 KM_PER_DEGREE = 111.0
 
 
-def with_cell(rows: DataFrame, size: float = CELL_DEG) -> DataFrame:
-    return rows.withColumns(
-        {
-            "_cx": F.floor(F.col("longitude") / size).cast("int"),
-            "_cy": F.floor(F.col("latitude") / size).cast("int"),
-        }
-    )
+def _cell(degrees: Column, size: float) -> Column:
+    """Number of a cell around the circle; the last one meets the first at the date line."""
+    return F.pmod(F.floor(degrees / size), F.lit(round(360.0 / size))).cast("int")
+
+
+def _unwrapped(rings: Column) -> Column:
+    """Rings whose longitudes go on over the date line: an edge takes the shorter way round."""
+
+    def onward(held: Column, p: Column) -> Column:
+        last = F.try_element_at(held, F.lit(-1))["lon"]
+        turns = F.coalesce(F.round((last - p["lon"]) / 360.0), F.lit(0.0))
+        moved = F.struct(*[(p["lon"] + 360.0 * turns if n == "lon" else p["lat"]).alias(n) for n in ("lon", "lat")])
+        return F.concat(held, F.array(moved))
+
+    point = "array<struct<lon:double,lat:double>>"
+
+    def whole(ring: Column) -> Column:
+        plain = F.transform(ring, lambda p: F.struct(p["lon"].cast("double").alias("lon"), p["lat"].cast("double").alias("lat")))
+        wide = F.array_max(ring["lon"]) - F.array_min(ring["lon"]) > 180.0
+        return F.when(wide, F.aggregate(plain, F.array().cast(point), onward)).otherwise(plain)
+
+    return F.transform(rings, whole)
 
 
-def fence_rows(fences: DataFrame, size: float = CELL_DEG) -> DataFrame:
-    """One row per active fence and grid cell that its bounding box touches."""
+def fence_rows(fences: DataFrame) -> DataFrame:
+    """One row per active fence and cell that its bounding box touches: (size, _cx, _cy, fence).
+
+    The size follows the fence, so a fence takes at most (CELLS_ACROSS + 1) squared rows, an ocean included.
+    """
+    unwrapped = fences.where("is_active").select("id", _unwrapped(F.col("rings")).alias("rings"))
     outline = F.flatten("rings")
-    boxed = fences.where("is_active").select(
+    west, east = F.array_min(outline["lon"]), F.array_max(outline["lon"])
+    south, north = F.array_min(outline["lat"]), F.array_max(outline["lat"])
+    boxed = unwrapped.select(
         F.struct(
             "id",
-            F.array_min(outline["lon"]).alias("west"),
-            F.array_max(outline["lon"]).alias("east"),
-            F.array_min(outline["lat"]).alias("south"),
-            F.array_max(outline["lat"]).alias("north"),
+            west.alias("west"),
+            east.alias("east"),
+            south.alias("south"),
+            north.alias("north"),
             geo.ring_edges(F.col("rings")).alias("edges"),
-        ).alias("fence")
+        ).alias("fence"),
+        F.greatest(east - west, north - south).alias("_extent"),
     )
+    size = F.coalesce(*[F.when(F.col("_extent") <= s * CELLS_ACROSS, F.lit(s)) for s in CELL_SIZES], F.lit(CELL_SIZES[-1]))
+    sized = boxed.where("_extent IS NOT NULL").withColumn("size", size)
 
     def cells(low: str, high: str) -> Column:
-        return F.sequence(
-            F.floor(F.col(f"fence.{low}") / size).cast("int"), F.floor(F.col(f"fence.{high}") / size).cast("int")
-        )
+        span = F.sequence(F.floor(F.col(f"fence.{low}") / F.col("size")), F.floor(F.col(f"fence.{high}") / F.col("size")))
+        return F.transform(span, lambda c: F.pmod(c, F.round(360.0 / F.col("size")).cast("long")).cast("int"))
 
-    spread = boxed.withColumn("_cx", F.explode(cells("west", "east")))
-    return spread.withColumn("_cy", F.explode(cells("south", "north")))
+    spread = sized.withColumn("_cx", F.explode(F.array_distinct(cells("west", "east"))))
+    return spread.withColumn("_cy", F.explode(F.array_distinct(cells("south", "north")))).drop("_extent")
 
 
 def holds(fence: Column) -> Column:
     """Whether a fence struct holds the position of the row; the bounding box is looked at first."""
-    lat, lon = F.col("latitude"), F.col("longitude")
+    lat = F.col("latitude")
+    lon = F.when(F.col("longitude") < fence["west"], F.col("longitude") + 360.0).otherwise(F.col("longitude"))
     boxed = lat.between(fence["south"], fence["north"]) & lon.between(fence["west"], fence["east"])
     return F.when(boxed, geo.inside_edges(lat, lon, fence["edges"])).otherwise(F.lit(False))
 
 
+def fences_are_small(rows: DataFrame, max_rows: int = FENCE_ROWS, max_edges: int = FENCE_EDGES) -> bool:
+    """Whether the fences of all cells fit on every executor, by their rows and by the edges that these carry."""
+    looked = rows.select(F.size("fence.edges").alias("n")).limit(max_rows + 1)
+    found = looked.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("edges")).first()
+    return found["rows"] <= max_rows and found["edges"] <= max_edges
+
+
 def with_fences_inside(
-    positions: DataFrame, fences: DataFrame, size: float = CELL_DEG, max_rows: int = FENCE_ROWS
+    positions: DataFrame, fences: DataFrame, max_rows: int = FENCE_ROWS, max_edges: int = FENCE_EDGES
 ) -> DataFrame:
     """``inside`` = sorted ids of the active fences that hold the position.
 
-    Positions meet only the fences of their grid cell. While the (fence, cell) rows are few enough, the fences
-    of a cell travel as one array and positions stay one row each. Beyond that, positions and fences are joined
-    row by row, with busy cells salted, and the ids are put together per position.
+    Positions meet only the fences of their cells, one cell for each size in use. While the fences are small enough,
+    those of a cell travel as one array and positions stay one row each. Beyond that, positions and fences are joined
+    row by row, with busy cells salted, and the ids are put together per position. A stream needs the first way.
     """
-    rows, none = fence_rows(fences, size), F.array().cast("array<int>")
+    rows, none = fence_rows(fences), F.array().cast("array<int>")
     cell, spread = ["_cx", "_cy"], [F.col("mmsi"), F.col("seq")]
-    placed = with_cell(positions, size)
-    if positions.isStreaming or skew.fits_broadcast(rows, max_rows):
-        lists = rows.groupBy(*cell).agg(F.collect_list("fence").alias("_fences"))
-        located = skew.join_dimension(placed, lists, cell, spread)
-        ids = F.array_sort(F.transform(F.filter("_fences", holds), lambda f: f["id"]))
-        return located.withColumn("inside", F.coalesce(ids, none)).drop(*cell, "_fences")
-    hits = skew.salted_join(placed.select("mmsi", "seq", "latitude", "longitude", *cell), rows, cell, spread, "inner")
-    ids = hits.where(holds(F.col("fence"))).groupBy("mmsi", "seq").agg(
-        F.array_sort(F.collect_set("fence.id")).alias("inside")
-    )
+    sizes = [r["size"] for r in rows.select("size").distinct().orderBy("size").collect()]
+    if not sizes:
+        return positions.withColumn("inside", none)
+
+    def placed(frame: DataFrame, size: float) -> DataFrame:
+        return frame.withColumns({"_cx": _cell(F.col("longitude"), size), "_cy": _cell(F.col("latitude"), size)})
+
+    if positions.isStreaming or fences_are_small(rows, max_rows, max_edges):
+        located, found = positions, []
+        for i, size in enumerate(sizes):
+            lists = rows.where(F.col("size") == size).groupBy(*cell).agg(F.collect_list("fence").alias(f"_fences{i}"))
+            located = skew.join_dimension(placed(located, size), lists, cell, spread).drop(*cell)
+            ids = F.transform(F.filter(f"_fences{i}", holds), lambda f: f["id"])
+            located = located.withColumn(f"_inside{i}", F.coalesce(ids, none)).drop(f"_fences{i}")
+            found.append(f"_inside{i}")
+        return located.withColumn("inside", F.array_sort(F.concat(*found))).drop(*found)
+    hits = None
+    for size in sizes:
+        own = rows.where(F.col("size") == size).drop("size")
+        narrow = placed(positions.select("mmsi", "seq", "latitude", "longitude"), size)
+        met = skew.salted_join(narrow, own, cell, spread, "inner").where(holds(F.col("fence"))).select("mmsi", "seq", "fence.id")
+        hits = met if hits is None else hits.unionByName(met)
+    ids = hits.groupBy("mmsi", "seq").agg(F.array_sort(F.collect_set("id")).alias("inside"))
     return positions.join(ids, ["mmsi", "seq"], "left").withColumn("inside", F.coalesce("inside", none)).select(
         *positions.columns, "inside"
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -12,6 +13,10 @@ from pyspark.sql.types import LongType, StructType
 
 from fairlead.functions import times
 from fairlead.operators import sequence, skew
+from fairlead.session import children, exists, remove, rename
+
+# Batches that readers fold before a new base is written.
+COMPACT_EVERY = 20
 
 
 @dataclass(frozen=True)
@@ -73,9 +78,10 @@ PORT_OPERATION_RULE = MergeRule(
 class CurrentTable:
     """A keyed current-state table on plain files.
 
-    Every batch is reduced to one row per key and written under its own batch id, so a replay replaces itself.
-    Readers fold the newest base with the later batches; :meth:`compact` writes a new base, and records it only
-    when it is complete.
+    Every batch is reduced to one row per key and written under its own batch id; a replay finds its complete folder
+    and leaves it alone, so readers never miss one. Readers fold the newest base with the later batches. After every
+    ``COMPACT_EVERY`` batches :meth:`compact` writes a new base, records it only when it is complete, and removes what
+    lies before the base that was in use until then, so the number of folders stays bounded.
     """
 
     def __init__(self, spark: SparkSession, path: str, rule: MergeRule, row_schema: StructType):
@@ -97,7 +103,11 @@ class CurrentTable:
         return versions.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
 
     def upsert(self, rows: DataFrame, batch_id: int) -> None:
-        self.rule.reduced(rows, batch_id).write.mode("overwrite").parquet(f"{self.path}/batches/id={int(batch_id)}")
+        folder = f"{self.path}/batches/id={int(batch_id)}"
+        if not exists(self.spark, f"{folder}/_SUCCESS"):
+            self.rule.reduced(rows, batch_id).write.mode("overwrite").parquet(folder)
+        if batch_id - self._version() >= COMPACT_EVERY:
+            self.compact(batch_id)
 
     def state(self) -> DataFrame:
         version = self._version()
@@ -116,6 +126,10 @@ class CurrentTable:
         self.spark.createDataFrame([(int(upto),)], "upto bigint").coalesce(1).write.mode("append").parquet(
             f"{self.path}/versions"
         )
+        for part, last in (("batches", version), ("bases", version - 1)):
+            for name in children(self.spark, f"{self.path}/{part}"):
+                if name.startswith("id=") and 0 <= int(name[3:]) <= last:
+                    remove(self.spark, f"{self.path}/{part}/{name}")
 
 
 def with_history_columns(rows: DataFrame, ts: str = "ts") -> DataFrame:
@@ -155,6 +169,37 @@ def retained(rows: DataFrame, as_of: Column, years: int, ts: str = "ts") -> Data
     return kept.where(F.col("ym") >= times.month_key(oldest)) if "ym" in rows.columns else kept
 
 
+def drop_expired_months(spark: SparkSession, path: str, as_of: dt.date, years: int) -> list[str]:
+    """Delete the month folders of a history that lie wholly outside the retention; returns their names.
+
+    The days of the month on the edge are left to :func:`retained`.
+    """
+    oldest = (as_of.year - years) * 100 + as_of.month
+    gone = [n for n in children(spark, path) if n.startswith("ym=") and n[3:].isdigit() and int(n[3:]) < oldest]
+    for name in gone:
+        remove(spark, f"{path}/{name}")
+    return gone
+
+
+def compact_month(spark: SparkSession, path: str, ym: int, order: Sequence[str] = ("mmsi", "ts")) -> None:
+    """Rewrite the batches of a closed month as one sorted set of files, under the month's highest batch id.
+
+    The new files are complete before the old folders go; a failure in between leaves the month readable twice in
+    the staging folder, never less than once, and a second call finishes the work.
+    """
+    month = f"{path}/ym={int(ym)}"
+    batches = [n for n in children(spark, month) if n.startswith("batch_id=")]
+    if len(batches) < 2:
+        return
+    last = max(batches, key=lambda n: int(n.split("=")[1]))
+    staged = f"{path}/_compact-{int(ym)}"
+    rows = spark.read.parquet(*[f"{month}/{n}" for n in batches])
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(staged)
+    for name in batches:
+        remove(spark, f"{month}/{name}")
+    rename(spark, staged, f"{month}/{last}")
+
+
 def live_values(rows: DataFrame, keys: Sequence[str], as_of: Column, seconds: int) -> DataFrame:
     """Latest row per key, while it is younger than its life."""
     latest = sequence.latest_per_key(rows, list(keys))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlead.functions import geo
 from fairlead.operators import enrich, sequence
+from fairlead.session import stored_table
 
 GAP_MINUTES = 15.0
 TRACK_KEYS = ("mmsi", "track_start")
+# Points that one task works on at once; results do not depend on it.
 SIMPLIFY_BLOCK = 10_000
-LINE_BLOCK = 10_000
 
 
 def with_track(
@@ -44,14 +45,26 @@ def track_summary(tracked: DataFrame) -> DataFrame:
 
 
 def smoothed(tracked: DataFrame, each_side: int = 2, block: int = 10_000) -> DataFrame:
-    """Moving average of latitude and longitude over the neighbouring fixes of the same track."""
-    return sequence.with_surrounding(
+    """Moving average of latitude and longitude over the neighbouring fixes of the same track.
+
+    Where the neighbours lie on both sides of the date line, longitudes are averaged in the range 0 to 360.
+    """
+    rows = sequence.with_surrounding(
         tracked,
-        {"smooth_latitude": F.avg("latitude"), "smooth_longitude": F.avg("longitude")},
+        {
+            "smooth_latitude": F.avg("latitude"),
+            "_plain": F.avg("longitude"),
+            "_shifted": F.avg(F.when(F.col("longitude") < 0, F.col("longitude") + 360.0).otherwise(F.col("longitude"))),
+            "_east": F.max("longitude"),
+            "_west": F.min("longitude"),
+        },
         each_side,
         keys=TRACK_KEYS,
         block=block,
     )
+    over = F.when(F.col("_shifted") >= 180.0, F.col("_shifted") - 360.0).otherwise(F.col("_shifted"))
+    mean = F.when(F.col("_east") - F.col("_west") > 180.0, over).otherwise(F.col("_plain"))
+    return rows.withColumn("smooth_longitude", mean).drop("_plain", "_shifted", "_east", "_west")
 
 
 def gap_filled(
@@ -71,8 +84,14 @@ def gap_filled(
     spread = rows.withColumn("step", F.explode(steps))
     share = F.coalesce(F.try_divide((F.col("step") * step).cast("double"), gap.cast("double")), F.lit(0.0))
 
-    def mixed(c: str):
-        moved = F.col(c) + (F.col(f"next.{c}") - F.col(c)) * share
+    ahead = F.col("next.longitude") - F.col("longitude")
+    # The short way round: over the date line the difference is taken by 360 degrees less.
+    short = F.when(ahead > 180.0, ahead - 360.0).when(ahead < -180.0, ahead + 360.0).otherwise(ahead)
+
+    def between(c: str, way):
+        moved = F.col(c) + way * share
+        if c == "longitude":
+            moved = F.when(moved >= 180.0, moved - 360.0).when(moved < -180.0, moved + 360.0).otherwise(moved)
         return F.when(F.col("step") == 0, F.col(c)).otherwise(moved)
 
     return spread.select(
@@ -80,8 +99,8 @@ def gap_filled(
         "seq",
         "step",
         F.timestamp_millis(F.unix_millis("ts") + F.col("step") * step).alias("ts"),
-        mixed("latitude").alias("latitude"),
-        mixed("longitude").alias("longitude"),
+        between("latitude", F.col("next.latitude") - F.col("latitude")).alias("latitude"),
+        between("longitude", short).alias("longitude"),
         (F.col("step") > 0).alias("interpolated"),
     )
 
@@ -113,49 +132,111 @@ def keep_within(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
-def keep_on_sphere(lat: np.ndarray, lon: np.ndarray, tolerance_nm: float) -> np.ndarray:
-    """The same in nautical miles on a local plane; works across the date line."""
-    east = np.unwrap(lon, period=360.0) * 60.0 * np.cos(np.radians(lat.mean()))
-    return keep_within(east, lat * 60.0, tolerance_nm)
+def with_plane(tracked: DataFrame, block: int = SIMPLIFY_BLOCK) -> DataFrame:
+    """Add ``x`` and ``y``, nautical miles on one local plane per track, and ``points``, the track's length.
+
+    The plane is true to scale at the mean latitude of the whole track. Longitudes go on over the date line: every
+    crossing adds a turn, and the turns are summed by blocks of consecutive points.
+    """
+    turn = F.when(F.col("row_number") > 1, F.round((F.col("prev.longitude") - F.col("longitude")) / 360.0)).otherwise(0.0)
+    rows = tracked.withColumn("_turn", turn).withColumn("_block", F.expr(f"(row_number - 1) div {int(block)}"))
+    sums = rows.groupBy(*TRACK_KEYS, "_block").agg(
+        F.sum("_turn").alias("_turns"), F.sum("latitude").alias("_lat"), F.count(F.lit(1)).alias("_n")
+    )
+    track = Window.partitionBy(*TRACK_KEYS)
+    before = track.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        *TRACK_KEYS,
+        "_block",
+        F.coalesce(F.sum("_turns").over(before), F.lit(0.0)).alias("_before"),
+        (F.sum("_lat").over(track) / F.sum("_n").over(track)).alias("_mean"),
+        F.sum("_n").over(track).alias("points"),
+    )
+    inside = Window.partitionBy(*TRACK_KEYS, "_block").orderBy("row_number").rowsBetween(Window.unboundedPreceding, 0)
+    turned = F.col("_before") + F.sum("_turn").over(inside)
+    rows = rows.join(sums, [*TRACK_KEYS, "_block"])
+    east = (F.col("longitude") + 360.0 * turned) * 60.0 * F.cos(F.radians("_mean"))
+    rows = rows.withColumn("x", east).withColumn("y", F.col("latitude") * 60.0)
+    return rows.drop("_turn", "_block", "_before", "_mean")
 
 
 def simplified(tracked: DataFrame, tolerance_nm: float = 0.1, block: int = SIMPLIFY_BLOCK) -> DataFrame:
-    """Points of each track that a Douglas-Peucker pass with the tolerance keeps.
+    """Points of each track that Douglas-Peucker with the tolerance keeps, on the track's own plane.
 
-    A track is worked on in runs of ``block`` points that share their end points, so no task ever holds more
-    than one run. The ends of a run are kept, hence every dropped point is within the tolerance of the result;
-    tracks of up to ``block`` points get the plain result.
+    Both halves of a split go on independently of each other. So spans of more than ``block`` points are split by
+    distributed aggregation, one level at a time for all of them, and shorter spans are finished in one task each. The
+    result is that of one pass over the whole track, whatever the block.
     """
-    step = block - 1
-    home = F.expr(f"(row_number - 1) div {step}")
-    shared = ((F.col("row_number") - 1) % step == 0) & (F.col("row_number") > 1)
-    fields = ("row_number", "seq", "ts", "latitude", "longitude")
-    runs = tracked.select(*TRACK_KEYS, *fields).withColumn(
-        "_run", F.explode(F.when(shared, F.array(home - 1, home)).otherwise(F.array(home)))
-    )
+    step = max(3, int(block))
+    fields = F.struct("row_number", "seq", "ts", "latitude", "longitude", "x", "y")
+    rows = with_plane(tracked, step).select(*TRACK_KEYS, "points", fields.alias("p"))
+    rows = stored_table(rows, "track-plane")
+    ends = rows.where((F.col("p.row_number") == 1) | (F.col("p.row_number") == F.col("points"))).select(*TRACK_KEYS, "p")
+    span = rows.groupBy(*TRACK_KEYS).agg(F.min_by("p", "p.row_number").alias("a"), F.max_by("p", "p.row_number").alias("b"))
+    inner = rows.join(span, list(TRACK_KEYS)).where(_inside("a", "b")).select(*TRACK_KEYS, "a", "b", "p")
+    kept = [ends]
+    size = F.col("b.row_number") - F.col("a.row_number") + 1
+    finish = [inner.where(size <= step)]
+    large = stored_table(inner.where(size > step), "track-spans")
+    while large.limit(1).count():
+        # Ties go to the earlier point, as in the local pass.
+        farthest = F.max(F.struct(_off_span().alias("off"), (-F.col("p.row_number")).alias("first"), F.col("p").alias("m")))
+        split = large.groupBy(*TRACK_KEYS, "a", "b").agg(farthest.alias("far")).where(F.col("far.off") > tolerance_nm)
+        split = stored_table(split.select(*TRACK_KEYS, "a", "b", "far.m"), "track-splits")
+        kept.append(split.select(*TRACK_KEYS, F.col("m").alias("p")))
+        parts = large.join(split, [*TRACK_KEYS, "a", "b"]).where(F.col("p.row_number") != F.col("m.row_number"))
+        left = F.col("p.row_number") < F.col("m.row_number")
+        parts = parts.select(
+            *TRACK_KEYS, F.when(left, F.col("a")).otherwise(F.col("m")).alias("a"),
+            F.when(left, F.col("m")).otherwise(F.col("b")).alias("b"), "p",
+        )
+        parts = stored_table(parts, "track-spans")
+        finish.append(parts.where(size <= step))
+        large = parts.where(size > step)
+    for spans in finish:
+        kept.append(_finished(spans, tolerance_nm))
+    done = kept[0]
+    for more in kept[1:]:
+        done = done.unionByName(more)
+    return done.select(*TRACK_KEYS, "p.row_number", "p.seq", "p.ts", "p.latitude", "p.longitude")
+
+
+def _inside(a: str, b: str):
+    return (F.col("p.row_number") > F.col(f"{a}.row_number")) & (F.col("p.row_number") < F.col(f"{b}.row_number"))
+
+
+def _off_span():
+    """Distance of a point from the line between the ends of its span."""
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    px, py = F.col("p.x") - F.col("a.x"), F.col("p.y") - F.col("a.y")
+    square = dx * dx + dy * dy
+    along = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / square))).otherwise(0.0)
+    return F.hypot(px - along * dx, py - along * dy)
+
+
+def _finished(spans: DataFrame, tolerance_nm: float) -> DataFrame:
+    """The inner points that a local pass keeps; a span and its ends fit one row by the size of a block."""
 
     @F.pandas_udf("array<int>")
-    def kept(latitudes: pd.Series, longitudes: pd.Series) -> pd.Series:
-        masks = [keep_on_sphere(np.asarray(a), np.asarray(o), tolerance_nm) for a, o in zip(latitudes, longitudes)]
-        return pd.Series([np.flatnonzero(m).astype("int32") for m in masks])
+    def inner(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        masks = [keep_within(np.asarray(x), np.asarray(y), tolerance_nm) for x, y in zip(xs, ys)]
+        return pd.Series([np.flatnonzero(m[1:-1]).astype("int32") for m in masks])
 
-    lists = runs.groupBy(*TRACK_KEYS, "_run").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_points"))
-    picked = F.transform(
-        kept(F.col("_points.latitude"), F.col("_points.longitude")), lambda at: F.get("_points", at)
-    )
-    points = lists.select(*TRACK_KEYS, "_run", F.explode(picked).alias("_p")).select(*TRACK_KEYS, "_run", "_p.*")
-    # A shared end point comes out of both its runs; the home run speaks for it.
-    return points.where(F.col("_run") == home).drop("_run")
+    lists = spans.groupBy(*TRACK_KEYS, "a", "b").agg(F.sort_array(F.collect_list("p")).alias("points"))
+    line = lambda c: F.concat(F.array(f"a.{c}"), f"points.{c}", F.array(f"b.{c}"))
+    picked = F.transform(inner(line("x"), line("y")), lambda at: F.get("points", at))
+    return lists.select(*TRACK_KEYS, F.explode(picked).alias("p"))
 
 
-def track_lines(tracked: DataFrame, block: int = LINE_BLOCK) -> DataFrame:
-    """GeoJSON LineString features, one per track and ``block`` points; consecutive pieces share a point.
+def track_lines(tracked: DataFrame, block: int | None = None) -> DataFrame:
+    """GeoJSON LineString features, one per track.
 
-    A track is exported piecewise, so that a long one never has to fit into one row.
+    ``block`` asks for pieces of that many points instead, which share a point with the piece before.
     """
     bridge = F.when(F.col("row_number") > 1, F.array(F.col("prev.longitude"), F.col("prev.latitude")))
+    piece = F.expr(f"(row_number - 1) div {int(block)}") if block else F.lit(0).cast("long")
     pieces = (
-        tracked.withColumn("piece", F.expr(f"(row_number - 1) div {block}"))
+        tracked.withColumn("piece", piece)
         .groupBy(*TRACK_KEYS, "piece")
         .agg(
             F.sort_array(F.collect_list(F.struct("row_number", F.array("longitude", "latitude").alias("p")))).alias("_points"),

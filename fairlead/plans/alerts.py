@@ -33,13 +33,6 @@ RULES = (
 )
 
 
-def _rule_table(spark):
-    return spark.createDataFrame(
-        [tuple(r) for r in RULES],
-        "id int, rule_name string, rule_type string, metric string, op string, threshold double, is_active boolean",
-    )
-
-
 @query("T-23", sql=sql("""
 SELECT seq, 1 AS rule_id, 'SPEED' AS alert_type, 'WARNING' AS severity, round(speed, 4) AS metric_value FROM enriched WHERE speed > 60
 UNION ALL SELECT seq, 2, 'AIS_LOST', 'CRITICAL', round(dt / 6e4, 4) FROM enriched WHERE dt / 6e4 >= 4
@@ -50,7 +43,7 @@ def rule_alerts(spark, sf):
         "silence_minutes": F.col("time_since_last_update") / 60_000.0,
         "distance_nm": F.col("distance_from_previous"),
     }
-    hits = rules.rule_hits(common.moved(spark, sf), rules.rules_from(_rule_table(spark)), metrics)
+    hits = rules.rule_hits(common.moved(spark, sf), rules.rule_table(spark, RULES), metrics)
     return rules.rule_alerts(hits).select(
         "seq", F.col("details")["rule_id"].cast("int").alias("rule_id"), "alert_type", "severity",
         common.near(F.col("details")["metric_value"].cast("double"), 4).alias("metric_value"),
@@ -85,7 +78,7 @@ def all_alerts(spark, sf):
     def silence(rows):
         long_gap = rules.Rule(0, "Signal Lost", "SIGNAL_LOST", "gap_minutes", ">", SILENCE_GAP)
         gap = {"gap_minutes": F.col("time_since_last_update") / 60_000.0}
-        return rules.rule_alerts(rules.rule_hits(enrich.with_movement(rows, seconds), [long_gap], gap))
+        return rules.rule_alerts(rules.rule_hits(enrich.with_movement(rows, seconds), rules.rule_table(spark, [long_gap]), gap))
 
     both = detect.run_detectors(common.valid(spark, sf), [speed, fence, collision, silence])
     return both.groupBy("alert_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("mmsi").alias("vessels"))

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from fairlead.operators import detect, enrich, sequence, throttle, validate
 from fairlead.plans import lenses
 
-# The dense lens is one hour long; slices of at most ten minutes make its vessels cross several slice borders.
-LONGEST_SLICE = 600
-
-
 def newest(rows: DataFrame) -> Column:
     """Largest event time of a table, as a scalar subquery."""
     return rows.agg(F.max("ts")).scalar()
@@ -24,17 +20,17 @@ def as_of(spark: SparkSession, sf: str) -> Column:
 
 
 def valid(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.with_inferred_type(_valid(lenses.positions(spark, sf)))
+    return enrich.with_inferred_type(valid_rows(lenses.positions(spark, sf)))
 
 
 def valid_long(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.with_inferred_type(_valid(lenses.positions_long(spark, sf)))
+    return enrich.with_inferred_type(valid_rows(lenses.positions_long(spark, sf)))
 
 
 @lru_cache(maxsize=64)
 def _slice_of(app: str, sf: str) -> float:
     spark = SparkSession.active()
-    return sequence.slice_seconds(lenses.positions(spark, sf).select("mmsi", "ts"), longest=LONGEST_SLICE)
+    return sequence.slice_seconds(lenses.positions(spark, sf).select("mmsi", "ts"))
 
 
 def slice_of(spark: SparkSession, sf: str) -> float:
@@ -42,7 +38,7 @@ def slice_of(spark: SparkSession, sf: str) -> float:
     return _slice_of(spark.sparkContext.applicationId, sf)
 
 
-def _valid(rows: DataFrame) -> DataFrame:
+def valid_rows(rows: DataFrame) -> DataFrame:
     # The age rules have their own entry; here they would only add a pass for "now".
     reason = validate.position_reject_reason(F.lit(None).cast("timestamp"), check_age=False)
     return rows.where(reason.isNull())

@@ -68,7 +68,7 @@ SELECT seq, mmsi, window_min, window_max FROM (
   WINDOW w AS (PARTITION BY mmsi ORDER BY sec RANGE BETWEEN 300 PRECEDING AND CURRENT ROW))
 WHERE window_max - window_min > 15""", "valid"))
 def speed_change_5min(spark, sf):
-    rows = detect.speed_change(common.valid(spark, sf), seconds=common.LONGEST_SLICE)
+    rows = detect.speed_change(common.valid(spark, sf), seconds=common.slice_of(spark, sf))
     return rows.select("seq", "mmsi", "window_min", "window_max")
 
 
@@ -128,7 +128,7 @@ def tracks_summary(spark, sf):
 SELECT seq, mmsi, round(avg(latitude) OVER w, 6) AS smooth_latitude, round(avg(longitude) OVER w, 6) AS smooth_longitude FROM numbered
 WINDOW w AS (PARTITION BY mmsi, track_start ORDER BY row_number ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""", "enriched", extra=NUMBERED))
 def track_smoothed(spark, sf):
-    rows = tracks.smoothed(_tracked(spark, sf), 2, block=16)
+    rows = tracks.smoothed(_tracked(spark, sf), 2)
     return rows.select("seq", "mmsi", *common.rounded("smooth_latitude", "smooth_longitude"))
 
 
@@ -147,9 +147,31 @@ def track_gapfill(spark, sf):
     )
 
 
-@query("T-17")
+PLANE = NUMBERED + """, /* recursive */
+turned AS (SELECT mmsi, track_start, row_number AS rn, seq, latitude * 60e0 AS y, count(*) OVER t AS n, avg(latitude) OVER t AS mean_lat,
+    longitude + 360e0 * sum(CASE WHEN row_number > 1 THEN floor((prev_lon - longitude) / 360e0 + 0.5e0) ELSE 0e0 END)
+      OVER (PARTITION BY mmsi, track_start ORDER BY row_number ROWS UNBOUNDED PRECEDING) AS lon
+  FROM numbered WINDOW t AS (PARTITION BY mmsi, track_start)),
+plane AS (SELECT *, lon * 60e0 * cos(radians(mean_lat)) AS x FROM turned),
+spans AS (
+  SELECT mmsi, track_start, 1::BIGINT AS lo, n AS hi FROM plane WHERE rn = 1 AND n > 1
+  UNION ALL
+  SELECT mmsi, track_start, unnest([lo, mid]), unnest([mid, hi]) FROM (
+    SELECT mmsi, track_start, lo, hi, max(off) AS far, arg_max(rn, (off, -rn)) AS mid FROM (
+      SELECT s.mmsi, s.track_start, s.lo, s.hi, p.rn,
+        CASE WHEN (b.x - a.x) ** 2 + (b.y - a.y) ** 2 > 0 THEN
+          greatest(0e0, least(1e0, ((p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y)) / ((b.x - a.x) ** 2 + (b.y - a.y) ** 2))) ELSE 0e0 END AS t,
+        sqrt((p.x - a.x - t * (b.x - a.x)) ** 2 + (p.y - a.y - t * (b.y - a.y)) ** 2) AS off
+      FROM spans s JOIN plane a ON a.mmsi = s.mmsi AND a.track_start = s.track_start AND a.rn = s.lo
+        JOIN plane b ON b.mmsi = s.mmsi AND b.track_start = s.track_start AND b.rn = s.hi
+        JOIN plane p ON p.mmsi = s.mmsi AND p.track_start = s.track_start AND p.rn > s.lo AND p.rn < s.hi)
+    GROUP BY mmsi, track_start, lo, hi) WHERE far > 0.5)"""
+
+
+@query("T-17", sql=sql("""
+SELECT mmsi, epoch_ms(track_start) AS track_start_ms, rn AS row_number, seq FROM plane
+WHERE rn = 1 OR (mmsi, track_start, rn) IN (SELECT mmsi, track_start, hi FROM spans)""", "enriched", extra=PLANE))
 def track_simplified(spark, sf):
-    """Douglas-Peucker is checked against brute force on fixtures."""
     rows = tracks.simplified(_tracked(spark, sf), 0.5)
     return rows.select("mmsi", *common.millis("track_start"), "row_number", "seq")
 
@@ -162,15 +184,18 @@ def track_decimated(spark, sf):
 
 
 @query("K-13", sql=sql("""
-SELECT mmsi, epoch_ms(track_start) AS track_start_ms, (row_number - 1) // 16 AS piece, count(*) + CASE WHEN min(row_number) > 1 THEN 1 ELSE 0 END AS points
-FROM numbered GROUP BY mmsi, track_start, (row_number - 1) // 16""", "enriched", extra=NUMBERED))
+SELECT mmsi, epoch_ms(track_start) AS track_start_ms, count(*) AS points, round(sum(longitude), 6) AS longitudes, round(sum(latitude), 6) AS latitudes
+FROM numbered GROUP BY mmsi, track_start""", "enriched", extra=NUMBERED))
 def track_features(spark, sf):
-    """GeoJSON lines of all tracks in pieces of 16 points; the point count is read back out of the JSON text."""
-    rows = tracks.track_lines(_tracked(spark, sf), block=16)
-    line = F.from_json("feature", "geometry STRUCT<coordinates: ARRAY<ARRAY<DOUBLE>>>")
+    """GeoJSON lines, one per track; count and sums of the points are read back out of the JSON text."""
+    rows = tracks.track_lines(_tracked(spark, sf))
+    line = F.from_json("feature", "geometry STRUCT<coordinates: ARRAY<ARRAY<DOUBLE>>>")["geometry"]["coordinates"]
+
+    def total(place):
+        return common.near(F.aggregate(line, F.lit(0.0), lambda n, p: n + p[place]))
+
     return rows.select(
-        "mmsi", *common.millis("track_start"), "piece",
-        F.size(line["geometry"]["coordinates"]).cast("bigint").alias("points"),
+        "mmsi", *common.millis("track_start"), F.size(line).cast("bigint").alias("points"), total(0).alias("longitudes"), total(1).alias("latitudes")
     )
 
 

@@ -180,7 +180,7 @@ def collision_alerts(spark, sf):
     """At most one collision alert per pair in five minutes."""
     risks = proximity.collision_risk(_pairs(spark, sf), within_seconds=proximity.COLLISION_SECONDS)
     passed = throttle.throttled(
-        risks, ["mmsi_a", "mmsi_b"], ts="window_start", order=["tcpa_seconds"], seconds=common.LONGEST_SLICE
+        risks, ["mmsi_a", "mmsi_b"], ts="window_start", order=["tcpa_seconds"], seconds=common.slice_of(spark, sf)
     )
     rows = proximity.collision_alerts(passed)
     return rows.select(

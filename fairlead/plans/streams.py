@@ -1,4 +1,8 @@
-"""Streaming jobs over the driver's tables: each reads a file stream to its end and returns what it wrote."""
+"""Streaming jobs over the driver's tables: each reads a file stream to its end and returns what it wrote.
+
+The input is a folder of time slices, one per micro-batch, so state crosses batches in every query; an end marker
+closes the windows, sessions and timers that are still open.
+"""
 
 from __future__ import annotations
 
@@ -17,15 +21,38 @@ from fairlead.sources import files, reference, wire
 from fairlead.streaming import job, state
 
 
-def event_stream(session: SparkSession, sf: str) -> DataFrame:
-    """The events table as a file stream."""
-    schema = session.read.parquet(f"{sf}/events.parquet").schema
-    return session.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+# Rows of a staged slice, which one task writes; the fewest slices.
+SLICE_ROWS = 1_000_000
+LEAST_SLICES = 5
+#: A vessel that does not exist: its one fix, long after all others, lets the watermark pass every open window.
+END = -1
+
+
+def staged(spark: SparkSession, sf: str, compression: int = lenses.COMPRESSION) -> str:
+    """The valid positions as a folder of time slices, written one after the other, and the end marker."""
+    folder = scratch_path(spark, "slices")
+    rows = common.valid_rows(lenses.positions_from_events(lenses.table(spark, sf, "events"), compression))
+    bounds = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+    slices = max(LEAST_SLICES, -(-bounds["n"] // SLICE_ROWS))
+    share = (F.unix_micros("ts") - bounds["a"]) * slices
+    place = F.least(F.lit(slices - 1), F.floor(share / (bounds["b"] - bounds["a"] + 1)).cast("int"))
+    for i in range(slices):
+        rows.where(place == i).coalesce(1).write.parquet(f"{folder}/part={i:06d}")
+    last = rows.limit(1).withColumns({"mmsi": F.lit(END).cast("long"), "ts": F.timestamp_micros(F.lit(bounds["b"] + 10**12))})
+    last.coalesce(1).write.parquet(f"{folder}/part={slices:06d}")
+    return folder
 
 
 def valid_stream(session: SparkSession, sf: str, compression: int = lenses.COMPRESSION) -> DataFrame:
-    rows = lenses.positions_from_events(event_stream(session, sf), compression)
-    return job.valid_positions(rows, F.lit(None).cast("timestamp"), check_age=False)
+    """The staged slices as a stream, one file per micro-batch, oldest first."""
+    folder = staged(session, sf, compression)
+    schema = session.read.parquet(f"{folder}/part=000000").schema
+    return session.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+
+
+def ended(rows: DataFrame, key: str = "mmsi") -> DataFrame:
+    """Without what the end marker left."""
+    return rows.where(F.col(key) != END)
 
 
 def finish(started: StreamingQuery) -> None:
@@ -51,7 +78,7 @@ def run_sinks(spark: SparkSession, sf: str) -> tuple[str, tables.CurrentTable]:
     folder = scratch_path(spark, "positions-job")
     shape = job.as_current(common.enriched(spark, sf)).schema
     current = tables.CurrentTable(session, f"{folder}/current", tables.POSITION_RULE, shape)
-    finish(job.run_positions(valid_stream(session, sf), job.PositionSinks(folder, current), f"{folder}/checkpoint"))
+    finish(job.run_positions(ended(valid_stream(session, sf)), job.PositionSinks(folder, current), f"{folder}/checkpoint"))
     return folder, tables.CurrentTable(spark, f"{folder}/current", tables.POSITION_RULE, shape)
 
 
@@ -70,7 +97,7 @@ def stream_enrich_detect(spark, sf):
 def stream_alerts(spark, sf):
     """Alerts of the stateful step, which must be those of the batch throttle."""
     session = job.stream_session(spark)
-    rows = collected(job.alerts_of(state.enriched_stream(valid_stream(session, sf))).select(
+    rows = collected(job.alerts_of(state.enriched_stream(ended(valid_stream(session, sf)))).select(
         "seq", "mmsi", "alert_type", "severity"), spark, "alerts")
     return rows.drop("batch_id")
 
@@ -121,7 +148,7 @@ SELECT mmsi, vessel_name, vessel_type, epoch_ms(date_trunc('hour', ts)) AS hour_
 FROM valid_long GROUP BY mmsi, vessel_name, vessel_type, date_trunc('hour', ts)""", "valid_long"))
 def stream_movement_hourly(spark, sf):
     session = job.stream_session(spark)
-    rows = enrich.with_inferred_type(valid_stream(session, sf, 1))
+    rows = enrich.with_inferred_type(ended(valid_stream(session, sf, 1)))
     folder = scratch_path(spark, "rollup")
     sink = job.RollupSink(f"{folder}/states", rollups.MOVEMENT_HOURLY)
     finish(job.run_rollup(rows, sink, f"{folder}/checkpoint"))
@@ -133,41 +160,39 @@ def stream_movement_hourly(spark, sf):
 @query("T-06", "J-08", sql=sql("SELECT mmsi, seq, fence_id, event FROM fence_events", "valid", "hits", extra=EVENTS))
 def stream_geofence_events(spark, sf):
     session = job.stream_session(spark)
-    events = state.fence_events_stream(valid_stream(session, sf), reference.fences(session))
+    events = state.fence_events_stream(ended(valid_stream(session, sf)), reference.fences(session))
     return collected(events, spark, "fences").select("mmsi", "seq", "fence_id", "event")
 
 
 @query("T-11", sql=sql(f"""
 SELECT mmsi, epoch_ms(prev_ts) AS lost_ms FROM enriched WHERE dt > {int(SILENCE_GAP * 60_000)}
-UNION ALL SELECT mmsi, epoch_ms(max(ts)) FROM valid GROUP BY mmsi
-HAVING epoch_ms(max(ts)) + {int(SILENCE_GAP * 60_000)} <= (SELECT epoch_ms(max(ts)) - 5000 FROM valid)""", "enriched"))
+UNION ALL SELECT mmsi, epoch_ms(max(ts)) FROM valid GROUP BY mmsi""", "enriched"))
 def stream_signal_lost(spark, sf):
     """Timers on event time: a silence is reported once the watermark has passed it."""
     session = job.stream_session(spark)
     lost = state.silence_stream(valid_stream(session, sf), SILENCE_GAP)
-    return collected(lost, spark, "silence").select("mmsi", F.unix_millis("lost_at").alias("lost_ms"))
+    return ended(collected(lost, spark, "silence")).select("mmsi", F.unix_millis("lost_at").alias("lost_ms"))
 
 
 @query("W-07", "T-14", sql=sql(f"""
 SELECT mmsi, epoch_ms(min(ts)) AS track_start_ms, epoch_ms(max(ts)) AS track_end_ms, count(*) AS points, round(avg(speed), 6) AS avg_speed, max(speed) AS max_speed
 FROM (SELECT *, sum(CASE WHEN prev_ts IS NULL OR epoch_us(ts) - epoch_us(prev_ts) > {int(TRACK_GAP * 60_000_000)} THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi ORDER BY ts, seq) AS run FROM enriched)
-GROUP BY mmsi, run HAVING epoch_us(max(ts)) + {int(TRACK_GAP * 60_000_000)} < (SELECT epoch_us(max(ts)) // 1000 * 1000 - 5000000 FROM valid)""", "enriched"))
+GROUP BY mmsi, run""", "enriched"))
 def stream_session_tracks(spark, sf):
     session = job.stream_session(spark)
-    done = collected(job.session_tracks(valid_stream(session, sf), TRACK_GAP), spark, "sessions")
+    done = ended(collected(job.session_tracks(valid_stream(session, sf), TRACK_GAP), spark, "sessions"))
     return done.select("mmsi", *common.millis("track_start", "track_end"), "points", *common.rounded("avg_speed"), "max_speed")
 
 
 @query("W-06", "J-04", sql=sql("""
-SELECT epoch_ms(window_start) AS window_start_ms, mmsi_a, mmsi_b, round(distance_nm, 6) AS distance_nm FROM pairs
-WHERE epoch_us(window_start) + 30000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 5000000 FROM valid)""", "valid", extra=PAIRS))
+SELECT epoch_ms(window_start) AS window_start_ms, mmsi_a, mmsi_b, round(distance_nm, 6) AS distance_nm FROM pairs""", "valid", extra=PAIRS))
 def stream_proximity(spark, sf):
     """Pairs of every sliding window that is over."""
     session = job.stream_session(spark)
     folder = scratch_path(spark, "proximity")
 
     def write(fixes, batch_id):
-        proximity.close_pairs(fixes).write.mode("overwrite").parquet(f"{folder}/pairs/batch_id={batch_id}")
+        proximity.close_pairs(ended(fixes)).write.mode("overwrite").parquet(f"{folder}/pairs/batch_id={batch_id}")
 
     finish(job.run_batches(job.proximity_stream(valid_stream(session, sf)), write, f"{folder}/checkpoint"))
     return spark.read.parquet(f"{folder}/pairs").select(
@@ -178,13 +203,12 @@ def stream_proximity(spark, sf):
 @query("W-05", "T-08", sql=sql("""
 SELECT mmsi, epoch_ms(time_bucket(INTERVAL 5 MINUTE, ts)) AS window_ms, count(speed) AS n, round(var_samp(speed), 4) AS speed_variance
 FROM valid GROUP BY mmsi, time_bucket(INTERVAL 5 MINUTE, ts)
-HAVING (max(speed) > 1.5 * CASE max(vessel_type) WHEN 'PASSENGER' THEN 35e0 WHEN 'TANKER' THEN 20e0 ELSE 25e0 END OR var_samp(speed) > 400)
-  AND epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) + 300000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 5000000 FROM valid)""", "valid"))
+HAVING max(speed) > 1.5 * CASE max(vessel_type) WHEN 'PASSENGER' THEN 35e0 WHEN 'TANKER' THEN 20e0 ELSE 25e0 END OR var_samp(speed) > 400""", "valid"))
 def stream_erratic_speed(spark, sf):
     """Tumbling windows, handed on when they are over."""
     session = job.stream_session(spark)
     rows = enrich.with_inferred_type(valid_stream(session, sf)).withWatermark("ts", job.LATENESS)
-    done = collected(detect.erratic_speed(rows), spark, "erratic")
+    done = ended(collected(detect.erratic_speed(rows), spark, "erratic"))
     return done.select(
         "mmsi", F.unix_millis("window_start").alias("window_ms"), "n", common.near(F.col("speed_variance"), 4).alias("speed_variance")
     )
@@ -195,5 +219,5 @@ SELECT p.seq, p.mmsi, coalesce(v.vessel_type, p.vessel_type) AS vessel_type, coa
 def stream_master_join(spark, sf):
     """Stream-static join to the vessel master."""
     session = job.stream_session(spark)
-    rows = enrich.with_master(valid_stream(session, sf), lenses.vessels(session, sf))
+    rows = enrich.with_master(ended(valid_stream(session, sf)), lenses.vessels(session, sf))
     return collected(rows.select("seq", "mmsi", "vessel_type", "flag"), spark, "master").drop("batch_id")

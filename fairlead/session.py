@@ -78,3 +78,30 @@ def stored_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with its content, if it is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder; none if it is not there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(place)) if files.exists(place) else []
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Give a folder another name on the same file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.rename(place(path), place(to)):
+        raise OSError(f"{path} could not become {to}")

@@ -30,24 +30,27 @@ def vessel_file(spark: SparkSession, path: str) -> DataFrame:
 
 def topic(
     spark: SparkSession, name: str, *, servers: str | None = None, directory: str | None = None,
-    per_trigger: int = 500,
+    offsets_per_trigger: int | None = None, files_per_trigger: int | None = None,
 ) -> DataFrame:
     """A stream of message texts (``value``, ``arrived``), from the earliest offset.
 
     From Kafka where ``servers`` are given and the connector is on the class path; else from JSON-line files
-    below ``directory/name``, one message text per line.
+    below ``directory/name``, one message text per line. A micro-batch takes all there is unless told otherwise.
     """
     if servers:
-        rows = (
+        reader = (
             spark.readStream.format("kafka")
             .option("kafka.bootstrap.servers", servers)
             .option("subscribe", name)
             .option("startingOffsets", "earliest")
-            .option("maxOffsetsPerTrigger", per_trigger)
-            .load()
         )
-        return rows.select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("arrived"))
-    rows = spark.readStream.option("maxFilesPerTrigger", per_trigger).text(f"{directory}/{name}")
+        if offsets_per_trigger:
+            reader = reader.option("maxOffsetsPerTrigger", offsets_per_trigger)
+        return reader.load().select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("arrived"))
+    reader = spark.readStream
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    rows = reader.text(f"{directory}/{name}")
     return rows.select("value", F.current_timestamp().alias("arrived"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fairlead.operators import detect, proximity, tables, validate
 from fairlead.operators.rollups import Rollup
+from fairlead.session import children, exists, remove
 from fairlead.sources import wire
 from fairlead.streaming import state
 
@@ -104,27 +105,49 @@ def run_rejects(tagged: DataFrame, folder: str, checkpoint: str, every: str | No
 
 @dataclass
 class RollupSink:
-    """Keeps the newest state of every group that a batch has touched (update mode)."""
+    """Keeps the mergeable state of every batch; readers fold them, so a row counts however late it comes.
+
+    A replay of a complete batch changes nothing. Every ``tables.COMPACT_EVERY`` batches the states are folded into a
+    base, and what an older base already holds is removed.
+    """
 
     path: str
     rollup: Rollup
 
-    def write(self, state: DataFrame, batch_id: int) -> None:
-        state.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        spark, folder = rows.sparkSession, f"{self.path}/batches/id={int(batch_id)}"
+        if not exists(spark, f"{folder}/_SUCCESS"):
+            self.rollup.state(rows).write.mode("overwrite").parquet(folder)
+        base = self._base(spark)
+        if batch_id - base >= tables.COMPACT_EVERY:
+            self.state(spark, upto=batch_id).write.mode("overwrite").parquet(f"{self.path}/bases/id={int(batch_id)}")
+            for part, last in (("batches", base), ("bases", base - 1)):
+                for number in self._done(spark, part):
+                    if number <= last:
+                        remove(spark, f"{self.path}/{part}/id={number}")
+
+    def _done(self, spark: SparkSession, part: str) -> list[int]:
+        names = [n for n in children(spark, f"{self.path}/{part}") if n.startswith("id=")]
+        return sorted(int(n[3:]) for n in names if exists(spark, f"{self.path}/{part}/{n}/_SUCCESS"))
+
+    def _base(self, spark: SparkSession) -> int:
+        return max(self._done(spark, "bases"), default=-1)
+
+    def state(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
+        base = self._base(spark)
+        held = [f"bases/id={base}"] if base >= 0 else []
+        later = [n for n in self._done(spark, "batches") if n > base and (upto is None or n <= upto)]
+        return self.rollup.merged([spark.read.parquet(*[f"{self.path}/{p}" for p in held + [f"batches/id={n}" for n in later]])])
 
     def read(self, spark: SparkSession) -> DataFrame:
-        states = spark.read.parquet(self.path)
-        rest = [c for c in states.columns if c not in self.rollup.groups and c != "batch_id"]
-        newest = states.groupBy(*self.rollup.groups).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_s"))
-        return self.rollup.finished(newest.select(*self.rollup.groups, "_s.*"))
+        return self.rollup.finished(self.state(spark))
 
 
 def run_rollup(
     rows: DataFrame, sink: RollupSink, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Maintain a rollup as rows come in. State of a window is dropped once the watermark has passed it."""
-    state_rows = sink.rollup.state(rows.withWatermark("ts", LATENESS))
-    return run_batches(state_rows, sink.write, checkpoint, mode="update", every=every)
+    """Maintain a rollup as rows come in. No state is held between batches, so no row is ever too late."""
+    return run_batches(rows, sink.write, checkpoint, every=every)
 
 
 def session_tracks(positions: DataFrame, gap_minutes: float) -> DataFrame:

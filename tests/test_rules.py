@@ -1,6 +1,8 @@
 """Rule boundaries on hand-written rows."""
 
 import datetime as dt
+import math
+import operator
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,13 +190,17 @@ def test_sliding_set(spark):
     assert alive(40) == ["a1"]
 
 
-def test_rule_table_is_bounded(spark, monkeypatch):
-    ddl = "id int, rule_name string, rule_type string, metric string, op string, threshold double, is_active boolean"
-    table = spark.createDataFrame([(i, "r", "SPEED", "speed", ">", 1.0, True) for i in range(4)], ddl)
-    assert len(rules.rules_from(table)) == 4
-    monkeypatch.setattr(rules, "MAX_RULES", 3)
-    with pytest.raises(ValueError):
-        rules.rules_from(table)
+@pytest.mark.parametrize("bound", [100_000, 3])
+def test_rules_are_a_table_of_any_size(spark, monkeypatch, bound):
+    monkeypatch.setattr(rules.skew.fits_broadcast, "__defaults__", (bound,))
+    many = [rules.Rule(i, f"r{i}", "SPEED", "speed", op, float(i % 40)) for i, op in enumerate(list(rules_ops) * 30)]
+    many += [rules.Rule(900, "off", "SPEED", "speed", ">", 0.0, False), rules.Rule(901, "other", "SPEED", "unknown", ">", 0.0)]
+    rows = spark.createDataFrame([(i, float(i)) for i in range(40)] + [(40, None)], "seq long, speed double")
+    found = {(r.seq, r.rule_id) for r in rules.rule_hits(rows, rules.rule_table(spark, many), {"speed": F.col("speed")}).collect()}
+    assert found == {(s, r.id) for s in range(40) for r in many[:-2] if rules_ops[r.op](float(s), r.threshold)}
+
+
+rules_ops = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "=": operator.eq}
 
 
 def test_search_reads(spark):
@@ -207,23 +213,50 @@ def test_search_reads(spark):
     assert [r.mmsi for r in reads.name_match(vessels, "sea 100x").collect()] == [2, 1]
 
 
-def test_simplification(spark):
+def one_pass(x, y, tolerance):
+    """Douglas-Peucker over a whole track, plainly recursive."""
+
+    def go(a, b):
+        far, at = 0.0, None
+        dx, dy = x[b] - x[a], y[b] - y[a]
+        square = dx * dx + dy * dy
+        for i in range(a + 1, b):
+            t = min(1.0, max(0.0, ((x[i] - x[a]) * dx + (y[i] - y[a]) * dy) / square)) if square > 0 else 0.0
+            off = math.hypot(x[i] - x[a] - t * dx, y[i] - y[a] - t * dy)
+            if off > far:
+                far, at = off, i
+        return go(a, at) | go(at, b) if far > tolerance else {a, b}
+
+    return sorted(go(0, len(x) - 1))
+
+
+@pytest.mark.parametrize("block", [16, 50, 10_000])
+def test_simplification_does_not_depend_on_the_block(spark, block):
     import numpy as np
 
     rng = np.random.default_rng(2)
-    n = 400
-    base = np.cumsum(rng.normal(0, 0.002, (n, 2)), axis=0)
-    rows = [(1, float(a), float(o), 1.0, 0.0, NOW + dt.timedelta(seconds=i), i) for i, (a, o) in enumerate(base)]
+    n = 300
+    walk = np.cumsum(rng.normal(0, 0.002, (n, 2)), axis=0) + [0.0, 179.99]  # wanders over the date line
+    line = np.stack([np.zeros(n), np.arange(n) * 0.001], axis=1)
+    rows, expected = [], {}
+    for mmsi, track in ((1, walk), (2, line)):
+        lat, lon = track[:, 0], (track[:, 1] + 180) % 360 - 180
+        rows += [(mmsi, float(a), float(o), 1.0, 0.0, NOW + dt.timedelta(seconds=i), i) for i, (a, o) in enumerate(zip(lat, lon))]
+        expected[mmsi] = one_pass(track[:, 1] * 60 * np.cos(np.radians(lat.mean())), lat * 60, 0.1)
     df = spark.createDataFrame(rows, "mmsi long, latitude double, longitude double, speed double, course double, ts timestamp, seq long")
     tracked = tracks.with_track(df, seconds=60)
-    for block in (10_000, 50):
-        kept = sorted(r.seq for r in tracks.simplified(tracked, 0.1, block).collect())
-        assert kept[0] == 0 and kept[-1] == n - 1 and len(kept) == len(set(kept)) < n
-        for a, b in zip(kept, kept[1:]):
-            if b - a > 1:
-                lat = base[a : b + 1, 0] * 60
-                lon = base[a : b + 1, 1] * 60
-                d = np.array([lon[-1] - lon[0], lat[-1] - lat[0]])
-                p = np.stack([lon[1:-1] - lon[0], lat[1:-1] - lat[0]], axis=1)
-                along = np.clip(p @ d / max(d @ d, 1e-30), 0, 1)
-                assert np.max(np.linalg.norm(p - along[:, None] * d, axis=1)) <= 0.1 + 1e-6
+    found = tracks.simplified(tracked, 0.1, block).collect()
+    for mmsi, points in expected.items():
+        assert sorted(r.seq for r in found if r.mmsi == mmsi) == points
+    assert expected[2] == [0, n - 1] and 2 < len(expected[1]) < n
+    lines = {r.mmsi: r.points for r in tracks.track_lines(tracked).collect()}
+    assert lines == {1: n, 2: n}
+
+
+def test_the_date_line_is_not_averaged_away(spark):
+    rows = [(1, 0.0, lon, 1.0, 0.0, NOW + dt.timedelta(seconds=120 * i), i) for i, lon in enumerate((179.7, 179.9, -179.9, -179.7))]
+    df = spark.createDataFrame(rows, "mmsi long, latitude double, longitude double, speed double, course double, ts timestamp, seq long")
+    smooth = {r.seq: r.smooth_longitude for r in tracks.smoothed(tracks.with_track(df, seconds=60), 1).collect()}
+    assert smooth[1] == pytest.approx((179.7 + 179.9 + 180.1) / 3) and smooth[2] == pytest.approx(-(179.7 + 179.9 + 180.1) / 3)
+    filled = [r.longitude for r in tracks.gap_filled(df, seconds=60).where("seq = 1 AND interpolated").collect()]
+    assert filled == pytest.approx([-180.0])

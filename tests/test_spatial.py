@@ -118,3 +118,16 @@ def test_radius_equals_brute_force(spark, centre):
     got = {r.mmsi for r in spatial.within_radius(positions(spark, points), *centre, 60.0).collect()}
     want = {i + 1 for i, p in enumerate(points) if nm(centre, p) / geo.EARTH_RADIUS_NM * geo.EARTH_RADIUS_KM <= 60.0}
     assert got == want and want
+
+
+def test_wide_fences_take_few_rows_and_the_date_line_is_no_edge(spark):
+    box = lambda west, east, south, north: [reference.ring((west, south), ((west + east) / 2, south), (east, south), (east, north), ((west + east) / 2, north), (west, north))]
+    over = [reference.ring((179.0, -1.0), (-179.0, -1.0), (-179.0, 1.0), (179.0, 1.0))]
+    rows = [(1, "Ocean", "CUSTOM", box(-130.0, 130.0, -80.0, 80.0), True, True, True), (2, "Line", "CUSTOM", over, True, True, True)]
+    fences = spark.createDataFrame(rows, reference.FENCE_SCHEMA)
+    assert spatial.fence_rows(fences).count() < 400
+    points = [(1, 0.0, 0.0, [1]), (2, 0.5, 179.5, [2]), (3, -0.5, -179.5, [2]), (4, 0.0, 180.0, [2]), (5, 0.0, -180.0, [2]), (6, 0.0, 178.9, []), (7, 79.0, -129.0, [1]), (8, 81.0, 0.0, [])]
+    where = spark.createDataFrame([(m, m, a, o) for m, a, o, _ in points], "mmsi long, seq long, latitude double, longitude double")
+    for bounds in ({}, {"max_rows": 1}, {"max_edges": 1}):
+        found = {r.mmsi: r.inside for r in spatial.with_fences_inside(where, fences, **bounds).collect()}
+        assert found == {m: inside for m, _, _, inside in points}

@@ -8,7 +8,7 @@ from tests.twins import database, difference
 SF_DIR = "/root/testdata/sf0.001"
 CATALOG = load()
 # Checked against brute force elsewhere, or approximate by nature.
-WITHOUT_TWIN = {"track_simplified", "alerts_daily_sketch", "export_geojson"}
+WITHOUT_TWIN = {"alerts_daily_sketch", "export_geojson"}
 
 
 @pytest.fixture(scope="module")
