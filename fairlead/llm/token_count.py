@@ -26,7 +26,7 @@ from fairlead.llm.common import byte_texts, row_of, stored_table
 CHUNK = 32_768
 CONTEXTS = (24, 96, 512)
 #: Compiled states that a task keeps; beyond that it starts compiling anew.
-STATES = 150_000
+STATES = 120_000
 SPACE = "▁"
 
 #: No piece to the left: whatever follows is independent of what came before.
