@@ -99,7 +99,34 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
-@query()
+def _listed(words) -> str:
+    return "[" + ", ".join("'" + w.decode() + "'" for w in words) + "]"
+
+
+_KNOWN = license_scan.Templates.of(license_scan.TEMPLATES)
+_RUN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+@query(
+    sql=f"""
+    WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+    w AS (SELECT doc_id, regexp_extract_all(t, {_RUN}) AS ws FROM d),
+    phrases(label, ps) AS (VALUES {", ".join(f"('{label}', {_listed(license_scan.words_of(p.encode()))})" for p, label in license_scan.PHRASES.items())}),
+    places AS (SELECT doc_id, label, unnest(list_filter(range(0, len(ws) - len(ps) + 1), lambda i: ws[i + 1:i + len(ps)] = ps)) AS place FROM w, phrases),
+    templates(label, ts) AS (VALUES {", ".join(f"('{label}', {_listed(sorted(s))})" for label, s in zip(_KNOWN.labels, _KNOWN.sets, strict=True))}),
+    lines AS (SELECT doc_id, unnest(list_transform(string_split(t, chr(10)), lambda x: regexp_extract_all(x, {_RUN}))) AS ws FROM d),
+    blocks AS (SELECT doc_id, unnest(CASE WHEN len(ws) <= {2 * _KNOWN.longest} THEN [ws]
+      ELSE list_transform(range(0, len(ws) - {_KNOWN.longest}, {_KNOWN.longest}), lambda i: ws[i + 1:i + {2 * _KNOWN.longest}]) END) AS ws FROM lines WHERE len(ws) > 0),
+    hits AS (SELECT doc_id, label, n / size AS share FROM (
+      SELECT doc_id, label, len(list_intersect(ws, ts))::DOUBLE AS n, len(ts) AS size FROM blocks, templates) WHERE n >= ceil({license_scan.THRESHOLD} * size - 1e-9)),
+    base AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
+    found AS (SELECT doc_id, count(*) AS n, max(share) AS share FROM hits GROUP BY doc_id),
+    named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM hits) GROUP BY doc_id)
+    SELECT w.doc_id, len(ws) AS n_words, coalesce(base.n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(base.labels, '') AS base_labels,
+      coalesce(named.labels, '') AS labels, CASE WHEN base.n > 0 THEN 1e0 ELSE coalesce(share, 0e0) END AS score, coalesce(found.n, 0) AS n_blocks
+    FROM w LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN named USING (doc_id)
+    """
+)
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.license_scan(documents(spark, sf_dir))
     written = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
@@ -131,7 +158,21 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
-@query()
+@query(
+    sql="""
+    WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+    w AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+    f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+    hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w JOIN f USING (s) WHERE first < doc_id),
+    run AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
+    span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, r),
+    gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM (SELECT doc_id, a, b FROM span UNION ALL SELECT doc_id, n, n FROM d)),
+    kept AS (SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+    lost AS (SELECT doc_id, sum(b - a)::BIGINT AS bytes, count(*) AS spans FROM span GROUP BY doc_id)
+    SELECT d.doc_id, n AS n_bytes, coalesce(bytes, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+    FROM d JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+    """
+)
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup_strings(documents(spark, sf_dir), length=50)
     lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
