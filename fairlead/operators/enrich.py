@@ -14,7 +14,7 @@ PREVIOUS_FIELDS = ("latitude", "longitude", "speed", "course", "ts")
 DEFAULT_FLAG = "ID"
 DEFAULT_DESTINATION = "Unknown"
 
-MASTER_COLUMNS = ("imo_number", "callsign", "vessel_type", "flag_state", "length", "width")
+MASTER_COLUMNS = ("imo_number", "callsign", "vessel_type", "flag_state", "length", "width", "eta", "draught")
 
 
 def with_movement(positions: DataFrame, seconds: float = sequence.SLICE_SECONDS) -> DataFrame:
@@ -63,6 +63,8 @@ def with_master(positions: DataFrame, vessels: DataFrame) -> DataFrame:
             "destination": F.coalesce("destination", F.lit(DEFAULT_DESTINATION)),
             "length": F.col("_m_length"),
             "width": F.col("_m_width"),
+            "eta": F.col("_m_eta"),
+            "draught": F.col("_m_draught"),
             "known_vessel": F.col("_m_flag_state").isNotNull(),
         }
     ).drop(*[f"_m_{c}" for c in MASTER_COLUMNS])

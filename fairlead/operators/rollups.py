@@ -240,8 +240,8 @@ def alert_stats_by_type(alerts: DataFrame, since: Column) -> DataFrame:
 IN_PORT_CODES = (1, 5)
 
 
-def live_stats(positions: DataFrame, as_of: Column, active_minutes: int = 60) -> DataFrame:
-    """One row of counters: all vessels, and by their latest fix those in port, under way and active."""
+def live_stats(positions: DataFrame, alerts: DataFrame, as_of: Column, active_minutes: int = 60) -> DataFrame:
+    """One row of counters: all vessels, by their latest fix those in port, under way and active, and open alerts."""
     per_vessel = positions.groupBy("mmsi").agg(
         F.max_by("navigation_status", F.struct("ts", "seq")).alias("code"),
         F.max("ts").alias("seen"),
@@ -255,6 +255,7 @@ def live_stats(positions: DataFrame, as_of: Column, active_minutes: int = 60) ->
         F.count_if(~code.isin(*IN_PORT_CODES)).alias("under_way"),
         F.count_if(age <= active_minutes * 60_000).alias("active_vessels"),
         F.sum("last_hour").alias("positions_last_hour"),
+        F.any_value(alerts.where("NOT acknowledged").agg(F.count(F.lit(1))).scalar()).alias("active_alerts"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,10 @@ def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def heaviest_keys(rows: DataFrame, keys: Sequence[str], top: int = HOT_KEYS) -> DataFrame:
-    """The ``top`` most frequent keys, a table of bounded size whatever the input holds."""
+    """The keys that hold at least one row in ``top`` of all rows; by that there are no more than ``top`` of them."""
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.orderBy(F.desc("_n")).limit(top).select(*keys, F.lit(True).alias("_hot"))
+    total = counted.agg(F.sum("_n")).scalar()
+    return counted.where(F.col("_n") * top >= total).select(*keys, F.lit(True).alias("_hot"))
 
 
 def salted_join(
@@ -34,12 +36,14 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join in which the heaviest keys are spread over ``salts`` tasks.
 
-    Only rows of the ``top`` heaviest keys get a salt on the fact side; only their dimension rows are
-    repeated, at most ``top * salts`` extra copies of each. ``spread`` are fact columns that vary inside a key.
+    Only rows of keys that hold one row in ``top`` or more get a salt on the fact side; only their dimension rows
+    are repeated, ``salts`` times. ``spread`` are fact columns that vary inside a key.
     """
     keys = list(keys)
     hot = F.broadcast(heaviest_keys(fact, keys, top))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    # Rows without a key meet nothing, so they may go anywhere.
+    nowhere = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    salt = F.when(F.col("_hot") | nowhere, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     left = fact.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
     right = dim.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")

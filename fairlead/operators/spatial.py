@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -193,6 +195,18 @@ def fence_alerts(events: DataFrame, fences: DataFrame) -> DataFrame:
     )
 
 
+def nearest_port(rows: DataFrame, ports: Sequence[tuple[str, float, float]]) -> DataFrame:
+    """Add ``port_id`` and ``distance_km`` of the nearest port of a fixed list (id, latitude, longitude).
+
+    The list is part of the plan, so there is no join; ties go to the smaller id.
+    """
+    away = [
+        F.struct(geo.distance_km(F.col("latitude"), F.col("longitude"), F.lit(lat), F.lit(lon)).alias("distance_km"), F.lit(name).alias("port_id"))
+        for name, lat, lon in ports
+    ]
+    return rows.withColumn("_near", F.array_min(F.array(*away))).select("*", "_near.port_id", "_near.distance_km").drop("_near")
+
+
 def reach_degrees(lat: float, km: float) -> tuple[float, float]:
     """Half height and half width in degrees of a box that holds the circle around a point."""
     import math

@@ -73,6 +73,11 @@ PORT_OPERATION_RULE = MergeRule(
     mutable=("status", "departure_time"),
     fixed=("port_id", "port_name", "mmsi", "vessel_name", "operation_type", "berth_number", "arrival_time", "ts"),
 )
+ALERT_RULE = MergeRule(
+    keys=("alert_id",),
+    mutable=(),
+    fixed=("alert_type", "severity", "mmsi", "vessel_name", "latitude", "longitude", "title", "description", "ts"),
+)
 
 
 class CurrentTable:

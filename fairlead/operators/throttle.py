@@ -134,12 +134,13 @@ def throttled(
     """The candidates that pass; ``order`` breaks ties inside one millisecond. Same columns as the input.
 
     A slice column left by the sequence operators is reused, so throttling after them needs no further
-    exchange of the candidates. Only the distinct candidate times are gathered and written to the shared folder;
-    the candidates themselves are picked by a join on their slice.
+    exchange of the candidates. The candidates, which are few beside the rows that they were found in, are written to
+    the shared folder once, so detection runs once; only their distinct times are gathered, and the candidates that
+    pass are picked by a join on their slice.
     """
     steps_of, composed, entries, passing = _udfs(interval_ms)
     keys = list(keys)
-    sliced = with_slice(candidates, seconds, ts).withColumn("_ms", F.unix_millis(ts))
+    sliced = stored_table(with_slice(candidates, seconds, ts).withColumn("_ms", F.unix_millis(ts)), "candidates")
     moments = sliced.select(*keys, SLICE, "_ms").distinct().groupBy(*keys, SLICE).agg(
         F.sort_array(F.collect_list("_ms")).alias("_times")
     )

@@ -90,6 +90,8 @@ def vessels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("flag_state"),
         (key % 200 + 50).cast("double").alias("length"),
         (key % 30 + 10).cast("double").alias("width"),
+        F.timestamp_micros(F.lit(EPOCH_2024_US) + (key % 48) * 3_600_000_000).alias("eta"),
+        ((key % 24 + 8) / F.lit(2.0)).alias("draught"),
     )
 
 

@@ -155,7 +155,8 @@ CTES = {
   SELECT c_custkey + {lenses.MMSI_BASE} AS mmsi, c_name AS vessel_name,
     'IMO' || CAST(c_custkey + 9000000 AS VARCHAR) AS imo_number, 'YB' || CAST(c_custkey AS VARCHAR) AS callsign,
     {case('c_mktsegment', lenses.TYPE_BY_SEGMENT, text('OTHER'))} AS vessel_type, n_name AS flag_state,
-    CAST(c_custkey % 200 + 50 AS DOUBLE) AS length, CAST(c_custkey % 30 + 10 AS DOUBLE) AS width
+    CAST(c_custkey % 200 + 50 AS DOUBLE) AS length, CAST(c_custkey % 30 + 10 AS DOUBLE) AS width,
+    {lenses.EPOCH_2024_US // 1000} + c_custkey % 48 * 3600000 AS eta_ms, (c_custkey % 24 + 8) / 2e0 AS draught
   FROM customer JOIN nation ON c_nationkey = n_nationkey)""",
     "operations": f"""operations AS (
   SELECT 'OP' || CAST(o_orderkey AS VARCHAR) AS operation_id, 'P' || CAST(c_nationkey AS VARCHAR) AS port_id,

@@ -142,10 +142,10 @@ def last_n_positions(spark, sf):
 
 @query("J-01", sql=sql("""
 SELECT p.seq, p.mmsi, coalesce(v.vessel_type, p.vessel_type) AS vessel_type, coalesce(v.flag_state, 'ID') AS flag, coalesce(p.destination, 'Unknown') AS destination,
-  v.length AS length, v.width AS width, v.mmsi IS NOT NULL AS known_vessel FROM valid p LEFT JOIN vessels v ON p.mmsi = v.mmsi""", "valid", "vessels"))
+  v.length AS length, v.width AS width, v.eta_ms AS eta_ms, v.draught AS draught, v.mmsi IS NOT NULL AS known_vessel FROM valid p LEFT JOIN vessels v ON p.mmsi = v.mmsi""", "valid", "vessels"))
 def enrich_with_master(spark, sf):
     rows = enrich.with_master(common.valid(spark, sf).drop("vessel_type"), lenses.vessels(spark, sf))
-    return rows.select("seq", "mmsi", "vessel_type", "flag", "destination", "length", "width", "known_vessel")
+    return rows.select("seq", "mmsi", "vessel_type", "flag", "destination", "length", "width", *common.millis("eta"), "draught", "known_vessel")
 
 
 @query("X-03", sql=sql("""

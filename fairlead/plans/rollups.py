@@ -221,13 +221,14 @@ def port_analytics(spark, sf):
 
 @query("A-23", sql=sql("""
 SELECT count(*) AS total_vessels, count(*) FILTER (WHERE code IN (1, 5)) AS in_port, count(*) FILTER (WHERE code NOT IN (1, 5)) AS under_way,
-  count(*) FILTER (WHERE epoch_ms(now_ts) - epoch_ms(seen) <= 86400000) AS active_vessels, sum(last_hour)::BIGINT AS positions_last_hour
+  count(*) FILTER (WHERE epoch_ms(now_ts) - epoch_ms(seen) <= 86400000) AS active_vessels, sum(last_hour)::BIGINT AS positions_last_hour,
+  (SELECT count(*) FROM alerts) AS active_alerts
 FROM (SELECT mmsi, arg_max(navigation_status, (ts, seq)) AS code, max(ts) AS seen, (SELECT max(ts) FROM positions_long) AS now_ts,
     count(*) FILTER (WHERE epoch_ms((SELECT max(ts) FROM positions_long)) - epoch_ms(ts) < 3600000) AS last_hour
-  FROM valid_long GROUP BY mmsi)""", "valid_long"))
+  FROM valid_long GROUP BY mmsi)""", "valid_long", "alerts"))
 def live_stats(spark, sf):
     now = common.newest(lenses.positions_long(spark, sf))
-    return ops.live_stats(common.valid_long(spark, sf), now, active_minutes=1440)
+    return ops.live_stats(common.valid_long(spark, sf), common.alerts(spark, sf), now, active_minutes=1440)
 
 
 @query("A-24", sql=sql("""

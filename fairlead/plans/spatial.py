@@ -62,6 +62,20 @@ def vessels_within_radius(spark, sf):
     return rows.select("mmsi", common.near(F.col("distance_km"), 5).alias("distance_km"))
 
 
+@query("S-14", sql=sql(f"""
+SELECT mmsi, port_id, port_id IN ('SGSIN', 'NLRTM', 'USNYC', 'CNSHA') AS monitored, round(d, 5) AS distance_km FROM (
+  SELECT mmsi, port_id, d, row_number() OVER (PARTITION BY mmsi ORDER BY d, port_id) AS r FROM (
+    SELECT mmsi, port_id, {km('latitude', 'longitude', 'port_lat', 'port_lon')} AS d FROM latest,
+      (VALUES ('SGSIN', 1.2644e0, 103.8542e0), ('IDTPP', -6.1042e0, 106.8829e0), ('MYPKG', 3.0039e0, 101.3944e0)) AS p(port_id, port_lat, port_lon)))
+WHERE r = 1""", "valid", extra=LATEST))
+def nearest_sample_port(spark, sf):
+    """The sample port that each vessel is nearest to, and whether it is one of the monitored ones."""
+    latest = sequence.latest_per_key(common.valid(spark, sf).select("mmsi", "latitude", "longitude", "ts", "seq"), ["mmsi"])
+    rows = ops.nearest_port(latest, [(p[0], p[3], p[4]) for p in reference.PORTS])
+    monitored = F.col("port_id").isin(*reference.MONITORED_PORTS)
+    return rows.select("mmsi", "port_id", monitored.alias("monitored"), common.near(F.col("distance_km"), 5).alias("distance_km"))
+
+
 @query("L-05", sql=sql(f"""
 SELECT mmsi, round(d, 5) AS distance_km FROM (SELECT mmsi, {km('latitude', 'longitude', f'{PORT_LAT}e0', f'{PORT_LON}e0')} AS d FROM latest
   WHERE ts > (SELECT max(ts) FROM positions) - INTERVAL 1 HOUR) ORDER BY d, mmsi LIMIT 10""", "valid", extra=LATEST))

@@ -6,12 +6,12 @@ closes the windows, sessions and timers that are still open.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fairlead.operators import detect, enrich, proximity, rollups, tables
-from fairlead.plans import common, ingest, lenses
+from fairlead.plans import common, ingest, lenses, writes
 from fairlead.plans.oracle import sql
 from fairlead.plans.registry import query
 from fairlead.plans.sequences import SILENCE_GAP, TRACK_GAP
@@ -28,28 +28,33 @@ LEAST_SLICES = 5
 END = -1
 
 
-def staged(spark: SparkSession, sf: str, compression: int = lenses.COMPRESSION) -> str:
-    """The valid positions as a folder of time slices, written one after the other, and the end marker."""
+def in_slices(spark: SparkSession, rows: DataFrame, marker: dict[str, Column] | None = None) -> str:
+    """Rows as a folder of time slices, written one after the other; ``marker`` adds a last row that closes windows."""
     folder = scratch_path(spark, "slices")
-    rows = common.valid_rows(lenses.positions_from_events(lenses.table(spark, sf, "events"), compression))
     bounds = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
     slices = max(LEAST_SLICES, -(-bounds["n"] // SLICE_ROWS))
     share = (F.unix_micros("ts") - bounds["a"]) * slices
     place = F.least(F.lit(slices - 1), F.floor(share / (bounds["b"] - bounds["a"] + 1)).cast("int"))
     for i in range(slices):
         rows.where(place == i).coalesce(1).write.parquet(f"{folder}/part={i:06d}")
-    last = rows.limit(1).withColumns({"mmsi": F.lit(END).cast("long"), "ts": F.timestamp_micros(F.lit(bounds["b"] + 10**12))})
-    last.coalesce(1).write.parquet(f"{folder}/part={slices:06d}")
+    if marker:
+        last = rows.limit(1).withColumns({**marker, "ts": F.timestamp_micros(F.lit(bounds["b"] + 10**12))})
+        last.coalesce(1).write.parquet(f"{folder}/part={slices:06d}")
     return folder
 
 
-def valid_stream(session: SparkSession, sf: str, compression: int = lenses.COMPRESSION) -> DataFrame:
-    """The staged slices as a stream, one file per micro-batch, oldest first."""
-    folder = staged(session, sf, compression)
+def slices_stream(session: SparkSession, folder: str) -> DataFrame:
+    """The slices of a folder as a stream, one file per micro-batch, oldest first."""
     schema = session.read.parquet(f"{folder}/part=000000").schema
     return session.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
 
 
+def valid_stream(session: SparkSession, sf: str, compression: int = lenses.COMPRESSION) -> DataFrame:
+    """The valid positions in time slices, and the end marker."""
+    rows = common.valid_rows(lenses.positions_from_events(lenses.table(session, sf, "events"), compression))
+    return slices_stream(session, in_slices(session, rows, {"mmsi": F.lit(END).cast("long")}))
+
+
 def ended(rows: DataFrame, key: str = "mmsi") -> DataFrame:
     """Without what the end marker left."""
     return rows.where(F.col(key) != END)
@@ -221,3 +226,49 @@ def stream_master_join(spark, sf):
     session = job.stream_session(spark)
     rows = enrich.with_master(ended(valid_stream(session, sf)), lenses.vessels(session, sf))
     return collected(rows.select("seq", "mmsi", "vessel_type", "flag"), spark, "master").drop("batch_id")
+
+
+def _persisted(spark: SparkSession, topic: str, rows: DataFrame) -> job.PersistenceSinks:
+    """Run one topic's persistence job over its rows, slice by slice, every slice delivered twice by a restart."""
+    session, folder = job.stream_session(spark), scratch_path(spark, topic)
+    sinks = job.persistence_sinks(session, topic, folder, rows)
+    stream = slices_stream(session, in_slices(session, rows))
+    finish(job.run_persistence(stream, sinks, f"{folder}/checkpoint"))
+    # A restart without its checkpoint delivers every batch again under the same ids.
+    finish(job.run_persistence(stream, sinks, f"{folder}/checkpoint-again"))
+    return sinks
+
+
+@query("K-05", "K-08", "K-12", sql=sql("""
+SELECT grid_id, round(arg_max(temperature, (ts, seq)), 6) AS temperature, arg_max(wind_speed, (ts, seq)) AS wind_speed, epoch_ms(max(ts)) AS ts_ms,
+  count(*) AS history_rows FROM weather GROUP BY grid_id""", "weather"))
+def stream_persist_weather(spark, sf):
+    """Current state and history of the weather topic."""
+    sinks = _persisted(spark, "weather", lenses.weather(spark, sf))
+    held = spark.read.parquet(f"{sinks.folder}/weather_history").groupBy("grid_id").agg(F.count(F.lit(1)).alias("history_rows"))
+    rows = sinks.current.read().join(held, "grid_id")
+    return rows.select("grid_id", *common.rounded("temperature"), "wind_speed", *common.millis("ts"), "history_rows")
+
+
+@query("K-06", "K-08", "K-12", sql=sql("""
+SELECT operation_id, port_id, status, 'B' || (seq % 12) AS berth_number, epoch_ms(departure_time) AS departure_ms, epoch_ms(ts) AS ts_ms, 2 AS history_rows FROM operations""", "operations"))
+def stream_persist_port_operations(spark, sf):
+    """Announced first, then as it happened; the history has both messages."""
+    rows = writes.operation_messages(spark, sf)
+    sinks = _persisted(spark, "port_operations", rows[0].unionByName(rows[1]))
+    held = spark.read.parquet(f"{sinks.folder}/port_operations_history").groupBy("operation_id").agg(F.count(F.lit(1)).alias("history_rows"))
+    return sinks.current.read().join(held, "operation_id").select(
+        "operation_id", "port_id", "status", "berth_number", F.unix_millis("departure_time").alias("departure_ms"),
+        *common.millis("ts"), "history_rows",
+    )
+
+
+@query("K-07", "K-08", "K-12", sql=sql("""
+SELECT sha256(alert_type || '|' || mmsi || '|' || epoch_us(ts) || '|' || seq) AS alert_id, alert_type, severity, mmsi, 2 AS history_rows FROM alerts""", "alerts"))
+def stream_persist_alerts(spark, sf):
+    """Alerts inserted once by their id, though every one is sent again a minute later; the history has both messages."""
+    rows = common.alerts(spark, sf)
+    again = rows.withColumns({"severity": F.lit("LATER"), "ts": F.timestamp_micros(F.unix_micros("ts") + 60_000_000)})
+    sinks = _persisted(spark, "alerts", rows.unionByName(again))
+    held = spark.read.parquet(f"{sinks.folder}/alerts_history").groupBy("alert_id").agg(F.count(F.lit(1)).alias("history_rows"))
+    return sinks.current.read().join(held, "alert_id").select("alert_id", "alert_type", "severity", "mmsi", "history_rows")

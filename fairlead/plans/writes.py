@@ -57,14 +57,20 @@ def upsert_weather(spark, sf):
     return table.read().select("grid_id", *common.rounded("temperature"), "wind_speed", *common.millis("ts"), *common.rounded("latitude"))
 
 
+def operation_messages(spark, sf):
+    """Two messages of every port operation: as announced, and as it happened a minute later."""
+    rows = lenses.port_operations(spark, sf)
+    announced = rows.withColumns({"status": F.lit("SCHEDULED"), "departure_time": F.col("arrival_time")})
+    happened = rows.withColumns({"berth_number": F.lit("B99"), "ts": F.timestamp_micros(F.unix_micros("ts") + 60_000_000)})
+    return announced, happened
+
+
 @query("K-06", "L-03", sql=sql("""
 SELECT operation_id, port_id, status, 'B' || (seq % 12) AS berth_number, epoch_ms(departure_time) AS departure_ms, epoch_ms(ts) AS ts_ms FROM operations""", "operations"))
 def upsert_port_operations(spark, sf):
     """Announced first, then as it happened: only status and departure follow the second message."""
-    rows = lenses.port_operations(spark, sf)
-    announced = rows.withColumns({"status": F.lit("SCHEDULED"), "departure_time": F.col("arrival_time")})
-    happened = rows.withColumns({"berth_number": F.lit("B99"), "ts": F.timestamp_micros(F.unix_micros("ts") + 60_000_000)})
-    table = _current(spark, rows, tables.PORT_OPERATION_RULE, [announced, happened])
+    announced, happened = operation_messages(spark, sf)
+    table = _current(spark, announced, tables.PORT_OPERATION_RULE, [announced, happened])
     return table.read().select(
         "operation_id", "port_id", "status", "berth_number", F.unix_millis("departure_time").alias("departure_ms"),
         *common.millis("ts"),
@@ -111,6 +117,52 @@ def live_positions(spark, sf):
     return tables.live_values(rows, ["mmsi"], common.as_of(spark, sf), 60).select("mmsi", "speed", *common.millis("ts"))
 
 
+VALUE_DAYS = 30
+
+
+@query("K-10", sql=sql(f"""
+SELECT grid_id, wind_speed, epoch_ms(ts) AS ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY ts DESC, seq DESC) AS r FROM weather)
+WHERE r = 1 AND epoch_ms((SELECT max(ts) FROM weather)) - epoch_ms(ts) < {VALUE_DAYS * 86_400_000}""", "weather"))
+def live_weather(spark, sf):
+    """Latest readings of every cell with a life of a month."""
+    rows = lenses.weather(spark, sf).select("grid_id", "wind_speed", "ts", "seq")
+    done = tables.live_values(rows, ["grid_id"], common.newest(rows), VALUE_DAYS * 86_400)
+    return done.select("grid_id", "wind_speed", *common.millis("ts"))
+
+
+@query("K-10", sql=sql(f"""
+SELECT port_id, operation_id, epoch_ms(ts) AS ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY port_id ORDER BY ts DESC, seq DESC) AS r FROM operations)
+WHERE r = 1 AND epoch_ms((SELECT max(ts) FROM operations)) - epoch_ms(ts) < {VALUE_DAYS * 86_400_000}""", "operations"))
+def live_port_operations(spark, sf):
+    """Latest operation of every port with a life of a month."""
+    rows = lenses.port_operations(spark, sf).select("port_id", "operation_id", "ts", "seq")
+    done = tables.live_values(rows, ["port_id"], common.newest(rows), VALUE_DAYS * 86_400)
+    return done.select("port_id", "operation_id", *common.millis("ts"))
+
+
+@query("K-10", sql=sql("""
+SELECT mmsi, alert_type, epoch_ms(ts) AS ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY ts DESC, seq DESC) AS r FROM alerts)
+WHERE r = 1 AND epoch_ms((SELECT max(ts) FROM alerts)) - epoch_ms(ts) < 3600000""", "alerts"))
+def live_alerts(spark, sf):
+    """Latest alert of every vessel, which lives for an hour."""
+    rows = common.alerts(spark, sf).select("mmsi", "alert_type", "ts", "seq")
+    done = tables.live_values(rows, ["mmsi"], common.newest(rows), tables.VALUE_SECONDS["alerts"])
+    return done.select("mmsi", "alert_type", *common.millis("ts"))
+
+
+@query("K-11", sql=sql("""
+SELECT mmsi, alert_id, epoch_ms(last_ts) + 600000 AS expires_ms FROM (
+  SELECT *, max(ts) OVER (PARTITION BY mmsi) AS last_ts, max(CASE WHEN reborn THEN ts END) OVER (PARTITION BY mmsi) AS born
+  FROM (SELECT *, prev IS NULL OR epoch_ms(ts) - epoch_ms(prev) >= 600000 AS reborn
+    FROM (SELECT *, sha256(alert_type || '|' || mmsi || '|' || epoch_us(ts) || '|' || seq) AS alert_id, lag(ts) OVER (PARTITION BY mmsi ORDER BY ts, seq) AS prev FROM alerts)))
+WHERE ts >= born AND epoch_ms(last_ts) + 600000 > epoch_ms((SELECT max(ts) FROM alerts))""", "alerts"))
+def live_alert_sets(spark, sf):
+    """Alert ids per vessel, kept alive by every new one for ten minutes."""
+    rows = common.alerts(spark, sf).select("mmsi", "alert_id", "ts", "seq")
+    done = tables.live_members(rows, "mmsi", "alert_id", common.newest(rows), 600, slice_seconds=common.slice_of(spark, sf))
+    return done.select("mmsi", "alert_id", F.unix_millis("expires_at").alias("expires_ms"))
+
+
 LIFE_DAYS = 12
 
 

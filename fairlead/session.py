@@ -43,6 +43,9 @@ def ship(spark: SparkSession) -> None:
         for source in sorted(package.rglob("*.py")):
             out.write(source, source.relative_to(package.parent))
     context.addPyFile(str(archive))
+    # Python processes that Spark starts beside the driver, to set up stateful queries, do not look at added files.
+    paths = [context.environment.get("PYTHONPATH", ""), str(package.parent)]
+    context.environment["PYTHONPATH"] = os.pathsep.join(p for p in paths if p)
     _SHIPPED.add(context.applicationId)
 
 

@@ -54,6 +54,20 @@ def topic(
     return rows.select("value", F.current_timestamp().alias("arrived"))
 
 
+def publish(
+    messages: DataFrame, name: str, batch_id: int, *, servers: str | None = None, directory: str | None = None
+) -> None:
+    """Hand (key, value) messages of a batch to a topic: to Kafka where ``servers`` are given, else as JSON lines.
+
+    A replay of a batch replaces its files. Kafka gets its messages again; readers drop them by their ids.
+    """
+    if servers:
+        keyed = messages.select(F.col("key").cast("string"), F.col("value").cast("string"))
+        keyed.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", name).save()
+    else:
+        messages.write.mode("overwrite").json(f"{directory}/{name}/batch_id={int(batch_id)}")
+
+
 def export(rows: DataFrame, path: str, fmt: str) -> None:
     """Write a selection as csv, json, parquet, or one GeoJSON feature per line (column ``feature``)."""
     if fmt == "geojson":

@@ -95,14 +95,6 @@ def fences(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sample_fences(), FENCE_SCHEMA)
 
 
-def ports(spark: SparkSession) -> DataFrame:
-    schema = (
-        "port_id string, port_name string, country string, latitude double, longitude double, "
-        "unlocode string, port_type string, total_berths int"
-    )
-    return spark.createDataFrame(list(PORTS), schema)
-
-
 def weather_points(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(WEATHER_POINTS), "latitude double, longitude double")
 

@@ -188,14 +188,18 @@ BLANKS = {"string": "", "int": 0, "bigint": 0, "double": 0.0}
 def typed_fields(messages: DataFrame, fields: dict[str, tuple[str, ...]], blanks: bool) -> DataFrame:
     """Read named fields out of JSON text, whether numbers are quoted or not.
 
-    ``fields`` maps a column to its type followed by the spellings to try in order.
+    ``fields`` maps a column to its type followed by the spellings, names of the outermost level, to try in order. The
+    text is parsed once for all of them.
     """
+    names = list(dict.fromkeys(s for _, *spellings in fields.values() for s in spellings))
+    at = {s: f"_field{i}" for i, s in enumerate(names)}
+    read = messages.select("*", F.json_tuple("value", *names).alias(*at.values()))
     columns = []
     for name, (kind, *spellings) in fields.items():
-        text = F.coalesce(*[F.get_json_object("value", f"$.{s}") for s in spellings])
+        text = F.coalesce(*[F.col(at[s]) for s in spellings])
         typed = text if kind == "string" else text.try_cast(kind)
         columns.append((F.coalesce(typed, F.lit(BLANKS[kind])) if blanks else typed).alias(name))
-    return messages.select(*[c for c in messages.columns if c != "value"], *columns)
+    return read.select(*[c for c in messages.columns if c != "value"], *columns)
 
 
 def unquoted(messages: DataFrame) -> DataFrame:

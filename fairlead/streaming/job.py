@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fairlead.operators import detect, proximity, tables, validate
 from fairlead.operators.rollups import Rollup
 from fairlead.session import children, exists, remove
-from fairlead.sources import wire
+from fairlead.sources import files, wire
 from fairlead.streaming import state
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -48,6 +48,7 @@ class PositionSinks:
 
     folder: str
     current: tables.CurrentTable | None = None
+    servers: str | None = None
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         rows.persist()
@@ -63,7 +64,43 @@ class PositionSinks:
             rows.unpersist()
 
     def _topic(self, messages: DataFrame, name: str, batch_id: int) -> None:
-        messages.write.mode("overwrite").json(f"{self.folder}/{name}/batch_id={batch_id}")
+        files.publish(messages, name, batch_id, servers=self.servers, directory=self.folder)
+
+
+@dataclass
+class PersistenceSinks:
+    """One topic's persistence: current state by the table's merge rule, and monthly history, keyed by batch id."""
+
+    name: str
+    folder: str
+    current: tables.CurrentTable
+    order: tuple[str, ...]
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.persist()
+        try:
+            self.current.upsert(rows, batch_id)
+            tables.append_history(rows, f"{self.folder}/{self.name}_history", batch_id, self.order)
+        finally:
+            rows.unpersist()
+
+
+#: Merge rule and history order of the topics beside positions. Alerts are inserted once: every column is fixed.
+PERSISTED = {
+    "alerts": (tables.ALERT_RULE, ("mmsi", "ts")),
+    "weather": (tables.WEATHER_RULE, ("grid_id", "ts")),
+    "port_operations": (tables.PORT_OPERATION_RULE, ("port_id", "ts")),
+}
+
+
+def persistence_sinks(spark: SparkSession, topic: str, folder: str, rows: DataFrame) -> PersistenceSinks:
+    """Sinks of one of the PERSISTED topics, for rows of the shape of ``rows``."""
+    rule, order = PERSISTED[topic]
+    return PersistenceSinks(topic, folder, tables.CurrentTable(spark, f"{folder}/{topic}", rule, rows.schema), order)
+
+
+def run_persistence(rows: DataFrame, sinks: PersistenceSinks, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    return run_batches(rows, sinks.write, checkpoint, every=every)
 
 
 def as_current(rows: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from fairlead.functions import geo, vessel
 from fairlead.operators import detect, spatial, throttle
 
+# How late a fix may come and still find the fix before it.
+RECENT_MS = 300_000
 PREVIOUS = {"latitude": "double", "longitude": "double", "speed": "double", "course": "double"}
 
 
@@ -31,37 +33,41 @@ def in_time_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
 class Previous(StatefulProcessor):
     """Adds ``prev_*`` columns of the preceding row of the key.
 
-    A row older than what the state already holds gets no previous row and does not replace the state.
+    The state holds the newest row and those up to ``recent_ms`` before it, so a row that comes late by no more than
+    that finds the row before it. A row older than all that is held has no previous row.
     """
 
-    def __init__(self, carried: dict[str, str], ttl_ms: int | None = None):
+    def __init__(self, carried: dict[str, str], ttl_ms: int | None = None, recent_ms: int = RECENT_MS):
         self.carried = carried
         self.ttl_ms = ttl_ms
+        self.recent_ms = recent_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         held = ", ".join(f"{c} {kind}" for c, kind in self.carried.items())
-        self.last = handle.getValueState("last", f"{held}, ts_us bigint, seq bigint", ttlDurationMs=self.ttl_ms)
+        self.recent = handle.getListState("recent", f"{held}, ts_us bigint, seq bigint", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = in_time_order(rows)
         yield pdf.assign(**self.previous_columns(pdf))
 
     def previous_columns(self, pdf: pd.DataFrame) -> dict[str, pd.Series]:
-        """The previous values of the ordered rows of one micro-batch; the state moves on to the last row."""
+        """The previous values of the ordered rows of one micro-batch; the state moves on."""
         names = [*self.carried, "ts_us", "seq"]
-        known = self.last.get() if self.last.exists() else None
-        ts, seq = pdf["ts_us"].to_numpy(), pdf["seq"].to_numpy()
-        late = 0
-        if known is not None:
-            late = int(np.count_nonzero((ts < known[-2]) | ((ts == known[-2]) & (seq <= known[-1]))))
+        held = sorted(map(tuple, self.recent.get() if self.recent.exists() else ()), key=lambda r: r[-2:])
+        ts = np.concatenate([np.array([r[-2] for r in held], np.int64), pdf["ts_us"].to_numpy()])
+        seq = np.concatenate([np.array([r[-1] for r in held], np.int64), pdf["seq"].to_numpy()])
+        # Of a row that is delivered again the held one comes first.
+        order = np.lexsort((np.arange(len(ts)) >= len(held), seq, ts))
+        before = np.full(len(ts), -1)
+        before[order[1:]] = order[:-1]
+        before = before[len(held) :]
         columns = {}
-        values = {c: pdf[c].tolist() for c in names}
         for at, c in enumerate(names[:-1]):
-            first = [] if late == len(pdf) else [known[at] if known is not None else None]
-            before = [None] * late + first + values[c][late:-1]
-            columns[f"prev_{c}"] = pd.Series(before, dtype=object)
-        if late < len(pdf):
-            self.last.update(tuple(_plain(values[c][-1]) for c in names))
+            values = [r[at] for r in held] + pdf[c].tolist()
+            columns[f"prev_{c}"] = pd.Series([values[i] if i >= 0 else None for i in before], dtype=object)
+        kept = order[ts[order] >= ts[order[-1]] - self.recent_ms * 1000]
+        rows = pdf[names].to_numpy(dtype=object)
+        self.recent.put([held[i] if i < len(held) else tuple(_plain(v) for v in rows[i - len(held)]) for i in kept])
         return columns
 
     def close(self) -> None:

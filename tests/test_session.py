@@ -1,6 +1,7 @@
 """The package reaches the executors wherever the driver was started."""
 
 import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -25,3 +26,12 @@ def test_python_code_runs_from_a_foreign_folder(tmp_path):
     counts = dict(line.split() for line in done.stdout.splitlines() if line.split()[:1] in (["alerts_throttled"], ["stream_alerts"]))
     assert done.returncode == 0, done.stderr[-2000:]
     assert counts["alerts_throttled"] == counts["stream_alerts"] != "0"
+
+
+def test_entry_points_without_the_text_operators(tmp_path):
+    copy = tmp_path / "copy"
+    shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", "*.json"))
+    script = "import __spark_entry__ as e; n = e.queries(); print(len(n), 'pipeline' in n, any(k.startswith('op1') for k in n))"
+    done = subprocess.run([sys.executable, "-c", script], cwd=copy, capture_output=True, text=True, timeout=120)
+    count, *found = done.stdout.split()
+    assert done.returncode == 0 and int(count) >= 129 and found == ["False", "False"], done.stderr[-2000:]

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from fairlead.operators import detect, enrich, tables, throttle
+from fairlead.operators import detect, enrich, rollups, tables, throttle
 from fairlead.plans import common, lenses, streams
 from fairlead.session import scratch_path
 from fairlead.streaming import job, state
@@ -74,14 +74,28 @@ def write_fixes(spark, folder, part, rows):
     spark.createDataFrame(data, FIX).coalesce(1).write.parquet(f"{folder}/part={part}")
 
 
-def test_late_fix_has_no_previous_and_leaves_the_state(spark):
+def test_late_fix_finds_its_previous_and_leaves_the_newest(spark):
     session, folder = job.stream_session(spark), scratch_path(spark, "late")
     write_fixes(spark, folder, 0, [(1, 0, 0.0, 5.0), (2, 60, 1.0, 5.0)])
-    write_fixes(spark, folder, 1, [(3, 30, 0.5, 5.0), (4, 120, 2.0, 5.0)])
+    write_fixes(spark, folder, 1, [(3, 30, 0.5, 99.0), (4, 120, 2.0, 5.0), (5, -9000, 2.0, 5.0)])
     rows = session.readStream.schema(FIX).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
-    done = streams.collected(state.enriched_stream(rows).select("seq", "time_since_last_update"), spark, "late-out")
-    got = {r.seq: r.time_since_last_update for r in done.collect()}
-    assert got == {1: None, 2: 60_000, 3: None, 4: 60_000}
+    done = streams.collected(state.enriched_stream(rows).select("seq", "time_since_last_update", "alert_type"), spark, "late-out").collect()
+    assert {r.seq: r.time_since_last_update for r in done} == {1: None, 2: 60_000, 3: 30_000, 4: 60_000, 5: None}
+    assert {r.seq for r in done if r.alert_type == detect.EXCESSIVE} == {3}
+
+
+def test_late_rows_count_in_rollups_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(tables, "COMPACT_EVERY", 2)
+    session, folder = job.stream_session(spark), scratch_path(spark, "late-rollup")
+    times = [0, 10, 4000, 8000, 5, 12_000, 3900]  # the fifth is hours late
+    for i, s in enumerate(times):
+        write_fixes(spark, folder, i, [(i, s, 0.0, float(i))])
+    rows = enrich.with_inferred_type(session.readStream.schema(FIX).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*"))
+    sink = job.RollupSink(f"{folder}-states", rollups.MOVEMENT_HOURLY)
+    streams.finish(job.run_rollup(rows, sink, f"{folder}-checkpoint"))
+    found = {(r.hour - T0).seconds // 3600: (r.position_count, r.max_speed) for r in sink.read(spark).collect()}
+    assert found == {0: (3, 4.0), 1: (2, 6.0), 2: (1, 3.0), 3: (1, 5.0)}
+    assert len(sink._done(spark, "batches")) <= 4 and len(sink._done(spark, "bases")) <= 2
 
 
 def test_event_time_falls_back_to_arrival(spark):

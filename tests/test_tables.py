@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fairlead.functions import times
 from fairlead.operators import rollups, skew, tables
-from fairlead.session import scratch_path
+from fairlead.session import children, scratch_path
 from fairlead.sources import files, wire
 
 T0 = dt.datetime(2024, 1, 1)
@@ -44,6 +44,26 @@ def test_merge_keeps_first_and_last(spark):
     assert (3, 33, None) in state(again)
 
 
+def test_folders_of_a_current_table_stay_few(spark, monkeypatch):
+    monkeypatch.setattr(tables, "COMPACT_EVERY", 3)
+    table = tables.CurrentTable(spark, scratch_path(spark, "few"), RULE, batch(spark, (0, 0, "", 0)).schema)
+    for i in range(12):
+        table.upsert(batch(spark, (i % 2, i, f"f{i}", i)), i)
+        assert len(children(spark, f"{table.path}/batches")) <= 12 and len(children(spark, f"{table.path}/bases")) <= 6
+    assert state(table) == [(0, 10, "f0"), (1, 11, "f1")]
+
+
+def test_closed_months_are_compacted_and_dropped(spark):
+    path = scratch_path(spark, "months")
+    for number, day in enumerate((0, 1, 2, 40)):
+        tables.append_history(batch(spark, (number, number, "a", day * 86400)).withColumn("mmsi", F.col("k")), path, number)
+    tables.compact_month(spark, path, 202401)
+    assert [n for n in children(spark, f"{path}/ym=202401") if n.startswith("batch_id")] == ["batch_id=2"]
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [0, 1, 2, 3]
+    assert tables.drop_expired_months(spark, path, dt.date(2026, 2, 3), 2) == ["ym=202401"]
+    assert [r.k for r in spark.read.parquet(path).collect()] == [3]
+
+
 def test_history_replay_replaces_itself(spark):
     path = scratch_path(spark, "h")
     for number, rows in ((0, batch(spark, (1, 1, "a", 0))), (1, batch(spark, (2, 2, "b", 40 * 86400)))):
