@@ -22,8 +22,9 @@ from fairlead.llm.common import stored_table
 PROJECTIONS = 64
 #: Share of the projections in whose windows a candidate must lie.
 COLLISIONS = 0.5
-#: Share of a block that is verified at least, beside the neighbours asked for.
-VERIFIED = 0.25
+#: Share of a block that is verified at least, beside the neighbours asked for, and the least number of vectors.
+VERIFIED = 0.3
+LEAST_VERIFIED = 320
 #: First half width of the windows in standard deviations of a projection, and its growth by virtual rehashing.
 FIRST_WIDTH = 0.45
 GROWTH = 1.2
@@ -68,7 +69,7 @@ class Block:
             half *= GROWTH
 
     def nearest(self, query_id: int, query: np.ndarray, projected: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.candidates(projected, k + 1 + int(VERIFIED * len(self.ids)))
+        rows = self.candidates(projected, k + 1 + max(LEAST_VERIFIED, int(VERIFIED * len(self.ids))))
         rows = rows[self.ids[rows] != query_id]
         apart = np.sqrt(((self.vectors[rows].astype(np.float64) - query.astype(np.float64)) ** 2).sum(axis=1))
         first = np.lexsort((self.ids[rows], apart))[:k]
