@@ -35,6 +35,8 @@ GATHERED = 40 << 20
 #: One document in so many is looked at for frequent anchors, which hold more than so many pieces.
 LOOKED_AT = 16
 FREQUENT = 1_024
+#: The most anchors that travel with the tasks as frequent (8 MB); any other holds less than that share of the pieces.
+MOST_FREQUENT = 1 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -348,7 +350,7 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
 
 
 def frequent_anchors(rows: DataFrame, length: int, buckets: int, text_bytes: int) -> np.ndarray:
-    """Keys of anchors with many pieces, estimated from one document in LOOKED_AT; never more than a few per bucket."""
+    """Keys of anchors with many pieces, estimated from one document in LOOKED_AT: the heaviest, a bounded number."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, text, offsets in _parts(batches, length):
@@ -359,7 +361,7 @@ def frequent_anchors(rows: DataFrame, length: int, buckets: int, text_bytes: int
     pieces_a_bucket = text_bytes * 2 // (length - ANCHOR + 2) // buckets
     least = max(FREQUENT, pieces_a_bucket // 4) // LOOKED_AT
     counts = looked.mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    found = counts.orderBy(F.desc("n"), "key").limit(8 * buckets).select("key").collect()
+    found = counts.orderBy(F.desc("n"), "key").limit(min(8 * buckets, MOST_FREQUENT)).select("key").collect()
     return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64))
 
 
