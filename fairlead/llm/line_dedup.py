@@ -1,13 +1,16 @@
-"""Line dedup: hash normalised lines, group digests globally, keep the earliest occurrence, remove the rest.
+"""Line dedup: hash normalised lines and their sentences, group digests globally, keep the earliest occurrence.
 
-A unit is a line (between line feeds) that holds a word. Units are equal when they agree after lower-casing A-Z and
-after every run of ASCII white space has become one space, none at the ends. Of equal units over all documents the one
-with the smallest (doc_id, offset) stays; null ids come last. Offsets are bytes of the original UTF-8 text.
+A unit ends with a line feed, or with the blanks after a full stop, question or exclamation mark, so that a passage is
+found wherever in a line it was put. Units of fewer than ``LEAST_WORDS`` words are no evidence of copying and stay.
+Units are equal when they agree after lower-casing A-Z and after every run of ASCII white space has become one space,
+none at the ends. Of equal units over all documents the one with the smallest (doc_id, offset) stays; null ids come
+last. The others are removed with what ends them. Offsets are bytes of the original UTF-8 text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,28 +19,26 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.common import byte_texts, same_id, stored_table
 
+#: Words that a unit must have to count.
+LEAST_WORDS = 8
+_ENDS = re.compile(rb"\n|[.!?][ \t]+")
 _LAST = (1 << 63) - 1
 
 
-def lines(text: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, normalised line) of every unit of a text."""
+def lines(text: bytes, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, normalised unit) of every unit of a text."""
     start = 0
-    for line in text.split(b"\n"):
-        normal = b" ".join(line.lower().split())
-        if normal:
-            yield start, start + len(line), normal
-        start += len(line) + 1
+    for end in [*(m.end() for m in _ENDS.finditer(text)), len(text)]:
+        words = text[start:end].lower().split()
+        if len(words) >= least:
+            yield start, end, b" ".join(words)
+        start = end
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """A text without the lines that start at the given spans, each with one line feed."""
-    gone = {s for s, _ in spans}
-    start, kept = 0, []
-    for line in text.split(b"\n"):
-        if start not in gone:
-            kept.append(line)
-        start += len(line) + 1
-    return b"\n".join(kept)
+    """A text without the given spans, which are in order."""
+    edges = [0, *(e for span in spans for e in span), len(text)]
+    return b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
 
 
 def units(docs: DataFrame) -> DataFrame:

@@ -69,14 +69,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     sql=rf"""
-    WITH u AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
-    p AS (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) - strlen(line) - 1 AS start,
-                 trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS unit FROM u),
-    r AS (SELECT *, unit <> '' AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, start) > 1 AS gone FROM p)
-    SELECT doc_id, count(*) FILTER (unit <> '') AS n_units, count(*) FILTER (gone) AS n_removed,
-           coalesce(string_agg(start::BIGINT || '-' || (start + strlen(line))::BIGINT, ',' ORDER BY n) FILTER (gone), '') AS removed,
-           sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+    WITH d AS (SELECT doc_id, string_split(regexp_replace(replace(coalesce(text, ''), chr(10), chr(10) || chr(57344)),
+                      '([.!?][ \t]+)', '\1' || chr(57344), 'g'), chr(57344)) AS parts FROM documents),
+    u AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS n FROM d),
+    p AS (SELECT *, sum(strlen(part)) OVER (PARTITION BY doc_id ORDER BY n) - strlen(part) AS start,
+                 trim(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS unit FROM u),
+    c AS (SELECT *, unit <> '' AND len(string_split(unit, ' ')) >= {line_dedup.LEAST_WORDS} AS counts FROM p),
+    r AS (SELECT *, counts AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, start) > 1 AS gone FROM c)
+    SELECT doc_id, count(*) FILTER (counts) AS n_units, count(*) FILTER (gone) AS n_removed,
+           coalesce(string_agg(start::BIGINT || '-' || (start + strlen(part))::BIGINT, ',' ORDER BY n) FILTER (gone), '') AS removed,
+           sha256(coalesce(string_agg(part, '' ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
     FROM r GROUP BY doc_id
     """
 )

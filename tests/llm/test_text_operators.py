@@ -100,12 +100,22 @@ def test_line_dedup_keeps_the_earliest(docs, rows):
 
 
 def test_line_dedup_awkward_ids(spark, none):
-    given_ = table(spark, [(None, "same line", None), (5, "Same  LINE\nown", None), (5, "Same  LINE\nown", None), (4, None, None)])
+    text = "Same  LINE of a good eight words here\nshort"
+    given_ = table(spark, [(None, "same line of a good eight words here", None), (5, text, None), (5, text, None), (4, None, None), (6, "short", None)])
     found = sorted((r.doc_id or 0, r.n_units, len(r.removed or []), bytes(r.kept)) for r in line_dedup.dedup_lines(given_).collect())
-    assert found == [(0, 1, 1, b""), (4, 0, 0, b""), (5, 2, 0, b"Same  LINE\nown"), (5, 2, 0, b"Same  LINE\nown")]
+    assert found == [(0, 1, 1, b""), (4, 0, 0, b""), (5, 1, 0, text.encode()), (5, 1, 0, text.encode()), (6, 0, 0, b"short")]
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_a_passage_inside_a_line_is_found(spark):
+    passage = "The first of its sentences has a start of its own. " + "And each of the next ones is the same in all. " * 2
+    passage += "It ends here with as many words as any other. "
+    given_ = table(spark, [(1, "An opening that is in this one only " + passage + "More.", None), (2, "Other words stand at this place " + passage + "Less.", None)])
+    found = {r.doc_id: bytes(r.kept) for r in line_dedup.dedup_lines(given_).collect()}
+    assert b"And each" not in found[2] and b"It ends" not in found[2] and found[2].startswith(b"Other words") and found[2].endswith(b"Less.")
+    assert found[1].count(b"And each") == 1 and b"It ends" in found[1]
+
+
 # -- 4: byte-level BPE -----------------------------------------------------------------------------------------------
 
 
