@@ -189,20 +189,26 @@ def drop_expired_months(spark: SparkSession, path: str, as_of: dt.date, years: i
 def compact_month(spark: SparkSession, path: str, ym: int, order: Sequence[str] = ("mmsi", "ts")) -> None:
     """Rewrite the batches of a closed month as one sorted set of files, under the month's highest batch id.
 
-    The new files are complete before the old folders go; a failure in between leaves the month readable twice in
-    the staging folder, never less than once, and a second call finishes the work.
+    The new files and the list of the batches in them are complete before the old folders go. After a failure a complete
+    staging folder is never written again: the next call removes what is left of the listed batches and puts it in their
+    place. Until then rows whose folder is gone are only in the staging folder. Batches that came later stay as they are.
     """
     month = f"{path}/ym={int(ym)}"
-    batches = [n for n in children(spark, month) if n.startswith("batch_id=")]
-    if len(batches) < 2:
-        return
-    last = max(batches, key=lambda n: int(n.split("=")[1]))
-    staged = f"{path}/_compact-{int(ym)}"
-    rows = spark.read.parquet(*[f"{month}/{n}" for n in batches])
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(staged)
+    staged, listed = f"{path}/_compact-{int(ym)}", f"{path}/_compact-{int(ym)}-batches"
+    if not exists(spark, f"{staged}/_SUCCESS"):
+        batches = [n for n in children(spark, month) if n.startswith("batch_id=")]
+        if len(batches) < 2:
+            return
+        spark.createDataFrame([(n,) for n in batches], "name string").coalesce(1).write.mode("overwrite").parquet(listed)
+        rows = spark.read.parquet(*[f"{month}/{n}" for n in batches])
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(staged)
+    elif not exists(spark, f"{listed}/_SUCCESS"):
+        raise ValueError(f"{staged} is complete, but the list of its batches is missing")
+    batches = [r["name"] for r in spark.read.schema("name string").parquet(listed).collect()]
     for name in batches:
         remove(spark, f"{month}/{name}")
-    rename(spark, staged, f"{month}/{last}")
+    rename(spark, staged, f"{month}/{max(batches, key=lambda n: int(n.split('=')[1]))}")
+    remove(spark, listed)
 
 
 def live_values(rows: DataFrame, keys: Sequence[str], as_of: Column, seconds: int) -> DataFrame:

@@ -64,6 +64,35 @@ def test_closed_months_are_compacted_and_dropped(spark):
     assert [r.k for r in spark.read.parquet(path).collect()] == [3]
 
 
+@pytest.mark.parametrize("fails", range(5))
+def test_compaction_goes_on_after_a_failure(spark, monkeypatch, fails):
+    path, calls = scratch_path(spark, "broken"), []
+    for number in range(3):
+        tables.append_history(batch(spark, (number, number, "a", number * 86400)).withColumn("mmsi", F.col("k")), path, number)
+
+    def failing(own):
+        def call(*args):
+            calls.append(args)
+            if len(calls) == fails + 1:
+                raise OSError("the driver is gone")
+            return own(*args)
+
+        return call
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "remove", failing(tables.remove))
+        patch.setattr(tables, "rename", failing(tables.rename))
+        with pytest.raises(OSError, match="the driver is gone"):
+            tables.compact_month(spark, path, 202401)
+    late = batch(spark, (7, 7, "a", 5 * 86400)).withColumn("mmsi", F.col("k"))
+    if fails < 4:  # otherwise the month is already whole
+        tables.append_history(late, path, 7)
+    tables.compact_month(spark, path, 202401)
+    left = [n for n in children(spark, f"{path}/ym=202401") if n.startswith("batch_id")]
+    assert left == (["batch_id=2", "batch_id=7"] if fails < 4 else ["batch_id=2"])
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == ([0, 1, 2, 7] if fails < 4 else [0, 1, 2])
+
+
 def test_history_replay_replaces_itself(spark):
     path = scratch_path(spark, "h")
     for number, rows in ((0, batch(spark, (1, 1, "a", 0))), (1, batch(spark, (2, 2, "b", 40 * 86400)))):
