@@ -1,8 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 Blocks are lines; a line longer than twice the longest template is cut into overlapping blocks so that every run of as
-many words as that template lies within one. A block matches a template when it holds at least ``threshold`` of the
-template's distinct words. Words are ordered by how many blocks hold them over the whole corpus, rarest first. A
+many words as that template lies within one. Notices are often wrapped, so each template is also sought over line ends,
+in windows of twice its own words, cut so that every run of as many words as it has lies within one; such a window counts
+where it holds more of the template than the line blocks it touches, or enough of it besides them. A block matches a
+template when it holds at least ``threshold`` of the template's distinct words. Words are ordered by how many blocks hold them over the whole corpus, rarest first. A
 template's prefix is as many of its rarest words as any match must touch; a block meets a template only through a
 prefix word (prefix filter), if it holds enough template words (length filter) and if enough words can still follow on
 both sides (positional filter). What is left is verified. Nothing else about a block can make it match, so the join is
@@ -12,9 +14,11 @@ complete. The templates are a parameter, a small table that travels with the tas
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from math import ceil
 
 import pyarrow as pa
@@ -60,16 +64,17 @@ def phrase_places(words: list[bytes], phrases: dict[str, str] = PHRASES) -> list
 
 @dataclass(frozen=True)
 class Templates:
-    """Word sets with labels; ``longest`` is the length of the longest template in words."""
+    """Word sets with labels; ``sizes`` are the lengths in words, ``longest`` is that of the longest template."""
 
     labels: tuple[str, ...]
     sets: tuple[frozenset, ...]
     longest: int
+    sizes: tuple[int, ...]
 
     @classmethod
     def of(cls, templates) -> Templates:
         words = [words_of(text.encode()) for _, text in templates]
-        return cls(tuple(label for label, _ in templates), tuple(map(frozenset, words)), max(map(len, words)))
+        return cls(tuple(label for label, _ in templates), tuple(map(frozenset, words)), max(map(len, words)), tuple(map(len, words)))
 
     @property
     def vocabulary(self) -> frozenset:
@@ -131,11 +136,33 @@ class Join:
         return [(t, n / size) for t, n, size in shares if n >= self.least[t]]
 
     def block_matches(self, text: bytes) -> list[tuple[int, int, int, float]]:
-        """(first word, words, template, containment) over all blocks of a text."""
-        if self.prefix.keys().isdisjoint(words_of(text)):
+        """(first word, words, template, containment) over all blocks of a text, then over its wrapped windows."""
+        words = words_of(text)
+        if self.prefix.keys().isdisjoint(words):
             return []
         blocks = text_blocks(text, self.templates.longest)
-        return [(first, len(block), t, share) for first, block in blocks for t, share in self.matches(block)]
+        found = [(first, len(block), t, share) for first, block in blocks for t, share in self.matches(block)]
+        return found + self.wrapped(text, words, found)
+
+    def wrapped(self, text: bytes, words: list[bytes], found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """(first word, words, template, containment) of the windows over line ends that tell more than the blocks ``found``."""
+        ends = list(accumulate(len(words_of(line)) for line in text.split(b"\n")))
+        starts: set[tuple[int, int]] = set()
+        for at, word in enumerate(words):  # any match touches a prefix word of its template
+            for t, _ in self.prefix.get(word, ()):
+                size = self.templates.sizes[t]
+                starts.update((t, k * size) for k in (at // size - 1, at // size) if k >= 0)
+        more = []
+        for t, first in sorted(starts):
+            wanted, end = self.templates.sets[t], min(len(words), first + 2 * self.templates.sizes[t])
+            n = len(wanted.intersection(words[first:end]))
+            if n < self.least[t] or ends[bisect_right(ends, first)] >= end:  # too little, or within one line
+                continue
+            own = [(max(a, first), min(a + size, end), share) for a, size, k, share in found if k == t and a < end and first < a + size]
+            rest = wanted.intersection(w for i, w in enumerate(words[first:end], first) if not any(a <= i < b for a, b, _ in own))
+            if len(rest) >= self.least[t] or n / len(wanted) > max((share for *_, share in own), default=0.0):
+                more.append((first, end - first, t, n / len(wanted)))
+        return more
 
 
 _FOUND = "array<struct<first:long,words:long,label:string,template:int,containment:double>>"

@@ -71,6 +71,32 @@ def test_license_blocks_are_those_of_brute_force(spark):
     assert {b.label for b in by_id[None].blocks} >= {"apache-2"} or by_id[None].blocks == []
 
 
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+"""
+BSD_GRANT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+"""
+APACHE_GRANT = """you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+"""
+
+
+@pytest.mark.parametrize("before", [0, 1, 9, 20, 33, 100])
+def test_wrapped_notices_are_found(spark, before):
+    lead = "filler words\n" * before
+    hashed = "".join("# " + line + "\n" for line in MIT_GRANT.splitlines())
+    one_line = " ".join(BSD_GRANT.split())
+    texts = [lead + MIT_GRANT + lead, lead + BSD_GRANT, lead + APACHE_GRANT, lead + hashed, lead + one_line, lead + one_line + "\n" + BSD_GRANT, "mit\n" + lead * 2 + "under the license"]
+    found = {r.doc_id: r for r in license_scan.license_scan(table(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    for i, label in enumerate(["mit", "bsd", "apache-2", "mit", "bsd", "bsd"]):
+        assert {b.label for b in found[i].blocks} == {label} and max(b.containment for b in found[i].blocks) == 1.0, i
+    assert len(found[4].blocks) == 1  # a notice in one line is not told again
+    assert len(found[5].blocks) > 1  # but one beside it is
+    assert [len(found[6].blocks) > 0] == [before <= 1]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from([b"a", b"b", b"c", b"d", b"e", b"f", b"g"]), max_size=14), st.integers(0, 9))
 def test_join_filters_lose_nothing(block, seed):
