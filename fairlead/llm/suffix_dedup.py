@@ -8,7 +8,9 @@ by what follows the anchor and by what precedes it, and the common lengths of ne
 classes at every depth. The class of a window is the pair of names at its two depths, so ties of any length are resolved
 by ranks, and a task never holds more than a bucket. Nothing is decided by a hash.
 
-Equal pieces of a map task travel once. Anchors that a sample of the documents shows to be frequent are dealt by whole
+Equal pieces of one part of the input travel once, for the smallest id there, with the runs of places where they stand
+under it; those of larger ids are settled in the part. So a bucket sees a window at most once for every part and id,
+however often it occurs. Anchors that a sample of the documents shows to be frequent are dealt by whole
 windows instead; which ones are chosen changes the dealing, not the result. The corpus is dealt in ``SLICES`` rounds to
 bound the disk.
 """
@@ -131,29 +133,30 @@ class Pieces:
     def sizes(self) -> np.ndarray:
         return self.windows + self.length - 1
 
-    def words(self) -> np.ndarray:
-        """The bytes of every piece as numbers, zero beyond its end."""
-        sizes, out = self.sizes, []
+    def words(self) -> Iterator[np.ndarray]:
+        """The bytes of every piece as numbers, eight at a time, zero beyond its end."""
+        sizes = self.sizes
         for k in range(0, 2 * self.length - ANCHOR, 8):
             rest = np.clip(sizes - k, 0, 8).astype(np.uint64)
             mask = np.where(rest == 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (rest * np.uint64(8))) - np.uint64(1))
-            out.append(self.eights[self.start + k] & mask)
-        return np.stack(out, axis=1)
-
-    def covered_here(self, rank: np.ndarray) -> np.ndarray:
-        """Pieces whose very bytes also stand in a document of smaller rank in this part of the input."""
-        if not len(self.start):
-            return np.zeros(0, bool)
-        words = self.words()
+            yield self.eights[self.start + k] & mask
+
+    def first_here(self, rank: np.ndarray) -> np.ndarray:
+        """For every piece the one of smallest rank in this part of the input that has the very same bytes."""
+        found = np.arange(len(self.start))
+        if not len(found):
+            return found
         mark = self.sizes.astype(np.uint64)
-        for k in range(words.shape[1]):
-            mark = _mixed(mark + words[:, k] * np.uint64(0xC4CEB9FE1A85EC53))
+        for word in self.words():
+            mark = _mixed(mark + word * np.uint64(0xC4CEB9FE1A85EC53))
         order = np.lexsort((rank, mark))
         new = np.concatenate(([True], mark[order][1:] != mark[order][:-1]))
-        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        same = (words[order] == words[first]).all(axis=1) & (self.sizes[order] == self.sizes[first])
-        found = np.zeros(len(order), bool)
-        found[order] = same & (rank[order] > rank[first])
+        shared = ~new | np.append(~new[1:], False)
+        order, first = order[shared], order[np.flatnonzero(new)[np.cumsum(new) - 1]][shared]
+        same = self.sizes[order] == self.sizes[first]
+        for word in self.words():
+            same &= word[order] == word[first]
+        found[order[same]] = first[same]
         return found
 
 
@@ -198,8 +201,21 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[at], start[at], (reach[np.append(at[1:], len(doc)) - 1] - rank[at] * wide)
 
 
-_PACKED = "bucket int, covered boolean, ids binary, marks binary, docs binary, starts binary, keys binary, lefts binary, windows binary, bytes binary"
+def _runs(piece: np.ndarray, doc: np.ndarray, place: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, doc, first place, last place) of places at most ``gap`` apart; what is found in a piece of at least that length covers a run without holes."""
+    order = np.lexsort((place, doc, piece))
+    piece, doc, place = piece[order], doc[order], place[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] > gap)
+    at = np.flatnonzero(new)
+    return piece[at], doc[at], place[at], place[np.append(at[1:], len(place)) - 1] if len(at) else place
+
+
+_PACKED = "bucket int, covered boolean, ids binary, marks binary, docs binary, starts binary, keys binary, lefts binary, windows binary, bytes binary, run_pieces binary, run_docs binary, run_starts binary, run_ends binary"
 _NAMES = [c.split()[0] for c in _PACKED.split(", ")]
+_KINDS = [np.int64, np.int64, np.uint32, np.uint64, np.uint32, np.uint8, np.uint8, np.uint8, np.uint32, np.uint32, np.uint64, np.uint64]
+#: Columns that number the rows of another one.
+_POINTS_TO = {2: 0, 8: 2, 9: 0}
 
 
 class _Outbox:
@@ -216,12 +232,11 @@ class _Outbox:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         for bucket, parts in self.rows.items():
-            base, docs = 0, []
-            for p in parts:
-                docs.append((p[2] + base).astype(np.uint32))
-                base += len(p[0])
-            whole = [np.concatenate([p[k] for p in parts]) if k != 2 else np.concatenate(docs) for k in range(len(parts[0]))]
-            packed = [self.pack(c.tobytes()) for c in whole] + [None] * (8 - len(whole))
+            whole = []
+            for k in range(len(parts[0])):
+                bases = np.cumsum([0, *(len(p[_POINTS_TO[k]]) for p in parts)]) if k in _POINTS_TO else None
+                whole.append(np.concatenate([p[k] if bases is None else (p[k] + bases[i]).astype(np.uint32) for i, p in enumerate(parts)]))
+            packed = [self.pack(c.tobytes()) for c in whole] + [None] * (len(_KINDS) - len(whole))
             yield pa.RecordBatch.from_arrays([pa.array([max(bucket, ~bucket)], pa.int32()), pa.array([bucket < 0]), *(pa.array([p], pa.binary()) for p in packed)], names=_NAMES)
         self.rows, self.size = {}, 0
 
@@ -235,20 +250,27 @@ def _dealt(batches: Iterator[pa.RecordBatch], length: int, buckets: int, part: i
         ids, marks, ats = (np.array([w[k] for w in who], np.int64) for k in range(3))
         doc = np.searchsorted(offsets, pieces.start, "right") - 1
         place = pieces.start - offsets[doc] + ats[doc]
-        gone = pieces.covered_here(ids[doc])
+        first = pieces.first_here(ids[doc])
+        gone = ids[doc] > ids[doc[first]]
         if gone.any():
             d, s, e = _merged(doc[gone], place[gone], (place + pieces.sizes)[gone])
             used, local = np.unique(d, return_inverse=True)
             out.add(~int(offsets[-1] % buckets), [ids[used], marks[used], local, s.astype(np.uint64), e.astype(np.uint64)])
-        stay = np.flatnonzero(~gone)
+        stay = np.flatnonzero(first == np.arange(len(first)))
+        more = np.flatnonzero(~gone & (first != np.arange(len(first))))
         bucket = (pieces.key[stay] & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1], [True]))) if len(order) else []
+        dealt = np.zeros(len(first), np.int64)
+        dealt[stay[order]] = np.arange(len(order))
+        run_piece, run_doc, run_start, run_end = _runs(dealt[first[more]], doc[more], place[more], length)
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             rows = stay[order[a:b]]
-            used, local = np.unique(doc[rows], return_inverse=True)
-            columns = [ids[used], marks[used], local, place[rows].astype(np.uint64), (pieces.key[rows] >> np.uint64(32)).astype(np.uint32), pieces.left[rows].astype(np.uint8), pieces.windows[rows].astype(np.uint8)]
-            out.add(int(bucket[order[a]]), [*columns, _gather(pieces.data, pieces.start[rows], pieces.sizes[rows])])
+            runs = slice(*np.searchsorted(run_piece, [a, b]))
+            used, local = np.unique(np.concatenate([doc[rows], run_doc[runs]]), return_inverse=True)
+            columns = [ids[used], marks[used], local[: len(rows)], place[rows].astype(np.uint64), (pieces.key[rows] >> np.uint64(32)).astype(np.uint32), pieces.left[rows].astype(np.uint8), pieces.windows[rows].astype(np.uint8)]
+            columns += [_gather(pieces.data, pieces.start[rows], pieces.sizes[rows]), run_piece[runs] - a, local[len(rows) :]]
+            out.add(int(bucket[order[a]]), [*columns, run_start[runs].astype(np.uint64), run_end[runs].astype(np.uint64)])
         if out.size > GATHERED:
             yield from out.flush()
     yield from out.flush()
@@ -308,11 +330,13 @@ def _bucket_spans(rows: list[dict], length: int) -> pa.RecordBatch:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    kinds = [np.int64, np.int64, np.uint32, np.uint64, np.uint32, np.uint8, np.uint8, np.uint8]
-    parts = [[np.frombuffer(unpack(r[c]), k) for c, k in zip(_NAMES[2:], kinds, strict=True)] for r in rows]
-    ids = np.concatenate([p[0][p[2]] for p in parts])
-    marks = np.concatenate([p[1][p[2]] for p in parts])
+    parts = [[np.frombuffer(unpack(r[c]), k) for c, k in zip(_NAMES[2:], _KINDS, strict=True)] for r in rows]
+    ids, run_ids = (np.concatenate([p[0][p[k]] for p in parts]) for k in (2, 9))
+    marks, run_marks = (np.concatenate([p[1][p[k]] for p in parts]) for k in (2, 9))
+    bases = np.cumsum([0, *(len(p[2]) for p in parts)])
+    run_piece = np.concatenate([p[8] + bases[i] for i, p in enumerate(parts)])
     place, key, left, windows, data = (np.concatenate([p[k] for p in parts]) for k in range(3, 8))
+    run_start, run_end = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (10, 11))
     # Anchors of a single document have nothing to find.
     order = np.argsort(key, kind="stable")
     new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
@@ -322,12 +346,21 @@ def _bucket_spans(rows: list[dict], length: int) -> pa.RecordBatch:
     sizes = windows.astype(np.int64) + length - 1
     data = _gather(data, (np.cumsum(sizes) - sizes)[kept], sizes[kept])
     ids, marks, place, key, left, windows = (x[kept] for x in (ids, marks, place, key, left, windows))
+    number = np.full(bases[-1], -1)
+    number[kept] = np.arange(len(kept))
+    run_piece = number[run_piece]
     found = covered_windows(ids, key, left, windows, data, length)
     step = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, first = np.nonzero(step == 1)
     last = np.nonzero(step == -1)[1]
     start = place[row].astype(np.int64) + first
-    return _spans(ids[row], marks[row], start, start + (last - first) + length - 1)
+    own = (ids[row], marks[row], start, start + (last - first) + length - 1)
+    # The same for the other places of a piece.
+    a, b = np.searchsorted(row, run_piece), np.searchsorted(row, run_piece, "right")
+    run = np.repeat(np.arange(len(run_piece)), b - a)
+    hit = np.arange(len(run)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
+    others = (run_ids[run], run_marks[run], run_start[run] + first[hit], run_end[run] + last[hit] + length - 1)
+    return _spans(*(np.concatenate(pair) for pair in zip(own, others, strict=True)))
 
 
 def _sorted_buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:

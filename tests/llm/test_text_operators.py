@@ -365,6 +365,46 @@ def test_suffix_dedup_awkward_ids(spark, none):
     assert suffix_dedup.dedup_strings(none).count() == 0
 
 
+def runs_of_bytes():
+    rng = np.random.default_rng(8)
+    noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    table_rows = "".join("-" * 70 + noise(5) for _ in range(40))
+    texts = ["-" * 900, noise(80) + "-" * 60 + noise(9) + "-" * 300, table_rows, "ab" * 200 + noise(30) + "ab" * 90, "abc" * 150, table_rows[3:900] + "ab" * 40, "=" * 400, "=" * 49]
+    return [(i // 2 * 2 if i > 5 else i, t, None) for i, t in enumerate(texts)] + [(40 + i, "-" * (50 + i) + noise(3) + "ab" * 30, None) for i in range(20)]
+
+
+@pytest.mark.parametrize(("at_once", "frequent"), [(3 << 20, 1_024), (200, 1_024), (777, 0), (3 << 20, 0)])
+def test_runs_of_bytes_are_brute_force(spark, monkeypatch, at_once, frequent):
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", at_once)
+    if not frequent:
+        monkeypatch.setattr(suffix_dedup, "FREQUENT", 0)
+        monkeypatch.setattr(suffix_dedup, "LOOKED_AT", 1)
+    rows = [(d, t, None) for d, t, _ in runs_of_bytes() if len(t) != 49]
+    found = {r.doc_id: ([(s.start, s.end) for s in r.removed], bytes(r.kept)) for r in suffix_dedup.dedup_strings(table(spark, rows)).collect()}
+    assert found == slow_spans(rows, 50)
+
+
+def test_rows_under_one_id_share_the_verdict_on_a_run(spark):
+    rows = [(1, "x" * 60, None), (None, "a" + "x" * 300, None), (None, "b" + "x" * 200 + "c" + "x" * 90, None), (None, "short", None)]
+    found = Counter((r.doc_id, bytes(r.kept)) for r in suffix_dedup.dedup_strings(table(spark, rows)).collect())
+    assert found == {(1, b"x" * 60): 1, (None, b"a"): 1, (None, b"bc"): 1, (None, b"short"): 1}
+
+
+@pytest.mark.parametrize("frequent", [False, True])
+def test_a_hot_window_travels_once_a_part(spark, frequent):
+    import zstandard
+
+    rows = [(i, "-" * 100_000, None) for i in (3, 4)] + [(5, "ab" * 50_000, None), (6, ("=" * 60 + "+") * 1_000, None)]
+    batch = table(spark, rows).selectExpr("doc_id", "0L mark", "text").toArrow().combine_chunks().to_batches()
+    keys = np.array([], np.uint64)
+    if frequent:
+        text = "".join(t for _, t, _ in rows).encode()
+        keys = np.unique(suffix_dedup.Pieces(np.frombuffer(text, np.uint8), np.cumsum([0, *(len(t) for _, t, _ in rows)]), 50).key)
+    dealt = [r for b in suffix_dedup._dealt(iter(batch), 50, 8, 0, 1, keys) for r in b.to_pylist() if not r["covered"]]
+    sent = sum(len(zstandard.ZstdDecompressor().decompress(r["windows"])) for r in dealt)
+    assert sent <= 200
+
+
 def test_long_texts_come_in_overlapping_parts(spark, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "AT_ONCE", 777)
     batch = table(spark, rows).selectExpr("doc_id", "0L mark", "text").toArrow().combine_chunks().to_batches()
