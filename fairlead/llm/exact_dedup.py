@@ -12,6 +12,7 @@ Texts are equal when they are identical after lower-casing A-Z only; null is the
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -219,10 +220,16 @@ def deduplicate(docs: DataFrame, is_known) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame, is_known) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; of rows that repeat an id and its text, one."""
+    """The rows of ``docs`` that stay, all columns; of rows that repeat an id and its text, one.
+
+    An id may stand for several texts: each row is judged by its own.
+    """
     from pyspark.sql import Window
 
-    kept = deduplicate(docs, is_known).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept.hint("merge"), same_id(F.col("doc_id").cast("long"), F.col("_kept")), "left_semi")
-    same = Window.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy("doc_id")
-    return rows.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
+    kept = deduplicate(docs, is_known).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_kept_text")).distinct()
+    lowered = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    own = docs.withColumn("_text", F.sha2(lowered.cast("binary"), 256))
+    stays = same_id(F.col("doc_id").cast("long"), F.col("_kept")) & (F.col("_text") == F.col("_kept_text"))
+    rows = own.join(kept.hint("merge"), stays, "left_semi")
+    same = Window.partitionBy("doc_id", "_text").orderBy("text")
+    return rows.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy", "_text")

@@ -305,6 +305,12 @@ def test_exact_dedup_repeated_rows_and_nulls(spark):
     assert sorted(r.doc_id for r in exact_dedup.without_duplicates(given_, older_half()).collect()) == [1, 4]
 
 
+def test_a_repeated_id_keeps_no_copy(spark):
+    given_ = table(spark, [(5, "A", None), (5, "B", None), (9, "A", None), (None, "x", None), (None, "b", None), (None, "a", None), (5, "b", None)])
+    found = Counter((r.doc_id, r.text.lower()) for r in exact_dedup.without_duplicates(given_, older_half()).collect())
+    assert found == {(5, "b"): 1, (9, "a"): 1, (None, "x"): 1}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 1_000, 30_000])
 def test_fuse_filter_holds_its_keys(n):
     keys = np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)
