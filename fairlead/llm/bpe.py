@@ -7,13 +7,14 @@ without such a place is split by the pattern itself and each match is encoded se
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Characters that are handed to the library at once.
 PIECE = 65_536
@@ -73,7 +74,10 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = pa.array((encode(t.as_py() or "", path, pattern) for t in batch.column(1)), pa.list_(pa.int32()))
+            # Four bytes an id: the lists of a whole batch would take ten times as much.
+            parts = [np.array(encode(t.as_py() or "", path, pattern), np.int32) for t in batch.column(1)]
+            edges = np.cumsum([0, *map(len, parts)])
+            ids = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -84,28 +88,20 @@ def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array((decode(i.as_py() or [], path, pattern) for i in batch.column(1)), pa.binary())
+            texts = pa.array((decode(i.values.to_numpy(zero_copy_only=False).tolist() if i.is_valid else [], path, pattern) for i in batch.column(1)), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["doc_id", "bytes"])
 
     return tokens.select("doc_id", "ids").mapInArrow(task, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encode and decode every row in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256.
+    """Digests of what ``encoded`` and ``decoded`` return: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     One row per input row, repeated rows included. Null and empty texts have no tokens and the digests of no bytes.
     A null doc_id is passed on. Other columns are ignored.
     """
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, written, back = [], [], []
-            for text in batch.column(1):
-                ids = encode(text.as_py() or "", path, pattern)
-                counts.append(len(ids))
-                written.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                back.append(hashlib.sha256(decode(ids, path, pattern)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(written, pa.string()), pa.array(back, pa.string())], names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    tokens = encoded(docs, path, pattern)
+    written = F.struct("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"))
+    # The row goes through the decoder in the place of its id, so nothing has to be joined back.
+    back = decoded(tokens.select(written.alias("doc_id"), "ids"), path, pattern)
+    return back.select("doc_id.doc_id", "doc_id.n_tokens", "doc_id.ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))

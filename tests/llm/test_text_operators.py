@@ -173,6 +173,16 @@ def test_bpe_without_any_place_to_cut_and_raw_bytes(docs, none):
     assert Counter(bytes(r.bytes) for r in back.collect()) == Counter(utf8(r.text) for r in docs.collect())
 
 
+def test_digests_are_those_of_the_real_outputs(docs, rows, monkeypatch):
+    path, pattern = rank_file()
+    called = []
+    for name in ("encoded", "decoded"):
+        monkeypatch.setattr(bpe, name, lambda *a, own=getattr(bpe, name), name=name: called.append(name) or own(*a))
+    found = {r.doc_id: r.ids_sha256 for r in bpe.round_trip(docs, path, pattern).collect()}
+    assert called == ["encoded", "decoded"] and len(found) == len(rows)
+    assert found == {r.doc_id: sha(" ".join(map(str, r.ids)).encode()) for r in bpe.encoded(docs, path, pattern).collect()}
+
+
 # -- 5: token counts -------------------------------------------------------------------------------------------------
 
 
