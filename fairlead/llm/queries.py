@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import ann, bpe, exact_dedup, license_scan, line_dedup, mixing, ngram_join, simhash, suffix_dedup, token_count, toxicity
+from fairlead.llm import ann, bpe, exact_dedup, license_scan, line_dedup, mixing, ngram_join, periodic_runs, simhash, source_audit, suffix_dedup, token_count, toxicity
 from fairlead.llm.common import file_cleanup, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -197,3 +197,57 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(documents(spark, sf_dir))
+
+
+@query(
+    sql=rf"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+               '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    w AS (SELECT doc_id, lang, source, unnest(ws) AS term FROM d),
+    k AS (SELECT lang, term FROM (SELECT DISTINCT lang, term, doc_id FROM w) GROUP BY lang, term HAVING count(*) >= 3),
+    v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+    c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+    t AS (SELECT lang, source, coalesce(n, 0) + coalesce(v, 0) AS t FROM g LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN v USING (lang)),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // t.t::HUGEINT AS p
+          FROM g JOIN k USING (lang) JOIN t USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+    q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)::HUGEINT) // (sum(n) OVER (PARTITION BY lang) + v)::HUGEINT AS q
+          FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN v USING (lang)),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+          ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 200
+    """
+)
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file_cleanup(spark)
+    return source_audit.audit(table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), where the texts of one document in ten repeat a stretch of their words to the end."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    split = docs.select("doc_id", "text", F.call_function("div", crc, F.lit(10)).alias("g"), (crc % 10 == 0).alias("planted"))
+    split = split.withColumn("words", F.when(F.col("planted"), words)).withColumn("n", F.nullif(F.size("words"), F.lit(0)))
+    first = F.pmod("g", F.col("n"))
+    length = F.expr("1 + ((n - pmod(g, n)) div (3 + g % 8))")
+    place = lambda i: F.when(i < first, i).otherwise(first + (i - first) % length)
+    # sequence() takes places of a text, so they are counted as numbers of one kind.
+    repeated = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - F.lit(1).cast("long")), lambda i: F.element_at("words", (place(i) + 1).cast("int")))
+    return split.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(documents(spark, sf_dir)))
+    # Of two exponents the greater one, without division: cross products.
+    better = lambda a, b: a["length"] * b["period"] > b["length"] * a["period"]
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, b: F.when(better(b, a), b).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    written = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(written, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.expr("1000 * best.length div best.period")
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
