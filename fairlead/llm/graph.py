@@ -25,12 +25,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         root = stars.groupBy(F.col("high").alias("at")).agg(F.min("low").alias("root"))
         lifted = stars.join(root, F.col("low") == F.col("at"), "left").select("high", F.coalesce("root", "low").alias("low"), F.col("root").isNotNull().alias("moved"))
-        lifted = stored_table(lifted, "lifted")
-        least = lifted.groupBy(F.col("high").alias("at")).agg(F.min("low").alias("least"), F.count_distinct("low").alias("lows"), F.max("moved").alias("moved"))
-        least = stored_table(least, "least")
-        if not least.where("moved OR lows > 1").limit(1).count():
-            break
-        hung = lifted.join(least.select("at", "least"), F.col("high") == F.col("at"))
-        hung = hung.select(F.explode(F.array(F.col("high"), F.col("low"))).alias("high"), F.col("least").alias("low"))
-        stars = stored_table(hung.where("high <> low").distinct(), "links")
-    return nodes.join(least, F.col("node") == F.col("at"), "left").select("node", F.coalesce("least", "node").alias("label"))
+        least = lifted.groupBy(F.col("high").alias("at")).agg(F.min("low").alias("least"))
+        hung = lifted.join(least, F.col("high") == F.col("at")).withColumn("open", F.col("moved") | (F.col("low") != F.col("least")))
+        hung = hung.select(F.explode(F.array(F.col("high"), F.col("low"))).alias("high"), F.col("least").alias("low"), "open").where("high <> low")
+        hung = stored_table(hung.groupBy("high", "low").agg(F.max("open").alias("open")), "links")
+        stars = hung.select("high", "low")
+        if not hung.where("open").limit(1).count():
+            return nodes.join(stars, F.col("node") == F.col("high"), "left").select("node", F.coalesce("low", "node").alias("label"))

@@ -12,13 +12,14 @@ agreement elsewhere. As the order of segments is fixed, the first 2k segments al
 Sets that agree with crowded buckets on more than half of their segments cannot pay; they stay in these buckets.
 
 Candidates of a bucket are screened by parity sketches (the bits that differ are never more than the n-grams that do),
-linked to a forest, never to all pairs, and verified on the n-grams themselves. Where a link of the forest proves
-false, the bucket is worked through again without it, until nothing is left to verify.
+linked to a forest, not to all pairs, and verified on the n-grams themselves. Where a link of the forest proves false,
+the bucket is worked through again without it and with more partners a round, until nothing is left to verify.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -32,15 +33,22 @@ from fairlead.llm.graph import components
 #: Members of a bucket above which its segment is skipped or, where that cannot be paid for, the bucket is divided.
 BUCKET = 1_024
 #: Texts that meet one other text in a task.
-PARTNERS = 256
-#: 64-bit words of a parity sketch.
-SKETCH = 8
+PARTNERS = 64
+#: Bits of a parity sketch for each n-gram, and the fewest and most 64-bit words it has.
+SKETCH_BITS, SKETCH_LEAST, SKETCH_MOST = 4, 8, 256
+#: Bytes of a word up to which it is hashed beside the others of its text; longer words are hashed by xxHash.
+WORD_BYTES = 256
+
+_INSIDE = np.ones(256, bool)
+_INSIDE[[0x20, *range(0x09, 0x0E)]] = False
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_ODD, _OTHER_ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatter 64-bit numbers."""
-    for _ in range(2):
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * _ODD
     return x ^ (x >> np.uint64(32))
 
 
@@ -55,16 +63,54 @@ def shingles(parts: list[bytes], words: int) -> set:
     return set(zip(*(parts[i:] for i in range(words)), strict=False))
 
 
-def hashes(parts: list[bytes], words: int) -> np.ndarray:
-    """64-bit numbers of the distinct n-grams of a text of at least ``words`` words."""
-    import xxhash
+def word_numbers(text: bytes) -> np.ndarray:
+    """A 64-bit number for every word of a text: its bytes, eight at a time, all words at once."""
+    lowered = text.lower()
+    raw = np.frombuffer(lowered + bytes(9), np.uint8)
+    inside = _INSIDE[raw]
+    inside[len(lowered) :] = False
+    turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        turns = np.concatenate([[0], turns])
+    starts, lengths = turns[::2], turns[1::2] - turns[::2]
+    eight = np.ndarray((len(lowered) + 1,), "<u8", raw.data, strides=(1,))  # the eight bytes from any place on
+    found = mix((eight[starts] & _FIRST_BYTES[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * _ODD)
+    longer, done = np.flatnonzero((lengths > 8) & (lengths <= WORD_BYTES)), 8
+    while len(longer):
+        more = eight[starts[longer] + done] & _FIRST_BYTES[np.minimum(lengths[longer] - done, 8)]
+        found[longer] = mix(found[longer] * _OTHER_ODD + more)
+        done += 8
+        longer = longer[lengths[longer] > done]
+    for i in np.flatnonzero(lengths > WORD_BYTES).tolist():
+        import xxhash
+
+        found[i] = xxhash.xxh64_intdigest(lowered[starts[i] : starts[i] + lengths[i]])
+    return found
+
+
+def hashes(each: np.ndarray, words: int) -> np.ndarray:
+    """64-bit numbers of the distinct n-grams of at least ``words`` word numbers, in order."""
+    n = len(each) - words + 1
+    found = each[:n]
+    for i in range(1, words):
+        found = found * _ODD + each[i : i + n]
+    found = np.sort(mix(found))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
+
 
-    each = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
-    n = len(parts) - words + 1
-    found = np.zeros(n, np.uint64)
-    for i in range(words):
-        found = mix(found + each[i : i + n] + np.uint64(i + 1))
-    return np.unique(found)
+def sketch(numbers: np.ndarray) -> np.ndarray:
+    """Parities of the n-grams by bit, in a power of two of 64-bit words that follows their number."""
+    words = 1 << max(SKETCH_BITS * len(numbers) // 64, 1).bit_length()
+    bits = 64 * min(max(words, SKETCH_LEAST), SKETCH_MOST)
+    odd = np.bincount((mix(numbers) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def folded(held: np.ndarray, words: int) -> np.ndarray:
+    """The same sketch in fewer words."""
+    while len(held) > words:
+        held = held[: len(held) // 2] ^ held[len(held) // 2 :]
+    return held
 
 
 def differing(size: int | np.ndarray, percent: int):
@@ -80,16 +126,22 @@ def starts(percent: int) -> np.ndarray:
     return np.array(found)
 
 
+@lru_cache(maxsize=256)
+def _layout(band: int, largest: int, percent: int) -> tuple[int, np.ndarray, np.uint64]:
+    """Number of segments of a band, a name for each, and the factor that deals n-grams to them."""
+    count = int(differing(largest, percent)) + 1
+    return count, mix(np.arange(count, dtype=np.uint64) + np.uint64(band << 40)), mix(np.array([band + 1], np.uint64))[0] | np.uint64(1)
+
+
 class Segments:
     """The subsets of one set in the segments of one band, as sums of their numbers."""
 
     def __init__(self, numbers: np.ndarray, band: int, first_sizes: np.ndarray, percent: int):
         self.numbers, self.band = numbers, band
-        self.count = int(differing(first_sizes[band + 1] - 1, percent)) + 1
-        self.place = (mix(numbers + np.uint64(band)) % np.uint64(self.count)).astype(np.int64)
+        self.count, self.named, factor = _layout(band, int(first_sizes[band + 1]) - 1, percent)
+        self.place = (((numbers * factor >> np.uint64(32)) * np.uint64(self.count)) >> np.uint64(32)).astype(np.int64)
         self.sums = np.zeros(self.count, np.uint64)
         np.add.at(self.sums, self.place, numbers)
-        self.named = mix(np.arange(self.count, dtype=np.uint64) + np.uint64(band << 40))
 
     def whole(self) -> np.ndarray:
         """One key per segment and subset."""
@@ -113,34 +165,38 @@ def _digest(parts: list[bytes]) -> bytes:
     return hashlib.sha256(b" ".join(parts)).digest()
 
 
-def _key(digests: list[bytes]) -> np.ndarray:
+def _keys(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
 
 
 def measured(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, digest of the words, key, sketch) of every row; sketches are parities of the n-grams by bit."""
+    """(doc_id, n_shingles, digest of the words, key) of every row; the key is the first 8 bytes of the digest."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, sketches = [], [], []
+            counts, digests = [], []
             for text in byte_texts(batch):
                 parts = words_of(text)
-                bits = np.zeros(64 * SKETCH, np.int64)
-                if len(parts) >= words:
-                    bits = np.bincount((mix(hashes(parts, words)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH)
                 counts.append(len(shingles(parts, words)))
                 digests.append(_digest(parts))
-                sketches.append(np.packbits(bits % 2 == 1, bitorder="little").view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(_key(digests)), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "key", "sketch"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(_keys(digests))], names=["doc_id", "n_shingles", "digest", "key"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, n_shingles long, digest binary, key long")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, n_shingles long, digest binary, key long, sketch array<long>")
+
+def sketched(texts: DataFrame, words: int) -> DataFrame:
+    """Add the ``sketch`` of the n-grams to (class, key, n, text)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(hashes(word_numbers(t), words)).tobytes() for t in byte_texts(batch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "sketch"])
+
+    return texts.mapInArrow(task, "class long, key long, n long, text string, sketch binary")
 
 
 def entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(sig, key): the segments of every different text, key being the first 8 bytes of its digest.
+    """(sig, key): the segments of every different text of ``words`` words or more, with its key.
 
     A text that a task has met before is not entered again, so copies enter once a task.
     """
@@ -151,14 +207,13 @@ def entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
         for batch in batches:
             sigs, keys = [], []
             for text in byte_texts(batch):
-                parts = words_of(text)
-                digest = _digest(parts)
-                if len(parts) < words or digest in met:
+                each = word_numbers(text)
+                if len(each) < words or (digest := _digest(words_of(text))) in met:
                     continue
                 met.add(digest)
-                for segments in both_bands(hashes(parts, words), first_sizes, percent):
+                for segments in both_bands(hashes(each, words), first_sizes, percent):
                     sigs.append(segments.whole())
-                    keys.append(np.full(segments.count, _key([digest])[0]))
+                    keys.append(np.full(segments.count, _keys([digest])[0]))
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], names=["sig", "key"])
 
@@ -179,6 +234,8 @@ def chunks(rows: DataFrame, bucket: int) -> DataFrame:
             done = []
             if batch is not None:
                 sig, key = np.concatenate([sig, batch.column(0).to_numpy()]), np.concatenate([key, batch.column(1).to_numpy()])
+                order = np.lexsort((key, sig))
+                sig, key = sig[order], key[order]
                 new = np.ones(len(sig), bool)
                 new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
                 sig, key = sig[new], key[new]
@@ -199,7 +256,8 @@ def chunks(rows: DataFrame, bucket: int) -> DataFrame:
                     [pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.list_(pa.int64()))], names=["sig", "part", "keys"]
                 )
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(task, "sig long, part int, keys array<long>")
+    # Keys are put in order in the task: rows in the order of one number alone take Spark much less to sort.
+    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(task, "sig long, part int, keys array<long>")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -215,7 +273,7 @@ def paid(crowded: DataFrame, words: int, percent: int) -> DataFrame:
         for batch in batches:
             for key, sigs, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_texts(batch), strict=True):
                 out = []
-                for segments in both_bands(hashes(words_of(text), words), first_sizes, percent):
+                for segments in both_bands(hashes(word_numbers(text), words), first_sizes, percent):
                     whole = segments.whole()
                     skipped = whole[np.isin(whole.view(np.int64), sigs)]
                     if 2 * len(skipped) > segments.count:
@@ -229,10 +287,11 @@ def paid(crowded: DataFrame, words: int, percent: int) -> DataFrame:
     return crowded.select("key", "sigs", "text").mapInArrow(task, "sig long, key long")
 
 
-def forest(label: np.ndarray, side: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, false: set[tuple[int, int]], nodes: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of rows to verify: a forest over the pairs that the sketches leave open and that join different labels.
+def forest(label: np.ndarray, side: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, false: set[tuple[int, int]], nodes: np.ndarray, percent: int, width: int = 1) -> list[tuple[int, int]]:
+    """Pairs of rows to verify: of those that the sketches leave open between different labels, enough to go on.
 
-    Rows of side 0 meet rows of side 1; rows of side -1 meet each other.
+    With a ``width`` of one they are a forest; else each row takes the ``width`` likeliest of every other label. Rows of
+    side 0 meet rows of side 1; rows of side -1 meet each other. Pairs known to be false are left out.
     """
     label, found = np.unique(label, return_inverse=True)[1], []
     for x in range(len(label)):
@@ -247,18 +306,23 @@ def forest(label: np.ndarray, side: np.ndarray, sizes: np.ndarray, sketch: np.nd
         if not len(y):
             continue
         both = sizes[x] + sizes[y]
-        most = both - 2 * -(-percent * both // (100 + percent))
-        y = y[np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1) <= most]
+        apart = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
+        open_ = apart <= both - 2 * -(-percent * both // (100 + percent))
         if false:
-            y = y[[(min(nodes[x], n), max(nodes[x], n)) not in false for n in nodes[y].tolist()]] if len(y) else y
-        if len(y):
-            joined, first = np.unique(label[y], return_index=True)
-            found += [(x, int(y[i])) for i in first]
-            label[np.isin(label, joined)] = label[x]
+            open_[open_] = [(min(nodes[x], n), max(nodes[x], n)) not in false for n in nodes[y[open_]].tolist()]
+        y, apart = y[open_], apart[open_]
+        if not len(y):
+            continue
+        order = np.lexsort((apart, label[y]))
+        y, of = y[order], label[y[order]]
+        number = np.arange(len(y)) - np.searchsorted(of, of)
+        found += [(x, int(i)) for i in y[number < width]]
+        if width == 1:
+            label[np.isin(label, of)] = label[x]
     return found
 
 
-def candidates(members: DataFrame, labels: DataFrame, classes: DataFrame, false: DataFrame, bucket: int, percent: int) -> DataFrame:
+def candidates(members: DataFrame, labels: DataFrame, texts: DataFrame, false: DataFrame, bucket: int, percent: int, width: int) -> DataFrame:
     """(a, b): pairs of (bucket, class) still to verify. Crowded buckets are divided; what is linked does not meet."""
     rows = members.join(labels, F.col("class") == F.col("node"), "left").select("bucket", "class", F.coalesce("label", "class").alias("label"))
     # The largest component is unknown without a count per label; that of the smallest member stands in for it.
@@ -279,7 +343,7 @@ def candidates(members: DataFrame, labels: DataFrame, classes: DataFrame, false:
     to_main = F.transform(numbers(mains), lambda q: meeting(own, q, 2, zero))
     to_rest = F.transform(numbers(others), lambda q: meeting(q, own, 2, one))
     meets: Column = F.when(small, F.array(meeting(zero, zero, 0, alone))).when(F.col("rest"), F.concat(among, to_main)).otherwise(to_rest)
-    rows = rows.join(classes.select("class", F.col("n_shingles").alias("n"), "sketch"), "class")
+    rows = rows.join(texts.select("class", "n", "sketch"), "class")
     known = false.groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("false"))
     rows = rows.join(known, "class", "left").select("bucket", F.explode(meets).alias("m"), "class", "label", "n", "sketch", "false")
     rows = rows.select("bucket", "m.i", "m.j", "m.kind", "m.side", "class", "label", "n", "sketch", "false")
@@ -287,16 +351,16 @@ def candidates(members: DataFrame, labels: DataFrame, classes: DataFrame, false:
     def solve(t: pa.Table) -> pa.RecordBatch | None:
         nodes = t["class"].to_numpy()
         apart = {(min(a, b), max(a, b)) for a, bs in zip(nodes.tolist(), t["false"].to_pylist(), strict=True) for b in bs or ()}
-        sketch = pa.compute.list_flatten(t["sketch"].combine_chunks()).to_numpy().view(np.uint64).reshape(-1, SKETCH)
-        found = forest(t["label"].to_numpy(), t["side"].to_numpy(), t["n"].to_numpy(), sketch, apart, nodes, percent)
+        held = [np.frombuffer(s, np.uint64) for s in t["sketch"].to_pylist()]
+        least = min(map(len, held))
+        sketches = np.stack([folded(s, least) for s in held])
+        found = forest(t["label"].to_numpy(), t["side"].to_numpy(), t["n"].to_numpy(), sketches, apart, nodes, percent, width)
         if found:
             ends = np.sort(nodes[np.array(found)], axis=1)
             return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
         return None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for group in _groups(batches, ("bucket", "i", "j", "kind")):
             if (found := solve(group)) is not None:
                 yield found
@@ -354,18 +418,19 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int, bucket
     """Links (a, b) between classes that keep together all that is linked."""
     met = stored_table(chunks(entries(docs, words, percent), bucket), "buckets")
     crowded = met.where("part = 1").select("sig")
-    named = classes.select("class", "key", "digest", "least")
+    named = classes.select("class", "key", "digest", "least", "n_shingles")
     meant = met.select(F.explode("keys").alias("key")).distinct().join(named, "key")
 
     # One text per class that is in any bucket, that of its smallest id.
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_digest(words_of(t)) for t in byte_texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "text", "hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=["doc_id", "text", "hash"])
 
     hashed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(digests, "doc_id long, text string, hash binary")
     texts = hashed.join(meant, (F.col("hash") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("least")))
-    texts = stored_table(texts.groupBy("class", "key").agg(F.first("text").alias("text")), "texts")
+    texts = texts.groupBy("class", "key").agg(F.first("n_shingles").alias("n"), F.first("text").alias("text"))
+    texts = stored_table(sketched(texts, words), "texts")
 
     open_ = met.join(crowded, "sig", "left_anti").select("keys").distinct()
     hot = met.join(crowded, "sig", "left_semi").select("sig", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_list("sig").alias("sigs"))
@@ -377,23 +442,22 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int, bucket
     members = open_.select("bucket", F.explode("keys").alias("key")).unionByName(large.select(F.bitwise_not(F.col("sig").bitwiseAND(F.lit(2**63 - 1))).alias("bucket"), F.explode("keys").alias("key")))
     members = stored_table(members.join(named.select("class", "key"), "key").select("bucket", "class"), "members")
 
-    # First every bucket's smallest member against the others, then what this leaves apart.
-    hubs = members.groupBy("bucket").agg(F.min("class").alias("a"))
-    stars = members.join(hubs, "bucket").where("a < class").select("a", F.col("class").alias("b")).distinct()
-    ends = classes.select("class", "n_shingles", "sketch")
-    one, two = (ends.select(*(F.col(c).alias(f"{c}_{side}") for c in ends.columns)) for side in "ab")
-    both = F.col("n_shingles_a") + F.col("n_shingles_b")
-    most = both - 2 * F.ceil(F.lit(percent) * both / (100 + percent))
-    bits = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH)), F.lit(0))
-    near = stars.join(one, F.col("a") == F.col("class_a")).join(two, F.col("b") == F.col("class_b")).where(bits <= most).select("a", "b")
-    told = stored_table(verified(near, texts, words, percent), "told")
+    # Members of crowded buckets meet its smallest one first, so that groups of copies need not meet among themselves.
+    crowd = members.where("bucket < 0")
+    hubs = crowd.groupBy("bucket").agg(F.min("class").alias("a"))
+    stars = crowd.join(hubs, "bucket").where("a < class").select("a", F.col("class").alias("b")).distinct()
+    labels, false = classes.select(F.col("class").alias("node"), F.col("class").alias("label")).limit(0), stars.limit(0)
+    more = candidates(members.where("bucket >= 0"), labels, texts, false, bucket, percent, 1).union(stars).distinct()
+    links, width = false, 1
     while True:
-        labels = stored_table(components(told.where("linked").select("a", "b")), "labels")
-        false = told.where("NOT linked").select("a", "b")
-        more = stored_table(candidates(members, labels, classes, false, bucket, percent), "more")
+        told = stored_table(verified(more, texts, words, percent), "told")
+        links = links.union(told.where("linked").select("a", "b"))
+        false = stored_table(false.union(told.where("NOT linked").select("a", "b")), "false")
+        labels = stored_table(components(links), "labels")
+        more = stored_table(candidates(members, labels, texts, false, bucket, percent, width), "more")
         if not more.limit(1).count():
             return labels
-        told = stored_table(told.unionByName(verified(more, texts, words, percent)), "told")
+        links, width = labels.select(F.col("node").alias("a"), F.col("label").alias("b")), 8 * width
 
 
 def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, bucket: int = BUCKET) -> DataFrame:
@@ -407,7 +471,7 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, bucket: int =
     are ignored.
     """
     rows = stored_table(measured(docs, words), "measured")
-    classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), F.min("key").alias("key"))
+    classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n_shingles"), F.min("key").alias("key"))
     classes = stored_table(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     labels = _links(docs, classes, words, percent, bucket)
     labelled = classes.select("class", "digest", "least").join(labels, F.col("class") == F.col("node"), "left").select("digest", "least", F.coalesce("label", "class").alias("label"))
