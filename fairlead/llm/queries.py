@@ -69,17 +69,23 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     sql=rf"""
-    WITH d AS (SELECT doc_id, string_split(regexp_replace(replace(coalesce(text, ''), chr(10), chr(10) || chr(57344)),
-                      '([.!?][ \t]+)', '\1' || chr(57344), 'g'), chr(57344)) AS parts FROM documents),
-    u AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS n FROM d),
-    p AS (SELECT *, sum(strlen(part)) OVER (PARTITION BY doc_id ORDER BY n) - strlen(part) AS start,
-                 trim(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS unit FROM u),
-    c AS (SELECT *, unit <> '' AND len(string_split(unit, ' ')) >= {line_dedup.LEAST_WORDS} AS counts FROM p),
-    r AS (SELECT *, counts AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, start) > 1 AS gone FROM c)
-    SELECT doc_id, count(*) FILTER (counts) AS n_units, count(*) FILTER (gone) AS n_removed,
-           coalesce(string_agg(start::BIGINT || '-' || (start + strlen(part))::BIGINT, ',' ORDER BY n) FILTER (gone), '') AS removed,
-           sha256(coalesce(string_agg(part, '' ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
-    FROM r GROUP BY doc_id
+    WITH d AS (SELECT doc_id, string_split(replace(coalesce(text, ''), chr(10), chr(10) || chr(57344)), chr(57344)) AS ls FROM documents),
+    l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM d),
+    ll AS (SELECT *, sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY n) - strlen(line) AS start, string_split(regexp_replace(line, '([.!?][ \t]+|[{line_dedup.MARKS}])', '\1' || chr(57344), 'g'), chr(57344)) AS ps,
+           trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS whole FROM l),
+    s AS (SELECT doc_id, n, start, whole, unnest(ps) AS part, generate_subscripts(ps, 1) AS k FROM ll),
+    p AS (SELECT *, start + sum(strlen(part)) OVER (PARTITION BY doc_id, n ORDER BY k) - strlen(part) AS part_start,
+                 trim(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS unit FROM s),
+    u AS (SELECT doc_id, n, 0 AS k, start, strlen(line) AS length, whole AS unit FROM ll WHERE whole <> ''
+          UNION ALL SELECT doc_id, n, k, part_start, strlen(part), unit FROM p WHERE strlen(unit) >= {line_dedup.LEAST_BYTES} AND unit <> whole),
+    r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, start) > 1 AS gone FROM u),
+    g AS (SELECT r.*, r.k = 0 OR coalesce(NOT o.gone, true) AS outermost FROM r LEFT JOIN (SELECT doc_id, n, gone FROM r WHERE k = 0) o USING (doc_id, n) WHERE r.gone),
+    c AS (SELECT doc_id, count(*) AS n_units FROM u GROUP BY doc_id),
+    x AS (SELECT doc_id, count(*) AS n_removed, string_agg(start::BIGINT || '-' || (start + length)::BIGINT, ',' ORDER BY start) AS removed FROM g WHERE outermost GROUP BY doc_id),
+    t AS (SELECT p.doc_id, string_agg(part, '' ORDER BY p.n, p.k) AS kept FROM p
+          WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = p.doc_id AND g.n = p.n AND (g.k = 0 OR g.k = p.k)) GROUP BY p.doc_id)
+    SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN t USING (doc_id)
     """
 )
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
