@@ -152,7 +152,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     chosen = allowed.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(2 * sample)
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
     rows = texts.select("doc_id", "toxic", "text").mapInArrow(_termed, "doc_id long, toxic int, terms array<int>")
-    rows = stored_table(rows, "terms").dropDuplicates(["terms"])
+    # Equal texts that are labelled differently count as toxic, whatever the order of the rows.
+    rows = stored_table(rows, "terms").groupBy("terms").agg(F.max("toxic").alias("toxic"))
     rows = stored_table(rows, "distinct-terms")
     whole = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     n, bad = whole["n"], whole["bad"]
@@ -165,10 +166,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     kept = counted.where(F.col("all") >= LEAST_TEXTS).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS)
     slots = {r["term"]: i for i, r in enumerate(kept.select("term").collect())}
     chosen_terms = F.array_intersect("terms", F.array(*[F.lit(t) for t in slots])) if slots else F.array().cast("array<int>")
-    sampled = rows.select("doc_id", "toxic", chosen_terms.alias("own")).collect()
-    sampled.sort(key=lambda r: r["doc_id"])
-    found = [sorted(slots[t] for t in r["own"]) for r in sampled]
-    bias, weights, vectors = fit(found, np.array([r["toxic"] for r in sampled], float), len(slots))
+    sampled = rows.select("toxic", chosen_terms.alias("own")).collect()
+    ordered = sorted((sorted(slots[t] for t in r["own"]), r["toxic"]) for r in sampled)
+    bias, weights, vectors = fit([own for own, _ in ordered], np.array([bad for _, bad in ordered], float), len(slots))
     return Machine(slots, bias, weights, vectors)
 
 
