@@ -14,7 +14,7 @@ complete. The templates are a parameter, a small table that travels with the tas
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,9 +55,10 @@ def phrase_places(words: list[bytes], phrases: dict[str, str] = PHRASES) -> list
     line, found = b" " + b" ".join(words) + b" ", []
     for phrase, label in phrases.items():
         wanted = b" " + b" ".join(words_of(phrase.encode())) + b" "
-        at = line.find(wanted)
+        at, seen, first = line.find(wanted), 0, 0
         while at >= 0:
-            found.append((line.count(b" ", 0, at), label))
+            first, seen = first + line.count(b" ", seen, at), at
+            found.append((first, label))
             at = line.find(wanted, at + 1)
     return found
 
@@ -152,13 +153,19 @@ class Join:
             for t, _ in self.prefix.get(word, ()):
                 size = self.templates.sizes[t]
                 starts.update((t, k * size) for k in (at // size - 1, at // size) if k >= 0)
+        told: dict[int, list[tuple[int, int, float]]] = {}
+        for first, size, t, share in found:  # in the order of their places
+            told.setdefault(t, []).append((first, size, share))
         more = []
         for t, first in sorted(starts):
             wanted, end = self.templates.sets[t], min(len(words), first + 2 * self.templates.sizes[t])
             n = len(wanted.intersection(words[first:end]))
             if n < self.least[t] or ends[bisect_right(ends, first)] >= end:  # too little, or within one line
                 continue
-            own = [(max(a, first), min(a + size, end), share) for a, size, k, share in found if k == t and a < end and first < a + size]
+            blocks = told.get(t, [])
+            # No block is longer than this, so those that reach into the window lie between two places of the list.
+            near = blocks[bisect_left(blocks, (first - 2 * self.templates.longest,)) : bisect_left(blocks, (end,))]
+            own = [(max(a, first), min(a + size, end), share) for a, size, share in near if first < a + size]
             rest = wanted.intersection(w for i, w in enumerate(words[first:end], first) if not any(a <= i < b for a, b, _ in own))
             if len(rest) >= self.least[t] or n / len(wanted) > max((share for *_, share in own), default=0.0):
                 more.append((first, end - first, t, n / len(wanted)))
