@@ -7,8 +7,9 @@ and their count relative to the present place, are the state; there are finitely
 of the count. Where two characters stand together in no piece, the state is the start again.
 
 Long texts are cut into chunks. A chunk becomes a map from entry states to (exit state, count), for the entry states
-that its left context can leave; the maps of a text compose in order, which is associative. Should an entry be missing
-from a map, the text is run through the transducer as a whole, so counts are exact either way.
+that its left context can leave. Composition of maps is associative, so the maps of a text are composed by a parallel
+prefix scan: neighbours pairwise, in as many rounds as the number of chunks has binary digits. Should the entry that is
+really met be missing from the map of a chunk, this chunk alone is run once more from that entry.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.llm.common import byte_texts, row_of, stored_table
@@ -162,6 +163,11 @@ def written(state: State) -> str:
     return state[0] + "\n" + ";".join(f"{a},{b},{c}" for a, b, c in state[1])
 
 
+def read_state(text: str) -> State:
+    under, _, places = text.rpartition("\n")
+    return under, tuple(tuple(int(n) for n in place.split(",")) for place in places.split(";"))
+
+
 @lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
     return Transducer(Pieces(path))
@@ -198,6 +204,53 @@ def _mapped(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, _MAP)], names=["_row", "part", "moves"])
 
 
+def _rerun(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """One more move of a chunk, from the given entry."""
+    machine = transducer(path)
+    for batch in batches:
+        moves = []
+        for entry, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            after, total = machine.run(machine.of(read_state(entry)), text)
+            moves.append([{"entry": entry, "exit": written(machine.states[after]), "n": total}])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(moves, _MAP)], names=["_row", "part", "moves"])
+
+
+_MOVES = "array<struct<entry:string,exit:string,n:long>>"
+
+
+def composed(maps: DataFrame, parts: int) -> DataFrame:
+    """(_row, n_tokens) of (_row, part, moves): neighbours compose pairwise, round by round; null where an entry is missing."""
+
+    def after(left: Column, right: Column) -> Column:
+        def move(m: Column) -> Column:
+            then = F.get(F.filter(right, lambda r: r["entry"] == m["exit"]), 0)
+            return F.struct(m["entry"].alias("entry"), then["exit"].alias("exit"), (m["n"] + then["n"]).alias("n"))
+
+        return F.transform(left, move)
+
+    while parts > 1:
+        pair = maps.groupBy("_row", F.expr("part div 2").cast("int").alias("part")).agg(F.array_sort(F.collect_list(F.struct("part", "moves")))["moves"].alias("two"))
+        both = F.when(F.size("two") == 1, F.col("two")[0]).otherwise(after(F.col("two")[0], F.get("two", F.lit(1))))
+        maps, parts = stored_table(pair.select("_row", "part", both.alias("moves")), "maps"), -(-parts // 2)
+    first = F.get(F.filter("moves", lambda m: m["entry"] == written(START)), 0)
+    return maps.select("_row", F.when(first["exit"].isNotNull(), first["n"]).alias("n_tokens"))
+
+
+def missing(maps: DataFrame) -> DataFrame:
+    """(_row, part, entry): the first chunk of a text that is met in a state which its map does not hold."""
+
+    def step(so_far: Column, one: Column) -> Column:
+        own = F.get(F.filter(one["moves"], lambda m: m["entry"] == so_far["state"]), 0)
+        stuck = so_far["part"].isNotNull()
+        part = F.when(stuck, so_far["part"]).when(own.isNull(), one["part"])
+        return F.struct(F.when(stuck | own.isNull(), so_far["state"]).otherwise(own["exit"]).alias("state"), part.alias("part"))
+
+    start = F.struct(F.lit(written(START)).alias("state"), F.lit(None).cast("int").alias("part"))
+    in_order = F.array_sort(F.collect_list(F.struct("part", "moves")))
+    found = maps.groupBy("_row").agg(F.aggregate(in_order, start, step).alias("s"))
+    return found.where("s.part IS NOT NULL").select("_row", "s.part", F.col("s.state").alias("entry"))
+
+
 def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_tokens of the whole text.
 
@@ -211,17 +264,17 @@ def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     short = rows.where(~is_long).mapInArrow(lambda b: _counted(b, path), f"doc_id {kind}, n_bytes long, n_tokens long")
     long = stored_table(row_of(rows.where(is_long)), "long-texts")
     cut = long.select("_row", "text").mapInArrow(lambda b: _cut(b, chunk), "_row long, part int, context string, chunk string")
-    moves = "array<struct<entry:string,exit:string,n:long>>"
-    maps = cut.repartition("_row", "part").mapInArrow(lambda b: _mapped(b, path), f"_row long, part int, moves {moves}")
-    # The maps of one text are far smaller than the text; they compose in order from the start state.
-    in_order = F.array_sort(F.collect_list(F.struct("part", "moves")))
-
-    def composed(so_far, one):
-        own = F.filter(one["moves"], lambda m: m["entry"] == so_far["state"])
-        return F.struct(F.get(own, 0)["exit"].alias("state"), (so_far["n"] + F.get(own, 0)["n"]).alias("n"))
-
-    start = F.struct(F.lit(written(START)).alias("state"), F.lit(0).cast("long").alias("n"))
-    total = maps.groupBy("_row").agg(F.aggregate(in_order, start, composed)["n"].alias("n_tokens"))
-    joined = stored_table(long.join(total, "_row").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens", F.when(F.col("n_tokens").isNull(), F.col("text")).alias("text")), "composed")
-    again = joined.where("n_tokens IS NULL").select("doc_id", "text").mapInArrow(lambda b: _counted(b, path), f"doc_id {kind}, n_bytes long, n_tokens long")
-    return short.unionByName(joined.where("n_tokens IS NOT NULL").drop("text")).unionByName(again)
+    maps = cut.repartition("_row", "part").mapInArrow(lambda b: _mapped(b, path), f"_row long, part int, moves {_MOVES}")
+    maps = stored_table(maps, "maps")
+    parts = (maps.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        total = stored_table(composed(maps, parts), "composed")
+        open_ = total.where("n_tokens IS NULL").select("_row")
+        if not open_.limit(1).count():
+            break
+        lacking = stored_table(missing(maps.join(open_, "_row", "left_semi")), "missing")
+        again = cut.join(lacking, ["_row", "part"]).select("_row", "part", "entry", "chunk").mapInArrow(lambda b: _rerun(b, path), f"_row long, part int, moves {_MOVES}")
+        both = maps.unionByName(again).groupBy("_row", "part").agg(F.flatten(F.collect_list("moves")).alias("moves"))
+        maps = stored_table(both, "maps")
+    counted = long.join(total, "_row").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens")
+    return short.unionByName(counted)
