@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by collision counting over sorted single projections.
 
-The vectors are dealt into blocks, and each block keeps, per random projection, its projected values in sorted order.
-For a query a window around its own projected value opens in every array; virtual rehashing widens it round by
-round, so no array is built twice. A vector that falls into the windows of enough projections is a candidate. When
-enough of a block's vectors are candidates, or the windows hold the whole block, the candidates are verified by their
-exact distance. The projections are random and fixed, so nothing is fitted, and every row is in the index.
+The vectors are dealt into blocks. In the task that searches a block, every random projection has its projected values
+in sorted order. For a query a window around its own projected value opens in every array; virtual rehashing widens it
+round by round, and only what a round adds is counted. A vector that lies in the windows of enough projections is a
+candidate; once there are enough of them, or the windows hold the whole block, the candidates are verified by their exact
+distance. How many are enough grows with the square root of all vectors, so the share that is verified falls as they
+become more. The projections are random and fixed, so nothing is fitted, and every row is in the index.
 """
 
 from __future__ import annotations
@@ -19,15 +20,14 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.common import stored_table
 
-PROJECTIONS = 64
+PROJECTIONS = 384
 #: Share of the projections in whose windows a candidate must lie.
-COLLISIONS = 0.5
-#: Share of a block that is verified at least, beside the neighbours asked for, and the least number of vectors.
-VERIFIED = 0.3
-LEAST_VERIFIED = 320
+COLLISIONS = 0.62
+#: Candidates that a query asks for over all blocks, in square roots of the number of vectors.
+ASKED = 3.0
 #: First half width of the windows in standard deviations of a projection, and its growth by virtual rehashing.
-FIRST_WIDTH = 0.45
-GROWTH = 1.2
+FIRST_WIDTH = 1.0
+GROWTH = 1.04
 #: Vectors of a block on average, queries of a bundle.
 BLOCK = 4_096
 BUNDLE = 256
@@ -43,33 +43,47 @@ def directions(dimensions: int, count: int = PROJECTIONS) -> np.ndarray:
 class Block:
     """Vectors of one block with their sorted projections."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, values: np.ndarray, order: np.ndarray):
-        self.ids, self.vectors, self.values, self.order = ids, vectors, values, order
-
-    @classmethod
-    def build(cls, ids: np.ndarray, vectors: np.ndarray) -> Block:
-        projected = (vectors.astype(np.float64) @ directions(vectors.shape[1])).T
-        order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
-        return cls(ids, vectors, np.take_along_axis(projected, order, axis=1).astype(np.float32), order)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        projected = (vectors.astype(np.float32) @ directions(vectors.shape[1]).astype(np.float32)).T
+        self.ids, self.vectors = ids, vectors
+        self.order = np.argsort(projected, axis=1)
+        values = np.take_along_axis(projected, self.order, axis=1).astype(np.float64)
+        self.spread = float(values.std(axis=1).mean()) if values.size else 0.0
+        # One array for all projections: each has a range of its own, so that one search finds all window edges.
+        self.reach = float(np.abs(values).max(initial=1.0)) + 0.25
+        self.apart = 2.0 * self.reach + 0.25
+        self.line = (values + self.apart * np.arange(len(values))[:, None]).ravel()
+
+    def edges(self, projected: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place, within each projection, of the window around the projected values."""
+        n, m = len(self.ids), len(projected)
+        own, firsts = self.apart * np.arange(m), n * np.arange(m)
+        low = np.searchsorted(self.line, np.clip(projected - half, -self.reach, self.reach) + own, "left")
+        high = np.searchsorted(self.line, np.clip(projected + half, -self.reach, self.reach) + own, "right")
+        return np.clip(low - firsts, 0, n), np.clip(high - firsts, 0, n)
 
     def candidates(self, projected: np.ndarray, wanted: int) -> np.ndarray:
         """Rows in the windows of enough projections, at least ``wanted`` if the block holds as many."""
         n, m = len(self.ids), len(projected)
         if n <= wanted:
             return np.arange(n)
-        least = max(1, int(m * COLLISIONS))
-        half = max(1e-6, FIRST_WIDTH * float(self.values.std(axis=1).mean()))
+        least, counts = max(1, int(m * COLLISIONS)), np.zeros(n, np.int64)
+        half = max(1e-6, FIRST_WIDTH * self.spread)
+        low, high = self.edges(projected, 0.0)
+        low, high = np.minimum(low, high), np.minimum(low, high)
         while True:
-            low = [np.searchsorted(v, p - half, "left") for v, p in zip(self.values, projected, strict=True)]
-            high = [np.searchsorted(v, p + half, "right") for v, p in zip(self.values, projected, strict=True)]
-            inside = np.concatenate([self.order[j, a:b] for j, (a, b) in enumerate(zip(low, high, strict=True))])
-            found = np.flatnonzero(np.bincount(inside, minlength=n) >= least)
-            if len(found) >= wanted or len(inside) == n * m:
+            below, above = self.edges(projected, half)
+            ring = [rows[a:b] for rows, x, y, z, w in zip(self.order, below, low, high, above, strict=True) for a, b in ((x, y), (z, w)) if a < b]
+            if ring:
+                counts += np.bincount(np.concatenate(ring), minlength=n)
+            low, high = below, above
+            found = np.flatnonzero(counts >= least)
+            if len(found) >= wanted or (high - low).sum() == n * m:
                 return found
             half *= GROWTH
 
-    def nearest(self, query_id: int, query: np.ndarray, projected: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.candidates(projected, k + 1 + max(LEAST_VERIFIED, int(VERIFIED * len(self.ids))))
+    def nearest(self, query_id: int, query: np.ndarray, projected: np.ndarray, k: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.candidates(projected, k + 1 + wanted)
         rows = rows[self.ids[rows] != query_id]
         apart = np.sqrt(((self.vectors[rows].astype(np.float64) - query.astype(np.float64)) ** 2).sum(axis=1))
         first = np.lexsort((self.ids[rows], apart))[:k]
@@ -93,22 +107,23 @@ def _vectors(column: pa.Array) -> np.ndarray:
 def _indexed(rows: pa.Table) -> pa.Table:
     ids, v = rows["vec_id"].to_numpy(), _vectors(rows["v"])
     order = np.argsort(ids, kind="stable")
-    made = Block.build(ids[order], v[order])
-    payload = [made.ids.tobytes(), np.ascontiguousarray(made.vectors).tobytes(), made.values.tobytes(), made.order.tobytes()]
-    names = ["block", "size", "n", "kind", "ids", "vectors", "vals", "ord"]
-    head = [rows["block"][0].as_py(), rows["size"][0].as_py(), len(ids), made.vectors.dtype.str]
-    return pa.table([pa.array([x]) for x in [*head, *payload]], names=names).cast(_INDEX)
+    head = [rows["block"][0].as_py(), rows["size"][0].as_py(), len(ids), v.dtype.str]
+    payload = [ids[order].tobytes(), np.ascontiguousarray(v[order]).tobytes()]
+    return pa.table([pa.array([x]) for x in [*head, *payload]], names=_INDEX.names).cast(_INDEX)
 
 
-_INDEX = pa.schema([("block", pa.int64()), ("size", pa.int32()), ("n", pa.int64()), ("kind", pa.string()), ("ids", pa.binary()), ("vectors", pa.binary()), ("vals", pa.binary()), ("ord", pa.binary())])
+_INDEX = pa.schema([("block", pa.int64()), ("size", pa.int32()), ("n", pa.int64()), ("kind", pa.string()), ("ids", pa.binary()), ("vectors", pa.binary())])
 
 
 def index(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per block of (vec_id, v), stored; blocks hold vectors of one length and have a size that does not grow."""
+    """One row per block of (vec_id, v), stored; blocks hold vectors of one length and have a size that does not grow.
+
+    The sorted projections, several times as large as the vectors, are made where a block is searched.
+    """
     blocks = max(1, -(-rows.count() // block))
     spread = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))
     dealt = rows.withColumn("size", F.size("v")).withColumn("block", spread)
-    made = dealt.groupBy("block", "size").applyInArrow(_indexed, "block long, size int, n long, kind string, ids binary, vectors binary, vals binary, ord binary")
+    made = dealt.groupBy("block", "size").applyInArrow(_indexed, "block long, size int, n long, kind string, ids binary, vectors binary")
     return stored_table(made, "vector-blocks")
 
 
@@ -121,6 +136,7 @@ def _bundled(rows: pa.Table) -> pa.Table:
 def search(rows: DataFrame, blocks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, vec_id, score): the ``k`` nearest found of every query, with their exact Euclidean distances."""
     bundles = max(1, -(-queries.count() // BUNDLE))
+    whole = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     asked = queries.withColumn("size", F.size("v")).withColumn("bundle", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(bundles)))
     asked = stored_table(asked.groupBy("bundle", "size").applyInArrow(_bundled, "size int, query_ids binary, queries binary"), "query-bundles")
 
@@ -128,16 +144,12 @@ def search(rows: DataFrame, blocks: DataFrame, queries: DataFrame, k: int = 10)
         for batch in batches:
             for row in batch.to_pylist():
                 size, n, kind = row["size"], row["n"], np.dtype(row["kind"])
-                own = Block(
-                    np.frombuffer(row["ids"], np.int64),
-                    np.frombuffer(row["vectors"], kind).reshape(n, size),
-                    np.frombuffer(row["vals"], np.float32).reshape(-1, n),
-                    np.frombuffer(row["ord"], np.int32).reshape(-1, n),
-                )
+                own = Block(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], kind).reshape(n, size))
+                wanted = int(np.ceil(ASKED * whole**0.5 * n / whole))  # a block's share of what a query asks for
                 ids, v = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["queries"], kind).reshape(-1, size)
                 projected = v.astype(np.float64) @ directions(size)
                 for i, q in enumerate(ids):
-                    near, score = own.nearest(q, v[i], projected[i], k)
+                    near, score = own.nearest(q, v[i], projected[i], k, wanted)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q)), pa.array(near), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     # Every bundle of the stated queries meets every block of the rows, by an equi-join on the block.
