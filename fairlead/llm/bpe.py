@@ -94,14 +94,17 @@ def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(task, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Digests of what ``encoded`` and ``decoded`` return: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
+    With ``with_ids`` the ids follow as an array, which makes the result the encoded corpus.
+
     One row per input row, repeated rows included. Null and empty texts have no tokens and the digests of no bytes.
     A null doc_id is passed on. Other columns are ignored.
     """
     tokens = encoded(docs, path, pattern)
-    written = F.struct("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"))
+    ids = [F.col("ids")] if with_ids else []
+    written = F.struct("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), *ids)
     # The row goes through the decoder in the place of its id, so nothing has to be joined back.
     back = decoded(tokens.select(written.alias("doc_id"), "ids"), path, pattern)
-    return back.select("doc_id.doc_id", "doc_id.n_tokens", "doc_id.ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    return back.select("doc_id.doc_id", "doc_id.n_tokens", "doc_id.ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"), *[F.col("doc_id.ids") for _ in ids])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fairlead.session import stored_table
 
-__all__ = ["byte_texts", "entry_texts", "file_cleanup", "row_of", "same_id", "stored_table", "table", "task_number"]
+__all__ = ["byte_texts", "entry_texts", "file_cleanup", "packed", "row_of", "same_id", "stored_table", "table", "task_number"]
 
 #: Letters, digits and every character outside ASCII; the input is lower-cased before.
 WORD = rb"[0-9a-z\x80-\xff]+"
@@ -44,6 +44,11 @@ def same_id(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Every row as one column ``row`` beside the given keys, so that no name of an input column can clash with a key."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in keys.items()])
+
+
 def row_of(df: DataFrame, name: str = "_row") -> DataFrame:
     """Number the rows. The numbers are stable only once the result is stored."""
     return df.withColumn(name, F.monotonically_increasing_id())

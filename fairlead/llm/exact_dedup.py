@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import byte_texts, same_id, stored_table
+from fairlead.llm.common import byte_texts, packed, same_id, stored_table
 
 #: Digests per shard on average, and the fewest shards.
 SHARD_KEYS = 65_536
@@ -226,10 +226,9 @@ def without_duplicates(docs: DataFrame, is_known) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    kept = deduplicate(docs, is_known).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_kept_text")).distinct()
+    kept = deduplicate(docs, is_known).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text")).distinct()
     lowered = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    own = docs.withColumn("_text", F.sha2(lowered.cast("binary"), 256))
-    stays = same_id(F.col("doc_id").cast("long"), F.col("_kept")) & (F.col("_text") == F.col("_kept_text"))
-    rows = own.join(kept.hint("merge"), stays, "left_semi")
-    same = Window.partitionBy("doc_id", "_text").orderBy("text")
-    return rows.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy", "_text")
+    own = packed(docs, id=F.col("doc_id").cast("long"), digest=F.sha2(lowered.cast("binary"), 256), spelled=F.col("text"))
+    rows = own.join(kept.hint("merge"), same_id(F.col("id"), F.col("kept_id")) & (F.col("digest") == F.col("kept_text")), "left_semi")
+    same = Window.partitionBy("id", "digest").orderBy("spelled")
+    return rows.withColumn("copy", F.row_number().over(same)).where("copy = 1").select("row.*")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import same_id, stored_table
+from fairlead.llm.common import packed, same_id, stored_table
 
 #: Weights of the sources in code-point order, repeated, and what they share of all sizes.
 WEIGHTS = (5, 2, 1)
@@ -85,6 +85,8 @@ def multipliers(counts: DataFrame, goals: DataFrame) -> DataFrame:
         state = stored_table(at.select("sid", "target", after.alias("lam"), "low", "high", (F.abs("gap") / F.col("target")).alias("off")), "multipliers")
         if not state.where(F.col("off") > _CLOSE).limit(1).count():
             break
+    else:
+        raise RuntimeError(f"the multipliers did not come within {_CLOSE} of the targets in {_STEPS} steps")
     return state.select("sid", F.round("lam", 7).alias("lam"))
 
 
@@ -142,11 +144,10 @@ def mixed(docs: DataFrame, key: str = "source") -> DataFrame:
 
     Rows with the same id and size share their copies evenly, which differ by one at most.
     """
-    of_id = mix(docs, key).groupBy("doc_id", "size").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows"))
-    of_id = of_id.select(F.col("doc_id").alias("_id"), F.col("size").alias("_words"), "_all", "_rows")
-    own = size_of()
-    rows = docs.withColumn("_own", own).join(of_id.hint("merge"), same_id(F.col("doc_id"), F.col("_id")) & (F.col("_own") == F.col("_words")))
-    turn = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy("doc_id"))
-    rows = rows.withColumn("_turn", turn)
-    times = F.floor(F.col("_all") / F.col("_rows")) + F.when(F.col("_turn") <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*[F.col(c) for c in docs.columns])
+    of_id = mix(docs, key).groupBy("doc_id", "size").agg(F.sum("copies").alias("all_copies"), F.count(F.lit(1)).alias("all_rows"))
+    of_id = of_id.select(F.col("doc_id").alias("mixed_id"), F.col("size").alias("mixed_size"), "all_copies", "all_rows")
+    rows = packed(docs, id=F.col("doc_id"), size=size_of())
+    rows = rows.join(of_id.hint("merge"), same_id(F.col("id"), F.col("mixed_id")) & (F.col("size") == F.col("mixed_size")))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("id", "size").orderBy("id")))
+    times = F.floor(F.col("all_copies") / F.col("all_rows")) + F.when(F.col("turn") <= F.col("all_copies") % F.col("all_rows"), 1).otherwise(0)
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("copy")).select("row.*")

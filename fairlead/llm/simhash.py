@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import byte_texts, stored_table
+from fairlead.llm.common import byte_texts, packed, stored_table
 from fairlead.llm.graph import components
 
 #: Fingerprints of one bucket that meet in one task; larger buckets are divided.
@@ -194,6 +194,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
 
 def without_near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """The rows of ``docs`` whose doc_id names its group, all columns; rows with a null doc_id stay."""
-    kept = near_duplicates(docs, words, distance).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    named = docs.where("doc_id IS NOT NULL").join(kept.distinct().hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    kept = near_duplicates(docs, words, distance).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = packed(docs, id=F.col("doc_id").cast("long"))
+    named = rows.where("id IS NOT NULL").join(kept.hint("merge"), F.col("id") == F.col("kept_id"), "left_semi")
+    return named.unionByName(rows.where("id IS NULL")).select("row.*")

@@ -30,12 +30,15 @@ def texts(seed: int = 1, count: int = 60) -> list[str | None]:
     return out
 
 
-SCHEMA = "n_chars long, doc_id long, text string, source string, key string, fp long, node long, label int, size int, block int"
+#: Names that operators and stages use inside.
+INSIDE = ("key fp node label size block _kept _kept_text _text _copy _id _words _all _rows _own _turn row id digest spelled copy kept_id kept_text turn "
+          "mixed_id mixed_size all_copies all_rows kept_sha256 toxic terms score n sid x q a b sig part keys sketch least class component_id start end ids").split()
+SCHEMA = "n_chars long, doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in INSIDE)
 
 
 def table(spark, rows: list[tuple[int | None, str | None, str | None]]):
     """(doc_id, text, source) with extra columns whose names the operators use inside."""
-    data = [(1, d, t, s, "k", 7, 7, 7, 7, 7) for d, t, s in rows]
+    data = [(1, d, t, s, *[7] * len(INSIDE)) for d, t, s in rows]
     return spark.createDataFrame(data, SCHEMA)
 
 

@@ -120,6 +120,7 @@ def test_line_dedup_keeps_the_earliest(docs, rows):
             if unit in seen:
                 spans.append((start, end))
             seen.setdefault(unit, (doc_id, start))
+        spans = [s for s in spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans)]
         expected[doc_id] = (units, spans, line_dedup.without(utf8(text), spans))
     found = {r.doc_id: (r.n_units, [(s.start, s.end) for s in r.removed or []], bytes(r.kept)) for r in line_dedup.dedup_lines(docs).collect()}
     assert found == expected
@@ -129,10 +130,21 @@ def test_line_dedup_awkward_ids(spark, none):
     text = "Same  LINE of a good eight words here\nshort"
     given_ = table(spark, [(None, "same line of a good eight words here", None), (5, text, None), (5, text, None), (4, None, None), (6, "short", None)])
     found = sorted((r.doc_id or 0, r.n_units, len(r.removed or []), bytes(r.kept)) for r in line_dedup.dedup_lines(given_).collect())
-    assert found == [(0, 1, 1, b""), (4, 0, 0, b""), (5, 1, 0, text.encode()), (5, 1, 0, text.encode()), (6, 0, 0, b"short")]
+    assert found == [(0, 1, 1, b""), (4, 0, 0, b""), (5, 2, 0, text.encode()), (5, 2, 0, text.encode()), (6, 1, 1, b"")]
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_whole_lines_of_any_length_go(spark):
+    rows_ = [(1, "a\n\nShort one.\n短い行。別の文もここに並んでいて十分に長い。\nHe said no. He left.\n", None),
+             (2, "b\nshort   ONE.\n短い行。違う文がここに並んでいて十分に長い。\nHe left. He said no.\na", None),
+             (3, "前置き。別の文もここに並んでいて十分に長い。He said no. He left.", None)]
+    found = {r.doc_id: bytes(r.kept).decode() for r in line_dedup.dedup_lines(table(spark, rows_)).collect()}
+    assert found[1] == rows_[0][1]
+    assert found[2] == "b\n短い行。違う文がここに並んでいて十分に長い。\nHe left. He said no.\n"  # short sentences of other lines stay
+    assert found[3] == "前置き。He said no. He left."
+    assert line_dedup.outermost([(0, 9), (0, 4), (5, 9), (9, 12), (10, 12)]) == [(0, 9), (9, 12)]
+
+
 def test_a_passage_inside_a_line_is_found(spark):
     passage = "The first of its sentences has a start of its own. " + "And each of the next ones is the same in all. " * 2
     passage += "It ends here with as many words as any other. "

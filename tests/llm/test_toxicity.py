@@ -50,3 +50,14 @@ def test_without_labels_or_documents(spark):
     scores = {r.score for r in toxicity.toxicity(docs, no_labels).collect()}
     assert len(scores) == 1
     assert toxicity.toxicity(table(spark, []), no_labels).count() == 0
+
+
+def test_scores_do_not_depend_on_the_order_of_the_rows(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcde", k=4)) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=12)) for _ in range(150)]
+    texts = [t + " vile" if i < 40 else t for i, t in enumerate(texts)]
+    rows = [(i, texts[i % 150], None) for i in range(600)]  # equal texts, labelled differently
+    marks = spark.createDataFrame([(i, int(rng.random() < (0.7 if i % 150 < 40 else 0.05))) for i in range(600)], "doc_id long, toxic int")
+    scores = [{r.doc_id: r.score for r in toxicity.toxicity(table(spark, rows).repartition(n), marks.repartition(n)).collect()} for n in (1, 3, 7)]
+    assert scores[0] == scores[1] == scores[2] and len(set(scores[0].values())) > 10
