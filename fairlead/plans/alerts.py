@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fairlead.operators import detect, enrich, proximity, reads, rules, spatial
+from fairlead.functions import vessel
+from fairlead.operators import conditions, detect, enrich, proximity, reads, rules, spatial
 from fairlead.plans import common
 from fairlead.plans.oracle import sql, top
 from fairlead.plans.registry import query
@@ -50,6 +51,39 @@ def rule_alerts(spark, sf):
     )
 
 
+# Rules as they are stored: the conditions are JSON texts.
+STORED_RULES = (
+    (1, "Fast tanker", "SPEED", '{"and": [{"metric": "vessel_type", "op": "=", "value": "TANKER"}, {"or": [{"metric": "speed", "op": ">", "value": 70}, {"metric": "top_speed_share", "op": ">=", "value": 4}]}]}', "WARNING", True),
+    (2, "Odd while resting", "CUSTOM", '{"and": [{"or": [{"metric": "navigation_status", "op": "=", "value": 1}, {"metric": "navigation_status", "op": "=", "value": 5}]}, {"not": {"or": [{"metric": "speed", "op": "<=", "value": 3}, {"metric": "distance_nm", "op": "<", "value": 1}]}}]}', "LOW", True),
+    (3, "Silent and back", "AIS_LOST", '{"and": [{"metric": "silence_minutes", "op": ">=", "value": 3}, {"not": {"metric": "vessel_type", "op": "=", "value": "TANKER"}}, {"not": {"and": [{"metric": "speed", "op": ">", "value": 20}, {"metric": "distance_nm", "op": ">", "value": 2}]}}]}', "CRITICAL", True),
+    (4, "Off", "SPEED", '{"metric": "speed", "op": ">", "value": 0}', "WARNING", False),
+    (5, "Fast", "SPEED", '{"metric": "speed", "op": ">", "value": 70}', None, True),
+    (6, "Unreadable", "SPEED", '{"metric": "speed", "op": "~", "value": 70}', "LOW", True),
+    (7, "Never read", "CUSTOM", '{"or": [{"metric": "mood", "op": "=", "value": "bad"}, {"and": [{"metric": "speed", "op": ">", "value": 100}, {"metric": "speed", "op": ">", "value": 100}]}]}', "LOW", True),
+)
+
+
+def stored_rules(spark):
+    return spark.createDataFrame(list(STORED_RULES), "id int, rule_name string, rule_type string, conditions string, severity string, is_active boolean")
+
+
+@query("T-23", sql=sql("""
+SELECT seq, 1 AS rule_id, 'WARNING' AS severity FROM enriched WHERE vessel_type = 'TANKER' AND (speed > 70 OR speed / 20e0 >= 4)
+UNION ALL SELECT seq, 2, 'LOW' FROM enriched WHERE (navigation_status = 1 OR navigation_status = 5) AND NOT (speed <= 3 OR dist < 1)
+UNION ALL SELECT seq, 3, 'CRITICAL' FROM enriched WHERE dt / 6e4 >= 3 AND NOT vessel_type = 'TANKER' AND NOT (speed > 20 AND dist > 2)
+UNION ALL SELECT seq, 5, NULL FROM enriched WHERE speed > 70
+UNION ALL SELECT seq, 7, 'LOW' FROM enriched WHERE speed > 100""", "enriched"))
+def rule_conditions(spark, sf):
+    """Stored rules with nested conditions, over enriched positions."""
+    rows = common.enriched(spark, sf).withColumn("top_speed", vessel.top_speed(F.col("vessel_type")))
+    metrics = {
+        "speed": F.col("speed"), "vessel_type": F.col("vessel_type"), "navigation_status": F.col("navigation_status"),
+        "silence_minutes": F.col("time_since_last_update") / 60_000.0, "distance_nm": F.col("distance_from_previous"),
+        "top_speed_share": F.col("speed") / F.col("top_speed"),
+    }
+    return conditions.matches(rows, stored_rules(spark), metrics).select("seq", "rule_id", "severity")
+
+
 @query("U-01", "X-01", sql=sql(f"""
 SELECT alert_type, count(*) AS n, count(DISTINCT mmsi) AS vessels FROM (
   SELECT 'EXCESSIVE_SPEED' AS alert_type, mmsi FROM checks WHERE is_fast
