@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.operators import enrich, reads as ops, sequence
+from fairlead.operators import clustered, enrich, reads as ops, sequence
 from fairlead.plans import common, lenses
-from fairlead.plans.oracle import sql
+from fairlead.plans.oracle import km, sql
 from fairlead.plans.registry import query
 from fairlead.plans.rollups import LATEST
+from fairlead.plans.spatial import PORT_LAT, PORT_LON
+from fairlead.session import scratch_path
 
 MMSI = 525_000_005
 
@@ -168,3 +173,88 @@ def sql_views(spark, sf):
         """,
         **views,
     )
+
+
+@lru_cache(maxsize=64)
+def _stored(app: str, sf: str, name: str):
+    """A stored table of the given data, written once per application."""
+    spark = SparkSession.active()
+    path = scratch_path(spark, name)
+    if name == "positions":
+        rows = common.valid_long(spark, sf)
+        held = clustered.KeyedHistory(path, ("mmsi",), rows.schema)
+        held.append(rows)
+    elif name == "weather":
+        rows = lenses.weather(spark, sf)
+        held = clustered.KeyedHistory(path, ("grid_id",), rows.schema, buckets=4)
+        held.append(rows)
+    elif name == "places":
+        recent = common.valid(spark, sf).where(F.col("ts") > common.as_of(spark, sf) - F.expr("INTERVAL 1 HOUR"))
+        rows = sequence.latest_per_key(recent.select("mmsi", "latitude", "longitude", "ts", "seq"), ["mmsi"])
+        held = clustered.PlacedTable(path, rows.schema)
+        held.write(rows)
+    else:
+        # The names as they were in the first half of the fixes, and then as they are, with the master's beside them.
+        latest = sequence.latest_per_key(common.valid(spark, sf).select("mmsi", "vessel_name", "ts", "seq"), ["mmsi"])
+        held = clustered.NameIndex(path)
+        held.add(latest.select("mmsi", F.concat(F.lit("OLD MV "), "vessel_name").alias("name")), 0)
+        held.add(latest.select("mmsi", F.col("vessel_name").alias("name")), 1)
+    return held
+
+
+def stored(spark, sf, name):
+    return _stored(spark.sparkContext.applicationId, sf, name)
+
+
+@query("L-01", "P-17", sql=sql(f"""
+SELECT mmsi, vessel_name, vessel_type, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, speed, course, status, epoch_ms(ts) AS ts_ms
+FROM valid_long WHERE mmsi = {MMSI} AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'""", "valid_long"))
+def stored_vessel_history(spark, sf):
+    """One vessel's track out of a history that is stored by key and time."""
+    start, end = (F.lit(d).cast("timestamp") for d in ("2024-01-05", "2024-01-25"))
+    rows = ops.history_projection(stored(spark, sf, "positions").between(spark, [MMSI], start, end))
+    return rows.select("mmsi", "vessel_name", "vessel_type", *common.rounded("latitude", "longitude"), "speed", "course", "status", *common.millis("ts"))
+
+
+@query("L-04", sql=sql(f"SELECT {READING} FROM weather WHERE grid_id = '-61_1070' ORDER BY ts DESC, seq DESC LIMIT 1", "weather"))
+def stored_weather_by_grid(spark, sf):
+    rows = stored(spark, sf, "weather").newest(spark, ["-61_1070"])
+    return rows.select("grid_id", *common.rounded("temperature"), "wind_speed", *common.rounded("wave_height"), "humidity", *common.millis("ts"))
+
+
+@query("L-05", sql=sql(f"""
+SELECT mmsi, round(d, 5) AS distance_km FROM (SELECT mmsi, {km('latitude', 'longitude', f'{PORT_LAT}e0', f'{PORT_LON}e0')} AS d FROM latest
+  WHERE ts > (SELECT max(ts) FROM positions) - INTERVAL 1 HOUR) ORDER BY d, mmsi LIMIT 10""", "valid", extra=LATEST))
+def stored_nearest_vessels(spark, sf):
+    """The ten vessels nearest to a harbour, by rings of stored cells."""
+    rows = stored(spark, sf, "places").nearest(spark, PORT_LAT, PORT_LON, 10)
+    return rows.select("mmsi", common.near(F.col("distance_km"), 5).alias("distance_km"))
+
+
+@query("L-05", sql=sql(f"""
+SELECT point_id, rank, mmsi, round(d, 5) AS distance_km FROM (
+  SELECT p.mmsi AS point_id, l.mmsi, row_number() OVER (PARTITION BY p.mmsi ORDER BY {km('p.latitude', 'p.longitude', 'l.latitude', 'l.longitude')}, l.mmsi)::INT AS rank,
+    {km('p.latitude', 'p.longitude', 'l.latitude', 'l.longitude')} AS d
+  FROM (SELECT * FROM latest WHERE mmsi % 5 = 0) p, latest l WHERE l.ts > (SELECT max(ts) FROM positions) - INTERVAL 1 HOUR) WHERE rank <= 5""", "valid", extra=LATEST))
+def nearest_vessels_join(spark, sf):
+    """The five vessels nearest to each of a set of places, here the places of every fifth vessel."""
+    latest = sequence.latest_per_key(common.valid(spark, sf).select("mmsi", "latitude", "longitude", "ts", "seq"), ["mmsi"])
+    points = latest.where("mmsi % 5 = 0").select(F.col("mmsi").alias("point_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    rows = stored(spark, sf, "places").nearest_join(points, 5)
+    return rows.select("point_id", "rank", "mmsi", common.near(F.col("distance_km"), 5).alias("distance_km"))
+
+
+@query("L-07", sql=sql("""
+SELECT mmsi, vessel_name, len(list_intersect(string_split(lower(vessel_name), ' '), ['mv', 'sinar', '12'])) AS score FROM latest
+WHERE len(list_intersect(string_split(lower(vessel_name), ' '), ['mv', 'sinar', '12'])) > 0
+ORDER BY score DESC, vessel_name, mmsi LIMIT 20""", "valid", extra=LATEST))
+def indexed_name_match(spark, sf):
+    """Names by words of a stored index, after every name was replaced once."""
+    rows = stored(spark, sf, "names").match(spark, "MV sinar 12")
+    return rows.select("mmsi", F.col("name").alias("vessel_name"), "score")
+
+
+@query("L-07", sql=sql("""
+SELECT mmsi, vessel_name FROM latest WHERE starts_with(lower(vessel_name), 'mt pert') ORDER BY vessel_name, mmsi LIMIT 20""", "valid", extra=LATEST))
+def indexed_autocomplete(spark, sf):
+    return stored(spark, sf, "names").complete(spark, "MT Pert").select("mmsi", F.col("name").alias("vessel_name"))
