@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlead.functions import alerting, geo
@@ -45,9 +45,11 @@ def _unwrapped(rings: Column) -> Column:
 def fence_rows(fences: DataFrame) -> DataFrame:
     """One row per active fence and cell that its bounding box touches: (size, _cx, _cy, fence).
 
-    The size follows the fence, so a fence takes at most (CELLS_ACROSS + 1) squared rows, an ocean included.
+    The size follows the fence, so a fence takes at most (CELLS_ACROSS + 1) squared rows, an ocean included. Where
+    ``fences`` has ``valid_from`` and ``valid_to``, a row is one version of a fence and holds fixes of that time only.
     """
-    unwrapped = fences.where("is_active").select("id", _unwrapped(F.col("rings")).alias("rings"))
+    span = [(F.col(c) if c in fences.columns else F.lit(None)).cast("timestamp").alias(c) for c in ("valid_from", "valid_to")]
+    unwrapped = fences.where("is_active").select("id", _unwrapped(F.col("rings")).alias("rings"), *span)
     outline = F.flatten("rings")
     west, east = F.array_min(outline["lon"]), F.array_max(outline["lon"])
     south, north = F.array_min(outline["lat"]), F.array_max(outline["lat"])
@@ -59,6 +61,8 @@ def fence_rows(fences: DataFrame) -> DataFrame:
             south.alias("south"),
             north.alias("north"),
             geo.ring_edges(F.col("rings")).alias("edges"),
+            "valid_from",
+            "valid_to",
         ).alias("fence"),
         F.greatest(east - west, north - south).alias("_extent"),
     )
@@ -73,14 +77,29 @@ def fence_rows(fences: DataFrame) -> DataFrame:
     return spread.withColumn("_cy", F.explode(F.array_distinct(cells("south", "north")))).drop("_extent")
 
 
-def holds(fence: Column) -> Column:
-    """Whether a fence struct holds the position of the row; the bounding box is looked at first."""
+def holds(fence: Column, versions: bool = False) -> Column:
+    """Whether a fence struct holds the position of the row; the bounding box is looked at first.
+
+    With ``versions`` the fence must also be valid at the time of the row.
+    """
     lat = F.col("latitude")
     lon = F.when(F.col("longitude") < fence["west"], F.col("longitude") + 360.0).otherwise(F.col("longitude"))
     boxed = lat.between(fence["south"], fence["north"]) & lon.between(fence["west"], fence["east"])
+    if versions:
+        ts = F.col("ts")
+        boxed &= F.coalesce(ts >= fence["valid_from"], F.lit(True)) & F.coalesce(ts < fence["valid_to"], F.lit(True))
     return F.when(boxed, geo.inside_edges(lat, lon, fence["edges"])).otherwise(F.lit(False))
 
 
+def fence_versions(log: DataFrame) -> DataFrame:
+    """Every row of a fence log (id, changed_at and the fence as it is from then on) with the time it is valid for.
+
+    Of changes of a fence at one time the row that is last in the order of all its texts counts; the others hold nothing.
+    """
+    following = Window.partitionBy("id").orderBy(F.asc_nulls_first("changed_at"), F.to_json(F.struct(*[c for c in log.columns if c != "id"])))
+    return log.withColumns({"valid_from": F.col("changed_at"), "valid_to": F.lead("changed_at").over(following)})
+
+
 def fences_are_small(rows: DataFrame, max_rows: int = FENCE_ROWS, max_edges: int = FENCE_EDGES) -> bool:
     """Whether the fences of all cells fit on every executor, by their rows and by the edges that these carry."""
     looked = rows.select(F.size("fence.edges").alias("n")).limit(max_rows + 1)
@@ -97,7 +116,7 @@ def with_fences_inside(
     those of a cell travel as one array and positions stay one row each. Beyond that, positions and fences are joined
     row by row, with busy cells salted, and the ids are put together per position. A stream needs the first way.
     """
-    rows, none = fence_rows(fences), F.array().cast("array<int>")
+    rows, none, versions = fence_rows(fences), F.array().cast("array<int>"), "valid_from" in fences.columns
     cell, spread = ["_cx", "_cy"], [F.col("mmsi"), F.col("seq")]
     sizes = [r["size"] for r in rows.select("size").distinct().orderBy("size").collect()]
     if not sizes:
@@ -111,15 +130,15 @@ def with_fences_inside(
         for i, size in enumerate(sizes):
             lists = rows.where(F.col("size") == size).groupBy(*cell).agg(F.collect_list("fence").alias(f"_fences{i}"))
             located = skew.join_dimension(placed(located, size), lists, cell, spread).drop(*cell)
-            ids = F.transform(F.filter(f"_fences{i}", holds), lambda f: f["id"])
+            ids = F.transform(F.filter(f"_fences{i}", lambda f: holds(f, versions)), lambda f: f["id"])
             located = located.withColumn(f"_inside{i}", F.coalesce(ids, none)).drop(f"_fences{i}")
             found.append(f"_inside{i}")
         return located.withColumn("inside", F.array_sort(F.concat(*found))).drop(*found)
     hits = None
     for size in sizes:
         own = rows.where(F.col("size") == size).drop("size")
-        narrow = placed(positions.select("mmsi", "seq", "latitude", "longitude"), size)
-        met = skew.salted_join(narrow, own, cell, spread, "inner").where(holds(F.col("fence"))).select("mmsi", "seq", "fence.id")
+        narrow = placed(positions.select("mmsi", "seq", "latitude", "longitude", *(["ts"] if versions else [])), size)
+        met = skew.salted_join(narrow, own, cell, spread, "inner").where(holds(F.col("fence"), versions)).select("mmsi", "seq", "fence.id")
         hits = met if hits is None else hits.unionByName(met)
     ids = hits.groupBy("mmsi", "seq").agg(F.array_sort(F.collect_set("id")).alias("inside"))
     return positions.join(ids, ["mmsi", "seq"], "left").withColumn("inside", F.coalesce("inside", none)).select(

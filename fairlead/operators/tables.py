@@ -107,21 +107,27 @@ class CurrentTable:
         versions = self.spark.read.schema("upto bigint").parquet(f"{self.path}/versions")
         return versions.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
 
-    def upsert(self, rows: DataFrame, batch_id: int) -> None:
+    def upsert(self, rows: DataFrame, batch_id: int, compact: bool = True) -> None:
+        """Write a batch; without ``compact`` that is left to a later :meth:`compact_if_due`."""
         folder = f"{self.path}/batches/id={int(batch_id)}"
         if not exists(self.spark, f"{folder}/_SUCCESS"):
             self.rule.reduced(rows, batch_id).write.mode("overwrite").parquet(folder)
+        if compact:
+            self.compact_if_due(batch_id)
+
+    def compact_if_due(self, batch_id: int) -> None:
         if batch_id - self._version() >= COMPACT_EVERY:
             self.compact(batch_id)
 
-    def state(self) -> DataFrame:
+    def state(self, upto: int | None = None) -> DataFrame:
+        """The merged rows of all batches, or of those up to ``upto``, which no compaction may have passed."""
         version = self._version()
         base = self._part("bases").where(F.col("id") == version)
         later = self._part("batches").where(F.col("id") > version)
-        return self.rule.merged([base, later])
+        return self.rule.merged([base, later if upto is None else later.where(F.col("id") <= upto)])
 
-    def read(self) -> DataFrame:
-        return self.rule.plain(self.state())
+    def read(self, upto: int | None = None) -> DataFrame:
+        return self.rule.plain(self.state(upto))
 
     def compact(self, upto: int) -> None:
         version = self._version()

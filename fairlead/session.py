@@ -102,6 +102,18 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in files.listStatus(place)) if files.exists(place) else []
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file, with its folders."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True).close()
+
+
+def dated(spark: SparkSession, path: str, millis: int) -> None:
+    """Give a file a time of change, by which a file stream orders what it reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).setTimes(place, millis, -1)
+
+
 def rename(spark: SparkSession, path: str, to: str) -> None:
     """Give a folder another name on the same file system."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

@@ -168,6 +168,19 @@ def decoded(messages: DataFrame, decoder: Decoder) -> DataFrame:
     ).drop(CORRUPT, "value")
 
 
+def split_by_type(messages: DataFrame, folder: str, known: list[Decoder] | None = None) -> dict[str, DataFrame]:
+    """What :func:`routed` returns, with one look at the messages: they are dealt into a folder per type, and each
+    decoder opens its own. The texts nobody recognises stay in theirs."""
+    chosen, spark = known or decoders(), messages.sparkSession
+    typed = with_payload_type(messages, chosen)
+    typed.write.mode("overwrite").partitionBy("payload_type").parquet(folder)
+    dealt = spark.read.schema(typed.schema).parquet(folder)
+    own = lambda kind: dealt.where(F.col("payload_type") == kind)
+    tables = {d.payload_type: decoded(own(d.payload_type), d) for d in chosen}
+    tables["UNKNOWN"] = own("UNKNOWN").withColumn("reject_reason", F.lit("NO_PARSER"))
+    return tables
+
+
 def routed(messages: DataFrame, known: list[Decoder] | None = None) -> dict[str, DataFrame]:
     """One decoded table per payload type, plus ``UNKNOWN`` with the texts nobody recognises."""
     chosen = known or decoders()
@@ -235,7 +248,7 @@ def wire_value(rows: DataFrame, names: dict[str, str]) -> Column:
         kind = kinds[column]
         if kind.startswith("timestamp"):
             c = instant_text(F.col(column))
-        elif kind in ("int", "bigint", "double", "float", "smallint"):
+        elif kind in ("int", "bigint", "double", "float", "smallint") or kind.startswith("decimal"):
             c = F.col(column).cast("string")
         else:
             c = F.col(column)
@@ -260,6 +273,38 @@ ALERT_NAMES = {
 }
 
 
+# Wire names of what the persistence jobs store of the other topics.
+STORED_ALERT_NAMES = {
+    "alert_id": "alertId", "alert_type": "alertType", "severity": "severity", "mmsi": "mmsi", "vessel_name": "vesselName",
+    "latitude": "latitude", "longitude": "longitude", "title": "title", "description": "description", "ts": "timestamp",
+    "seq": "sequence",
+}
+WEATHER_NAMES = {
+    "grid_id": "gridId", "latitude": "latitude", "longitude": "longitude", "temperature": "temperature",
+    "wind_speed": "windSpeed", "wind_direction": "windDirection", "wave_height": "waveHeight", "visibility": "visibility",
+    "pressure": "pressure", "humidity": "humidity", "sea_state": "seaState", "ts": "timestamp", "seq": "sequence",
+}
+PORT_OPERATION_NAMES = {
+    "operation_id": "operationId", "port_id": "portId", "port_name": "portName", "mmsi": "mmsi", "vessel_name": "vesselName",
+    "operation_type": "operationType", "berth_number": "berthNumber", "arrival_time": "arrivalTime",
+    "departure_time": "departureTime", "status": "status", "ts": "timestamp", "seq": "sequence",
+}
+
+
+def from_topic(messages: DataFrame, names: dict[str, str], kinds: dict[str, str]) -> DataFrame:
+    """Typed rows of topic texts, encoded once or twice; what is missing or unreadable is NULL.
+
+    ``kinds`` are the types of the columns. Instants may be spelled in any of the ways that messages use.
+    """
+    plain = unquoted(messages)
+    instants = [c for c in names if kinds[c].startswith("timestamp")]
+    timed = plain.withColumns(
+        {c: F.timestamp_millis(times.instant_millis(spelled(F.col("value"), names[c]), F.lit(None).cast("timestamp"))) for c in instants}
+    )
+    rows = typed_fields(timed, {c: (kinds[c], n) for c, n in names.items() if c not in instants}, blanks=False)
+    return rows.select(*names)
+
+
 def to_topic(rows: DataFrame, names: dict[str, str], key: str = "mmsi") -> DataFrame:
     """Keyed messages (key, value), ready for a Kafka sink or JSON-line files."""
     held = {c: n for c, n in names.items() if c in rows.columns}

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fairlead.operators import detect, proximity, tables, validate
+from fairlead.operators import detect, proximity, skew, tables, validate
 from fairlead.operators.rollups import Rollup
-from fairlead.session import children, exists, remove
+from fairlead.session import children, exists, remove, touch
 from fairlead.sources import files, wire
 from fairlead.streaming import state
 
@@ -26,8 +28,6 @@ def stream_session(spark: SparkSession) -> SparkSession:
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # The number of state partitions is fixed by the first run of a query, and is not adapted at run time.
     session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
-    # Sessions of a busy vessel are merged before the shuffle.
-    session.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return session
 
 
@@ -42,72 +42,152 @@ def alerts_of(rows: DataFrame) -> DataFrame:
     return detect.speed_alert_rows(rows.where(F.col("alert_type").isNotNull()))
 
 
+def together(spark: SparkSession, tasks: dict[str, Callable[[], None]]) -> None:
+    """Run Spark jobs side by side, each in a scheduler pool of its name; all end before the first error is raised."""
+
+    def named(name: str, task: Callable[[], None]) -> Callable[[], None]:
+        def run() -> None:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+            task()
+
+        return inheritable_thread_target(spark)(run)
+
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        started = [pool.submit(named(name, task)) for name, task in tasks.items()]
+    for done in started:
+        done.result()
+
+
 @dataclass
-class PositionSinks:
-    """Where one batch of enriched positions goes. Every write is keyed by the batch id, so a replay replaces it."""
+class Sinks:
+    """Hands every micro-batch to several sinks at once and shows it to readers when all of them are complete.
+
+    The batch is staged first, so the stateful steps before it run once, whatever becomes of executors. Every sink keys
+    its write by the batch id and a replay replaces it; a batch is visible from the moment its mark is there, which is
+    the highest complete batch id, as batches come one after the other. What an unmarked batch wrote is not read.
+    """
 
     folder: str
+
+    def tasks(self, rows: DataFrame, batch_id: int) -> dict[str, Callable[[], None]]:
+        """The writes of a batch by the name of the sink."""
+        raise NotImplementedError
+
+    def shown(self, spark: SparkSession, batch_id: int) -> None:
+        """Called when the batch is visible."""
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        spark, staged = rows.sparkSession, f"{self.folder}/_staged/{int(batch_id)}"
+        # Also where a batch is delivered again: the state of the steps before it must move in every run.
+        rows.write.mode("overwrite").parquet(staged)
+        if batch_id > self.visible(spark):
+            held = spark.read.schema(rows.schema).parquet(staged)
+            together(spark, self.tasks(held, batch_id))
+            touch(spark, f"{self.folder}/_visible/{int(batch_id)}")
+        self.shown(spark, batch_id)
+        remove(spark, staged)
+        for name in children(spark, f"{self.folder}/_visible"):
+            if name.isdigit() and int(name) < batch_id:
+                remove(spark, f"{self.folder}/_visible/{name}")
+
+    def visible(self, spark: SparkSession) -> int:
+        """The highest batch id that readers see; -1 before the first."""
+        return max((int(n) for n in children(spark, f"{self.folder}/_visible") if n.isdigit()), default=-1)
+
+    def history(self, spark: SparkSession, name: str) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/{name}").where(F.col("batch_id") <= self.visible(spark))
+
+    def topic(self, spark: SparkSession, name: str) -> DataFrame:
+        """(key, value) of a topic that is kept in files."""
+        rows = spark.read.schema("key string, value string, batch_id long").json(f"{self.folder}/{name}")
+        return rows.where(F.col("batch_id") <= self.visible(spark)).drop("batch_id")
+
+
+@dataclass
+class PositionSinks(Sinks):
+    """Where enriched positions go: two topics, two histories, and the current state."""
+
     current: tables.CurrentTable | None = None
     servers: str | None = None
+    #: Vessel master, from which arrival time and draught of the current state come.
+    master: DataFrame | None = None
 
-    def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.persist()
-        try:
-            alerts = alerts_of(rows)
-            self._topic(wire.to_topic(rows, wire.POSITION_NAMES), "vessel-positions", batch_id)
-            self._topic(wire.to_topic(alerts, wire.ALERT_NAMES), "vessel-alerts", batch_id)
-            tables.append_history(rows.drop("prev", "alert_type"), f"{self.folder}/positions_history", batch_id)
-            tables.append_history(alerts, f"{self.folder}/alerts_history", batch_id)
-            if self.current is not None:
-                self.current.upsert(as_current(rows), batch_id)
-        finally:
-            rows.unpersist()
-
-    def _topic(self, messages: DataFrame, name: str, batch_id: int) -> None:
-        files.publish(messages, name, batch_id, servers=self.servers, directory=self.folder)
+    def tasks(self, rows: DataFrame, batch_id: int) -> dict[str, Callable[[], None]]:
+        alerts = alerts_of(rows)
+
+        def topic(messages: DataFrame, name: str) -> Callable[[], None]:
+            return lambda: files.publish(messages, name, batch_id, servers=self.servers, directory=self.folder)
+
+        found = {
+            "vessel-positions": topic(wire.to_topic(rows, wire.POSITION_NAMES), "vessel-positions"),
+            "vessel-alerts": topic(wire.to_topic(alerts, wire.ALERT_NAMES), "vessel-alerts"),
+            "positions_history": lambda: tables.append_history(rows.drop("prev", "alert_type"), f"{self.folder}/positions_history", batch_id),
+            "alerts_history": lambda: tables.append_history(alerts, f"{self.folder}/alerts_history", batch_id),
+        }
+        if self.current is not None:
+            found["current"] = lambda: self.current.upsert(as_current(rows, self.master), batch_id, compact=False)
+        return found
+
+    def shown(self, spark: SparkSession, batch_id: int) -> None:
+        if self.current is not None:
+            self.current.compact_if_due(batch_id)
+
+    def latest(self, spark: SparkSession) -> DataFrame:
+        return self.current.read(self.visible(spark))
 
 
 @dataclass
-class PersistenceSinks:
-    """One topic's persistence: current state by the table's merge rule, and monthly history, keyed by batch id."""
+class PersistenceSinks(Sinks):
+    """One topic's persistence: current state by the table's merge rule, and monthly history."""
 
-    name: str
-    folder: str
-    current: tables.CurrentTable
-    order: tuple[str, ...]
+    name: str = ""
+    current: tables.CurrentTable | None = None
+    order: tuple[str, ...] = ()
 
-    def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.persist()
-        try:
-            self.current.upsert(rows, batch_id)
-            tables.append_history(rows, f"{self.folder}/{self.name}_history", batch_id, self.order)
-        finally:
-            rows.unpersist()
+    def tasks(self, rows: DataFrame, batch_id: int) -> dict[str, Callable[[], None]]:
+        return {
+            f"{self.name}-current": lambda: self.current.upsert(rows, batch_id, compact=False),
+            f"{self.name}-history": lambda: tables.append_history(rows, f"{self.folder}/{self.name}_history", batch_id, self.order),
+        }
+
+    def shown(self, spark: SparkSession, batch_id: int) -> None:
+        self.current.compact_if_due(batch_id)
 
+    def latest(self, spark: SparkSession) -> DataFrame:
+        return self.current.read(self.visible(spark))
 
-#: Merge rule and history order of the topics beside positions. Alerts are inserted once: every column is fixed.
+
+#: Merge rule, history order and wire names of the topics beside positions. Alerts are inserted once: all their columns are fixed.
 PERSISTED = {
-    "alerts": (tables.ALERT_RULE, ("mmsi", "ts")),
-    "weather": (tables.WEATHER_RULE, ("grid_id", "ts")),
-    "port_operations": (tables.PORT_OPERATION_RULE, ("port_id", "ts")),
+    "alerts": (tables.ALERT_RULE, ("mmsi", "ts"), wire.STORED_ALERT_NAMES),
+    "weather": (tables.WEATHER_RULE, ("grid_id", "ts"), wire.WEATHER_NAMES),
+    "port_operations": (tables.PORT_OPERATION_RULE, ("port_id", "ts"), wire.PORT_OPERATION_NAMES),
 }
 
 
 def persistence_sinks(spark: SparkSession, topic: str, folder: str, rows: DataFrame) -> PersistenceSinks:
     """Sinks of one of the PERSISTED topics, for rows of the shape of ``rows``."""
-    rule, order = PERSISTED[topic]
-    return PersistenceSinks(topic, folder, tables.CurrentTable(spark, f"{folder}/{topic}", rule, rows.schema), order)
+    rule, order, _ = PERSISTED[topic]
+    return PersistenceSinks(folder, topic, tables.CurrentTable(spark, f"{folder}/{topic}", rule, rows.schema), order)
+
+
+def consumed(messages: DataFrame, topic: str, kinds: dict[str, str]) -> DataFrame:
+    """Typed rows of one of the PERSISTED topics out of its message texts, as its persistence job stores them."""
+    return wire.from_topic(messages.select("value"), PERSISTED[topic][2], kinds)
 
 
 def run_persistence(rows: DataFrame, sinks: PersistenceSinks, checkpoint: str, every: str | None = None) -> StreamingQuery:
     return run_batches(rows, sinks.write, checkpoint, every=every)
 
 
-def as_current(rows: DataFrame) -> DataFrame:
-    """Enriched positions with the columns of the current-state table."""
-    return rows.withColumns(
-        {"eta": F.lit(None).cast("timestamp"), "draught": F.lit(None).cast("double")}
-    ).select(*tables.POSITION_RULE.keys, *tables.POSITION_RULE.mutable, *tables.POSITION_RULE.fixed, "seq")
+def as_current(rows: DataFrame, master: DataFrame | None = None) -> DataFrame:
+    """Enriched positions with the columns of the current-state table; eta and draught are those of the master."""
+    if master is None:
+        rows = rows.withColumns({"eta": F.lit(None).cast("timestamp"), "draught": F.lit(None).cast("double")})
+    else:
+        known = master.select("mmsi", "eta", "draught")
+        rows = skew.join_dimension(rows.drop("eta", "draught"), known, ["mmsi"], spread=[F.col("seq")])
+    return rows.select(*tables.POSITION_RULE.keys, *tables.POSITION_RULE.mutable, *tables.POSITION_RULE.fixed, "seq")
 
 
 def run_batches(
@@ -187,22 +267,6 @@ def run_rollup(
     return run_batches(rows, sink.write, checkpoint, every=every)
 
 
-def session_tracks(positions: DataFrame, gap_minutes: float) -> DataFrame:
-    """Tracks of a position stream as session windows, once they are over.
-
-    A session splits at its gap, a track only beyond it, hence the extra microsecond.
-    """
-    gap = f"{int(gap_minutes * 60_000_000) + 1} microseconds"
-    rows = positions.withWatermark("ts", LATENESS)
-    sessions = rows.groupBy("mmsi", F.session_window("ts", gap).alias("w")).agg(
-        F.count(F.lit(1)).alias("points"),
-        F.max("ts").alias("track_end"),
-        F.avg("speed").alias("avg_speed"),
-        F.max("speed").alias("max_speed"),
-    )
-    return sessions.select("mmsi", F.col("w.start").alias("track_start"), "track_end", "points", "avg_speed", "max_speed")
-
-
 def proximity_stream(positions: DataFrame) -> DataFrame:
     """Latest fix per vessel and sliding window, handed on when the window is over.
 

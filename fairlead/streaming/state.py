@@ -10,12 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fairlead.functions import geo, vessel
-from fairlead.operators import detect, spatial, throttle
+from fairlead.operators import detect, throttle
 
 # How late a fix may come and still find the fix before it.
 RECENT_MS = 300_000
@@ -70,6 +70,11 @@ class Previous(StatefulProcessor):
         self.recent.put([held[i] if i < len(held) else tuple(_plain(v) for v in rows[i - len(held)]) for i in kept])
         return columns
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """Start from the newest row of the key as a table has it, once, in a run without a checkpoint."""
+        names = [*self.carried, "ts_us", "seq"]
+        self.recent.put([tuple(_plain(v) for v in r) for r in initialState[names].to_numpy(dtype=object)])
+
     def close(self) -> None:
         pass
 
@@ -85,6 +90,12 @@ class PreviousAndThrottle(Previous):
         super().init(handle)
         self.clock = handle.getValueState("clock", "alerted_ms bigint", ttlDurationMs=self.ttl_ms)
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        super().handleInitialState(key, initialState, timerValues)
+        alerted = _plain(initialState["alerted_ms"].iloc[0])
+        if alerted is not None:
+            self.clock.update((int(alerted),))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = in_time_order(rows)
         columns = self.previous_columns(pdf)
@@ -113,39 +124,33 @@ class PreviousAndThrottle(Previous):
         yield pdf.assign(**columns, alert_type=alerts)
 
 
-class Silence(StatefulProcessor):
-    """One row per vessel and silence longer than the gap, as soon as the watermark has passed it."""
+class LatestValue(StatefulProcessor):
+    """The latest value of a key, in state while it is younger than its life on the event-time clock.
+
+    Nothing is handed on; the values are read from the state store, see :func:`live_values`.
+    """
 
-    def __init__(self, gap_ms: int):
-        self.gap_ms = gap_ms
+    def __init__(self, value: str, life_ms: int):
+        self.value, self.life_ms = value, life_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ms bigint, reported boolean")
+        self.latest = handle.getValueState("latest", f"{self.value}, ts_us bigint, seq bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = np.sort(np.concatenate([b["ts_us"].to_numpy() // 1000 for b in rows]))
-        lost = []
-        last, reported = self.last.get() if self.last.exists() else (None, False)
-        for ms in times:
-            if last is not None and ms <= last:
-                continue
-            if last is not None and ms - last > self.gap_ms and not reported:
-                lost.append(last)
-            last, reported = int(ms), False
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last + self.gap_ms)
-        self.last.update((last, reported))
-        yield self.rows_of(key, lost)
+        names = [c.split()[0] for c in self.value.split(", ")] + ["ts_us", "seq"]
+        new = tuple(_plain(v) for v in in_time_order(rows)[names].to_numpy(dtype=object)[-1])
+        held = tuple(self.latest.get()) if self.latest.exists() else None
+        if held is None or new[-2:] >= held[-2:]:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.latest.update(new)
+            self.handle.registerTimer(new[-2] // 1000 + self.life_ms)
+        yield pd.DataFrame({"mmsi": pd.Series([], dtype="int64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, reported = self.last.get()
-        self.last.update((last, True))
-        yield self.rows_of(key, [] if reported else [last])
-
-    def rows_of(self, key, lost: list[int]) -> pd.DataFrame:
-        return pd.DataFrame({"mmsi": [key[0]] * len(lost), "lost_ms": lost}).astype("int64")
+        self.latest.clear()
+        yield pd.DataFrame({"mmsi": pd.Series([], dtype="int64")})
 
     def close(self) -> None:
         pass
@@ -180,12 +185,25 @@ def _ddl(columns: dict[str, str]) -> str:
     return ", ".join(f"{c} {kind}" for c, kind in columns.items())
 
 
+#: What a run without its checkpoint starts from: the newest fix of every vessel and its last alert.
+INITIAL = "mmsi bigint, latitude double, longitude double, speed double, course double, ts_us bigint, seq bigint, alerted_ms bigint"
+
+
+def initial_state(positions: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The INITIAL rows out of stored positions and alerts (mmsi, ts), which must be as old as the stream is to go on from."""
+    newest = F.max_by(F.struct("latitude", "longitude", "speed", "course", F.unix_micros("ts").alias("ts_us"), "seq"), F.struct("ts", "seq")).alias("n")
+    last = positions.groupBy("mmsi").agg(newest).select("mmsi", "n.*")
+    alerted = alerts.groupBy("mmsi").agg(F.max(F.unix_millis("ts")).alias("alerted_ms"))
+    return last.join(alerted, "mmsi", "left").select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in INITIAL.split(", ")])
+
+
 def enriched_stream(
-    positions: DataFrame, interval_ms: int = throttle.INTERVAL_MS, ttl_ms: int | None = None
+    positions: DataFrame, interval_ms: int = throttle.INTERVAL_MS, ttl_ms: int | None = None, initial: DataFrame | None = None
 ) -> DataFrame:
     """Valid positions of a stream with ``prev``, movement columns and the ``alert_type`` that passed, if any.
 
-    One stateful operator and one exchange do both enrichment and detection.
+    One stateful operator and one exchange do both enrichment and detection. ``initial`` rows (see
+    :func:`initial_state`) stand for a lost checkpoint.
     """
     out = {**TRAVELLING, **{f"prev_{c}": k for c, k in PREVIOUS.items()}, "prev_ts_us": "bigint",
            "alert_type": "string"}
@@ -194,6 +212,7 @@ def enriched_stream(
         outputStructType=_ddl(out),
         outputMode="Append",
         timeMode="None" if ttl_ms is None else "ProcessingTime",
+        initialState=None if initial is None else initial.groupBy("mmsi"),
     )
     prev = F.struct(
         *[F.col(f"prev_{c}").alias(c) for c in PREVIOUS], F.timestamp_micros("prev_ts_us").alias("ts")
@@ -222,38 +241,16 @@ def enriched_stream(
     return moved.drop("ts_us", "top_speed", "prev_ts_us", *[f"prev_{c}" for c in PREVIOUS])
 
 
-def fence_events_stream(positions: DataFrame, fences: DataFrame) -> DataFrame:
-    """ENTRY / EXIT events of a position stream."""
-    inside = spatial.with_fences_inside(positions, fences)
-    rows = inside.select("mmsi", F.array_join("inside", ",").alias("ids"), F.unix_micros("ts").alias("ts_us"), "seq")
-    out = "mmsi bigint, ids string, ts_us bigint, seq bigint, prev_ids string, prev_ts_us bigint"
-    linked = rows.groupBy("mmsi").transformWithStateInPandas(
-        Previous({"ids": "string"}), outputStructType=out, outputMode="Append", timeMode="None"
-    )
-
-    def as_ids(text):
-        return F.transform(
-            F.filter(F.split(F.coalesce(text, F.lit("")), ","), lambda t: t != ""), lambda t: t.cast("int")
-        )
-
-    now, before = as_ids(F.col("ids")), as_ids(F.col("prev_ids"))
-
-    def events(ids, kind):
-        return F.transform(ids, lambda i: F.struct(i.alias("fence_id"), F.lit(kind).alias("event")))
-
-    changes = F.concat(events(F.array_except(now, before), "ENTRY"), events(F.array_except(before, now), "EXIT"))
-    return linked.select("mmsi", F.timestamp_micros("ts_us").alias("ts"), "seq", F.explode(changes).alias("_e")).select(
-        "mmsi", "ts", "seq", "_e.*"
+def latest_stream(positions: DataFrame, value: str, life_seconds: int) -> DataFrame:
+    """A stream that keeps the latest ``value`` ("name type, ...") of every vessel for its life, and has no rows."""
+    names = [c.split()[0] for c in value.split(", ")]
+    rows = positions.withWatermark("ts", "0 seconds").select("mmsi", *names, F.unix_micros("ts").alias("ts_us"), "seq")
+    return rows.groupBy("mmsi").transformWithStateInPandas(
+        LatestValue(value, life_seconds * 1000), outputStructType="mmsi bigint", outputMode="Append", timeMode="EventTime"
     )
 
 
-def silence_stream(positions: DataFrame, gap_minutes: float = 15.0, late: str = "5 seconds") -> DataFrame:
-    """Vessels that fell silent, from event-time timers."""
-    rows = positions.withWatermark("ts", late).select("mmsi", "ts", F.unix_micros("ts").alias("ts_us"))
-    lost = rows.groupBy("mmsi").transformWithStateInPandas(
-        Silence(int(gap_minutes * 60_000)),
-        outputStructType="mmsi bigint, lost_ms bigint",
-        outputMode="Append",
-        timeMode="EventTime",
-    )
-    return lost.select("mmsi", F.timestamp_millis("lost_ms").alias("lost_at"))
+def live_values(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What a :func:`latest_stream` holds, by the state reader: mmsi, the value, ts_us, seq."""
+    held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "latest").load()
+    return held.select("key.*", "value.*")

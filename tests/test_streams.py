@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fairlead.operators import detect, enrich, rollups, tables, throttle
 from fairlead.plans import common, lenses, streams
 from fairlead.session import scratch_path
-from fairlead.streaming import job, state
+from fairlead.streaming import fences, job, sessions, state
 
 SF_DIR = "/root/testdata/sf0.001"
 T0 = dt.datetime(2024, 1, 1)
@@ -84,6 +84,131 @@ def test_late_fix_finds_its_previous_and_leaves_the_newest(spark):
     assert {r.seq for r in done if r.alert_type == detect.EXCESSIVE} == {3}
 
 
+class Flaky(job.PositionSinks):
+    """Sinks of which one fails in the second batch, once."""
+
+    failures = [1]
+
+    def tasks(self, rows, batch_id):
+        found = super().tasks(rows, batch_id)
+
+        def fail():
+            if batch_id == 1 and self.failures:
+                self.failures.pop()
+                raise RuntimeError("one sink went away")
+
+        return {**found, "flaky": fail}
+
+
+def test_a_failing_sink_leaves_no_trace_for_readers(spark, split_events):
+    session, folder = job.stream_session(spark), scratch_path(spark, "flaky")
+    shape = job.as_current(common.enriched(spark, SF_DIR)).schema
+    sinks = Flaky(folder, tables.CurrentTable(session, f"{folder}/current", tables.POSITION_RULE, shape))
+    rows = state.enriched_stream(stream_of(session, split_events))
+    failed = job.run_batches(rows, sinks.write, f"{folder}/checkpoint")
+    with pytest.raises(Exception, match="one sink went away"):
+        failed.awaitTermination()
+    # The other sinks have written the second batch, but nobody sees it.
+    assert spark.read.parquet(f"{folder}/positions_history").select("batch_id").distinct().count() == 2
+    first = sinks.history(spark, "positions_history")
+    assert sinks.visible(spark) == 0 and {r.batch_id for r in first.select("batch_id").distinct().collect()} == {0}
+    assert sinks.topic(spark, "vessel-positions").count() == first.count()
+    assert sinks.latest(spark).count() == first.select("mmsi").distinct().count()
+    streams.finish(job.run_batches(rows, sinks.write, f"{folder}/checkpoint"))
+    batch = common.enriched(spark, SF_DIR)
+    assert sinks.history(spark, "positions_history").count() == sinks.topic(spark, "vessel-positions").count() == batch.count()
+    assert sinks.latest(spark).count() == batch.select("mmsi").distinct().count()
+
+
+def test_concurrent_jobs_all_end_before_the_first_error(spark):
+    done = []
+
+    def fail():
+        raise ValueError("first")
+
+    with pytest.raises(ValueError, match="first"):
+        job.together(spark, {"a": fail, "b": lambda: done.append(spark.range(1000).count()), "c": lambda: done.append(spark.sparkContext.getLocalProperty("spark.scheduler.pool"))})
+    assert sorted(map(str, done)) == ["1000", "c"]
+
+
+def test_tracks_of_shuffled_and_late_fixes(spark):
+    """Slices overlap by minutes, one late fix bridges two runs, and what is too late is told, not lost."""
+    import random
+
+    session, folder, rng = job.stream_session(spark), scratch_path(spark, "sessions"), random.Random(5)
+    fixes, t = [], 0
+    for seq in range(120):
+        t += rng.choice([30, 60, 170, 200, 400])
+        fixes.append((seq, t, seq / 50, float(seq % 17)))
+    order = sorted(fixes, key=lambda f: f[1] + rng.randint(0, 500))
+    for i in range(6):
+        write_fixes(spark, folder, i, order[20 * i : 20 * i + 20])
+    write_fixes(spark, folder, 6, [(900, 10**6, 0.0, 1.0)])
+    write_fixes(spark, folder, 7, [(901, 50, 0.0, 1.0), (902, 10**6 + 10, 0.0, 1.0)])
+    write_fixes(spark, folder, 8, [(903, 2 * 10**6, 0.0, 1.0)])
+    rows = session.readStream.schema(FIX).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+    done = streams.collected(sessions.session_tracks(rows, 3.0, "600 seconds"), spark, "sessions-out")
+    late = {r.seq for r in done.where("late").collect()}
+    kept = [f for f in [*fixes, (900, 10**6, 0.0, 1.0), (902, 10**6 + 10, 0.0, 1.0)] if f[0] not in late]
+    assert 901 in late
+    given = spark.createDataFrame([(1, "A", None, None, 0.0, lon, v, 0.0, None, 0, "x", T0 + dt.timedelta(seconds=s), seq, "t") for seq, s, lon, v in kept], FIX)
+    from fairlead.operators import tracks
+
+    want = tracks.track_summary(tracks.with_track(given, 3.0, 600.0))
+    columns = ["track_start", "track_end", "points", "max_speed"]
+    values = lambda rows: sorted((*[r[c] for c in columns], round(r.distance_nm, 9), round(r.avg_speed, 9)) for r in rows)
+    found = done.where("NOT late")
+    assert values(found.where("track_start < '2024-01-20'").collect()) == values(want.collect())
+    # Every fix but the one that ends the stream is a point or a late row.
+    assert sum(r.points for r in found.collect()) + len(late) == 123
+
+
+def test_fence_changes_do_not_depend_on_the_batches(spark):
+    from fairlead.operators import spatial
+    from fairlead.sources import reference
+
+    rows = common.valid(spark, SF_DIR).select("mmsi", "vessel_name", "speed", "latitude", "longitude", "ts", "seq")
+    log = reference.fences(spark).withColumn("changed_at", F.lit(None).cast("timestamp"))
+    off = reference.fences(spark).where("id < 4").withColumns({"is_active": F.lit(False), "changed_at": F.lit(T0 + dt.timedelta(minutes=20))})
+    log = log.unionByName(off).unionByName(off)  # appended twice by a replay
+    want = spatial.fence_events(rows, spatial.fence_versions(log)).select("mmsi", "seq", "fence_id", "event")
+    plain = spatial.fence_events(rows, reference.fences(spark)).select("mmsi", "seq", "fence_id", "event")
+    assert want.exceptAll(plain).count() > 0
+    for cuts in ([25], [10, 19, 20, 40]):
+        folder = scratch_path(spark, "watch")
+        watch = fences.FenceWatch.at(spark, folder, lambda s: log)
+        edges = [T0 - dt.timedelta(days=9), *[T0 + dt.timedelta(minutes=c) for c in cuts], T0 + dt.timedelta(days=9)]
+        for i in range(len(edges) - 1):
+            batch = rows.where((F.col("ts") >= edges[i]) & (F.col("ts") < edges[i + 1]))
+            watch.write(batch, i)
+            watch.write(batch, i)  # delivered again
+        got = watch.events(spark).select("mmsi", "seq", "fence_id", "event")
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+        assert watch.late(spark).count() == 0
+        early = rows.where(F.col("ts") < edges[1]).limit(7)
+        watch.write(early, len(edges))
+        assert watch.late(spark).count() == 7
+
+
+def test_a_clock_throttles_over_batches(spark):
+    import random
+
+    from fairlead.streaming import alerts
+
+    rng = random.Random(1)
+    rows = [(1 + rng.randrange(3), 9, T0 + dt.timedelta(seconds=rng.randrange(5000)), float(i)) for i in range(200)]
+    given = spark.createDataFrame(rows, "mmsi_a long, mmsi_b long, window_start timestamp, tcpa_seconds double")
+    want = throttle.throttled(given, ["mmsi_a", "mmsi_b"], ts="window_start", order=["tcpa_seconds"])
+    clock = alerts.Clock.at(spark, scratch_path(spark, "clock"), ("mmsi_a", "mmsi_b"), "window_start", ("tcpa_seconds",))
+    found = []
+    for i in range(5):
+        batch = given.where((F.col("window_start") >= T0 + dt.timedelta(seconds=1000 * i)) & (F.col("window_start") < T0 + dt.timedelta(seconds=1000 * i + 1000)))
+        passed = clock.passed(batch, i)
+        found += passed.collect()
+        clock.moved(passed, i)
+    assert sorted(found) == sorted(want.collect()) and len(found) > 10
+
+
 def test_late_rows_count_in_rollups_over_many_batches(spark, monkeypatch):
     monkeypatch.setattr(tables, "COMPACT_EVERY", 2)
     session, folder = job.stream_session(spark), scratch_path(spark, "late-rollup")
