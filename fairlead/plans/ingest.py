@@ -201,6 +201,22 @@ def parse_payloads(spark, sf):
     return both.groupBy("payload_type", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("S-08", "S-07", "X-02", sql=f"""
+SELECT event_id AS seq, {KIND} AS payload_type, CASE WHEN {KIND} = 'UNKNOWN' THEN 'NO_PARSER' WHEN event_id % 7 = 0 OR ({KIND} = 'AIS' AND user_id = 0) THEN 'INVALID_' || {KIND} END AS reason,
+  CASE WHEN {KIND} IN ('AIS', 'PORT', 'WEATHER') THEN CASE WHEN event_id % 7 <> 0 THEN 1.5e0 ELSE 95e0 END END AS latitude,
+  CASE WHEN {KIND} = 'AIS' THEN user_id END AS mmsi, CASE WHEN {KIND} = 'WEATHER' THEN value END AS temperature FROM events""")
+def split_payloads(spark, sf):
+    """Decoded rows of every type, from messages that are looked at once."""
+    split = wire.split_by_type(_payloads(spark, sf), scratch_path(spark, "payloads"))
+    names = {"latitude": "double", "mmsi": "bigint", "temperature": "double"}
+    parts = [
+        rows.select("seq", F.lit(kind).alias("payload_type"), F.col("reject_reason").alias("reason"),
+                    *[(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in names.items()])
+        for kind, rows in split.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("S-09", sql=sql("""
 SELECT 525000001 + c_custkey AS mmsi, c_name AS vessel_name, 9000000 + c_custkey AS imo, 'YB' || c_custkey AS call_sign, CAST(c_custkey % 90 AS INT) AS type_code,
   round(c_custkey % 90 / 1e1, 6) AS latitude FROM customer WHERE c_custkey % 13 <> 0 AND c_custkey % 17 <> 0 AND c_custkey % 19 <> 0"""))

@@ -69,11 +69,18 @@ def alerts_daily(spark, sf):
     return ops.alerts_daily(common.alerts(spark, sf))
 
 
-@query("A-02")
+@query("A-02", sql=sql("""
+SELECT alert_type, severity, strftime(ts, '%Y-%m-%d') AS day, count(*) AS alert_count, true AS close FROM alerts GROUP BY ALL""", "alerts"))
 def alerts_daily_sketch(spark, sf):
-    """Approximate vessel counts out of mergeable sketches."""
-    merged = ops.merge_alert_sketches([ops.alerts_daily_sketch(common.alerts(spark, sf))])
-    return merged.withColumn("affected_vessels", F.hll_sketch_estimate("vessel_sketch")).drop("vessel_sketch")
+    """Vessel counts out of sketches of ten minutes each, merged to days; ``close`` if within four standard errors."""
+    alerts = common.alerts(spark, sf)
+    minutes = F.expr("unix_millis(ts) div 600000 % 6")
+    merged = ops.merge_alert_sketches([ops.alerts_daily_sketch(alerts.where(minutes == i)) for i in range(6)])
+    exact = ops.alerts_daily(alerts).select("alert_type", "severity", "day", "affected_vessels")
+    both = merged.withColumn("estimate", F.hll_sketch_estimate("vessel_sketch")).join(exact, ["alert_type", "severity", "day"])
+    # A sketch of 2**12 registers has a standard error of 1.04 / 2**6.
+    close = F.abs(F.col("estimate") - F.col("affected_vessels")) <= F.greatest(F.lit(1.0), 4 * 1.04 / 64 * F.col("affected_vessels"))
+    return both.select("alert_type", "severity", "day", "alert_count", close.alias("close"))
 
 
 @query("A-03", sql=sql("""

@@ -8,7 +8,7 @@ from fairlead.operators import reads, sequence, tables, tracks
 from fairlead.plans import common, lenses
 from fairlead.plans.oracle import sql
 from fairlead.plans.registry import query
-from fairlead.plans.sequences import TRACK_GAP
+from fairlead.plans.sequences import NUMBERED, TRACK_GAP
 from fairlead.session import scratch_path
 from fairlead.sources import files
 
@@ -182,31 +182,42 @@ def live_operation_sets(spark, sf):
     return done.select("port_id", "operation_id", F.unix_millis("expires_at").alias("expires_ms"))
 
 
+@query("K-09", "K-08", sql=sql("""
+SELECT strftime(ts, '%Y%m') AS ym, count(*) AS n, round(sum(temperature), 4) AS temperatures FROM weather
+WHERE strftime(ts, '%Y%m') >= strftime((SELECT max(ts) FROM weather) - INTERVAL 12 MONTH, '%Y%m') GROUP BY 1""", "weather"))
+def history_purged(spark, sf):
+    """A history of many years whose expired months are deleted; what the folders still hold."""
+    rows, path = lenses.weather(spark, sf), scratch_path(spark, "weather-history")
+    tables.append_history(rows, path, 0, ("grid_id", "ts"))
+    newest = rows.agg(F.max("ts").alias("ts")).first()["ts"].date()
+    tables.drop_expired_months(spark, path, newest, tables.RETENTION_YEARS["weather"])
+    left = spark.read.parquet(path)
+    return left.groupBy(F.col("ym").cast("string").alias("ym")).agg(F.count(F.lit(1)).alias("n"), common.near(F.sum("temperature"), 4).alias("temperatures"))
+
+
 @query("K-13", sql=sql("""
-SELECT 'csv' AS format, count(*) AS n FROM valid UNION ALL SELECT 'json', count(*) FROM valid UNION ALL SELECT 'parquet', count(*) FROM valid""", "valid"))
+SELECT format, mmsi, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, epoch_ms(ts) AS ts_ms FROM valid, (VALUES ('csv'), ('json'), ('parquet')) f(format)""", "valid"))
 def export_selection(spark, sf):
-    """A selection written in each format and counted from the files; GeoJSON has its own entry."""
+    """A selection written in each format and read back from the files; GeoJSON has its own entry."""
     rows = common.valid(spark, sf).select("mmsi", "latitude", "longitude", "ts")
     folder = scratch_path(spark, "export")
-    counts = []
+    found = []
     for fmt in ("csv", "json", "parquet"):
         files.export(rows, f"{folder}/{fmt}", fmt)
-        back = spark.read.schema("mmsi bigint, latitude double, longitude double").format(fmt)
+        back = spark.read.schema("mmsi bigint, latitude double, longitude double, ts timestamp").format(fmt)
         stored = (back.option("header", True) if fmt == "csv" else back).load(f"{folder}/{fmt}")
-        counts.append(stored.agg(F.lit(fmt).alias("format"), F.count("mmsi").alias("n")))
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+        found.append(stored.select(F.lit(fmt).alias("format"), "mmsi", *common.rounded("latitude", "longitude"), *common.millis("ts")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@query("K-13")
+@query("K-13", sql=sql("""
+SELECT mmsi, epoch_ms(track_start) AS track_start_ms, row_number::INT AS row_number, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude FROM numbered""", "enriched", extra=NUMBERED))
 def export_geojson(spark, sf):
-    """Feature lines written as text and read back as JSON."""
+    """Feature lines written as text and read back as JSON, point by point."""
     tracked = tracks.with_track(common.valid(spark, sf), TRACK_GAP, common.slice_of(spark, sf))
     path = scratch_path(spark, "geojson")
     files.export(tracks.track_lines(tracked), path, "geojson")
-    feature = "type STRING, geometry STRUCT<type: STRING, coordinates: ARRAY<ARRAY<DOUBLE>>>, properties STRUCT<mmsi: BIGINT>"
-    lines = spark.read.schema(feature).json(path)
-    return lines.groupBy(F.col("properties.mmsi").alias("mmsi")).agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(F.size("geometry.coordinates")).alias("points")
-    )
-
-
+    feature = "type STRING, geometry STRUCT<type: STRING, coordinates: ARRAY<ARRAY<DOUBLE>>>, properties STRUCT<mmsi: BIGINT, track_start: BIGINT>"
+    lines = spark.read.schema(feature).json(path).where("type = 'Feature' AND geometry.type = 'LineString'")
+    points = lines.select("properties.mmsi", F.col("properties.track_start").alias("track_start_ms"), F.posexplode("geometry.coordinates").alias("at", "p"))
+    return points.select("mmsi", "track_start_ms", (F.col("at") + 1).alias("row_number"), common.near(F.col("p")[0]).alias("longitude"), common.near(F.col("p")[1]).alias("latitude"))

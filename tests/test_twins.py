@@ -7,8 +7,8 @@ from tests.twins import database, difference
 
 SF_DIR = "/root/testdata/sf0.001"
 CATALOG = load()
-# Checked against brute force elsewhere, or approximate by nature.
-WITHOUT_TWIN = {"alerts_daily_sketch", "export_geojson"}
+# Queries that SQL cannot express.
+WITHOUT_TWIN: set[str] = set()
 
 
 @pytest.fixture(scope="module")
