@@ -163,11 +163,46 @@ def with_plane(tracked: DataFrame, block: int = SIMPLIFY_BLOCK) -> DataFrame:
 def simplified(tracked: DataFrame, tolerance_nm: float = 0.1, block: int = SIMPLIFY_BLOCK) -> DataFrame:
     """Points of each track that Douglas-Peucker with the tolerance keeps, on the track's own plane.
 
-    Both halves of a split go on independently of each other. So spans of more than ``block`` points are split by
-    distributed aggregation, one level at a time for all of them, and shorter spans are finished in one task each. The
-    result is that of one pass over the whole track, whatever the block.
+    Tracks of at most ``block`` points are simplified in one pass each, the others by :func:`_split_up`; the result is the
+    same whatever the block.
     """
     step = max(3, int(block))
+    names = ("row_number", "seq", "ts", "latitude", "longitude")
+    rows = stored_table(tracked.select(*TRACK_KEYS, *names, F.struct("prev.longitude").alias("prev")), "track-points")
+    large = rows.groupBy(*TRACK_KEYS).agg(F.max("row_number").alias("points")).where(F.col("points") > step).select(*TRACK_KEYS)
+    if not large.limit(1).count():
+        return _whole(rows, tolerance_nm).select(*TRACK_KEYS, *names)
+    large = stored_table(large, "large-tracks")
+    small = _whole(rows.join(large, list(TRACK_KEYS), "left_anti"), tolerance_nm)
+    split = _split_up(rows.join(large, list(TRACK_KEYS), "left_semi"), tolerance_nm, step)
+    return small.select(*TRACK_KEYS, *names).unionByName(split.select(*TRACK_KEYS, *names))
+
+
+def _whole(rows: DataFrame, tolerance_nm: float) -> DataFrame:
+    """The points that are kept of tracks that fit one row; the plane is that of :func:`with_plane`."""
+
+    @F.pandas_udf("array<int>")
+    def kept(lats: pd.Series, lons: pd.Series, turns: pd.Series) -> pd.Series:
+        found = []
+        for lat, lon, turn in zip(lats, lons, turns):
+            lat, lon = np.asarray(lat, dtype=float), np.asarray(lon, dtype=float)
+            east = (lon + 360.0 * np.cumsum(np.asarray(turn, dtype=float))) * 60.0 * np.cos(np.radians(lat.mean()))
+            found.append(np.flatnonzero(keep_within(east, lat * 60.0, tolerance_nm)).astype("int32"))
+        return pd.Series(found)
+
+    turn = F.when(F.col("row_number") > 1, F.round((F.col("prev.longitude") - F.col("longitude")) / 360.0)).otherwise(0.0)
+    point = F.struct("row_number", "seq", "ts", "latitude", "longitude", turn.alias("turn"))
+    lists = rows.groupBy(*TRACK_KEYS).agg(F.sort_array(F.collect_list(point)).alias("points"))
+    picked = F.transform(kept(F.col("points.latitude"), F.col("points.longitude"), F.col("points.turn")), lambda at: F.get("points", at))
+    return lists.select(*TRACK_KEYS, F.explode(picked).alias("p")).select(*TRACK_KEYS, "p.*")
+
+
+def _split_up(tracked: DataFrame, tolerance_nm: float, step: int) -> DataFrame:
+    """:func:`simplified` for tracks of any length.
+
+    Both halves of a split go on independently of each other. So spans of more than ``step`` points are split by
+    distributed aggregation, one level at a time for all of them, and shorter spans are finished in one task each.
+    """
     fields = F.struct("row_number", "seq", "ts", "latitude", "longitude", "x", "y")
     rows = with_plane(tracked, step).select(*TRACK_KEYS, "points", fields.alias("p"))
     rows = stored_table(rows, "track-plane")
