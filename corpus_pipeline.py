@@ -42,8 +42,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, encoded and decoded again, one row per copy."""
-    return bpe.round_trip(docs, *rank_file())
+    """Token ids of every document, one row per copy, with the digests of the ids and of what they decode to."""
+    return bpe.round_trip(docs, *rank_file(), with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
