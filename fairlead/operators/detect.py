@@ -162,6 +162,11 @@ def erratic_speed(positions: DataFrame, variance_limit: float = 400.0, width: st
         )
         .select("mmsi", F.col("w.start").alias("window_start"), "n", "speed_variance", "max_speed", "vessel_type")
     )
+    return erratic_windows(stats, variance_limit)
+
+
+def erratic_windows(stats: DataFrame, variance_limit: float = 400.0) -> DataFrame:
+    """The windows of (mmsi, window_start, n, speed_variance, max_speed, vessel_type) that raise an alert."""
     over = F.col("max_speed") > vessel.top_speed(F.col("vessel_type")) * SPEED_FACTOR
     return stats.withColumn(
         "alert_type",

@@ -16,7 +16,7 @@ from fairlead.functions import times
 class Rollup:
     """Group keys, a time window and the measures held per group.
 
-    ``averages``, ``minima`` and ``maxima`` map an output name to its source column. The window is a real event
+    ``averages``, ``minima``, ``maxima`` and ``variances`` (of the sample) map an output name to its source column. The window is a real event
     time window, so that on a stream the state of a group can be dropped once the watermark has passed it.
     """
 
@@ -25,6 +25,7 @@ class Rollup:
     averages: dict[str, str] = field(default_factory=dict)
     minima: dict[str, str] = field(default_factory=dict)
     maxima: dict[str, str] = field(default_factory=dict)
+    variances: dict[str, str] = field(default_factory=dict)
     count: str = "n"
 
     @property
@@ -36,6 +37,8 @@ class Rollup:
         measures = [F.count(F.lit(1)).alias(self.count)]
         for name, source in self.averages.items():
             measures += [F.sum(source).alias(f"{name}__sum"), F.count(source).alias(f"{name}__n")]
+        for name, source in self.variances.items():
+            measures += [F.sum(source).alias(f"{name}__sum"), F.sum(F.col(source) * F.col(source)).alias(f"{name}__squares"), F.count(source).alias(f"{name}__n")]
         measures += [F.min(source).alias(name) for name, source in self.minima.items()]
         measures += [F.max(source).alias(name) for name, source in self.maxima.items()]
         name, width = self.window
@@ -48,13 +51,19 @@ class Rollup:
         measures = [F.sum(self.count).alias(self.count)]
         for name in self.averages:
             measures += [F.sum(f"{name}__{p}").alias(f"{name}__{p}") for p in ("sum", "n")]
+        for name in self.variances:
+            measures += [F.sum(f"{name}__{p}").alias(f"{name}__{p}") for p in ("sum", "squares", "n")]
         measures += [F.min(name).alias(name) for name in self.minima]
         measures += [F.max(name).alias(name) for name in self.maxima]
         return both.groupBy(*self.groups).agg(*measures)
 
     def finished(self, state: DataFrame) -> DataFrame:
         averages = [F.try_divide(F.col(f"{n}__sum"), F.col(f"{n}__n")).alias(n) for n in self.averages]
-        return state.select(*self.groups, self.count, *averages, *self.minima, *self.maxima)
+        variances = []
+        for n in self.variances:
+            total, squares, rows = (F.col(f"{n}__{p}") for p in ("sum", "squares", "n"))
+            variances.append(F.when(rows > 1, F.greatest(F.lit(0.0), (squares - total * total / rows) / (rows - 1))).alias(n))
+        return state.select(*self.groups, self.count, *averages, *self.minima, *self.maxima, *variances)
 
 
 MOVEMENT_HOURLY = Rollup(
@@ -83,6 +92,15 @@ POSITIONS_PER_MINUTE = Rollup(
 )
 
 
+#: What the check for erratic speeds looks at.
+SPEED_WINDOWS = Rollup(
+    keys=("mmsi",),
+    window=("window_start", "5 minutes"),
+    maxima={"max_speed": "speed", "vessel_type": "vessel_type"},
+    variances={"speed_variance": "speed"},
+)
+
+
 def alerts_daily(alerts: DataFrame, exact: bool = True) -> DataFrame:
     """Alerts and affected vessels per type, severity and day; ``exact=False`` counts vessels by a sketch."""
     vessels = F.count_distinct("mmsi") if exact else F.approx_count_distinct("mmsi")

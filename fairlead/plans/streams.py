@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fairlead.operators import detect, enrich, proximity, rollups, tables
+from fairlead.operators import detect, enrich, rollups, tables
 from fairlead.plans import common, ingest, lenses, writes
 from fairlead.plans.oracle import sql
 from fairlead.plans.registry import CATALOG, query
@@ -18,7 +18,7 @@ from fairlead.plans.sequences import SILENCE_GAP, TRACK_GAP, TRACKED
 from fairlead.plans.spatial import EVENTS, PAIRS
 from fairlead.session import children, dated, scratch_path, stored_table
 from fairlead.sources import files, reference, wire
-from fairlead.streaming import alerts, fences, job, sessions, state
+from fairlead.streaming import alerts, fences, job, sessions, state, windows
 
 
 # Rows of a staged slice, which one task writes; the fewest slices.
@@ -261,15 +261,12 @@ def stream_session_tracks(spark, sf):
 @query("W-06", "J-04", sql=sql("""
 SELECT epoch_ms(window_start) AS window_start_ms, mmsi_a, mmsi_b, round(distance_nm, 6) AS distance_nm FROM pairs""", "valid", extra=PAIRS))
 def stream_proximity(spark, sf):
-    """Pairs of every sliding window that is over."""
+    """Pairs of every sliding window, in which a fix counts however late it comes."""
     session = job.stream_session(spark)
     folder = scratch_path(spark, "proximity")
-
-    def write(fixes, batch_id):
-        proximity.close_pairs(ended(fixes)).write.mode("overwrite").parquet(f"{folder}/pairs/batch_id={batch_id}")
-
-    finish(job.run_batches(job.proximity_stream(valid_stream(session, sf)), write, f"{folder}/checkpoint"))
-    return spark.read.parquet(f"{folder}/pairs").select(
+    pairs = windows.PairWindows(folder)
+    finish(job.run_batches(ended(valid_stream(session, sf)), pairs.write, f"{folder}/checkpoint"))
+    return pairs.read(spark).select(
         *common.millis("window_start"), "mmsi_a", "mmsi_b", common.near(F.col("distance_nm")).alias("distance_nm")
     )
 
@@ -279,10 +276,12 @@ SELECT mmsi, epoch_ms(time_bucket(INTERVAL 5 MINUTE, ts)) AS window_ms, count(sp
 FROM valid GROUP BY mmsi, time_bucket(INTERVAL 5 MINUTE, ts)
 HAVING max(speed) > 1.5 * CASE max(vessel_type) WHEN 'PASSENGER' THEN 35e0 WHEN 'TANKER' THEN 20e0 ELSE 25e0 END OR var_samp(speed) > 400""", "valid"))
 def stream_erratic_speed(spark, sf):
-    """Tumbling windows, handed on when they are over."""
-    session = job.stream_session(spark)
-    rows = enrich.with_inferred_type(valid_stream(session, sf)).withWatermark("ts", job.LATENESS)
-    done = ended(collected(detect.erratic_speed(rows), spark, "erratic"))
+    """Tumbling windows as mergeable states, in which a fix counts however late it comes."""
+    session, folder = job.stream_session(spark), scratch_path(spark, "speed-windows")
+    rows = enrich.with_inferred_type(ended(valid_stream(session, sf)))
+    sink = job.RollupSink(f"{folder}/states", rollups.SPEED_WINDOWS)
+    finish(job.run_rollup(rows, sink, f"{folder}/checkpoint"))
+    done = detect.erratic_windows(sink.read(spark))
     return done.select(
         "mmsi", F.unix_millis("window_start").alias("window_ms"), "n", common.near(F.col("speed_variance"), 4).alias("speed_variance")
     )

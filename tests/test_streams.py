@@ -190,6 +190,21 @@ def test_fence_changes_do_not_depend_on_the_batches(spark):
         assert watch.late(spark).count() == 7
 
 
+def test_late_fixes_count_in_pair_windows(spark):
+    from fairlead.operators import proximity
+    from fairlead.streaming import windows
+
+    rows = [(1 + i % 5, 0.001 * (i % 3), 0.002 * (i % 4), 5.0, 90.0, T0 + dt.timedelta(seconds=7 * (i // 5)), i) for i in range(150)]
+    given = spark.createDataFrame(rows, "mmsi long, latitude double, longitude double, speed double, course double, ts timestamp, seq long")
+    want = proximity.close_pairs(proximity.window_fixes(given))
+    folder = scratch_path(spark, "pair-windows")
+    pairs = windows.PairWindows(folder)
+    for i in (3, 0, 2, 1, 1):  # hours out of order, the last batch delivered twice
+        pairs.write(given.where((F.col("seq") * 4 / 150).cast("int") == i), {3: 0, 0: 1, 2: 2, 1: 3}[i])
+    got = pairs.read(spark).select(want.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and want.count() > 20
+
+
 def test_a_clock_throttles_over_batches(spark):
     import random
 
