@@ -84,14 +84,14 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, bytes) of every row's ``ids``; null ids decode to no bytes."""
+    """(doc_id, ids, bytes) of every row's ``ids``; null ids decode to no bytes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.array((decode(i.values.to_numpy(zero_copy_only=False).tolist() if i.is_valid else [], path, pattern) for i in batch.column(1)), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["doc_id", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["doc_id", "ids", "bytes"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(task, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, bytes binary")
+    return tokens.select("doc_id", "ids").mapInArrow(task, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, ids array<int>, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -103,8 +103,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
     A null doc_id is passed on. Other columns are ignored.
     """
     tokens = encoded(docs, path, pattern)
-    ids = [F.col("ids")] if with_ids else []
-    written = F.struct("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), *ids)
+    written = F.struct("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"))
     # The row goes through the decoder in the place of its id, so nothing has to be joined back.
     back = decoded(tokens.select(written.alias("doc_id"), "ids"), path, pattern)
-    return back.select("doc_id.doc_id", "doc_id.n_tokens", "doc_id.ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"), *[F.col("doc_id.ids") for _ in ids])
+    return back.select("doc_id.doc_id", "doc_id.n_tokens", "doc_id.ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"), *(["ids"] if with_ids else []))

@@ -228,7 +228,7 @@ def without_duplicates(docs: DataFrame, is_known) -> DataFrame:
 
     kept = deduplicate(docs, is_known).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text")).distinct()
     lowered = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    own = packed(docs, id=F.col("doc_id").cast("long"), digest=F.sha2(lowered.cast("binary"), 256), spelled=F.col("text"))
+    own = packed(docs, id=F.col("doc_id").cast("long"), digest=F.sha2(lowered.cast("binary"), 256))
     rows = own.join(kept.hint("merge"), same_id(F.col("id"), F.col("kept_id")) & (F.col("digest") == F.col("kept_text")), "left_semi")
-    same = Window.partitionBy("id", "digest").orderBy("spelled")
+    same = Window.partitionBy("id", "digest").orderBy("row.text")
     return rows.withColumn("copy", F.row_number().over(same)).where("copy = 1").select("row.*")
