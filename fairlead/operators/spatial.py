@@ -48,7 +48,7 @@ def fence_rows(fences: DataFrame) -> DataFrame:
     The size follows the fence, so a fence takes at most (CELLS_ACROSS + 1) squared rows, an ocean included. Where
     ``fences`` has ``valid_from`` and ``valid_to``, a row is one version of a fence and holds fixes of that time only.
     """
-    span = [(F.col(c) if c in fences.columns else F.lit(None)).cast("timestamp").alias(c) for c in ("valid_from", "valid_to")]
+    span = [c for c in ("valid_from", "valid_to") if c in fences.columns]
     unwrapped = fences.where("is_active").select("id", _unwrapped(F.col("rings")).alias("rings"), *span)
     outline = F.flatten("rings")
     west, east = F.array_min(outline["lon"]), F.array_max(outline["lon"])
@@ -61,8 +61,7 @@ def fence_rows(fences: DataFrame) -> DataFrame:
             south.alias("south"),
             north.alias("north"),
             geo.ring_edges(F.col("rings")).alias("edges"),
-            "valid_from",
-            "valid_to",
+            *span,
         ).alias("fence"),
         F.greatest(east - west, north - south).alias("_extent"),
     )
