@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.common import stored_table
 
-PROJECTIONS = 384
+PROJECTIONS = 256
 #: Share of the projections in whose windows a candidate must lie.
 COLLISIONS = 0.62
 #: Candidates that a query asks for over all blocks, in square roots of the number of vectors.
-ASKED = 3.0
+ASKED = 5.0
 #: First half width of the windows in standard deviations of a projection, and its growth by virtual rehashing.
 FIRST_WIDTH = 1.0
 GROWTH = 1.04
@@ -67,20 +67,24 @@ class Block:
         n, m = len(self.ids), len(projected)
         if n <= wanted:
             return np.arange(n)
-        least, counts = max(1, int(m * COLLISIONS)), np.zeros(n, np.int64)
-        half = max(1e-6, FIRST_WIDTH * self.spread)
-        low, high = self.edges(projected, 0.0)
-        low, high = np.minimum(low, high), np.minimum(low, high)
+        least, half = max(1, int(m * COLLISIONS)), max(1e-6, FIRST_WIDTH * self.spread)
+
+        def met(edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+            """How often every row is in the given stretches of the sorted arrays."""
+            parts = [rows[a:b] for first, last in edges for rows, a, b in zip(self.order, first.tolist(), last.tolist(), strict=True) if a < b]
+            return np.bincount(np.concatenate(parts), minlength=n) if parts else np.zeros(n, np.int64)
+
+        # First windows hold more than half of the rows, so those that lie outside are counted.
+        low, high = self.edges(projected, half)
+        counts = m - met([(np.zeros(m, np.int64), low), (high, np.full(m, n))])
         while True:
-            below, above = self.edges(projected, half)
-            ring = [rows[a:b] for rows, x, y, z, w in zip(self.order, below, low, high, above, strict=True) for a, b in ((x, y), (z, w)) if a < b]
-            if ring:
-                counts += np.bincount(np.concatenate(ring), minlength=n)
-            low, high = below, above
             found = np.flatnonzero(counts >= least)
             if len(found) >= wanted or (high - low).sum() == n * m:
                 return found
             half *= GROWTH
+            below, above = self.edges(projected, half)
+            counts += met([(below, low), (high, above)])
+            low, high = below, above
 
     def nearest(self, query_id: int, query: np.ndarray, projected: np.ndarray, k: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
         rows = self.candidates(projected, k + 1 + wanted)
