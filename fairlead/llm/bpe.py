@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Characters that are handed to the library at once.
 PIECE = 65_536
+#: Rows whose ids are handed on at once.
+SLICE = 500
 #: A space between two visible ASCII characters starts a match in every pattern of this family.
 _SAFE = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
@@ -69,11 +71,18 @@ def decode(ids: list[int], path: str, pattern: str) -> bytes:
     return encoding(path, pattern).decode_bytes(ids)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: their ids and texts are held on both sides of the exchange with Spark."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of every row's whole text. Null and empty texts have no ids; repeated rows repeat."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             # Four bytes an id: the lists of a whole batch would take ten times as much.
             parts = [np.array(encode(t.as_py() or "", path, pattern), np.int32) for t in batch.column(1)]
             edges = np.cumsum([0, *map(len, parts)])
@@ -87,7 +96,7 @@ def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, bytes) of every row's ``ids``; null ids decode to no bytes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = pa.array((decode(i.values.to_numpy(zero_copy_only=False).tolist() if i.is_valid else [], path, pattern) for i in batch.column(1)), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["doc_id", "ids", "bytes"])
 
