@@ -131,3 +131,14 @@ def test_wide_fences_take_few_rows_and_the_date_line_is_no_edge(spark):
     for bounds in ({}, {"max_rows": 1}, {"max_edges": 1}):
         found = {r.mmsi: r.inside for r in spatial.with_fences_inside(where, fences, **bounds).collect()}
         assert found == {m: inside for m, _, _, inside in points}
+
+
+def test_the_approach_is_worked_out_for_pairs_and_not_for_candidates(spark):
+    """The course of a vessel has no place in the condition of the join, where every candidate would pay for it."""
+    fixes = positions(spark, [(1.0, 2.0), (1.001, 2.0), (1.0, 2.001)]).withColumn("window_start", F.lit(T0))
+    found = proximity.collision_alerts(proximity.collision_risk(proximity.close_pairs(fixes)))
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in text.splitlines() if "Join Inner" in line and "latitude_b" in line]
+    assert joins and not [line for line in joins if "course" in line]
+    # The cheap test of longitudes comes before the distance.
+    assert all("_wide" in line for line in joins)
