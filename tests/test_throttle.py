@@ -90,3 +90,17 @@ def test_ties_inside_a_millisecond_go_to_the_first(spark):
 
 def test_tree_grows_with_the_slices():
     assert [throttle.tree_levels(n, 64) for n in (1, 64, 65, 4096, 4097)] == [0, 0, 1, 1, 2]
+
+
+def test_few_candidates_of_a_key_are_walked_without_python(spark):
+    """The walk and the tree give the same rows, also for rows without a key or a time, and repeated ones."""
+    rng = np.random.default_rng(5)
+    data = [(int(k), int(m)) for k, m in zip(rng.integers(1, 9, 300), rng.integers(0, 3_000_000, 300))]
+    rows = rows_of(spark, data + data[:20] + [(None, 5), (None, 6)])
+    rows = rows.unionByName(rows.limit(3).withColumn("ts", F.lit(None).cast("timestamp")))
+    walked, climbed = throttle.throttled(rows, seconds=600), throttle.throttled(rows, seconds=600, few=0, fan_out=3)
+    want = sorted((k, m) for k in {k for k, _ in data} for m in greedy(sorted({m for kk, m in data if kk == k})))
+    assert passed_ms(walked) == passed_ms(climbed) == want
+    text = throttle.throttled(rows, seconds=600)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in text
+    assert "ArrowEvalPython" in climbed._jdf.queryExecution().optimizedPlan().toString()
