@@ -20,6 +20,10 @@ BUCKETS = 64
 CELL_SIZES, CELLS_ACROSS = (1.0, 4.0, 15.0, 90.0), 12
 #: Kilometres of the first ring, by how much rings grow, and half the globe.
 FIRST_RING, GROWTH, HALF_GLOBE = 25.0, 4.0, 20_100.0
+#: Kilometres of the first circle of a join, which meets many points where rows are dense.
+FIRST_CIRCLE = 0.1
+#: Cells of a join, in degrees; nothing is stored by them.
+JOIN_SIZES = (0.004, 0.016, 0.0625, 0.25, *CELL_SIZES)
 
 
 def _bucket(values: Sequence[Column], buckets: int) -> Column:
@@ -114,11 +118,12 @@ class PlacedTable:
             km *= GROWTH
         return self.within(spark, lat, lon, min(km, HALF_GLOBE)).orderBy("distance_km", self.id).limit(k)
 
-    def nearest_join(self, points: DataFrame, k: int = 10, first: float = FIRST_RING) -> DataFrame:
+    def nearest_join(self, points: DataFrame, k: int = 10, first: float = FIRST_CIRCLE) -> DataFrame:
         """For every point (point_id, lat, lon) its ``k`` nearest rows: point_id, rank, distance_km and the row.
 
         Round by round the points whose circle holds k rows leave, the others go on with a wider one. A point meets the
-        rows of the cells that its circle can touch, in cells that grow with the circle, by an equi-join.
+        rows of the cells that its circle can touch, in cells that grow with the circle, by an equi-join. Circles begin
+        small, so a point meets rows in proportion to ``k`` however dense they are, unless many share one place.
         """
         spark, km, done = points.sparkSession, first, None
         open_ = stored_table(points.select("point_id", "lat", "lon"), "points")
@@ -148,7 +153,7 @@ def _met(points: DataFrame, rows: DataFrame, km: float) -> DataFrame:
     over_pole = (cos <= math.sin(min(angle, math.pi / 2))) | F.lit(angle >= math.pi / 2)
     wide = F.when(over_pole, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(min(angle, math.pi / 2)) / cos))) * slack)
     reach = F.greatest(wide, F.lit(min(high, 180.0)))
-    size = F.coalesce(*[F.when(2 * reach <= s * CELLS_ACROSS, F.lit(s)) for s in CELL_SIZES], F.lit(CELL_SIZES[-1]))
+    size = F.coalesce(*[F.when(2 * reach <= s * CELLS_ACROSS, F.lit(s)) for s in JOIN_SIZES], F.lit(JOIN_SIZES[-1]))
     sized = points.withColumns({"wide": wide, "size": size})
     around = F.round(360.0 / F.col("size")).cast("long")
     cell = lambda x: F.floor(x / F.col("size"))
@@ -156,7 +161,8 @@ def _met(points: DataFrame, rows: DataFrame, km: float) -> DataFrame:
     ys = F.sequence(cell(F.greatest(F.lit(-90.0), F.col("lat") - high)), cell(F.least(F.lit(90.0), F.col("lat") + high)))
     sized = sized.withColumn("x", F.explode(F.array_distinct(xs))).withColumn("y", F.explode(ys)).drop("wide")
     grids = None
-    for s in CELL_SIZES:
+    # Cells of one circle differ in size by latitude only, so rows are seldom dealt out more than once.
+    for s in sorted(r["size"] for r in sized.select("size").distinct().collect()) or JOIN_SIZES[-1:]:
         whole = round(360.0 / s)
         at = {"x": F.pmod(F.floor(F.col("longitude") / s), F.lit(whole)), "y": F.floor(F.col("latitude") / s), "size": F.lit(s)}
         grid = sized.where(F.col("size") == s).join(rows.withColumns(at), ["size", "x", "y"]).drop("size", "x", "y")

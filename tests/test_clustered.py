@@ -113,6 +113,29 @@ def test_nearest_of_many_points(spark, places):
         assert sorted(found[i]) == [(n + 1, round(d, 6)) for n, (d, _) in enumerate(brute(rows, lat, lon, 7))]
 
 
+def test_points_among_dense_rows_meet_few_of_them(spark, monkeypatch):
+    """A point meets rows in proportion to those it asks for, not all that lie around it."""
+    rng, met = random.Random(7), []
+    rows = [(i, 1.2 + rng.random() / 9, 103.8 + rng.random() / 9) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "mmsi long, latitude double, longitude double")
+    held = clustered.PlacedTable(scratch_path(spark, "dense-places"), frame.schema)
+    held.write(frame)
+    inner = clustered._met
+
+    def counted(*given):
+        found = inner(*given)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(clustered, "_met", counted)
+    found = {}
+    for r in held.nearest_join(frame.limit(40).selectExpr("mmsi AS point_id", "latitude AS lat", "longitude AS lon"), 5).collect():
+        found.setdefault(r.point_id, []).append((r["rank"], round(r.distance_km, 6)))
+    assert len(found) == 40 and sum(met) < 40 * 5 * 4 * 16
+    for i, got in found.items():
+        assert sorted(got) == [(n + 1, round(d, 6)) for n, (d, _) in enumerate(brute(rows, *rows[i][1:], 5))]
+
+
 def test_far_cells_stay_closed(spark, places):
     _, held = places
     assert scanned(held.within(spark, 1.25, 103.85, 25.0))["numFiles"] <= 9 < scanned(held.table(spark))["numFiles"] // 4
