@@ -416,6 +416,7 @@ def stream_live_positions(spark, sf):
     """Latest values with a life of five minutes, kept as state and read from the state store."""
     session, folder = job.stream_session(spark), scratch_path(spark, "live")
     rows = common.valid_rows(lenses.positions(spark, sf))
-    held = state.latest_stream(slices_stream(session, in_slices(session, rows)), "speed double", tables.VALUE_SECONDS["positions"])
+    value = "speed double"
+    held = state.latest_stream(slices_stream(session, in_slices(session, rows)), value, tables.VALUE_SECONDS["positions"])
     finish(job.run_batches(held, lambda batch, batch_id: batch.write.format("noop").mode("overwrite").save(), f"{folder}/checkpoint"))
-    return state.live_values(session, f"{folder}/checkpoint").select("mmsi", "speed", F.expr("ts_us div 1000").alias("ts_ms"))
+    return state.live_values(session, f"{folder}/checkpoint", value).select("mmsi", "speed", F.expr("ts_us div 1000").alias("ts_ms"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fairlead.functions import geo
+from fairlead.streaming import buckets
 
 #: One fix as the state holds it, and the sum of the fixes before it that can get no new neighbours.
 FIX = "ts_us bigint, seq bigint, latitude double, longitude double, speed double"
@@ -22,100 +23,96 @@ OUT = (
 
 
 class Sessions(StatefulProcessor):
-    """Runs of fixes of a vessel without a gap longer than ``gap_ms``, on whole milliseconds as at rest.
+    """Runs of fixes of a vessel without a gap longer than ``gap_ms``, on whole milliseconds as at rest, for a bucket of vessels.
 
-    Fixes behind the watermark can get no new neighbours, so they are folded, in time order, into the one session that
-    is open there; those ahead of it stay as they are and fall into place whatever the order they come in, so a late fix
-    may lengthen, split off or bridge sessions. A session is handed on when the watermark has passed its end by the
+    Fixes behind the watermark can get no new neighbours, so they are folded, in time order, into the one session of their
+    vessel that is open there; those ahead of it stay as they are and fall into place whatever the order they come in, so a
+    late fix may lengthen, split off or bridge sessions. A session is handed on when the watermark has passed its end by the
     gap. A fix behind the watermark when it comes is not dropped but handed on as ``late``.
     """
 
     def __init__(self, gap_ms: int):
         self.gap_ms = gap_ms
 
-    def apart(self, before_us: int, us: int) -> bool:
+    def apart(self, before_us: np.ndarray, us: np.ndarray | int) -> np.ndarray:
         return us // 1000 - before_us // 1000 > self.gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", SESSION)
-        self.ahead = handle.getListState("ahead", FIX)
+        self.open = buckets.TableState(handle, "open", f"mmsi bigint, {SESSION}")
+        self.ahead = buckets.TableState(handle, "ahead", f"mmsi bigint, {FIX}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True)
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         late = new[new["ts_us"] < mark]
-        held = new[new["ts_us"] >= mark]
-        names = [n.split()[0] for n in FIX.split(", ")]
-        fixes = list(map(tuple, self.ahead.get())) if self.ahead.exists() else []
-        fixes += [tuple(_value(v) for v in r) for r in held[names].to_numpy(dtype=object)]
-        yield self.moved(key, fixes, mark, late[["ts_us", "seq"]].to_numpy().tolist())
+        fixes, held = new[new["ts_us"] >= mark][self.ahead.schema.names].astype({"ts_us": "int64"}), self.ahead.get(0)
+        yield self.moved(pd.concat([held, fixes], ignore_index=True) if len(held) else fixes, mark, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        fixes = list(map(tuple, self.ahead.get())) if self.ahead.exists() else []
-        yield self.moved(key, fixes, timerValues.getCurrentWatermarkInMs() * 1000, [])
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        yield self.moved(self.ahead.get(0), mark, pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("mmsi", "ts_us", "seq")}))
 
-    def moved(self, key, fixes: list[tuple], mark: int, late: list[list[int]]) -> pd.DataFrame:
+    def moved(self, fixes: pd.DataFrame, mark: int, late: pd.DataFrame) -> pd.DataFrame:
         """Bring the state up to the watermark; the sessions that are over and the late rows."""
-        fixes.sort(key=lambda f: f[:2])
-        behind = sum(f[0] < mark for f in fixes)
-        done, now = [], tuple(self.open.get()) if self.open.exists() else None
-        for fix in fixes[:behind]:
-            if now is not None and self.apart(now[-5], fix[0]):
-                done.append(now)
-                now = None
-            now = _begun(fix) if now is None else _grown(now, fix)
-        if now is not None and self.apart(now[-5], mark):
-            done.append(now)
-            now = None
-        rest = fixes[behind:]
-        if now is None:
-            self.open.clear()
-        else:
-            self.open.update(now)
-        if rest:
-            self.ahead.put(rest)
-        else:
-            self.ahead.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        end = now[-5] if now is not None else None
-        for fix in rest:  # the end of the first session
-            if end is not None and self.apart(end, fix[0]):
-                break
-            end = fix[0]
-        if end is not None:
-            self.handle.registerTimer(end // 1000 + self.gap_ms + 1)
-        out = [
-            (key[0], False, s[0], s[-5], s[1], s[2], s[3] / s[4] if s[4] else None, s[5], None, None) for s in done
-        ] + [(key[0], True, None, None, None, None, None, None, ts, seq) for ts, seq in late]
-        kinds = {"late": "bool", "mmsi": "int64"}
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype(kinds)
+        behind = fixes["ts_us"].to_numpy() < mark
+        found, held = _begun(fixes[behind]), self.open.get(0)
+        sessions = self.folded(pd.concat([held, found], ignore_index=True) if len(held) else found)
+        # The last session of a vessel stays open unless the watermark is past it.
+        over = ~buckets.runs(sessions["mmsi"].to_numpy())[1] | self.apart(sessions["ts_us"].to_numpy(), mark)
+        now, rest = sessions[~over], fixes[~behind]
+        self.open.put(now, 0)
+        self.ahead.put(rest, 0)
+        ends = self.first_ends(now, rest)
+        buckets.one_timer(self.handle, ends.min() // 1000 + self.gap_ms + 1 if len(ends) else None)
+        done = sessions[over]
+        speeds = done["speeds"].to_numpy()
+        average = np.where(speeds > 0, done["speed_sum"] / np.maximum(speeds, 1), np.nan)
+        out = done[["mmsi", "start_us", "points", "distance_nm", "max_speed"]].assign(late=False, end_us=done["ts_us"], avg_speed=average)
+        frame = pd.concat([out, late[["mmsi", "ts_us", "seq"]].assign(late=True)], ignore_index=True)
+        frame = frame.reindex(columns=[c.split()[0] for c in OUT.split(", ")]).astype({"late": "bool", "mmsi": "int64"})
         for c in ("start_us", "end_us", "points", "ts_us", "seq"):
             frame[c] = frame[c].astype("Int64")
         return frame
 
+    def folded(self, parts: pd.DataFrame) -> pd.DataFrame:
+        """Sessions out of parts of sessions that lie one after the other."""
+        parts = parts.take(np.lexsort((parts["seq"].to_numpy(), parts["ts_us"].to_numpy(), parts["mmsi"].to_numpy()))).reset_index(drop=True)
+        if not len(parts):
+            return parts
+        ts, (first, _) = parts["ts_us"].to_numpy(), buckets.runs(parts["mmsi"].to_numpy())
+        first[1:] |= self.apart(ts[:-1], ts[1:])
+        number, lat, lon = np.cumsum(first) - 1, parts["latitude"].to_numpy(), parts["longitude"].to_numpy()
+        legs = np.zeros(len(parts))
+        legs[1:] = np.where(first[1:], 0.0, np.nan_to_num(geo.great_circle_of(lat[:-1], lon[:-1], lat[1:], lon[1:], geo.EARTH_RADIUS_NM)))
+        ends = parts[np.append(first[1:], True)].reset_index(drop=True)
+        return ends.assign(
+            start_us=parts["start_us"].to_numpy()[first],
+            points=np.bincount(number, parts["points"]).astype("int64"),
+            distance_nm=np.bincount(number, parts["distance_nm"] + legs),
+            speed_sum=np.bincount(number, parts["speed_sum"]),
+            speeds=np.bincount(number, parts["speeds"]).astype("int64"),
+            max_speed=np.fmax.reduceat(parts["max_speed"].to_numpy(), np.flatnonzero(first)),
+        )
+
+    def first_ends(self, now: pd.DataFrame, rest: pd.DataFrame) -> np.ndarray:
+        """The end of the first session of every vessel, as far as it is known."""
+        mmsi, ts = (np.concatenate([now[c].to_numpy(), rest[c].to_numpy()]) for c in ("mmsi", "ts_us"))
+        order = np.lexsort((ts, mmsi))
+        mmsi, ts = mmsi[order], ts[order]
+        last = buckets.runs(mmsi)[1]
+        last[:-1] |= self.apart(ts[:-1], ts[1:])
+        mmsi, ts = mmsi[last], ts[last]
+        return ts[buckets.runs(mmsi)[0]]
+
     def close(self) -> None:
         pass
 
 
-def _value(v):
-    return None if v is None or (isinstance(v, float) and np.isnan(v)) else v.item() if isinstance(v, np.generic) else v
-
-
-def _begun(fix: tuple) -> tuple:
-    speed = fix[4]
-    return (fix[0], 1, 0.0, speed or 0.0, int(speed is not None), speed, *fix)
-
-
-def _grown(now: tuple, fix: tuple) -> tuple:
-    start, points, distance, speed_sum, speeds, top, _, _, lat, lon, _ = now
-    leg = geo.great_circle_of(lat, lon, fix[2], fix[3], geo.EARTH_RADIUS_NM)
-    speed = fix[4]
-    return (
-        start, points + 1, distance + (0.0 if np.isnan(leg) else leg), speed_sum + (speed or 0.0), speeds + (speed is not None),
-        top if speed is None else speed if top is None else max(top, speed), *fix,
-    )
+def _begun(fixes: pd.DataFrame) -> pd.DataFrame:
+    """A session of every fix alone."""
+    speed = fixes["speed"]
+    return fixes.assign(start_us=fixes["ts_us"], points=1, distance_nm=0.0, speed_sum=speed.fillna(0.0), speeds=speed.notna().astype("int64"), max_speed=speed)
 
 
 def session_tracks(positions: DataFrame, gap_minutes: float, late: str) -> DataFrame:
@@ -126,11 +123,12 @@ def session_tracks(positions: DataFrame, gap_minutes: float, late: str) -> DataF
     """
     # The event time stays out of what the step reads: Spark would drop rows behind the watermark without a word.
     fixes = positions.withWatermark("ts", late).select("mmsi", F.unix_micros("ts").alias("ts_us"), "seq", "latitude", "longitude", "speed")
-    found = fixes.groupBy("mmsi").transformWithStateInPandas(
+    found = buckets.by_bucket(fixes).transformWithStateInPandas(
         Sessions(int(gap_minutes * 60_000)), outputStructType=OUT, outputMode="Append", timeMode="EventTime"
     )
     instants = {"track_start": "start_us", "track_end": "end_us", "ts": "ts_us"}
-    return found.withColumns({name: F.timestamp_micros(us) for name, us in instants.items()}).drop(*instants.values())
+    named = {name: F.timestamp_micros(us) for name, us in instants.items()} | {c: buckets.nulled(c) for c in ("mmsi", "seq")}
+    return found.withColumns(named).drop(*instants.values())
 
 
 def silence_stream(positions: DataFrame, gap_minutes: float, late: str) -> DataFrame:

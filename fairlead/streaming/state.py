@@ -10,31 +10,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fairlead.functions import geo, vessel
 from fairlead.operators import detect, throttle
+from fairlead.streaming import buckets
 
 # How late a fix may come and still find the fix before it.
 RECENT_MS = 300_000
 PREVIOUS = {"latitude": "double", "longitude": "double", "speed": "double", "course": "double"}
 
 
-def in_time_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one key in one micro-batch; their number is bounded by the trigger's intake."""
-    parts = list(batches)
-    pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    order = np.lexsort((pdf["seq"].to_numpy(), pdf["ts_us"].to_numpy()))
-    return pdf.take(order).reset_index(drop=True)
-
-
 class Previous(StatefulProcessor):
-    """Adds ``prev_*`` columns of the preceding row of the key.
+    """Adds ``prev_*`` columns of the preceding row of the vessel, to all vessels of a bucket at once.
 
-    The state holds the newest row and those up to ``recent_ms`` before it, so a row that comes late by no more than
-    that finds the row before it. A row older than all that is held has no previous row.
+    The state holds the newest row of a vessel and those up to ``recent_ms`` before it, so a row that comes late by no more
+    than that finds the row before it. A row older than all that is held has no previous row.
     """
 
     def __init__(self, carried: dict[str, str], ttl_ms: int | None = None, recent_ms: int = RECENT_MS):
@@ -43,37 +37,37 @@ class Previous(StatefulProcessor):
         self.recent_ms = recent_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        held = ", ".join(f"{c} {kind}" for c, kind in self.carried.items())
-        self.recent = handle.getListState("recent", f"{held}, ts_us bigint, seq bigint", ttlDurationMs=self.ttl_ms)
+        held = _ddl({"mmsi": "bigint", **self.carried, "ts_us": "bigint", "seq": "bigint"})
+        self.recent = buckets.TableState(handle, "recent", held, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = in_time_order(rows)
-        yield pdf.assign(**self.previous_columns(pdf))
+        pdf = buckets.in_order(rows)
+        yield pdf.assign(**self.previous_columns(pdf, timerValues.getCurrentProcessingTimeInMs()))
 
-    def previous_columns(self, pdf: pd.DataFrame) -> dict[str, pd.Series]:
+    def previous_columns(self, pdf: pd.DataFrame, now_ms: int) -> dict[str, pd.Series]:
         """The previous values of the ordered rows of one micro-batch; the state moves on."""
-        names = [*self.carried, "ts_us", "seq"]
-        held = sorted(map(tuple, self.recent.get() if self.recent.exists() else ()), key=lambda r: r[-2:])
-        ts = np.concatenate([np.array([r[-2] for r in held], np.int64), pdf["ts_us"].to_numpy()])
-        seq = np.concatenate([np.array([r[-1] for r in held], np.int64), pdf["seq"].to_numpy()])
+        names = [*self.carried, "ts_us"]
+        held = self.recent.get(now_ms)
+        both = pd.concat([held, pdf[["mmsi", *names, "seq"]]], ignore_index=True) if len(held) else pdf[["mmsi", *names, "seq"]]
+        ts, mmsi = both["ts_us"].to_numpy(), both["mmsi"].to_numpy()
         # Of a row that is delivered again the held one comes first.
-        order = np.lexsort((np.arange(len(ts)) >= len(held), seq, ts))
-        before = np.full(len(ts), -1)
-        before[order[1:]] = order[:-1]
+        order = np.lexsort((np.arange(len(both)) >= len(held), both["seq"].to_numpy(), ts, mmsi))
+        first, last = buckets.runs(mmsi[order])
+        before = np.full(len(both), -1)
+        before[order[1:]] = np.where(first[1:], -1, order[:-1])
         before = before[len(held) :]
-        columns = {}
-        for at, c in enumerate(names[:-1]):
-            values = [r[at] for r in held] + pdf[c].tolist()
-            columns[f"prev_{c}"] = pd.Series([values[i] if i >= 0 else None for i in before], dtype=object)
-        kept = order[ts[order] >= ts[order[-1]] - self.recent_ms * 1000]
-        rows = pdf[names].to_numpy(dtype=object)
-        self.recent.put([held[i] if i < len(held) else tuple(_plain(v) for v in rows[i - len(held)]) for i in kept])
+        columns = {f"prev_{c}": both[c].reindex(before).reset_index(drop=True) for c in names}
+        columns["prev_ts_us"] = columns["prev_ts_us"].astype("Int64")
+        newest = ts[order][last][np.cumsum(first) - 1]
+        kept = both.take(order[ts[order] >= newest - self.recent_ms * 1000])
+        self.recent.put(kept, now_ms, pdf["mmsi"].unique())
         return columns
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        """Start from the newest row of the key as a table has it, once, in a run without a checkpoint."""
-        names = [*self.carried, "ts_us", "seq"]
-        self.recent.put([tuple(_plain(v) for v in r) for r in initialState[names].to_numpy(dtype=object)])
+        """Start from the newest rows of the vessels as a table has them, once, in a run without a checkpoint."""
+        now = timerValues.getCurrentProcessingTimeInMs()
+        given = initialState[["mmsi", *self.carried, "ts_us", "seq"]]
+        self.recent.put(pd.concat([self.recent.get(now), given], ignore_index=True), now, given["mmsi"].unique())
 
     def close(self) -> None:
         pass
@@ -88,21 +82,21 @@ class PreviousAndThrottle(Previous):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.clock = handle.getValueState("clock", "alerted_ms bigint", ttlDurationMs=self.ttl_ms)
+        self.clock = buckets.TableState(handle, "clock", "mmsi bigint, alerted_ms bigint", self.ttl_ms)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         super().handleInitialState(key, initialState, timerValues)
-        alerted = _plain(initialState["alerted_ms"].iloc[0])
-        if alerted is not None:
-            self.clock.update((int(alerted),))
+        alerted = initialState.drop_duplicates("mmsi").dropna(subset=["alerted_ms"])[["mmsi", "alerted_ms"]]
+        now = timerValues.getCurrentProcessingTimeInMs()
+        self.clock.put(pd.concat([self.clock.get(now), alerted], ignore_index=True), now, alerted["mmsi"].unique())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = in_time_order(rows)
-        columns = self.previous_columns(pdf)
+        pdf, now = buckets.in_order(rows), timerValues.getCurrentProcessingTimeInMs()
+        columns = self.previous_columns(pdf, now)
         speed = pdf["speed"].to_numpy(dtype=float)
         before = columns["prev_speed"].to_numpy(dtype=float)
         ms = pdf["ts_us"].to_numpy() // 1000
-        elapsed = ms - columns["prev_ts_us"].to_numpy(dtype=float) // 1000
+        elapsed = ms - columns["prev_ts_us"].to_numpy(dtype=float, na_value=np.nan) // 1000
         with np.errstate(divide="ignore", invalid="ignore"):
             acceleration = np.where(elapsed != 0, np.abs(speed - before) / (elapsed / 1000.0), np.nan)
             met = [
@@ -116,16 +110,32 @@ class PreviousAndThrottle(Previous):
         candidates = np.flatnonzero(kind != None)  # noqa: E711 - elementwise
         alerts = np.full(len(pdf), None, dtype=object)
         if len(candidates):
-            release = self.clock.get()[0] + self.interval_ms if self.clock.exists() else throttle.NEVER
-            passed = candidates[throttle.survivors(ms[candidates], release, self.interval_ms)]
-            alerts[passed] = kind[passed]
-            if len(passed):
-                self.clock.update((int(ms[passed[-1]]),))
+            passed = self.passed(pdf["mmsi"].to_numpy()[candidates], ms[candidates], now)
+            alerts[candidates[passed]] = kind[candidates[passed]]
         yield pdf.assign(**columns, alert_type=alerts)
 
+    def passed(self, mmsi: np.ndarray, ms: np.ndarray, now_ms: int) -> list[int]:
+        """Which candidates, ordered by vessel and time, pass; the clock moves on."""
+        clock = self.clock.get(now_ms)
+        alerted = dict(zip(clock["mmsi"].tolist(), clock["alerted_ms"].tolist(), strict=True))
+        starts = np.flatnonzero(buckets.runs(mmsi)[0]).tolist()
+        found, moved = [], {}
+        for start, end in zip(starts, [*starts[1:], len(ms)], strict=True):
+            vessel_ = int(mmsi[start])
+            release = alerted[vessel_] + self.interval_ms if vessel_ in alerted else throttle.NEVER
+            own = throttle.survivors(ms[start:end], release, self.interval_ms)
+            if own:
+                found += [start + i for i in own]
+                moved[vessel_] = int(ms[found[-1]])
+        if moved:
+            new = pd.DataFrame({"mmsi": list(moved), "alerted_ms": list(moved.values())}, dtype="int64")
+            rest = clock[~clock["mmsi"].isin(list(moved))]
+            self.clock.put(pd.concat([rest, new], ignore_index=True) if len(rest) else new, now_ms, new["mmsi"].to_numpy())
+        return found
+
 
 class LatestValue(StatefulProcessor):
-    """The latest value of a key, in state while it is younger than its life on the event-time clock.
+    """The latest value of every vessel of a bucket, in state while it is younger than its life on the event-time clock.
 
     Nothing is handed on; the values are read from the state store, see :func:`live_values`.
     """
@@ -135,33 +145,30 @@ class LatestValue(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.latest = handle.getValueState("latest", f"{self.value}, ts_us bigint, seq bigint")
+        self.latest = buckets.TableState(handle, "latest", f"mmsi bigint, {self.value}, ts_us bigint, seq bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in self.value.split(", ")] + ["ts_us", "seq"]
-        new = tuple(_plain(v) for v in in_time_order(rows)[names].to_numpy(dtype=object)[-1])
-        held = tuple(self.latest.get()) if self.latest.exists() else None
-        if held is None or new[-2:] >= held[-2:]:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.latest.update(new)
-            self.handle.registerTimer(new[-2] // 1000 + self.life_ms)
-        yield pd.DataFrame({"mmsi": pd.Series([], dtype="int64")})
+        new, held = buckets.in_order(rows)[self.latest.schema.names], self.latest.get(0)
+        yield self.moved(pd.concat([held, new], ignore_index=True) if len(held) else new, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.latest.clear()
-        yield pd.DataFrame({"mmsi": pd.Series([], dtype="int64")})
+        yield self.moved(self.latest.get(0), timerValues)
+
+    def moved(self, rows: pd.DataFrame, timerValues) -> pd.DataFrame:
+        """Keep the last of the rows of each vessel, of equal ones that which came last, as long as it lives."""
+        mmsi = rows["mmsi"].to_numpy()
+        order = np.lexsort((rows["seq"].to_numpy(), rows["ts_us"].to_numpy(), mmsi))
+        rows = rows.take(order[buckets.runs(mmsi[order])[1]])
+        end_ms = rows["ts_us"].to_numpy(dtype="int64") // 1000 + self.life_ms
+        alive = end_ms >= timerValues.getCurrentWatermarkInMs()
+        self.latest.put(rows[alive], 0)
+        buckets.one_timer(self.handle, end_ms[alive].min() if alive.any() else None)
+        return pd.DataFrame({"mmsi": pd.Series([], dtype="int64")})
 
     def close(self) -> None:
         pass
 
 
-def _plain(value):
-    if value is None or (isinstance(value, float) and np.isnan(value)):
-        return None
-    return value.item() if isinstance(value, np.generic) else value
-
-
 # Columns that travel through the state step, with the type they travel as.
 TRAVELLING = {
     "mmsi": "bigint", "vessel_name": "string", "imo": "string", "call_sign": "string", "latitude": "double",
@@ -207,18 +214,20 @@ def enriched_stream(
     """
     out = {**TRAVELLING, **{f"prev_{c}": k for c, k in PREVIOUS.items()}, "prev_ts_us": "bigint",
            "alert_type": "string"}
-    rows = _travelling(positions).groupBy("mmsi").transformWithStateInPandas(
+    rows = buckets.by_bucket(_travelling(positions)).transformWithStateInPandas(
         PreviousAndThrottle(PREVIOUS, interval_ms, ttl_ms),
         outputStructType=_ddl(out),
         outputMode="Append",
         timeMode="None" if ttl_ms is None else "ProcessingTime",
-        initialState=None if initial is None else initial.groupBy("mmsi"),
+        initialState=None if initial is None else buckets.by_bucket(initial),
     )
     prev = F.struct(
         *[F.col(f"prev_{c}").alias(c) for c in PREVIOUS], F.timestamp_micros("prev_ts_us").alias("ts")
     )
     rows = rows.withColumns(
         {
+            "mmsi": buckets.nulled("mmsi"),
+            "seq": buckets.nulled("seq"),
             "heading": F.col("heading").cast("int"),
             "navigation_status": F.col("navigation_status").cast("int"),
             "ts": F.timestamp_micros("ts_us"),
@@ -245,12 +254,19 @@ def latest_stream(positions: DataFrame, value: str, life_seconds: int) -> DataFr
     """A stream that keeps the latest ``value`` ("name type, ...") of every vessel for its life, and has no rows."""
     names = [c.split()[0] for c in value.split(", ")]
     rows = positions.withWatermark("ts", "0 seconds").select("mmsi", *names, F.unix_micros("ts").alias("ts_us"), "seq")
-    return rows.groupBy("mmsi").transformWithStateInPandas(
+    return buckets.by_bucket(rows).transformWithStateInPandas(
         LatestValue(value, life_seconds * 1000), outputStructType="mmsi bigint", outputMode="Append", timeMode="EventTime"
     )
 
 
-def live_values(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """What a :func:`latest_stream` holds, by the state reader: mmsi, the value, ts_us, seq."""
+def live_values(spark: SparkSession, checkpoint: str, value: str) -> DataFrame:
+    """What a :func:`latest_stream` of that ``value`` holds, by the state reader: mmsi, the value, ts_us, seq."""
     held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "latest").load()
-    return held.select("key.*", "value.*")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in batch.column(0):
+                yield from buckets.table_of(rows.as_py()).to_batches()
+
+    rows = held.select("value.rows").mapInArrow(task, f"mmsi bigint, {value}, ts_us bigint, seq bigint")
+    return rows.withColumns({c: buckets.nulled(c) for c in ("mmsi", "seq")})

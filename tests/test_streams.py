@@ -252,3 +252,20 @@ def test_batch_enrichment_equals_plain_window(spark):
     for seconds in (30, 600, 10**7):
         got = enrich.with_movement(rows, seconds).select("seq", F.col("time_since_last_update").alias("t"))
         assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_a_step_is_called_by_bucket_and_not_by_vessel(spark):
+    """Hundreds of vessels, one without a number, in as many states as there are buckets at most."""
+    from fairlead.streaming import buckets
+
+    session, folder = job.stream_session(spark), scratch_path(spark, "buckets")
+    for part in (0, 1):
+        rows = [(m if m else None, 2**60 + m if m % 7 else None, T0 + dt.timedelta(seconds=60 * part + m % 5), float(m + part)) for m in range(700)]
+        spark.createDataFrame(rows, "mmsi long, seq long, ts timestamp, speed double").coalesce(1).write.parquet(f"{folder}/part={part}")
+    given = session.readStream.schema("mmsi long, seq long, ts timestamp, speed double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+    held = state.latest_stream(given, "speed double", 3600)
+    streams.finish(job.run_batches(held, lambda batch, batch_id: batch.write.format("noop").mode("overwrite").save(), f"{folder}/checkpoint"))
+    found = {(r.mmsi, r.seq, r.speed) for r in state.live_values(session, f"{folder}/checkpoint", "speed double").collect()}
+    assert found == {(m if m else None, 2**60 + m if m % 7 else None, m + 1.0) for m in range(700)}
+    stored = session.read.format("statestore").option("path", f"{folder}/checkpoint").option("stateVarName", "latest").load()
+    assert stored.count() <= buckets.BUCKETS
