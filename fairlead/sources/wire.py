@@ -27,7 +27,8 @@ def parsed(value: Column, ddl: str) -> Column:
 
 def positions_from_envelopes(messages: DataFrame) -> DataFrame:
     """Flatten envelopes to positions. Broken text and missing payloads stay as rows with a ``reject_reason``."""
-    rows = messages.withColumn("_e", parsed(F.col("value"), schemas.ENVELOPE))
+    # As a generated row: a filter on what is made of it does not pull the parser below itself, once for every field it names.
+    rows = messages.select("*", F.explode(F.array(parsed(F.col("value"), schemas.ENVELOPE))).alias("_e"))
     broken = F.col("_e").isNull() | F.col(f"_e.{CORRUPT}").isNotNull()
     reason = F.when(broken, "PARSE_ERROR").when(F.col("_e.parsedData").isNull(), "NO_PAYLOAD")
     p = "_e.parsedData."

@@ -67,3 +67,14 @@ def test_newest_rows_are_cut_before_the_shuffle(spark):
 
 def test_flagship_has_no_full_sort_to_one_task(spark):
     assert "SinglePartition" not in plan(lenses.positions(spark, SF_DIR).transform(enrich.with_movement))
+
+
+def test_rejects_are_parsed_once(spark):
+    from fairlead.operators import validate
+    from fairlead.plans import ingest
+    from fairlead.sources import wire
+
+    rows = wire.positions_from_envelopes(ingest.envelope_texts(spark, "/root/testdata/sf0.001"))
+    failed = validate.position_reject_reason(F.lit(None).cast("timestamp"), check_age=False)
+    _, rejects = validate.split_rejects(rows.withColumn("reject_reason", F.coalesce("reject_reason", failed)))
+    assert rejects._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
