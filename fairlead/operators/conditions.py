@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.operators import skew
+from fairlead.session import stored_table
 
 # The operators of a term, each with the one that holds when it does not.
 NEGATED = {">": "<=", ">=": "<", "<": ">=", "<=": ">", "=": "!=", "!=": "="}
 
+#: Rows of a task. All counts and the final join share its memory, so tasks grow in number and not in size.
+TASK_ROWS = 100_000
 #: Parts into which the readings of a metric are dealt where the terms are too many to broadcast.
 SALTS = 64
 
@@ -139,7 +142,9 @@ def matches(rows: DataFrame, rules: DataFrame, metrics: dict[str, Column], key:
     depth = located.agg(F.coalesce(F.max(F.size("path")), F.lit(0))).first()[0]
 
     # One exchange by key; the counts of all levels and the final join find the rows of a key together.
-    parted = rows.repartition(*key)
+    rows = stored_table(rows, "readings")
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+    parted = rows.repartition(tasks, *key)
     met = met_terms(parted, terms, metrics, key)
     met = skew.join_dimension(met, paths, ["term"], spread=[F.col(k) for k in key], how="inner").drop("term")
     for level in range(depth, 0, -1):

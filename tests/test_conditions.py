@@ -66,3 +66,11 @@ def test_unreadable_rules_are_told(spark):
 def test_a_tree_is_not_multiplied_out():
     wide = {"and": [{"or": [{"metric": "x", "op": "=", "value": i}, {"metric": "y", "op": "=", "value": i}]} for i in range(200)]}
     assert len(conditions.terms_of(wide)) == 400
+
+
+def test_tasks_grow_in_number_and_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(conditions, "TASK_ROWS", 50)
+    rules = spark.createDataFrame([(1, "r", "T", json.dumps({"and": [{"metric": "x", "op": ">", "value": 99}]}), None, True)], "id int, rule_name string, rule_type string, conditions string, severity string, is_active boolean")
+    found = conditions.matches(spark.range(5000).select(F.col("id").alias("seq"), (F.col("id") % 200).alias("x")), rules, {"x": F.col("x")})
+    assert found.count() == 2500
+    assert "hashpartitioning(seq" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 100)" in plan
