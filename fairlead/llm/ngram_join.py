@@ -343,9 +343,11 @@ def candidates(members: DataFrame, labels: DataFrame, texts: DataFrame, false: D
     to_main = F.transform(numbers(mains), lambda q: meeting(own, q, 2, zero))
     to_rest = F.transform(numbers(others), lambda q: meeting(q, own, 2, one))
     meets: Column = F.when(small, F.array(meeting(zero, zero, 0, alone))).when(F.col("rest"), F.concat(among, to_main)).otherwise(to_rest)
-    rows = rows.join(texts.select("class", "n", "sketch"), "class")
+    # A class is one row where its sketch and its false links come in, whatever the number of its buckets.
+    places = rows.groupBy("class", "label").agg(F.collect_list(F.struct("bucket", meets.alias("meets"))).alias("places"))
     known = false.groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("false"))
-    rows = rows.join(known, "class", "left").select("bucket", F.explode(meets).alias("m"), "class", "label", "n", "sketch", "false")
+    rows = places.join(texts.select("class", "n", "sketch"), "class").join(known, "class", "left").withColumn("p", F.explode("places"))
+    rows = rows.select("p.bucket", F.explode("p.meets").alias("m"), "class", "label", "n", "sketch", "false")
     rows = rows.select("bucket", "m.i", "m.j", "m.kind", "m.side", "class", "label", "n", "sketch", "false")
 
     def solve(t: pa.Table) -> pa.RecordBatch | None:

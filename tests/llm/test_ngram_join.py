@@ -93,3 +93,15 @@ def test_long_shuffled_paths_settle(spark):
     links = spark.createDataFrame(list(zip(order[:-1], order[1:], strict=True)) + [(9001, 9000), (9002, 9000), (9005, 9005), (None, 4)], "a long, b long")
     rows = graph.components(links).collect()
     assert {r.node: r.label for r in rows} == {n: 0 for n in range(5000)} | {9000: 9000, 9001: 9000, 9002: 9000, 9005: 9005}
+
+
+def test_classes_meet_their_sketch_before_their_buckets(spark):
+    """One row per class in these joins, though every class is in ten buckets."""
+    members = spark.createDataFrame([(b, c) for b in range(10) for c in range(6)], "bucket long, class long")
+    labels = spark.createDataFrame([(c, c) for c in range(6)], "node long, label long")
+    texts = spark.createDataFrame([(c, 5, bytes(64)) for c in range(6)], "class long, n long, sketch binary")
+    false = spark.createDataFrame([(0, 1)], "a long, b long")
+    pairs = ngram_join.candidates(members, labels, texts, false, 4, 85, 64)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[: plan.index("Join LeftOuter")].count("Generate explode") == 2
+    assert pairs.count() > 0
