@@ -10,10 +10,13 @@ skipped ones are paid for by segments compared within one deletion: if two sets
 the others holds at least one difference, and any k of these must include one with exactly one difference or leave an
 agreement elsewhere. As the order of segments is fixed, the first 2k segments always hold k that are not skipped.
 Sets that agree with crowded buckets on more than half of their segments cannot pay; they stay in these buckets.
+What counts is what is still to be told apart: the other buckets are worked through first, and a large bucket is crowded
+only if more members than the bound then lie outside one component. So a group of copies pays nothing.
 
 Candidates of a bucket are screened by parity sketches (the bits that differ are never more than the n-grams that do),
 linked to a forest, not to all pairs, and verified on the n-grams themselves. Where a link of the forest proves false,
-the bucket is worked through again without it and with more partners a round, until nothing is left to verify.
+the bucket is worked through again without it and with more partners a round, until nothing is left to verify. A bucket
+that has no candidate is done, as components only grow together.
 """
 
 from __future__ import annotations
@@ -323,7 +326,7 @@ def forest(label: np.ndarray, side: np.ndarray, sizes: np.ndarray, sketches: np.
 
 
 def candidates(members: DataFrame, labels: DataFrame, texts: DataFrame, false: DataFrame, bucket: int, percent: int, width: int) -> DataFrame:
-    """(a, b): pairs of (bucket, class) still to verify. Crowded buckets are divided; what is linked does not meet."""
+    """(bucket, a, b): pairs of (bucket, class) still to verify. Crowded buckets are divided; what is linked does not meet."""
     rows = members.join(labels, F.col("class") == F.col("node"), "left").select("bucket", "class", F.coalesce("label", "class").alias("label"))
     # The largest component is unknown without a count per label; that of the smallest member stands in for it.
     least = F.min(F.struct("class", "label"))
@@ -359,7 +362,7 @@ def candidates(members: DataFrame, labels: DataFrame, texts: DataFrame, false: D
         found = forest(t["label"].to_numpy(), t["side"].to_numpy(), t["n"].to_numpy(), sketches, apart, nodes, percent, width)
         if found:
             ends = np.sort(nodes[np.array(found)], axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), t["bucket"][0].as_py())), pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["bucket", "a", "b"])
         return None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +371,7 @@ def candidates(members: DataFrame, labels: DataFrame, texts: DataFrame, false: D
                 yield found
 
     keys = ("bucket", "i", "j", "kind")
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "class").mapInArrow(task, "a long, b long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "class").mapInArrow(task, "bucket long, a long, b long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -434,32 +437,71 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int, bucket
     texts = texts.groupBy("class", "key").agg(F.first("n_shingles").alias("n"), F.first("text").alias("text"))
     texts = stored_table(sketched(texts, words), "texts")
 
+    known = named.select("class", "key", "n_shingles")
     open_ = met.join(crowded, "sig", "left_anti").select("keys").distinct()
-    hot = met.join(crowded, "sig", "left_semi").select("sig", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_list("sig").alias("sigs"))
+    members = _members(stored_table(open_.select(F.monotonically_increasing_id().alias("bucket"), "keys"), "open"), known)
+    crowd = met.join(crowded, "sig", "left_semi").select("sig", _apart("sig").alias("bucket"), F.explode("keys").alias("key"))
+    crowd = stored_table(crowd.join(known, "key"), "crowd")
+    labels = classes.select(F.col("class").alias("node"), F.col("class").alias("label")).limit(0)
+    false = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    labels, false = settled(stored_table(members, "members"), hubs(crowd, percent), labels, false, texts, words, percent, bucket)
+    if not crowd.limit(1).count():
+        return labels
+
+    # What the other buckets and the hubs have left apart decides which of the crowded ones are worked through as they are.
+    left = others(crowd, labels)
+    kept = crowd.join(left.where(F.col("others").between(1, bucket)), "bucket", "left_semi").select("bucket", "class")
+    hot = crowd.join(left.where(F.col("others") > bucket), "bucket", "left_semi").groupBy("key").agg(F.collect_list("sig").alias("sigs"))
     again = stored_table(chunks(paid(hot.join(texts, "key"), words, percent), bucket), "paid")
     full = F.size("keys") >= bucket
-    small = again.where(~full & (F.col("part") == 0)).select("keys")
-    large = again.join(again.where(full).select("sig").distinct(), "sig", "left_semi")
-    open_ = stored_table(open_.union(small).distinct().select(F.monotonically_increasing_id().alias("bucket"), "keys"), "open")
-    members = open_.select("bucket", F.explode("keys").alias("key")).unionByName(large.select(F.bitwise_not(F.col("sig").bitwiseAND(F.lit(2**63 - 1))).alias("bucket"), F.explode("keys").alias("key")))
-    members = stored_table(members.join(named.select("class", "key"), "key").select("bucket", "class"), "members")
-
-    # Members of crowded buckets meet its smallest one first, so that groups of copies need not meet among themselves.
-    crowd = members.where("bucket < 0")
-    hubs = crowd.groupBy("bucket").agg(F.min("class").alias("a"))
-    stars = crowd.join(hubs, "bucket").where("a < class").select("a", F.col("class").alias("b")).distinct()
-    labels, false = classes.select(F.col("class").alias("node"), F.col("class").alias("label")).limit(0), stars.limit(0)
-    more = candidates(members.where("bucket >= 0"), labels, texts, false, bucket, percent, 1).union(stars).distinct()
-    links, width = false, 1
+    small = again.where(~full & (F.col("part") == 0)).select("keys").distinct().select(F.monotonically_increasing_id().alias("bucket"), "keys")
+    large = again.join(again.where(full).select("sig").distinct(), "sig", "left_semi").select(_apart("sig").alias("bucket"), F.explode("keys").alias("key"))
+    large = stored_table(large.join(known, "key"), "large")
+    members = _members(stored_table(small, "open"), known).union(large.select("bucket", "class")).union(kept)
+    return settled(stored_table(members, "members"), hubs(large, percent), labels, false, texts, words, percent, bucket)[0]
+
+
+def _apart(sig: str) -> Column:
+    """The number of a bucket that keeps its own name, apart from those that are counted."""
+    return F.bitwise_not(F.col(sig).bitwiseAND(F.lit(2**63 - 1)))
+
+
+def _members(buckets: DataFrame, known: DataFrame) -> DataFrame:
+    return buckets.select("bucket", F.explode("keys").alias("key")).join(known.select("class", "key"), "key").select("bucket", "class")
+
+
+def hubs(crowd: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of crowded buckets meet its smallest one first, so that groups of copies need not meet among themselves."""
+    hub = crowd.groupBy("bucket").agg(F.min(F.struct("class", "n_shingles")).alias("hub"))
+    rows = crowd.join(hub, "bucket").where(F.col("hub.class") < F.col("class"))
+    # Linked sets are of like size.
+    sizes = F.col("hub.n_shingles"), F.col("n_shingles")
+    rows = rows.where(100 * F.least(*sizes) >= percent * F.greatest(*sizes))
+    return rows.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct()
+
+
+def others(crowd: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, others): how many members lie outside the component of the smallest one."""
+    rows = crowd.join(labels, F.col("class") == F.col("node"), "left").select("bucket", "class", F.coalesce("label", "class").alias("label"))
+    main = rows.groupBy("bucket").agg(F.min(F.struct("class", "label"))["label"].alias("main"))
+    return rows.join(main, "bucket").groupBy("bucket").agg(F.count(F.when(F.col("label") != F.col("main"), 1)).alias("others"))
+
+
+def settled(members: DataFrame, first: DataFrame, labels: DataFrame, false: DataFrame, texts: DataFrame, words: int, percent: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """The (node, label) and the false pairs when the pairs ``first`` and all buckets of (bucket, class) are worked through."""
+    more, turn = first, 0
     while True:
+        found = stored_table(candidates(members, labels, texts, false, bucket, percent, 8 ** max(turn - 1, 0)), "found")
+        more = stored_table(found.select("a", "b").union(more).distinct(), "more")
+        if not more.limit(1).count():
+            return labels, false
         told = stored_table(verified(more, texts, words, percent), "told")
-        links = links.union(told.where("linked").select("a", "b"))
+        links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(told.where("linked").select("a", "b"))
         false = stored_table(false.union(told.where("NOT linked").select("a", "b")), "false")
         labels = stored_table(components(links), "labels")
-        more = stored_table(candidates(members, labels, texts, false, bucket, percent, width), "more")
-        if not more.limit(1).count():
-            return labels
-        links, width = labels.select(F.col("node").alias("a"), F.col("label").alias("b")), 8 * width
+        # A bucket without candidates has none later either.
+        members = stored_table(members.join(found.select("bucket").distinct(), "bucket", "left_semi"), "members")
+        more, turn = first.limit(0), turn + 1
 
 
 def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, bucket: int = BUCKET) -> DataFrame:

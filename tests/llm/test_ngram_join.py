@@ -105,3 +105,32 @@ def test_classes_meet_their_sketch_before_their_buckets(spark):
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert plan[: plan.index("Join LeftOuter")].count("Generate explode") == 2
     assert pairs.count() > 0
+
+
+def near_copies(n: int, words: int = 120, seed: int = 5) -> list[tuple[int, str, None]]:
+    """Copies of a text with one word changed each, and as many texts that share four fifths of it, which is less than a link takes."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    text, out = [word() for _ in range(words)], []
+    for i in range(n):
+        changed = list(text)
+        changed[rng.randrange(words)] = word()
+        out += [(2 * i, " ".join(changed), None), (2 * i + 1, " ".join(text[: words * 4 // 5] + [word() for _ in range(words // 5)]), None)]
+    return out
+
+
+def test_a_large_group_of_near_copies_pays_nothing(spark, monkeypatch):
+    """Its buckets are above the bound, but few of their members are still apart once the other buckets are done."""
+    paying, paid = [], ngram_join.paid
+    monkeypatch.setattr(ngram_join, "paid", lambda rows, *rest: (paying.append(rows.count()), paid(rows, *rest))[1])
+    rows = [r for r in near_copies(40) if r[0] % 2 == 0]
+    assert found(ngram_join.ngram_join(table(spark, rows), bucket=16)) == brute(rows)
+    assert sum(paying) == 0
+
+
+def test_buckets_without_candidates_leave_the_next_rounds(spark, monkeypatch):
+    met, candidates = [], ngram_join.candidates
+    monkeypatch.setattr(ngram_join, "candidates", lambda members, *rest: (met.append(members.count()), candidates(members, *rest))[1])
+    rows = [r for r in near_copies(40) if r[0] % 2 or r[0] < 12]
+    assert found(ngram_join.ngram_join(table(spark, rows), bucket=1024)) == brute(rows)
+    assert met[0] > 100 and met[-1] < met[0] // 2
