@@ -298,6 +298,13 @@ def stream_master_join(spark, sf):
 
 #: Records of a segment of a topic, and segments of a poll.
 POLL_RECORDS, POLL_SEGMENTS = 100_000, 2
+#: A backlog is taken in so many polls, as long as a poll has no more than so many segments.
+BACKLOG_POLLS, MOST_SEGMENTS = 5, 20
+
+
+def poll_segments(waiting: int) -> int:
+    """Segments of a poll when so many wait: a long backlog takes larger polls, so their fixed cost does not grow with it."""
+    return min(max(POLL_SEGMENTS, -(-waiting // BACKLOG_POLLS)), MOST_SEGMENTS)
 
 
 def _persisted(spark: SparkSession, topic: str, rows: DataFrame) -> job.PersistenceSinks:
@@ -308,13 +315,17 @@ def _persisted(spark: SparkSession, topic: str, rows: DataFrame) -> job.Persiste
     session, folder = job.stream_session(spark), scratch_path(spark, topic)
     names = job.PERSISTED[topic][2]
     shape = rows.select(*names)
-    texts = rows.select(wire.wire_value(rows, names).alias("value"), "ts", "seq")
     twice = F.concat(F.lit('"'), F.replace(F.replace("value", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    texts = texts.withColumn("value", F.when(F.pmod(F.xxhash64("seq"), F.lit(2)) == 0, twice).otherwise(F.col("value")))
-    files.write_segments(texts, topic, f"{folder}/topics", POLL_RECORDS, ("ts", "seq"))
+
+    def texts(ordered: DataFrame) -> DataFrame:
+        once = ordered.select(wire.wire_value(ordered, names).alias("value"), "seq")
+        return once.select(F.when(F.pmod(F.xxhash64("seq"), F.lit(2)) == 0, twice).otherwise(F.col("value")).alias("value"))
+
+    files.write_segments(rows, topic, f"{folder}/topics", POLL_RECORDS, ("ts", "seq"), texts)
+    waiting = sum(n.startswith("part-") for n in children(spark, f"{folder}/topics/{topic}"))
     sinks = job.persistence_sinks(session, topic, folder, shape)
     for checkpoint in ("checkpoint", "checkpoint-again"):
-        messages = files.topic(session, topic, directory=f"{folder}/topics", files_per_trigger=POLL_SEGMENTS)
+        messages = files.topic(session, topic, directory=f"{folder}/topics", files_per_trigger=poll_segments(waiting))
         finish(job.run_persistence(job.consumed(messages, topic, dict(shape.dtypes)), sinks, f"{folder}/{checkpoint}"))
     return job.persistence_sinks(spark, topic, folder, shape)
 

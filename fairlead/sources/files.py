@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,17 +72,20 @@ def publish(
         messages.write.mode("overwrite").json(f"{directory}/{name}/batch_id={int(batch_id)}")
 
 
-def write_segments(messages: DataFrame, name: str, directory: str, records: int, order: tuple[str, ...]) -> None:
+def write_segments(
+    messages: DataFrame, name: str, directory: str, records: int, order: tuple[str, ...], texts: Callable[[DataFrame], DataFrame] | None = None
+) -> None:
     """Texts (``value``) as a topic folder of segments, in the order of the given columns, at most ``records`` each.
 
     With ``files_per_trigger`` a reader takes so many segments a poll, oldest first, as a consumer takes so many records;
     what it has read is in its checkpoint. One job writes all segments; their times of change, by which a file stream
-    orders them, are set afterwards.
+    orders them, are set afterwards. ``texts`` makes the texts of rows that have none yet, once they are in order: the rows
+    are looked at for their order first, which would make every text twice.
     """
     spark, path = messages.sparkSession, f"{directory}/{name}"
     parts = max(1, -(-messages.count() // (8 * records)))
     ordered = messages.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ordered.select("value").write.option("maxRecordsPerFile", records).text(path)
+    (texts(ordered) if texts else ordered).select("value").write.option("maxRecordsPerFile", records).text(path)
     written = sorted(n for n in children(spark, path) if n.startswith("part-"))
     # Names are part-NNNNN-id-cMMM.txt: partitions in the order of their rows, then the files of a partition.
     written.sort(key=lambda n: (n.split("-")[1], n.rsplit("-c", 1)[-1]))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fairlead.operators import detect, enrich, rollups, tables, throttle
 from fairlead.plans import common, lenses, streams
 from fairlead.session import scratch_path
+from fairlead.sources import files
 from fairlead.streaming import fences, job, sessions, state
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -269,3 +270,23 @@ def test_a_step_is_called_by_bucket_and_not_by_vessel(spark):
     assert found == {(m if m else None, 2**60 + m if m % 7 else None, m + 1.0) for m in range(700)}
     stored = session.read.format("statestore").option("path", f"{folder}/checkpoint").option("stateVarName", "latest").load()
     assert stored.count() <= buckets.BUCKETS
+
+
+def test_a_long_backlog_takes_larger_polls():
+    """The number of polls stays the same until a poll has its most segments; a short backlog polls as before."""
+    sizes = [streams.poll_segments(n) for n in (1, 6, 10, 24, 100, 2160)]
+    assert sizes == [2, 2, 2, 5, 20, 20]
+
+
+def test_texts_are_made_once_rows_are_in_order(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def text(n):
+        made.add(1)
+        return str(n)
+
+    rows = spark.range(1000).select((1000 - F.col("id")).alias("n"))
+    told = lambda ordered: ordered.select(F.udf(text)("n").alias("value"))
+    files.write_segments(rows, "told", str(tmp_path), 10_000, ("n",), told)
+    assert [int(r.value) for r in spark.read.text(f"{tmp_path}/told").collect()] == list(range(1, 1001))
+    assert made.value == 1000
