@@ -206,6 +206,50 @@ def test_late_fixes_count_in_pair_windows(spark):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and want.count() > 20
 
 
+def test_pair_windows_store_fixes_and_not_pairs(spark):
+    from fairlead.streaming import windows
+
+    rows = [(1 + i % 60, 0.0, 0.0001 * (i % 60), 5.0, 90.0, T0 + dt.timedelta(seconds=i // 60), i) for i in range(240)]
+    given = spark.createDataFrame(rows, "mmsi long, latitude double, longitude double, speed double, course double, ts timestamp, seq long")
+    folder = scratch_path(spark, "dense-windows")
+    pairs = windows.PairWindows(folder)
+    for i in range(2):
+        pairs.write(given.where(F.col("seq") % 2 == i), i)
+    names = spark.read.option("recursiveFileLookup", "true").format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("path").collect()
+    stored = sum(spark.read.parquet(r.path).count() for r in names)
+    assert 0 < stored <= len(rows)
+    assert pairs.read(spark).count() == 3 * 60 * 59 // 2
+
+
+@pytest.mark.parametrize("width, slide", [("30 seconds", "10 seconds"), ("25 seconds", "10 seconds"), ("10 seconds", "10 seconds"), ("4 seconds", "6 seconds")])
+def test_spans_of_windows_are_the_windows(spark, monkeypatch, width, slide):
+    import random
+
+    from fairlead.operators import proximity
+    from fairlead.streaming import windows
+
+    monkeypatch.setattr(windows, "STRETCH", 3)
+    rng = random.Random(4)
+    start = dt.datetime(1969, 12, 31, 23, 58)  # panes below and above zero
+    rows = [(rng.randrange(9), rng.choice([0.0, 0.004, None]), 0.003 * rng.randrange(4), 5.0, 90.0, start + dt.timedelta(microseconds=rng.randrange(240) * 10**6 - rng.randrange(2)), i) for i in range(300)]
+    given = spark.createDataFrame(rows, "mmsi long, latitude double, longitude double, speed double, course double, ts timestamp, seq long")
+    if slide == "6 seconds":  # windows with gaps between them, which Spark's own windows do not know
+        micros = F.unix_micros("ts")
+        of = given.withColumn("at", F.floor((micros - F.pmod(micros, F.lit(6_000_000))) / 6_000_000) * 6_000_000).where(micros - F.col("at") < 4_000_000)
+        latest = of.groupBy(F.timestamp_micros("at").alias("window_start"), "mmsi").agg(F.max_by(F.struct("latitude", "longitude", "speed", "course", "ts"), F.struct("ts", "seq")).alias("fix"))
+        want = proximity.close_pairs(latest.select("window_start", "mmsi", "fix.*"), load=3)
+    else:
+        want = proximity.close_pairs(proximity.window_fixes(given, width, slide), load=3)
+    pairs = windows.PairWindows(scratch_path(spark, "span-windows"), width, slide)
+    for i in range(3):
+        pairs.write(given.where(F.col("seq") % 3 == i), i)
+    got = pairs.read(spark).select(want.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and want.count() > 20
+    spans = pairs._spans(pairs._stored(spark))
+    divided = proximity.close_spans(spans, load=2)
+    assert divided.count() == want.count()
+
+
 def test_a_clock_throttles_over_batches(spark):
     import random
 
