@@ -45,8 +45,12 @@ class FenceWatch:
         self.carried.compact_if_due(batch_id)
 
     def _write(self, spark: SparkSession, rows: DataFrame, batch_id: int) -> None:
-        inside = spatial.with_fences_inside(rows, spatial.fence_versions(self.fences(spark))).select("mmsi", "inside", "ts", "seq")
-        before = self.carried.read(upto=batch_id - 1).select("mmsi", "inside", "ts", "seq")
+        # A micro-batch may come as one file, so one task: its fixes are dealt out before they meet the fences.
+        dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "mmsi", "ts", "seq")
+        inside = spatial.with_fences_inside(dealt, spatial.fence_versions(self.fences(spark))).select("mmsi", "inside", "ts", "seq")
+        # Read by the late rows and, twice, by the events: folded once.
+        self.carried.read(upto=batch_id - 1).select("mmsi", "inside", "ts", "seq").write.mode("overwrite").parquet(f"{self.folder}/before")
+        before = spark.read.schema(CARRIED).parquet(f"{self.folder}/before")
         newest = before.select(F.col("mmsi").alias("_of"), F.struct("ts", "seq").alias("_newest"))
         placed = inside.join(newest, F.col("mmsi") == F.col("_of"), "left").withColumn("late", F.coalesce(F.struct("ts", "seq") <= F.col("_newest"), F.lit(False)))
         # Read by the events, the late rows and the state: worked out once.

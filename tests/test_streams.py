@@ -191,6 +191,27 @@ def test_fence_changes_do_not_depend_on_the_batches(spark):
         assert watch.late(spark).count() == 7
 
 
+def test_fixes_of_one_file_meet_fences_in_many_tasks(spark, monkeypatch):
+    from fairlead.operators import spatial
+    from fairlead.sources import reference
+
+    folder = scratch_path(spark, "one-file")
+    common.valid(spark, SF_DIR).select("mmsi", "latitude", "longitude", "ts", "seq").coalesce(1).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    assert rows.rdd.getNumPartitions() == 1
+    tasks, folds = [], []
+    meet, read = spatial.with_fences_inside, tables.CurrentTable.read
+    monkeypatch.setattr(spatial, "with_fences_inside", lambda rows, *rest: tasks.append(len({r[0] for r in rows.select(F.spark_partition_id()).distinct().collect()})) or meet(rows, *rest))
+    watch = fences.FenceWatch.at(spark, folder, lambda s: reference.fences(s).withColumn("changed_at", F.lit(None).cast("timestamp")))
+    monkeypatch.setattr(tables.CurrentTable, "read", lambda self, **upto: folds.append(1) or read(self, **upto))
+    watch.write(rows, 0)
+    assert tasks == [int(spark.conf.get("spark.sql.shuffle.partitions"))] and len(folds) == 1
+    monkeypatch.undo()
+    want = spatial.fence_events(common.valid(spark, SF_DIR), reference.fences(spark)).select("mmsi", "seq", "fence_id", "event")
+    got = watch.events(spark).select(want.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and want.count() > 20
+
+
 def test_late_fixes_count_in_pair_windows(spark):
     from fairlead.operators import proximity
     from fairlead.streaming import windows
