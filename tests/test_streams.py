@@ -290,6 +290,35 @@ def test_a_clock_throttles_over_batches(spark):
     assert sorted(found) == sorted(want.collect()) and len(found) > 10
 
 
+@pytest.mark.parametrize("throttled", [False, True])
+def test_collision_alerts_store_fixes_and_not_pairs(spark, throttled):
+    """Over many batches, one of them delivered twice and one that nobody sees, as over all windows at once."""
+    from fairlead.operators import proximity
+    from fairlead.streaming import alerts
+
+    rows = [(1 + i % 40, 0.0, 0.0002 * (i * 7 % 40), float(i % 11), float(i * 37 % 360), T0 + dt.timedelta(seconds=i // 40 * 25), i) for i in range(800)]
+    given = spark.createDataFrame(rows, "mmsi long, latitude double, longitude double, speed double, course double, ts timestamp, seq long")
+    fixes = proximity.window_fixes(given)
+    risks = proximity.collision_risk(proximity.close_pairs(fixes), within_seconds=proximity.COLLISION_SECONDS)
+    if throttled:
+        risks = throttle.throttled(risks, ["mmsi_a", "mmsi_b"], ts="window_start", order=["tcpa_seconds"])
+    want = proximity.collision_alerts(risks)
+    folder = scratch_path(spark, "collisions")
+    clock = alerts.Clock.at(spark, f"{folder}/clock", ("mmsi_a", "mmsi_b"), "window_start", ("tcpa_seconds",)) if throttled else None
+    sink = alerts.CollisionAlerts(folder, clock)
+    for i, start in ((0, -30), (1, 100), (1, 100), (2, 250)):
+        inside = F.col("window_start") >= T0 + dt.timedelta(seconds=start)
+        sink.write(fixes.where(inside & (F.col("window_start") < T0 + dt.timedelta(seconds={0: 100, 1: 250, 2: 10**6}[i]))), i)
+    sink.tasks(fixes, 3)["collision"]()  # not shown yet
+    got = sink.alerts(spark).select(want.columns)
+    texts = [F.to_json("details").alias(c) if c == "details" else c for c in want.columns]
+    got, want = got.select(texts), want.select(texts)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and want.count() > 500
+    names = spark.read.option("recursiveFileLookup", "true").format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("path").collect()
+    stored = sum(spark.read.parquet(r.path).count() for r in names)
+    assert 0 < stored <= 2 * fixes.count()
+
+
 def test_late_rows_count_in_rollups_over_many_batches(spark, monkeypatch):
     monkeypatch.setattr(tables, "COMPACT_EVERY", 2)
     session, folder = job.stream_session(spark), scratch_path(spark, "late-rollup")
