@@ -319,6 +319,23 @@ def test_collision_alerts_store_fixes_and_not_pairs(spark, throttled):
     assert 0 < stored <= 2 * fixes.count()
 
 
+def test_pairs_of_the_last_seconds_raise_alerts(spark, monkeypatch):
+    """Windows that are open when the stream ends are closed by the end marker."""
+    from fairlead.operators import proximity
+
+    rows = [(m, 0.0, 0.5 * pair + 0.004 * side + 10.0 * m * (s < 1000), 6.0, 90.0 if side == 0 else 270.0, T0 + dt.timedelta(seconds=s), 100 * s + m)
+            for s in (*range(0, 1000, 50), 1001, 1003) for pair in range(3) for side in (0, 1) for m in (1 + 2 * pair + side,)]
+    given = spark.createDataFrame(rows, "mmsi long, latitude double, longitude double, speed double, course double, ts timestamp, seq long")
+    want = proximity.collision_risk(proximity.close_pairs(proximity.window_fixes(given)), within_seconds=proximity.COLLISION_SECONDS)
+    want = throttle.throttled(want, ["mmsi_a", "mmsi_b"], ts="window_start", order=["tcpa_seconds"])
+    marker = {"mmsi": F.lit(streams.END).cast("long")}
+    monkeypatch.setattr(streams, "valid_stream", lambda session, sf: streams.slices_stream(session, streams.in_slices(session, given, marker)))
+    monkeypatch.setattr(common, "slice_of", lambda spark, sf: 600.0)
+    got = streams.stream_collision_alerts(spark, SF_DIR).collect()
+    assert sorted((r.mmsi_a, r.mmsi_b, r.window_start_ms) for r in got) == sorted((r.mmsi_a, r.mmsi_b, r.ms) for r in want.select("*", F.unix_millis("window_start").alias("ms")).collect())
+    assert len(got) == 3
+
+
 def test_late_rows_count_in_rollups_over_many_batches(spark, monkeypatch):
     monkeypatch.setattr(tables, "COMPACT_EVERY", 2)
     session, folder = job.stream_session(spark), scratch_path(spark, "late-rollup")
