@@ -79,15 +79,16 @@ def write_segments(
 
     With ``files_per_trigger`` a reader takes so many segments a poll, oldest first, as a consumer takes so many records;
     what it has read is in its checkpoint. One job writes all segments; their times of change, by which a file stream
-    orders them, are set afterwards. ``texts`` makes the texts of rows that have none yet, once they are in order: the rows
+    orders them, are set afterwards. Segments are packed, as brokers keep them: texts that repeat every field name take an eighth,
+    and a segment is read whole anyway. ``texts`` makes the texts of rows that have none yet, once they are in order: the rows
     are looked at for their order first, which would make every text twice.
     """
     spark, path = messages.sparkSession, f"{directory}/{name}"
     parts = max(1, -(-messages.count() // (8 * records)))
     ordered = messages.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    (texts(ordered) if texts else ordered).select("value").write.option("maxRecordsPerFile", records).text(path)
+    (texts(ordered) if texts else ordered).select("value").write.options(maxRecordsPerFile=records, compression="gzip").text(path)
     written = sorted(n for n in children(spark, path) if n.startswith("part-"))
-    # Names are part-NNNNN-id-cMMM.txt: partitions in the order of their rows, then the files of a partition.
+    # Names are part-NNNNN-id-cMMM.txt.gz: partitions in the order of their rows, then the files of a partition.
     written.sort(key=lambda n: (n.split("-")[1], n.rsplit("-c", 1)[-1]))
     for i, file in enumerate(written):
         dated(spark, f"{path}/{file}", 1_000_000_000_000 + 1000 * i)

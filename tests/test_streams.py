@@ -401,3 +401,18 @@ def test_texts_are_made_once_rows_are_in_order(spark, tmp_path):
     files.write_segments(rows, "told", str(tmp_path), 10_000, ("n",), told)
     assert [int(r.value) for r in spark.read.text(f"{tmp_path}/told").collect()] == list(range(1, 1001))
     assert made.value == 1000
+
+
+def test_segments_are_packed_and_polled_in_order(spark, tmp_path):
+    """Every segment has its records, a poll takes the oldest, and they take a fraction of their texts."""
+    rows = spark.range(3000).select((3000 - F.col("id")).alias("n"))
+    text = F.concat(F.lit('{"temperature":"21.5","windSpeed":"12.25","sequence":"'), F.col("n").cast("string"), F.lit('"}'))
+    files.write_segments(rows, "packed", str(tmp_path), 200, ("n",), lambda ordered: ordered.select(text.alias("value")))
+    segments = [p for p in (tmp_path / "packed").iterdir() if p.name.startswith("part-")]
+    told = [r.value for r in spark.read.text(f"{tmp_path}/packed").collect()]
+    assert len(segments) >= 15 and sum(p.stat().st_size for p in segments) * 4 < sum(map(len, told))
+    seen = []
+    polled = files.topic(spark, "packed", directory=str(tmp_path), files_per_trigger=4)
+    number = F.get_json_object("value", "$.sequence").cast("int")
+    streams.finish(job.run_batches(polled.select(number.alias("n")), lambda rows, i: seen.append(sorted(r.n for r in rows.collect())), f"{tmp_path}/checkpoint"))
+    assert len(seen) >= 4 and [n for batch in seen for n in batch] == list(range(1, 3001))
