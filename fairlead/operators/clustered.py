@@ -58,12 +58,13 @@ class KeyedHistory:
         values = [F.lit(v).cast(self.kinds[k].dataType) for k, v in zip(self.keys, key, strict=True)]
         rows = self.table(spark).where(F.col("bucket") == _bucket(values, self.buckets)).drop("bucket")
         for k, v in zip(self.keys, values, strict=True):
-            rows = rows.where(F.col(k) == v)
+            # Named here, the test for null stays beside its key in what is pushed to the files.
+            rows = rows.where(F.col(k).isNotNull() & (F.col(k) == v))
         return rows
 
     def between(self, spark: SparkSession, key: Sequence, start: Column, end: Column) -> DataFrame:
         """The rows of one key from ``start`` to ``end``, both included."""
-        rows = self.of_key(spark, key).where(F.col("ts").between(start, end))
+        rows = self.of_key(spark, key).where(F.col("ts").isNotNull() & F.col("ts").between(start, end))
         return rows.where(F.col("ym").between(times.month_key(start), times.month_key(end))).drop("ym")
 
     def newest(self, spark: SparkSession, key: Sequence, by: Sequence[str] = ("ts", "seq")) -> DataFrame:
